@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
@@ -150,3 +151,21 @@ def pieces(raw: np.ndarray, a: int, b: int, limit: int = SLICE_BYTES) -> Iterato
         yield a, c
         a = c
     yield a, b
+
+
+#: Rows of ids up to which a join may broadcast them; counted before the choice.
+BROADCAST_IDS = 200_000
+
+
+def few(df: DataFrame, limit: int = BROADCAST_IDS) -> bool:
+    """Whether a written table has so few rows that a join may broadcast it."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def pick(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is (left_semi) or isn't (left_anti) in the written table ``ids``; null equals null.
+
+    Ids are broadcast only when counted to be few; else both sides are shuffled.
+    """
+    ids = ids.select(F.col(id_col).alias("_picked"))
+    return docs.join(F.broadcast(ids) if few(ids) else ids, docs[id_col].eqNullSafe(F.col("_picked")), how)

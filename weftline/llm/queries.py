@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, pieces, toxicity
+from weftline.llm import chat, exact, langid, mix, pieces, toxicity, warc
+from weftline.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,24 @@ def fold(parts: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+#: What a text could take for the template's own marks.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.digests(chat.read_back(chat.format_chat(turns.unionByName(extra))))
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op3")).drop("copies")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), Scratch(spark, "op6"))).drop("payload")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"))
 
@@ -40,9 +59,79 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 QUERIES = {
+    "op2_chat": op2_chat,
+    "op3_mix": op3_mix,
+    "op6_warc": op6_warc,
     "op7_pieces": op7_pieces,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
+    "op10_exact": op10_exact,
+}
+
+#: The same control strings in the other engine's regular expressions.
+_ESC = r"""regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|NEXT\])', '\1\2\\\3', 'g')"""
+
+ORACLE: dict[str, str] = {
+    "op2_chat": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'),
+marked AS (
+  SELECT *, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS opens
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(3 + sum(opens) * 17 + sum(opens * length({_ESC.format("role")})) + sum(length({_ESC.format("text")})) + 6 * (count(*) - sum(opens)) AS BIGINT) AS formatted_chars,
+  CAST(sum(opens) AS BIGINT) AS n_blocks
+FROM marked GROUP BY conv_id""",
+    "op3_mix": f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS name, source,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    (CAST(CAST('0x' || substr(sha256('{mix.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0::DOUBLE AS u
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM docs GROUP BY source),
+capped AS (
+  SELECT *, source_size * 2.0::DOUBLE AS most, row_number() OVER o AS k,
+    coalesce(sum(source_size * 2.0::DOUBLE) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
+    (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS w_left,
+    1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total
+  FROM sources WINDOW o AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST)),
+level AS (SELECT arg_min((total - full_words) / w_left, k) AS level FROM capped WHERE (total - full_words) / w_left <= most / w),
+plan AS (
+  SELECT source, source_size, target, base, target / source_size - base AS p, target - base * source_size AS rest FROM (
+    SELECT *, floor(target / source_size) AS base FROM (
+      SELECT source, source_size, coalesce(least(most, w * level), most) AS target FROM capped, level))),
+q AS (
+  SELECT d.*, source_size, target, coalesce(base, 0) AS base, p, rest, CASE WHEN p > 0 THEN (u * (1 - p)) / ((1 - u) * p) END AS q
+  FROM docs d JOIN plan s ON d.source IS NOT DISTINCT FROM s.source),
+p0 AS (SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, name, size) <= rest AS in0 FROM q),
+r0 AS (SELECT *, rest - sum(CASE WHEN in0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest1 FROM p0),
+p1 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest1 AS in1 FROM (SELECT *, p > 0 AND NOT in0 AND size <= rest1 AS ok FROM r0)),
+r1 AS (SELECT * EXCLUDE (ok), rest1 - sum(CASE WHEN in1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest2 FROM p1),
+p2 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest2 AS in2 FROM (SELECT *, p > 0 AND NOT in0 AND NOT in1 AND size <= rest2 AS ok FROM r1))
+SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN in0 OR in1 OR in2 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p2""",
+    "op6_warc": """
+WITH paid AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS winner FROM paid)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> (15 - i % 4 * 5)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM winner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM ranked""",
+    "op10_exact": """
+WITH plain AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
+kept AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM plain)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM kept""",
 }
-ORACLE: dict[str, str] = {}
