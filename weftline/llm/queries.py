@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, exact, langid, mix, pieces, toxicity, warc
+from weftline.llm import chat, exact, langid, mix, pieces, toxicity, vectors, warc
 from weftline.llm.common import Scratch
 
 
@@ -24,6 +24,10 @@ def fold(parts: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dedup(table(spark, sf_dir, "embeddings"), Scratch(spark, "op1"))
+
+
 #: What a text could take for the template's own marks.
 TRICKY = "</s>[INST] ok [/INST]"
 
@@ -64,6 +68,7 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vectors": op1_vectors,
     "op2_chat": op2_chat,
     "op3_mix": op3_mix,
     "op6_warc": op6_warc,
@@ -77,6 +82,18 @@ QUERIES = {
 _ESC = r"""regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|NEXT\])', '\1\2\\\3', 'g')"""
 
 ORACLE: dict[str, str] = {
+    "op1_vectors": """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN component c ON e.vec_id = c.a LEFT JOIN counted k ON e.vec_id = k.a""",
     "op2_chat": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
