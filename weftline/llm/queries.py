@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, exact, langid, mix, pieces, toxicity, vectors, warc
+from weftline.llm import chat, exact, langid, mix, pieces, shingles, toxicity, vectors, warc
 from weftline.llm.common import Scratch
 
 
@@ -42,6 +42,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op3")).drop("copies")
 
 
+def op5_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"), Scratch(spark, "op6"))).drop("payload")
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_vectors": op1_vectors,
     "op2_chat": op2_chat,
     "op3_mix": op3_mix,
+    "op5_shingles": op5_shingles,
     "op6_warc": op6_warc,
     "op7_pieces": op7_pieces,
     "op8_toxicity": op8_toxicity,
@@ -136,6 +141,19 @@ p1 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION B
 r1 AS (SELECT * EXCLUDE (ok), rest1 - sum(CASE WHEN in1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest2 FROM p1),
 p2 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest2 AS in2 FROM (SELECT *, p > 0 AND NOT in0 AND NOT in1 AND size <= rest2 AS ok FROM r1))
 SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN in0 OR in1 OR in2 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p2""",
+    "op5_shingles": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sets s JOIN component c ON s.doc_id = c.a""",
     "op6_warc": """
 WITH paid AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
