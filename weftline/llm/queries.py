@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, exact, langid, mix, pieces, shingles, toxicity, vectors, warc
+from weftline.llm import chat, exact, langid, mix, pieces, shards, shingles, toxicity, vectors, warc
 from weftline.llm.common import Scratch
 
 
@@ -42,6 +42,12 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op3")).drop("copies")
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per sequence, read back from its shard."""
+    out = shards.read(shards.write(table(spark, sf_dir, "documents"), model_path(), Scratch(spark, "op4")))
+    return out.select("slot", "shard", "byte_offset", "n_tokens", "doc_ids", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 def op5_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_vectors": op1_vectors,
     "op2_chat": op2_chat,
     "op3_mix": op3_mix,
+    "op4_shards": op4_shards,
     "op5_shingles": op5_shingles,
     "op6_warc": op6_warc,
     "op7_pieces": op7_pieces,
