@@ -1,5 +1,6 @@
 """Queries over the driver's tables and the SQL that they must agree with."""
 
+from weftline.plans import columns, histories, joining, sequences, texts  # noqa: F401
 from weftline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
