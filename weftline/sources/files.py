@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def tree(spark: SparkSession, root: str, suffix: str = "", depth: int = 10, limi
     """path (relative), content and length of the files below a folder, skipped folders left out, least deep first if limited."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     raw = raw.option("pathGlobFilter", f"*{suffix}") if suffix else raw
-    base = root.removeprefix("file:").rstrip("/")
+    base = re.sub("^file:/*", "/", root).rstrip("/")
     out = raw.load(root).select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "").alias("path"), F.col("content").cast("string").alias("content"), "length")
     parts = F.split("path", "/")
     out = out.where((F.size(parts) <= depth) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
