@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time; bounds the memory of a Python worker.
@@ -74,6 +74,42 @@ def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def bounded_sample(docs: DataFrame, labels: DataFrame, per_label: int, total_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[object, str, bytes]]:
+    """(label, id, text) of at most ``per_label`` documents of each label and ``total_bytes`` bytes, for the driver.
+
+    ``labels`` has the columns id and label. Ids come in the order of their hashes, so every run takes the same; they
+    are thinned by hash part first, so no task gathers a label. Only the texts that fit are fetched, and no text is shuffled.
+    """
+    keys = labels.select(F.col("id"), F.col("label"), F.xxhash64("id").alias("h")).where("id is not null and label is not null").distinct()
+    for by in (["label", F.pmod("h", F.lit(64))], ["label"]):
+        first = Window.partitionBy(*by).orderBy("h", "id")
+        keys = keys.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label).drop("k")
+    spark = docs.sparkSession
+    picked = [(r.id, r.label) for r in keys.orderBy("label", "h", "id").collect()]
+    if not picked:
+        return []
+    left = dict.fromkeys((y for _, y in picked), total_bytes // len({y for _, y in picked}))
+    rank = {k: i for i, (k, _) in enumerate(picked)}
+
+    def having(wanted: list) -> DataFrame:
+        few_ids = spark.createDataFrame([(k,) for k in wanted], docs.select(F.col(id_col).alias("_id")).schema)
+        return docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(few_ids), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull())
+
+    size = {r[0]: r[1] for r in having([k for k, _ in picked]).groupBy(id_col).agg(F.min(F.octet_length(text_col))).collect()}
+    taken = {}
+    for k, y in picked:
+        if 0 < size.get(k, 0) <= left[y]:
+            left[y] -= size[k]
+            taken[k] = y
+    if not taken:
+        return []
+    found: dict = {}
+    for r in having([*taken]).toLocalIterator():
+        if r[0] not in found or r[1] < found[r[0]]:  # of a repeated id the first text
+            found[r[0]] = r[1]
+    return [(taken[k], k, found[k].encode()) for k in sorted(found, key=rank.__getitem__)]
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, pieces, slices, text_of
+from weftline.llm.common import LOWER, bounded_sample, pieces, slices, text_of
 
 PER_LANG, TRAIN_BYTES, BITS, AMBIGUOUS = 400, 24_000_000, 16, 0.5
 
@@ -89,24 +89,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES, steps: int = 60) -> Model:
-    """Train on the rows with text and language, a sample of bounded rows and bytes, the same on every run.
-
-    The sample is picked by the smallest hashes of each language; hashes are thinned by task first, so no task gathers a language.
-    """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("l"), F.encode(text_col, "utf-8").alias("t"), F.xxhash64(F.lit("lang"), id_col, text_col).alias("h"))
-    salted = Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h")
-    keys = rows.select("l", "h").withColumn("k", F.row_number().over(salted)).where(F.col("k") <= per_lang)
-    keys = keys.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= per_lang).select("l", "h").collect()
-    langs = sorted({k.l for k in keys})
+    """Train on the rows with text and language, a sample of bounded rows and bytes, the same on every run."""
+    known = labelled.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
+    sample = [(y, t) for y, _, t in bounded_sample(labelled, known, per_lang, train_bytes, id_col, text_col)]
+    langs = sorted({y for y, _ in sample})
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0))
-    left = dict.fromkeys(langs, train_bytes // len(langs))
-    sample = []
-    for r in rows.where(F.col("h").isin([k.h for k in keys])).select("l", "h", F.substring("t", 1, train_bytes // len(langs) // 4).alias("t")).orderBy("l", "h").toLocalIterator():
-        left[r.l] -= len(r.t)
-        if left[r.l] >= 0 and len(r.t):
-            sample.append((r.l, bytes(r.t)))
     return _train(sample, langs, steps)
 
 

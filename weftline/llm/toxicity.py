@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, SLICE_BYTES, slices, span_hash, sums_of, text_of
+from weftline.llm.common import LOWER, SLICE_BYTES, bounded_sample, slices, span_hash, sums_of, text_of
 
 PER_CLASS, TRAIN_BYTES = 4000, 24_000_000
 BITS, FEATURES, PREFIXES = 18, 8192, (4, 5, 6)
@@ -103,19 +103,10 @@ def whole_sentences(raw: np.ndarray, a: int, b: int, limit: int = SLICE_BYTES) -
     yield a, b
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES, steps: int = 150) -> Model:
-    """Train on the labelled rows: labels 0 and 1, a sample of bounded rows and bytes, the same on every run."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    rows = rows.select(F.col(label_col).cast("int").alias("y"), F.substring(F.encode(text_col, "utf-8"), 1, train_bytes // 8).alias("t"), F.xxhash64(F.lit("tox"), id_col, text_col).alias("h"))
-    sample = []
-    for y in (0, 1):  # by index first, so that no text is sorted that is not taken
-        most = rows.where(F.col("y") == y)
-        left = train_bytes // 2
-        for r in most.orderBy("h").limit(per_class).toLocalIterator():
-            left -= len(r.t)
-            if left < 0:
-                break
-            sample.append((y, bytes(r.t)))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES, steps: int = 150) -> Model:
+    """Train on the documents that ``labels`` marks 0 or 1: a sample of bounded rows and bytes, the same on every run."""
+    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    sample = [(y, t) for y, _, t in bounded_sample(docs, marked, per_class, train_bytes, id_col, text_col)]
     y = np.array([s[0] for s in sample], np.int64)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), -1e3)
@@ -188,9 +179,3 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             yield batch.filter(pa.array(-np.expm1(logs) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def learnable(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3, out: int = 1) -> DataFrame:
-    """Labelled documents outside the held-out part, which is where crc32 of the id as text leaves ``out``."""
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
-    return docs.select(id_col, text_col).where(fold != out).join(labels.select(id_col, "toxic").where(fold != out), id_col)
