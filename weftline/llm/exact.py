@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, few, mix, text_of
+from weftline.llm.common import Scratch, few, mix, pick, text_of
 
 #: Characters that normalisation deletes.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -174,3 +174,23 @@ def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     own = F.coalesce(F.get(F.filter("parts", lambda p: p.part == F.col("part")), F.lit(0)), F.get("parts", F.lit(0)))
     out = out.withColumn("own", own)
     return out.select(id_col, F.col("own.best.id").alias("keep_id"), F.col("own.size").alias("group_size"), (F.col("rid") == F.col("own.best.rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are told apart by id; rows of an id that occurs more than once also by their text, of which one row stays.
+    """
+    found = scratch.keep(dedup(docs, scratch, id_col, text_col).select(id_col, "kept", "text_sha256"), "found")
+    repeated = scratch.keep(found.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "repeated")
+    dropped = scratch.keep(found.where("not kept").join(repeated, found[id_col].eqNullSafe(repeated[id_col]), "left_anti").select(id_col), "dropped")
+    out = pick(docs, dropped, "left_anti", id_col)
+    if repeated.isEmpty():
+        return out
+    plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANK.decode(), "")
+    several = pick(docs, repeated, "left_semi", id_col).withColumn("_sha", F.sha2(plain, 256))
+    kept = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_kept_sha"))
+    several = several.join(kept, several[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    first = Window.partitionBy(id_col, "_sha").orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc())
+    several = several.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    return pick(out, repeated, "left_anti", id_col).unionByName(several)

@@ -242,3 +242,11 @@ def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     out = rows.select(id_col, "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col(id_col)).otherwise(F.col("component"))
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is that of their group, with all their columns."""
+    found = scratch.keep(dedup(docs, scratch, id_col, text_col).select(id_col, "kept"), "found")
+    kept = found.where("kept").select(F.col(id_col).alias("_kept"))
+    dropped = scratch.keep(found.where("not kept").join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_anti").select(id_col).distinct(), "dropped")
+    return pick(docs, dropped, "left_anti", id_col)
