@@ -101,6 +101,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def _train(sample: list[tuple[str, bytes]], langs: list[str], steps: int) -> Model:
     code = codewords(len(langs))
     bits = code.shape[1]
+    if not bits:
+        return Model(langs, code, np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0))
     target = np.array([code[langs.index(l)] for l, _ in sample]).reshape(-1, bits)
     cols, vals, at = [], [], [0]
     for _, t in sample:
@@ -108,9 +110,7 @@ def _train(sample: list[tuple[str, bytes]], langs: list[str], steps: int) -> Mod
         cols.append(f.astype(np.int32))
         vals.append((c / c.sum()).astype(np.float32))
         at.append(at[-1] + len(f))
-    w, bias = np.zeros((1 << BITS, bits), np.float32), np.zeros(bits)
-    if not bits or not cols:
-        return Model(langs, code, w, bias, np.ones(bits))
+    bias = np.zeros(bits)
     f, x, rows = np.concatenate(cols), np.concatenate(vals)[:, None], np.repeat(np.arange(len(sample)), np.diff(at))
     used, f = np.unique(f, return_inverse=True)
     idf = np.sqrt(len(sample) / np.bincount(f, minlength=len(used)))[:, None].astype(np.float32)

@@ -5,7 +5,8 @@ shared again by weight among the others, which is solved at once from running su
 size, each document of a source is taken floor(r) times for certain and once more with inclusion probability p = r -
 floor(r): its rank is (U / (1 - U)) / (p / (1 - p)), where U is drawn from a hash of its id, and the documents of least
 rank make up the rest of the words. The sample's size is fixed in words: ranks are taken while the running sum stays
-within the rest, then the sum is filled up in ``PASSES`` further passes over the documents that still fit. A column of
+within the rest; then the sum is filled up in further passes (``PASSES`` in all) over the documents that still fit, and
+one more document is taken where that comes nearer. A column of
 prior weights makes p unequal within a source too.
 
 Running sums never sort a source: rank intervals are summed first, and only the interval in which the sum ends is
@@ -73,16 +74,20 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
-def chosen(passes: int) -> tuple[Column, list[Column]]:
-    """Whether a row joined with the plan is sampled; and whether each pass takes it, apart from the passes before."""
-    key, taken, each = F.struct("rank", "name", "size"), F.lit(False), []
+def chosen(passes: int) -> Column:
+    """Whether a row joined with the plan is sampled in the first passes, and at last by the plan's extra."""
+    key, taken = F.struct("rank", "name", "size"), F.lit(False)
     for k in range(passes):
         fits = F.lit(True) if k == 0 else F.col("size") <= F.col(f"rest_{k}")
         within = (F.col("interval") < F.col(f"interval_{k}")) | (F.col("interval") == F.col(f"interval_{k}")) & (key <= F.col(f"last_{k}"))
         now = F.coalesce((F.col("p") > 0) & ~taken & fits & within, F.lit(False))
-        each.append(now)
         taken = taken | now
-    return taken, each
+    return taken
+
+
+def sampled() -> Column:
+    """Whether a row joined with the whole plan is sampled."""
+    return chosen(PASSES) | F.coalesce(F.struct("rank", "name", "size") == F.col("extra"), F.lit(False))
 
 
 def ranked(rows: DataFrame, prior: Column | None = None) -> DataFrame:
@@ -96,7 +101,7 @@ def allocate(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGH
     for k in range(PASSES):
         left = ranked(with_plan(rows, plan), prior).where("p > 0")
         if k:
-            left = left.where(~chosen(k)[0] & (F.col("size") <= F.col(f"rest_{k}")))
+            left = left.where(~chosen(k) & (F.col("size") <= F.col(f"rest_{k}")))
         sums = left.groupBy("source", "interval").agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("source").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("upto", F.sum("words").over(upto))
@@ -107,20 +112,27 @@ def allocate(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGH
         plan_k = scratch.keep(plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), f"ends{k}")
         edge = ranked(with_plan(rows, plan_k), prior).where((F.col("p") > 0) & (F.col("interval") == F.col(f"interval_{k}")))
         if k:
-            edge = edge.where(~chosen(k)[0] & (F.col("size") <= F.col(f"rest_{k}")))
+            edge = edge.where(~chosen(k) & (F.col("size") <= F.col(f"rest_{k}")))
         run = F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "name", "size"))
         edge = edge.select("source", "size", F.struct("rank", "name", "size").alias("key"), (run <= F.col(f"rest_{k}")).alias("in"))
         last = edge.groupBy("source").agg(F.max(F.when(F.col("in"), F.col("key"))).alias(f"last_{k}"), F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("edge_words")).withColumnRenamed("source", "s")
         plan = plan_k.join(last, F.col("source").eqNullSafe(F.col("s")), "left").withColumn(f"rest_{k + 1}", F.col(f"rest_{k}") - F.coalesce("below", F.lit(0)) - F.coalesce("edge_words", F.lit(0)))
         plan = scratch.keep(plan.drop("s", "below", "edge_words"), f"plan{k}")
-    return plan
+    rest = F.col(f"rest_{PASSES}")
+    left = ranked(with_plan(rows, plan), prior).where((F.col("p") > 0) & ~chosen(PASSES))
+    key = F.struct("rank", "name", "size")
+    # documents alike in the key are taken together, so their words count together
+    alike = left.groupBy("source", "rank", "name", "size", rest.alias("rest_now")).agg(F.count("*").alias("n"))
+    off = F.abs(F.col("n") * F.col("size") - F.col("rest_now"))
+    near = alike.where(off < F.col("rest_now")).groupBy("source").agg(F.min_by(key, F.struct(off, key)).alias("extra")).withColumnRenamed("source", "s")
+    return scratch.keep(plan.join(near, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, size, source_size, target, taken (words, repeats counted) and copies of every row."""
     rows = scratch.keep(sized(docs, seed, id_col, text_col, source_col), "sized")
     plan = allocate(rows, scratch, weights, share, cap)
-    out = ranked(with_plan(rows, plan)).withColumn("copies", F.col("base") + F.when(chosen(PASSES)[0], 1).otherwise(0))
+    out = ranked(with_plan(rows, plan)).withColumn("copies", F.col("base") + F.when(sampled(), 1).otherwise(0))
     return out.select(id_col, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -129,5 +141,5 @@ def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     plan = allocate(scratch.keep(sized(docs, SEED, id_col, text_col, source_col), "sized"), scratch)
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
     flat = rows.select("doc", *_drawn(SEED, f"doc.{id_col}", f"doc.{text_col}", f"doc.{source_col}"))
-    out = ranked(with_plan(flat, plan)).withColumn("copies", F.col("base") + F.when(chosen(PASSES)[0], 1).otherwise(0))
+    out = ranked(with_plan(flat, plan)).withColumn("copies", F.col("base") + F.when(sampled(), 1).otherwise(0))
     return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

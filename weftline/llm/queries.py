@@ -146,8 +146,12 @@ p0 AS (SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, name,
 r0 AS (SELECT *, rest - sum(CASE WHEN in0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest1 FROM p0),
 p1 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest1 AS in1 FROM (SELECT *, p > 0 AND NOT in0 AND size <= rest1 AS ok FROM r0)),
 r1 AS (SELECT * EXCLUDE (ok), rest1 - sum(CASE WHEN in1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest2 FROM p1),
-p2 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest2 AS in2 FROM (SELECT *, p > 0 AND NOT in0 AND NOT in1 AND size <= rest2 AS ok FROM r1))
-SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN in0 OR in1 OR in2 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p2""",
+p2 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest2 AS in2 FROM (SELECT *, p > 0 AND NOT in0 AND NOT in1 AND size <= rest2 AS ok FROM r1)),
+r2 AS (SELECT *, rest2 - sum(CASE WHEN in2 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest3, count(*) OVER (PARTITION BY source, q, name, size) AS alike FROM p2),
+ends AS (SELECT *, p > 0 AND NOT in0 AND NOT in1 AND NOT in2 AND abs(alike * size - rest3) < rest3 AS may FROM r2),
+extra AS (SELECT source, arg_min({{'q': q, 'name': name, 'size': size}}, {{'off': abs(alike * size - rest3), 'q': q, 'name': name, 'size': size}}) AS x FROM ends WHERE may GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN in0 OR in1 OR in2 OR may AND x.q = q AND x.name = name AND x.size = size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ends e LEFT JOIN extra ON e.source IS NOT DISTINCT FROM extra.source""",
     "op5_shingles": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

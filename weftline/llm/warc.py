@@ -171,15 +171,15 @@ def write(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, roll_bytes:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload of all records; a wrong digest is an error."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload of all records; a wrong digest or a missing record is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for uri in batch.column("path").to_pylist():
+            for uri, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 store, path = open_store(uri)
-                rows, size = [], 0
+                rows, size, seen = [], 0, 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for head, block in unpack(stream):
                         payload = block.split(b"\r\n\r\n", 1)[1]
@@ -189,11 +189,15 @@ def read(manifest: DataFrame) -> DataFrame:
                         ids = [int(x) if (x := head.get(k, "").removeprefix("<urn:page:").removesuffix(">")) else None for k in ("WARC-Record-ID", "WARC-Refers-To")]
                         rows.append((ids[0], length, digest, kind, ids[1], payload if kind == "response" else None))
                         size += len(payload)
+                        seen += 1
                         if size > 4 << 20 or len(rows) >= 4096:
                             yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema)
                             rows, size = [], 0
+                if seen != expected:  # an archive can be cut between two frames
+                    raise ValueError(f"{uri} has {seen} of {expected} records")
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema)
 
-    dealt = manifest.select("path").repartition(F.xxhash64("path"))
+    # a number of its own, since the engine would join partitions of so few bytes into one task
+    dealt = manifest.select("path", "records").repartition(max(1, min(manifest.count(), 10_000)), F.xxhash64("path"))
     return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
