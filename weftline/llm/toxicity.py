@@ -70,7 +70,9 @@ class Model:
     def sentences(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each sentence's log(1 - p), its row and its byte span."""
         f, s, row, span = sentence_features(raw, bounds)
-        z = self.bias + np.bincount(s, self.weights[f], len(row))
+        known = self.weights[f] != 0
+        once = np.unique(s[known] << BITS | f[known])  # a word counts once in a sentence, as in training
+        z = self.bias + np.bincount(once >> BITS, self.weights[once & (1 << BITS) - 1], len(row))
         return -np.logaddexp(0, z), row, span
 
     def clean(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -103,7 +105,7 @@ def whole_sentences(raw: np.ndarray, a: int, b: int, limit: int = SLICE_BYTES) -
     yield a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES, steps: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES, steps: int = 500) -> Model:
     """Train on the documents that ``labels`` marks 0 or 1: a sample of bounded rows and bytes, the same on every run."""
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sample = [(y, t) for y, _, t in bounded_sample(docs, marked, per_class, train_bytes, id_col, text_col)]
