@@ -126,3 +126,39 @@ def test_touched(spark):
     m = spark.createDataFrame([("a", "src/A.java"), ("b", "src/B.java")], "id string, source_file string")
     d = spark.createDataFrame([("repo/src/A.java",)], "path string")
     assert rows(keyed.touched(m, d).select("id")) == [("a",)]
+
+
+def test_slices_have_guards_definitions_and_helpers(spark):
+    from weftline.operators.slicing import slices
+
+    code = """class M {
+  private static String clean(String s) { return trimmed(s); }
+  private static String trimmed(String s) { return s.trim(); }
+  Target build(Source s) {
+    Target t = new Target();
+    String raw = s.getName();
+    String shown = raw + "x";
+    t.setName(clean(shown));
+    if (s.kind().equals("EXPRESS")) { t.priority = true; } else { t.priority = false; }
+    t.code = Util.fix(raw);
+    return t;
+  }
+}"""
+    util = "class Util { static String fix(String s) { return s; } }"
+    found = slices(spark.createDataFrame([("M.java", code), ("Util.java", util)], "path string, text string"), "Target").collect()
+    got = {(r.target_field, r.line): r for r in found}
+    name = got["name", 8]
+    assert name.helpers == ["clean", "trimmed"]
+    assert "String raw = s.getName();" in name.slice_text and 'String shown = raw + "x";' in name.slice_text
+    both = [r.slice_text for r in found if r.target_field == "priority"]
+    assert len(both) == 2 and all('if (s.kind().equals("EXPRESS"))' in t for t in both) and sum("else" in t for t in both) == 1
+    assert got["code", 10].helpers == ["Util.fix"]
+
+
+def test_discovery_keeps_the_first(spark):
+    from weftline.operators.labeling import discovered, fallback_checklist
+
+    c = spark.createDataFrame([("setCity", 1), ("city", 0), ("zip", 2)], "field string, pos int")
+    assert rows(discovered(c).select("field", "confidence"), "field") == [("city", 0.6), ("zip", 0.6)]
+    s = spark.createDataFrame([("a.b", 3), ("aB", 1)], "target_field string, line int")
+    assert rows(fallback_checklist(s)) == [("aB", "mapped")]

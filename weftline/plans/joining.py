@@ -220,3 +220,76 @@ def schema_leaf_match(spark, sf_dir):
     return schema_paths_for(s, paths).select("s_suppkey", write_target(F.col("field"), F.lit("T"), F.col("schema_path")).alias("target"))
 
 
+
+
+@query("steps_filter", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'a.name:1' ELSE 'a.name:0' END WHEN event_id % 3 = 0 THEN 'x.setName:0' ELSE '' END AS kept FROM events")
+def steps_filter(spark, sf_dir):
+    from weftline.operators.labeling import filter_steps
+
+    child = F.struct(F.when(F.col("event_id") % 3 == 0, "x.setName").otherwise("x.other").alias("target_field"))
+    step = F.struct(F.when(F.col("event_id") % 2 == 0, "a.name").otherwise("a.code").alias("target_field"), F.array(child).alias("children"))
+    e = table(spark, sf_dir, "events").select("event_id", filter_steps(F.array(step), F.array(F.lit("name"))).alias("s"))
+    return e.select("event_id", F.array_join(F.transform("s", lambda s: F.concat(s["target_field"], F.lit(":"), F.size(s["children"]).cast("string"))), ",").alias("kept"))
+
+
+@query("export_selector", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 're')")
+def export_selector(spark, sf_dir):
+    from weftline.operators.labeling import export_selected
+
+    return table(spark, sf_dir, "part").where(export_selected(F.col("p_name"), F.array(F.lit("x.RE")))).select("p_partkey")
+
+
+@query("nested_upsert", "SELECT coalesce(s.s_suppkey, e.s_suppkey) AS line, CASE WHEN s.s_suppkey IS NULL OR (s.s_suppkey % 3 > 0 AND e.s_suppkey IS NOT NULL) THEN 'in.a' || CAST(coalesce(s.s_suppkey, e.s_suppkey) % 5 AS VARCHAR) WHEN s.s_suppkey % 3 = 0 THEN 'old.a' || CAST(s.s_suppkey % 5 AS VARCHAR) ELSE 'a' || CAST(s.s_suppkey % 5 AS VARCHAR) END AS target_field FROM (SELECT * FROM supplier WHERE s_suppkey % 7 > 0) s FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) e ON s.s_suppkey = e.s_suppkey")
+def nested_upsert(spark, sf_dir):
+    from weftline.operators.labeling import nested_upsert as run
+
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("a"), (F.col("s_suppkey") % 5).cast("string")).alias("leaf"))
+    old = s.where("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("line"), F.concat(F.when(F.col("s_suppkey") % 3 == 0, "old.").otherwise(""), "leaf").alias("target_field"))
+    return run(old, s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("in."), "leaf").alias("target_field")))
+
+
+@query("slice_routes", "SELECT 'x.f' || CAST(doc_id AS VARCHAR) AS field, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 THEN 'leaf' ELSE 'suffix' END AS text FROM labels")
+def slice_routes(spark, sf_dir):
+    from weftline.operators.labeling import route
+
+    l = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("leaf"))
+    key = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x."), "leaf")).when(F.col("doc_id") % 3 == 1, F.col("leaf")).otherwise(F.concat(F.lit("other."), "leaf"))
+    text = F.when(F.col("doc_id") % 3 == 0, "exact").when(F.col("doc_id") % 3 == 1, "leaf").otherwise("suffix")
+    return route(l.select(F.concat(F.lit("x."), "leaf").alias("field")), l.select(key.alias("field"), text.alias("text"))).select("field", "text")
+
+
+@query("label_precedence", "SELECT doc_id, CASE WHEN quality = 0 THEN 'unmapped' WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 > 0 THEN 'mapped' ELSE 'unresolved' END AS state, CASE WHEN quality = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'verified' WHEN doc_id % 5 = 0 THEN 'cache' WHEN doc_id % 3 > 0 THEN 'model' END AS source FROM labels")
+def label_precedence(spark, sf_dir):
+    from weftline.operators.labeling import resolve_labels
+
+    l = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("field"), F.when(F.col("quality") == 1, "mapped").otherwise("unmapped").alias("state"))
+    some = lambda cond: l.where(cond).select("field", F.array(F.lit("READ")).alias("pipeline"))
+    empty = l.where("doc_id % 3 = 0").select("field", F.array().cast("array<string>").alias("pipeline"))
+    return resolve_labels(l, some("doc_id % 7 = 0"), some("doc_id % 5 = 0"), some("doc_id % 3 > 0").unionByName(empty)).select("doc_id", "state", "source")
+
+
+@query("label_statuses", "SELECT c_custkey AS mapper_id, CASE WHEN c_custkey % 9 = 0 THEN 'error' WHEN c_custkey % 2 = 0 THEN 'verified' ELSE 'needs-model' END AS status FROM customer")
+def label_statuses(spark, sf_dir):
+    from weftline.operators.labeling import label_all
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mapper_id"), F.when(F.col("c_custkey") % 9 > 0, "f").alias("fingerprint"))
+    store = c.where("mapper_id % 2 = 0").select("mapper_id", F.lit("f").alias("fingerprint"))
+    return label_all(c, store, c.limit(0), False).select("mapper_id", "status")
+
+
+@query("java_slices", "SELECT s_suppkey, f AS target_field, n AS n_helpers FROM supplier, (VALUES ('name', 1), ('priority', 0), ('priority', 0)) t(f, n)")
+def java_slices(spark, sf_dir):
+    from weftline.operators.slicing import slices
+
+    code = """class M {
+  private static String clean(String s) { return s.trim(); }
+  Target build(Source s) {
+    Target t = new Target();
+    String raw = s.getName();
+    t.setName(clean(raw));
+    if (s.fast()) { t.priority = true; } else { t.priority = false; }
+    return t;
+  }
+}"""
+    paths = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(code).alias("text"))
+    return slices(paths, "Target").select(F.col("path").cast("long").alias("s_suppkey"), "target_field", F.size("helpers").alias("n_helpers"))
