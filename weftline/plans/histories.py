@@ -140,30 +140,30 @@ def golden(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 > 0")
+    d = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") + 50)
     kinds = F.when(F.col("lang") == "en", F.array(F.lit("READ"), F.lit("WRITE"))).otherwise(F.array(F.lit("CONSTANT")))
     return d.select(F.concat(F.lit("b.f"), F.col("doc_id").cast("string")).alias("target_field"), kinds.alias("kinds"), F.col("doc_id").alias("pos"))
 
 
-@query("golden_compare", f"WITH {GOLDEN_SQL} SELECT target_field, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN {FOUND_SQL} = kinds THEN 'matched' ELSE 'mismatched' END AS outcome FROM golden g LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 > 0) d ON g.doc_id = d.doc_id")
+@query("golden_compare", f"WITH {GOLDEN_SQL} SELECT target_field, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN {FOUND_SQL} = kinds THEN 'matched' ELSE 'mismatched' END AS outcome FROM golden g LEFT JOIN (SELECT * REPLACE (doc_id + 50 AS doc_id) FROM documents) d ON g.doc_id = d.doc_id")
 def golden_compare(spark, sf_dir):
     return so.compare_golden(golden(spark, sf_dir), labelled(spark, sf_dir)).select("target_field", "outcome")
 
 
-@query("store_diff", f"WITH {GOLDEN_SQL} SELECT 'f' || CAST(coalesce(g.doc_id, d.doc_id) AS VARCHAR) AS k, CASE WHEN g.doc_id IS NULL THEN 'added' WHEN d.doc_id IS NULL THEN 'removed' WHEN kinds <> {FOUND_SQL} THEN 'kinds-changed' ELSE 'unchanged' END AS change FROM golden g FULL JOIN (SELECT * FROM documents WHERE doc_id % 3 > 0) d ON g.doc_id = d.doc_id")
+@query("store_diff", f"WITH {GOLDEN_SQL} SELECT 'f' || CAST(coalesce(g.doc_id, d.doc_id) AS VARCHAR) AS k, CASE WHEN g.doc_id IS NULL THEN 'added' WHEN d.doc_id IS NULL THEN 'removed' WHEN kinds <> {FOUND_SQL} THEN 'kinds-changed' ELSE 'unchanged' END AS change FROM golden g FULL JOIN (SELECT * REPLACE (doc_id + 50 AS doc_id) FROM documents) d ON g.doc_id = d.doc_id")
 def store_diff(spark, sf_dir):
     return so.diff(golden(spark, sf_dir), labelled(spark, sf_dir)).select("k", "change")
 
 
 @query(
     "store_merge",
-    f"""WITH {VERSIONS_SQL}, fresh AS (SELECT mapper_id, fingerprint + CASE WHEN fingerprint % 4 = 0 THEN 10000000 ELSE 0 END AS fingerprint FROM versions WHERE fingerprint % 2 = 0)
+    f"""WITH {VERSIONS_SQL}, fresh AS (SELECT mapper_id, fingerprint + CASE WHEN fingerprint % 4 = 0 THEN 10000000 ELSE 0 END AS fingerprint FROM versions WHERE status <> 'pending-review')
 SELECT coalesce(v.mapper_id, f.mapper_id) AS mapper_id, coalesce(v.fingerprint, f.fingerprint) AS fingerprint, CASE WHEN f.fingerprint IS NULL OR coalesce(v.status, '') = 'corrected' THEN v.status ELSE 'pending-review' END AS status
 FROM versions v FULL JOIN fresh f ON v.mapper_id = f.mapper_id AND v.fingerprint = f.fingerprint""",
 )
 def store_merge(spark, sf_dir):
     v = versions(spark, sf_dir).select("mapper_id", "fingerprint", F.lit("f").alias("target_field"), "status")
-    fresh = v.where("fingerprint % 2 = 0").select("mapper_id", (F.col("fingerprint") + F.when(F.col("fingerprint") % 4 == 0, 10_000_000).otherwise(0)).alias("fingerprint"), "target_field", F.lit("pending-review").alias("status"))
+    fresh = v.where("status <> 'pending-review'").select("mapper_id", (F.col("fingerprint") + F.when(F.col("fingerprint") % 4 == 0, 10_000_000).otherwise(0)).alias("fingerprint"), "target_field", F.lit("pending-review").alias("status"))
     return so.promote(v, fresh, "now").select("mapper_id", "fingerprint", "status")
 
 
@@ -219,10 +219,10 @@ def ci_summary(spark, sf_dir):
     return so.ci_check(m, v.where("status = 'verified'"), changed)
 
 
-@query("checklist_join", f"WITH {GOLDEN_SQL}, s AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) SELECT target_field AS field, CASE WHEN s.doc_id IS NOT NULL THEN 'verified' WHEN g.doc_id % 2 = 0 THEN 'cache' ELSE 'none' END AS available FROM golden g LEFT JOIN s ON g.doc_id = s.doc_id")
+@query("checklist_join", f"WITH {GOLDEN_SQL}, s AS (SELECT doc_id + 50 AS doc_id FROM documents) SELECT target_field AS field, CASE WHEN s.doc_id IS NOT NULL THEN 'verified' WHEN kinds = ['CONSTANT'] THEN 'cache' ELSE 'none' END AS available FROM golden g LEFT JOIN s ON g.doc_id = s.doc_id")
 def checklist_join(spark, sf_dir):
     fields = golden(spark, sf_dir).select(F.col("target_field").alias("field"))
-    cache = golden(spark, sf_dir).where(F.regexp_extract("target_field", "[0-9]+", 0).cast("long") % 2 == 0).withColumn("pos", F.lit(0))
+    cache = golden(spark, sf_dir).where(F.size("kinds") == 1).withColumn("pos", F.lit(0))
     return so.checklist_view(fields, labelled(spark, sf_dir), cache).select("field", "available")
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from weftline.operators import audit, keyed
 from weftline.plans.registry import query, table
 
-#: Declared: parts of size under 25 as fields pN. Written: lineitem of the first 40 days after 1995-01-01 in its month.
+#: Declared: all parts as fields pN. Written: all lineitems, to the part of the next lower multiple of 3, and some to none.
 FIELDS_SQL = "fields AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a.p' ELSE 'p' END || CAST(p_partkey AS VARCHAR) AS field FROM part)"
-SITES_SQL = "sites AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 'a.P' ELSE 'p' END || CAST(l_partkey + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS VARCHAR) AS target_field, l_suppkey AS line, l_returnflag AS via, l_linestatus AS in_method FROM lineitem WHERE l_orderkey % 23 = 0)"
+SITES_SQL = "sites AS (SELECT CASE WHEN l_partkey % 2 = 0 THEN 'a.P' ELSE 'p' END || CAST(l_partkey - l_partkey % 3 + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS VARCHAR) AS target_field, l_suppkey AS line, l_returnflag AS via, l_linestatus AS in_method FROM lineitem)"
 
 
 def fields(spark, sf_dir):
@@ -18,9 +18,9 @@ def fields(spark, sf_dir):
 
 
 def sites(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 23 = 0")
-    key = F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 100_000_000).otherwise(0)
-    return l.select(F.concat(F.when(F.col("l_partkey") % 3 == 0, "a.P").otherwise("p"), key.cast("string")).alias("target_field"), F.col("l_suppkey").alias("line"), F.col("l_returnflag").alias("via"), F.col("l_linestatus").alias("in_method"))
+    l = table(spark, sf_dir, "lineitem")
+    key = F.col("l_partkey") - F.col("l_partkey") % 3 + F.when(F.col("l_linenumber") == 7, 100_000_000).otherwise(0)
+    return l.select(F.concat(F.when(F.col("l_partkey") % 2 == 0, "a.P").otherwise("p"), key.cast("string")).alias("target_field"), F.col("l_suppkey").alias("line"), F.col("l_returnflag").alias("via"), F.col("l_linestatus").alias("in_method"))
 
 
 KEYED_SQL = f"""WITH {FIELDS_SQL}, {SITES_SQL},
@@ -52,13 +52,13 @@ def orphan_writes(spark, sf_dir):
     return audit.orphans(fields(spark, sf_dir), sites(spark, sf_dir)).select("target_field", "line")
 
 
-CALLS_SQL = "calls AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Helper' ELSE event_type END AS callee, user_id AS line, 'x, r' || CAST(user_id % 5 AS VARCHAR) AS args FROM events), known AS (SELECT s_suppkey AS line, 'r' || CAST(s_suppkey % 2 AS VARCHAR) AS receiver FROM supplier WHERE s_suppkey % 3 = 0)"
+CALLS_SQL = "calls AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Helper' ELSE event_type END AS callee, user_id AS line, 'x, r' || CAST(user_id % 5 AS VARCHAR) AS args FROM events), known AS (SELECT s_suppkey AS line, 'r' || CAST(s_suppkey % 2 AS VARCHAR) AS receiver FROM supplier WHERE s_nationkey < 8)"
 
 
 def opaque(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     calls = e.select("event_id", F.when(F.col("event_type") == "error", "Helper").otherwise(F.col("event_type")).alias("callee"), F.col("user_id").alias("line"), F.concat(F.lit("x, r"), (F.col("user_id") % 5).cast("string")).alias("args"))
-    known = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("r"), (F.col("s_suppkey") % 2).cast("string")).alias("receiver"))
+    known = table(spark, sf_dir, "supplier").where("s_nationkey < 8").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("r"), (F.col("s_suppkey") % 2).cast("string")).alias("receiver"))
     return audit.opaque(calls, known)
 
 
@@ -161,10 +161,10 @@ def gap_anti(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("cross_check", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown field' WHEN d.lang <> 'en' THEN 'not unmapped' WHEN quality = 0 THEN 'no citation' END AS dropped FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 > 0) d ON l.doc_id = d.doc_id")
+@query("cross_check", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown field' WHEN d.lang <> 'en' THEN 'not unmapped' WHEN quality = 0 THEN 'no citation' END AS dropped FROM labels l LEFT JOIN (SELECT * FROM documents WHERE source <> 'src0') d ON l.doc_id = d.doc_id")
 def cross_check(spark, sf_dir):
     claims = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("field"), F.when(F.col("quality") == 1, "see line 1").otherwise("see line 0").alias("evidence"))
-    check = table(spark, sf_dir, "documents").where("doc_id % 4 > 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("field"), F.when(F.col("lang") == "en", "unmapped").otherwise("mapped").alias("state"))
+    check = table(spark, sf_dir, "documents").where("source <> 'src0'").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("field"), F.when(F.col("lang") == "en", "unmapped").otherwise("mapped").alias("state"))
     return audit.cross_check(claims, check, F.lit("one line")).select("doc_id", "dropped")
 
 
@@ -239,13 +239,13 @@ def export_selector(spark, sf_dir):
     return table(spark, sf_dir, "part").where(export_selected(F.col("p_name"), F.array(F.lit("x.RE")))).select("p_partkey")
 
 
-@query("nested_upsert", "SELECT coalesce(s.s_suppkey, e.s_suppkey) AS line, CASE WHEN s.s_suppkey IS NULL OR (s.s_suppkey % 3 > 0 AND e.s_suppkey IS NOT NULL) THEN 'in.a' || CAST(coalesce(s.s_suppkey, e.s_suppkey) % 5 AS VARCHAR) WHEN s.s_suppkey % 3 = 0 THEN 'old.a' || CAST(s.s_suppkey % 5 AS VARCHAR) ELSE 'a' || CAST(s.s_suppkey % 5 AS VARCHAR) END AS target_field FROM (SELECT * FROM supplier WHERE s_suppkey % 7 > 0) s FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) e ON s.s_suppkey = e.s_suppkey")
+@query("nested_upsert", "SELECT coalesce(s.s_suppkey, e.s_suppkey) AS line, CASE WHEN s.s_suppkey IS NULL OR (s.s_suppkey % 3 > 0 AND e.s_suppkey IS NOT NULL) THEN 'in.a' || CAST(coalesce(s.s_suppkey, e.s_suppkey) % 5 AS VARCHAR) WHEN s.s_suppkey % 3 = 0 THEN 'old.a' || CAST(s.s_suppkey % 5 AS VARCHAR) ELSE 'a' || CAST(s.s_suppkey % 5 AS VARCHAR) END AS target_field FROM (SELECT * FROM supplier WHERE s_nationkey > 3) s FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 2000) e ON s.s_suppkey = e.s_suppkey")
 def nested_upsert(spark, sf_dir):
     from weftline.operators.labeling import nested_upsert as run
 
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("a"), (F.col("s_suppkey") % 5).cast("string")).alias("leaf"))
-    old = s.where("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("line"), F.concat(F.when(F.col("s_suppkey") % 3 == 0, "old.").otherwise(""), "leaf").alias("target_field"))
-    return run(old, s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("in."), "leaf").alias("target_field")))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.concat(F.lit("a"), (F.col("s_suppkey") % 5).cast("string")).alias("leaf"))
+    old = s.where("s_nationkey > 3").select(F.col("s_suppkey").alias("line"), F.concat(F.when(F.col("s_suppkey") % 3 == 0, "old.").otherwise(""), "leaf").alias("target_field"))
+    return run(old, s.where("s_acctbal > 2000").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("in."), "leaf").alias("target_field")))
 
 
 @query("slice_routes", "SELECT 'x.f' || CAST(doc_id AS VARCHAR) AS field, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 THEN 'leaf' ELSE 'suffix' END AS text FROM labels")
@@ -258,22 +258,23 @@ def slice_routes(spark, sf_dir):
     return route(l.select(F.concat(F.lit("x."), "leaf").alias("field")), l.select(key.alias("field"), text.alias("text"))).select("field", "text")
 
 
-@query("label_precedence", "SELECT doc_id, CASE WHEN quality = 0 THEN 'unmapped' WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 > 0 THEN 'mapped' ELSE 'unresolved' END AS state, CASE WHEN quality = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'verified' WHEN doc_id % 5 = 0 THEN 'cache' WHEN doc_id % 3 > 0 THEN 'model' END AS source FROM labels")
+@query("label_precedence", "SELECT doc_id, CASE WHEN n_chars < 1000 THEN 'unmapped' WHEN lang = 'de' OR source = 'src0' OR lang <> 'fr' THEN 'mapped' ELSE 'unresolved' END AS state, CASE WHEN n_chars < 1000 THEN NULL WHEN lang = 'de' THEN 'verified' WHEN source = 'src0' THEN 'cache' WHEN lang <> 'fr' THEN 'model' END AS source FROM documents")
 def label_precedence(spark, sf_dir):
     from weftline.operators.labeling import resolve_labels
 
-    l = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("field"), F.when(F.col("quality") == 1, "mapped").otherwise("unmapped").alias("state"))
-    some = lambda cond: l.where(cond).select("field", F.array(F.lit("READ")).alias("pipeline"))
-    empty = l.where("doc_id % 3 = 0").select("field", F.array().cast("array<string>").alias("pipeline"))
-    return resolve_labels(l, some("doc_id % 7 = 0"), some("doc_id % 5 = 0"), some("doc_id % 3 > 0").unionByName(empty)).select("doc_id", "state", "source")
+    d = table(spark, sf_dir, "documents").withColumn("field", F.col("doc_id"))
+    l = d.select("doc_id", "field", F.when(F.col("n_chars") < 1000, "unmapped").otherwise("mapped").alias("state"))
+    some = lambda cond: d.where(cond).select("field", F.array(F.lit("READ")).alias("pipeline"))
+    empty = d.where("lang = 'fr'").select("field", F.array().cast("array<string>").alias("pipeline"))
+    return resolve_labels(l, some("lang = 'de'"), some("source = 'src0'"), some("lang <> 'fr'").unionByName(empty)).select("doc_id", "state", "source")
 
 
-@query("label_statuses", "SELECT c_custkey AS mapper_id, CASE WHEN c_custkey % 9 = 0 THEN 'error' WHEN c_custkey % 2 = 0 THEN 'verified' ELSE 'needs-model' END AS status FROM customer")
+@query("label_statuses", "SELECT c_custkey AS mapper_id, CASE WHEN c_custkey % 9 = 0 THEN 'error' WHEN c_acctbal > 0 THEN 'verified' ELSE 'needs-model' END AS status FROM customer")
 def label_statuses(spark, sf_dir):
     from weftline.operators.labeling import label_all
 
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mapper_id"), F.when(F.col("c_custkey") % 9 > 0, "f").alias("fingerprint"))
-    store = c.where("mapper_id % 2 = 0").select("mapper_id", F.lit("f").alias("fingerprint"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mapper_id"), F.when(F.col("c_custkey") % 9 > 0, "f").alias("fingerprint"), "c_acctbal")
+    store = c.where("c_acctbal > 0").select("mapper_id", F.lit("f").alias("fingerprint"))
     return label_all(c, store, c.limit(0), False).select("mapper_id", "status")
 
 

@@ -72,14 +72,14 @@ def recent_top_k(spark, sf_dir):
 
 @query(
     "helper_closure",
-    """WITH RECURSIVE edges AS (SELECT DISTINCT c_custkey % 300 AS a, (c_custkey * 7 + c_nationkey) % 300 AS b FROM customer WHERE c_custkey % 2 = 0),
-walk(start, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT a FROM edges WHERE a % 10 = 0) UNION SELECT start, b, depth + 1 FROM walk JOIN edges ON node = a WHERE depth < 5)
+    """WITH RECURSIVE edges AS (SELECT DISTINCT c_custkey % 300 AS a, (c_custkey * 7 + c_nationkey) % 300 AS b FROM customer),
+walk(start, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT a FROM edges) UNION SELECT start, b, depth + 1 FROM walk JOIN edges ON node = a WHERE depth < 5)
 SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node""",
 )
 def helper_closure(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    c = table(spark, sf_dir, "customer")
     edges = c.select((F.col("c_custkey") % 300).alias("caller"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 300).alias("callee"))
-    starts = edges.where("caller % 10 = 0").select(F.col("caller").alias("start"), F.col("caller").alias("node"))
+    starts = edges.select(F.col("caller").alias("start"), F.col("caller").alias("node"))
     return closure.reach(starts, edges)
 
 
@@ -116,12 +116,12 @@ def store_upsert(spark, sf_dir):
     return keyed.upsert(s.drop("s_nationkey"), new, ["s_suppkey"])
 
 
-@query("value_precedence", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'v' WHEN c_custkey % 3 = 0 THEN 'c' END AS value, CASE WHEN c_custkey % 2 = 0 THEN 'verified' WHEN c_custkey % 3 = 0 THEN 'cache' END AS found_in FROM customer")
+@query("value_precedence", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'v' WHEN c_acctbal > 0 THEN 'c' END AS value, CASE WHEN c_mktsegment = 'BUILDING' THEN 'verified' WHEN c_acctbal > 0 THEN 'cache' END AS found_in FROM customer")
 def value_precedence(spark, sf_dir):
     from weftline.sources.files import precedence
 
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    return precedence(c, "c_custkey", verified=c.where("c_custkey % 2 = 0").withColumn("value", F.lit("v")), cache=c.where("c_custkey % 3 = 0").withColumn("value", F.lit("c")))
+    c = table(spark, sf_dir, "customer")
+    return precedence(c.select("c_custkey"), "c_custkey", verified=c.where("c_mktsegment = 'BUILDING'").withColumn("value", F.lit("v")), cache=c.where("c_acctbal > 0").withColumn("value", F.lit("c")))
 
 
 @query("locale_sort", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
