@@ -76,9 +76,6 @@ class Fuse:
             return cls(seed, segment, count, out)
         raise ValueError("keys are not distinct")
 
-    def __contains__(self, keys: np.ndarray) -> bool:
-        return bool(self.has(keys).all())
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         """True for every key that was built in, and for about one in 65536 others."""
         prints, (a, b, c) = self.places(keys, self.seed, self.segment, self.count)

@@ -104,7 +104,6 @@ def links(classes: DataFrame, n: int, scratch: Scratch, threshold: float = THRES
         raw = rows["vec"].to_pylist()
         size = np.array([len(r) for r in raw])
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        spans = runs(unit)
         small = np.zeros(len(unit), bool)
         for d in np.unique(size):  # a bucket can hold several lengths only if hashes collide
             own = np.flatnonzero(size == d)
@@ -126,7 +125,6 @@ def links(classes: DataFrame, n: int, scratch: Scratch, threshold: float = THRES
                 i, j = i[meet], j[meet]
                 hit = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
                 found.append((own[i[hit]], own[j[hit]]))
-        del spans
         if not found:
             return
         i, j = (np.concatenate([f[s] for f in found]) for s in (0, 1))
