@@ -171,3 +171,36 @@ def test_poll_plan(spark):
     assert plan(state, "old", changed) == ("skip", [])
     assert plan(state.limit(0), "new", changed) == ("full", [])
     assert plan(state, "new", changed.withColumn("path", F.lit("lib/x"))) == ("advance", [])
+
+
+def test_jobs_and_results(spark, tmp_path):
+    from weftline.sources import jobs
+
+    f = spark.createDataFrame([("m", "Name", "mapped", "s1"), ("m", "note", "unresolved", "s2"), ("m", "gone", "unmapped", None)], "mapper_id string, field string, state string, slice string")
+    job = jobs.export_job(f, spark.createDataFrame([("m", "fp")], "mapper_id string, fingerprint string"))
+    jobs.write_documents(job, f"file://{tmp_path}/jobs")
+    back = jobs.read_documents(spark, f"file://{tmp_path}/jobs", jobs.JOB)
+    assert [(x.field, x.slice) for x in back.first().fields] == [("Name", "s1"), ("note", None)]
+    done = spark.createDataFrame([("m", "fp", [("name", True, [("READ", "a", None, None, None)]), ("note", False, [])]), ("m", "old", [("note", True, [("READ", "a", None, None, None)])])], jobs.RESULT)
+    ok, gaps = jobs.import_results(back, done)
+    assert [(r.field, r.slice) for r in ok.collect()] == [("Name", "s1")] and [r.field for r in gaps.collect()] == ["note"]
+    assert jobs.views(ok, "field").first().json.startswith('{"mapper_id":"m"')
+
+
+def test_paths_stay_inside():
+    from weftline.sources.jobs import inside
+
+    assert inside("/w", "a/./b/../c.java") == "/w/a/c.java"
+    for bad in ("../x", "a/../../x", "/etc/x"):
+        with pytest.raises(ValueError):
+            inside("/w", bad)
+
+
+def test_goldens(spark, tmp_path):
+    from weftline.operators.store import compare_golden
+    from weftline.sources import jobs
+
+    (tmp_path / "g.json").write_text('{"mapper_id": "m",\n "fields": [{"target_field": "channel", "pipeline_kinds": ["CONSTANT"]}]}')
+    g = jobs.goldens(jobs.read_documents(spark, f"file://{tmp_path}/g.json", jobs.GOLDEN))
+    now = jobs.seed_store(g, "fp", "2024").withColumn("pos", F.lit(0))
+    assert compare_golden(g, now).first().outcome == "matched"
