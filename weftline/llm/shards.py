@@ -17,6 +17,7 @@ shard and an empty result. Other columns are not read. Ids must fit in 16 bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +105,7 @@ def packed(docs: DataFrame, model_path: str, length: int = LENGTH, id_col: str =
 def write(docs: DataFrame, model_path: str, scratch: Scratch, folder: str | None = None, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = KEY, resume: bool = False) -> DataFrame:
     """Write the shards; returns the index: slot, shard, path, byte_offset, length, n_tokens and doc_ids of each sequence."""
     folder = folder or scratch.path("shards")
-    pieces = scratch.keep(packed(docs, model_path, length), "packed")
+    pieces = scratch.keep(packed(docs, model_path, length), "packed", "zstd")
     parts = pieces.groupBy("part").agg(F.count("*").alias("n"))
     parts = scratch.keep(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total")), "parts")
     total = (parts.first() or [0, 0, 0])[2]
@@ -112,9 +113,13 @@ def write(docs: DataFrame, model_path: str, scratch: Scratch, folder: str | None
     placed = pieces.join(F.broadcast(parts.select("part", "before")), "part").withColumn("index", F.col("number") + F.col("before"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)  # ids shrink by a third on their way, twice what the engine's codec does
         for batch in batches:
             slot = permute(batch.column("index").to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_slots), *(batch.column(c) for c in ("tokens", "n_tokens", "doc_ids"))], names=["slot", "shard", "tokens", "n_tokens", "doc_ids"])
+            tokens = pa.array([press.compress(t) for t in batch.column("tokens").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_slots), tokens, batch.column("n_tokens"), batch.column("doc_ids")], names=["slot", "shard", "tokens", "n_tokens", "doc_ids"])
 
     kind = pieces.schema["doc_ids"].dataType.simpleString()
     slotted = placed.select("index", "tokens", "n_tokens", "doc_ids").mapInArrow(slots, f"slot long, shard long, tokens binary, n_tokens int, doc_ids {kind}")
@@ -123,14 +128,17 @@ def write(docs: DataFrame, model_path: str, scratch: Scratch, folder: str | None
     dealt = slotted.repartition(min(n_shards, 100_000), "shard").sortWithinPartitions("slot")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         fs, path = open_store(folder)
         fs.create_dir(path, recursive=True)
-        out, now = None, -1
+        out, now, press = None, -1, zstandard.ZstdDecompressor()
+        own = uuid.uuid4().hex  # attempts of one task don't write to one file
 
         def close() -> None:
             if out:
                 out.close()
-                fs.move(f"{path}/{now:08d}.part", f"{path}/{now:08d}.bin")
+                fs.move(f"{path}/{now:08d}.{own}.part", f"{path}/{now:08d}.bin")
 
         for batch in batches:
             shard = batch.column("shard").to_numpy()
@@ -139,9 +147,9 @@ def write(docs: DataFrame, model_path: str, scratch: Scratch, folder: str | None
                     close()
                     now = int(shard[a])
                     done = resume and fs.get_file_info(f"{path}/{now:08d}.bin").is_file
-                    out = None if done else fs.open_output_stream(f"{path}/{now:08d}.part", compression=None)
+                    out = None if done else fs.open_output_stream(f"{path}/{now:08d}.{own}.part", compression=None)
                 if out:
-                    out.write(b"".join(batch.column("tokens").slice(a, b - a).to_pylist()))
+                    out.write(b"".join(map(press.decompress, batch.column("tokens").slice(a, b - a).to_pylist())))
             slot = batch.column("slot").to_numpy()
             names = [f"{folder}/{s:08d}.bin" for s in shard]
             yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(names), pa.array((slot - shard * shard_slots) * length * 2), pa.array(np.full(len(slot), length, np.int32)), batch.column("n_tokens"), batch.column("doc_ids")], names=["slot", "shard", "path", "byte_offset", "length", "n_tokens", "doc_ids"])
