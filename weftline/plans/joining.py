@@ -189,7 +189,7 @@ def miss_classify(spark, sf_dir):
     return audit.classify_misses(e.select(text.alias("text")), f).groupBy("kind", "field", "line").agg(F.count("*").alias("n"))
 
 
-@query("label_scores", "SELECT round(least(1.0, 150 / 200.0), 4)::DOUBLE AS coverage, round(1 - b / s::DOUBLE, 4) AS grounding, round(1 - r / s::DOUBLE, 4) AS specificity, round(p / m::DOUBLE, 4) AS provenance FROM (SELECT count(*) AS s, count(*) FILTER (WHERE event_type = 'error') AS r, count(*) FILTER (WHERE event_type = 'view' AND event_id % 2 = 0) AS b, count(DISTINCT user_id) AS m, count(DISTINCT CASE WHEN user_id % 3 > 0 THEN user_id END) AS p FROM events)")
+@query("label_scores", "SELECT round(least(1.0::DOUBLE, m / 200.0::DOUBLE), 4) AS coverage, round(1 - b / s::DOUBLE, 4) AS grounding, round(1 - r / s::DOUBLE, 4) AS specificity, round(p / m::DOUBLE, 4) AS provenance FROM (SELECT count(*) AS s, count(*) FILTER (WHERE event_type = 'error') AS r, count(*) FILTER (WHERE event_type = 'view' AND event_id % 2 = 0) AS b, count(DISTINCT user_id) AS m, count(DISTINCT CASE WHEN user_id % 3 > 0 THEN user_id END) AS p FROM events)")
 def label_scores(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("field", F.col("user_id").cast("string"))
     kind = F.when(F.col("event_type") == "error", "RAW").when(F.col("event_type") == "view", "READ").otherwise("WRITE")
