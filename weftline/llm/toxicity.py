@@ -134,7 +134,7 @@ def _train(feats: list[np.ndarray], sents: list[np.ndarray], docs: np.ndarray, y
     chi = (total[:, None] * (share - both) ** 2).sum(0) / (both * (1 - both))
     chi[seen.sum(0) < 3] = 0
     kept = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    kept = kept[chi[kept] > 4]
+    kept = kept[chi[kept] > 12]  # what chance shows in less than one of a thousand features
     number = np.full(1 << BITS, -1, np.int32)
     number[kept] = np.arange(len(kept))
     f, s = number[np.concatenate(feats)], np.concatenate(sents)
