@@ -256,6 +256,25 @@ def test_shingles_against_brute_force(spark, leaf):
     assert got == brute_components({k: shingled(t) for k, t in rows})
 
 
+def test_repeated_rows_beside_a_near_copy_stay_rows_of_their_own(spark):
+    """A doc_id that is its class's first one and repeated with equal text, whatever the order in which a unit is read."""
+    import itertools
+
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(80)]
+    near_, said = " ".join(base), " ".join([*base, "x"])
+    sets = {t: next(shingles.shingle_sets(*text_of(pa.array([t])))) for t in (near_, said)}
+    for order in set(itertools.permutations([near_, said, said])):
+        key = [shingles.key_of(sets[t]) for t in order]
+        sketch = [(shingles.signature(sets[t]) >> np.uint64(56)).astype(np.uint8).tobytes() for t in order]
+        star = [b.to_pydict() for b in shingles.check(pa.table({"unit": [1] * 3, "part": [0] * 3, "key": key, "sketch": sketch, "text": list(order)}))]
+        assert [len(x["a"]) for x in star] == [1] and star[0]["a"] != star[0]["b"]
+    for rows in ([(3, near_), (2, said), (2, said)], [(2, said), (2, said), (3, near_)], [(2, said), (3, near_), (2, said), (2, said)]):
+        got = shingles.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), Scratch(spark, "t")).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((i, 2, i == 2) for i, _ in rows)
+
+
 def test_large_components_are_checked_by_leaf(spark, monkeypatch):
     from tests.llm.test_contracts import brute_components, shingled
 

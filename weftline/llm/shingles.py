@@ -208,6 +208,7 @@ def check(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     for s, e in runs(unit):
         sets = list(shingle_sets(*text_of(texts.slice(s, e - s))))
         right = np.array([k for k, x in enumerate(sets) if len(x) and key_of(x) == key[s + k]], np.int64)  # an id can be repeated
+        right = right[np.sort(np.unique(key[s + right], return_index=True)[1])]  # and so can its text
         root = confirmed([sets[k] for k in right], sketch[s + right], part[s + right])
         own = np.flatnonzero(root != np.arange(len(right)))
         a.append(key[s + right[own]])
