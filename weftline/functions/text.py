@@ -31,9 +31,9 @@ def injection_diagnostics(found: DataFrame, key: str) -> DataFrame:
 
 
 def quotes_real_code(evidence: Column, text: Column, least: int = 6) -> Column:
-    """Whether a quoted or back-ticked fragment of enough characters occurs in the text."""
-    parts = F.regexp_extract_all(evidence, F.lit(r"[`\"']([^`\"']{%d,})[`\"']" % least), F.lit(1))
-    return F.exists(parts, lambda p: F.contains(text, p))
+    """Whether a quoted or back-ticked fragment of enough characters occurs in the text; apostrophes quote apart from the others."""
+    parts = [F.regexp_extract_all(evidence, F.lit(p % least), F.lit(1)) for p in (r"[`\"]([^`\"]{%d,})[`\"]", r"'([^']{%d,})'")]
+    return F.exists(F.concat(*parts), lambda p: F.contains(text, p))
 
 
 def cites_lines(evidence: Column, text: Column) -> Column:

@@ -43,11 +43,25 @@ def injection_scan(spark, sf_dir):
 
 @query("citation_check", """SELECT doc_id, doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 100 BETWEEN 1 AND length(text) - length(replace(text, chr(10), '')) + 1) AS cited FROM documents WHERE length(text) >= 30 AND NOT contains(text, '`') AND NOT contains(text, '''')""")
 def citation_check(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("length(text) >= 30 and not contains(text, '`') and not contains(text, \"'\")")
+    """Only texts whose quotation is simple; citation_check_all has every document."""
+    return cited(table(spark, sf_dir, "documents").where("length(text) >= 30 and not contains(text, '`') and not contains(text, \"'\")"))
+
+
+def cited(d):
     said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see `"), F.substring("text", 5, 20), F.lit("`"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("see line "), (F.col("doc_id") % 100).cast("string"))).otherwise("see `never there at all 123`")
     return d.select("doc_id", tx.verified_citation(said, F.col("text")).alias("cited"))
 
 
+@query(
+    "citation_check_all",
+    r"""WITH said AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'see `' || substr(text, 5, 20) || '`' WHEN doc_id % 3 = 1 THEN 'see line ' || CAST(doc_id % 100 AS VARCHAR) ELSE 'see `never there at all 123`' END AS said FROM documents),
+parts AS (SELECT doc_id, text, list_concat(regexp_extract_all(said, '[`"]([^`"]{6,})[`"]', 1), regexp_extract_all(said, '''([^'']{6,})''', 1)) AS quoted, regexp_extract_all(said, '(?i)\bline\s+(\d+)', 1) AS lines, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM said)
+SELECT doc_id, coalesce(list_bool_or([contains(text, p) FOR p IN quoted]), false) OR coalesce(list_bool_and([coalesce(TRY_CAST(x AS INTEGER) BETWEEN 1 AND n, false) FOR x IN lines]), false) AS cited FROM parts""",
+)
+def citation_check_all(spark, sf_dir):
+    return cited(table(spark, sf_dir, "documents"))
+
+
 @query("judge_answers", "SELECT doc_id, quality = 1 AS agree, CASE WHEN quality = 1 AND toxic = 1 THEN 'corrected' WHEN quality = 1 THEN 'invalid' ELSE 'confirmed' END AS outcome FROM labels")
 def judge_answers(spark, sf_dir):
     body = F.concat(F.lit('{"agree": '), F.when(F.col("quality") == 1, "true").otherwise("false"), F.lit("}"))
