@@ -186,3 +186,19 @@ def test_view_end_to_end(spark):
     s = spark.createDataFrame([(1, i, k, "src" if k == "READ" else None, "t") for i, k in enumerate(kinds)], "pipeline int, pos int, kind string, source_field string, target_field string")
     got = view(s, F.lit("Out")).orderBy("pos").collect()
     assert [(r.view_kind, r.parent) for r in got] == [("read", 0), ("filter", 1), ("transform", 1), ("constant", 3), ("write", 4)]
+
+
+def test_helper_closure_whole_grows_with_the_table(spark, tmp_path):
+    from weftline import plans
+
+    keys = range(1, 901)
+    spark.createDataFrame([(k, k % 25) for k in keys], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    want = []
+    for k in keys:
+        seen, front = {k: 0}, [k]
+        for level in range(1, 6):
+            front = {b for a in front if a in keys for b in (a * 7 + a % 25, a // 2)} - set(seen)
+            seen |= dict.fromkeys(front, level)
+        want += [(k, *x) for x in seen.items()]
+    got = plans.QUERIES["helper_closure_whole"](spark, str(tmp_path)).collect()
+    assert len({r.start for r in got}) == 900 and sorted(map(tuple, got)) == sorted(want)

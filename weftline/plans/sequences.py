@@ -83,6 +83,19 @@ def helper_closure(spark, sf_dir):
     return closure.reach(starts, edges)
 
 
+@query(
+    "helper_closure_whole",
+    """WITH RECURSIVE edges AS (SELECT c_custkey AS a, c_custkey * 7 + c_nationkey AS b FROM customer UNION SELECT c_custkey, c_custkey // 2 FROM customer),
+walk(start, node, depth) AS (SELECT DISTINCT c_custkey, c_custkey, 0 FROM customer UNION SELECT start, b, depth + 1 FROM walk JOIN edges ON node = a WHERE depth < 5)
+SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node""",
+)
+def helper_closure_whole(spark, sf_dir):
+    """The closure of every customer over whole keys; helper_closure folds them to 300 nodes."""
+    c = table(spark, sf_dir, "customer")
+    edges = c.select(F.col("c_custkey").alias("caller"), F.explode(F.array(F.col("c_custkey") * 7 + F.col("c_nationkey"), F.expr("c_custkey div 2"))).alias("callee"))
+    return closure.reach(c.select(F.col("c_custkey").alias("start"), F.col("c_custkey").alias("node")), edges)
+
+
 @query("superclass_chain", "SELECT CAST(n_nationkey AS VARCHAR) AS name, concat_ws('>', CASE WHEN n_nationkey >= 2 THEN CAST(n_nationkey // 2 AS VARCHAR) END, CASE WHEN n_nationkey >= 4 THEN CAST(n_nationkey // 4 AS VARCHAR) END, CASE WHEN n_nationkey >= 8 THEN CAST(n_nationkey // 8 AS VARCHAR) END) AS ancestors FROM nation")
 def superclass_chain(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.when(F.col("n_nationkey") >= 2, F.floor(F.col("n_nationkey") / 2).cast("string")).alias("parent"))
