@@ -204,3 +204,45 @@ def test_goldens(spark, tmp_path):
     g = jobs.goldens(jobs.read_documents(spark, f"file://{tmp_path}/g.json", jobs.GOLDEN))
     now = jobs.seed_store(g, "fp", "2024").withColumn("pos", F.lit(0))
     assert compare_golden(g, now).first().outcome == "matched"
+
+
+def plain_paths(html):
+    """Paths and types by a stack of nested dicts, in the order of first children."""
+    import re
+
+    top = {"kids": [], "attrs": []}
+    stack = [top]
+    for close, tag, rest, end in re.findall(r"<(/?)([\w:-]+)([^>]*?)(/?)>", html):
+        if close:
+            del stack[max(1, len(stack) - 1) :]
+            continue
+        el = {"tag": tag, "kids": [], "attrs": re.findall(r'([\w:-]+)\s*=\s*"([^"]*)"', rest)}
+        if len(stack) == 1:
+            top["kids"] = []
+        stack[-1]["kids"].append(el)
+        stack += [] if end else [el]
+    out = []
+
+    def visit(el, path):
+        out.extend(f"{path}@{k}" for k, _ in el["attrs"])
+        for tag in dict.fromkeys(k["tag"] for k in el["kids"]):
+            own = [k for k in el["kids"] if k["tag"] == tag]
+            here = path + tag + ("[]" if len(own) > 1 else "")
+            out.append(here)
+            visit(own[0], f"{here}.")
+
+    visit(top, "")
+    return out
+
+
+def test_xml_flatten_pages_reads_each_page(spark, tmp_path):
+    import __spark_entry__
+
+    run = __spark_entry__.queries()["xml_flatten_pages"]
+    pages = [(1, '<html lang="en"><body><p>a</p><p id="1">b</p><hr/></body></html>'), (2, "<a><b n=\"2\"/></a>"), (3, "no element"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.path) for r in run(spark, str(tmp_path)).orderBy("page_id", "pos").collect()]
+    assert got == [(1, p) for p in ("html", "html.@lang", "html.body", "html.body.p[]", "html.body.hr")] + [(2, p) for p in ("a", "a.b", "a.b.@n")]
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
+    got = [(r.page_id, r.path) for r in run(spark, "/root/testdata/sf0.001").orderBy("page_id", "pos").collect()]
+    assert got == [(r.page_id, p) for r in sorted(given, key=lambda r: r.page_id) for p in plain_paths(r.html)]

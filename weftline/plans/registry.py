@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Queries that no SQL expresses.
+NO_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a query under a name, with its SQL."""
 
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
+        (QUERIES if sql else NO_SQL)[name] = f
         if sql:
             ORACLE[name] = sql
         return f

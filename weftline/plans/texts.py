@@ -97,6 +97,12 @@ def xml_flatten(spark, sf_dir):
     return f.groupBy("page_id").agg(F.count("*").alias("n_paths"), F.bool_or(F.col("path") == "html.head").alias("has_head"))
 
 
+@query("xml_flatten_pages")
+def xml_flatten_pages(spark, sf_dir):
+    """The flattened schema of every page's own html. No SQL expresses the tokenizer; tests compare with plain Python."""
+    return schemas.flat_schemas(table(spark, sf_dir, "pages"), "page_id", "html", "payload-xml").select("page_id", "pos", "path", "type")
+
+
 MAPPER = """package a;
 public class M {
   private Target build(Source s) {
