@@ -420,8 +420,56 @@ def test_fuse_filter(n):
     assert len(f.prints) < 1.3 * n + 64
 
 
+def prints_of(spark, rows, first_rid=0):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return exact.fingerprints(df).withColumn("rid", F.monotonically_increasing_id() + first_rid)
+
+
 def test_filters_let_through_what_the_snapshot_has(spark, scratch):
-    old = exact.groups(exact.fingerprints(spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))).withColumn("rid", F.col("doc_id")))
-    new = exact.groups(exact.fingerprints(spark.range(400, 900).select(F.col("id").alias("doc_id"), F.concat(F.lit("text  "), F.col("id").cast("string")).alias("text"))).withColumn("rid", F.col("doc_id")))
-    passed = exact.screen(new, exact.build_filters(old, 500), 500)
-    assert 100 <= passed.count() <= 102
+    store = exact.Store(spark, scratch.path("store"))
+    exact.absorb(store, prints_of(spark, [(i, f"text {i}") for i in range(500)]))
+    new = exact.groups(prints_of(spark, [(i, f"text  {i}") for i in range(400, 900)]))
+    about = store.segments()[0]
+    assert (about["n"], about["fresh"], about["shards"]) == (500, 500, 1)
+    assert 100 <= exact.screen(new, 500, store.table(0, "filters"), 1).count() <= 102
+    many = exact.screen(new, 500 * exact.SHARD_KEYS, store.table(0, "filters"), 1)  # dealt to 500 parts
+    assert 100 <= many.count() <= 102
+
+
+def test_three_batches_against_brute_force(spark, scratch):
+    """A store that absorbs an empty batch, then overlapping ones; a segment that was not finished is written anew."""
+    rng = np.random.default_rng(4)
+    store, seen, rid = exact.Store(spark, scratch.path("store")), [], 0
+    for size in (0, 60, 90, 1, 120):
+        rows = [(int(rng.integers(1000)), " ".join(map(str, rng.integers(0, 40, 1))) + " " * int(rng.integers(3))) for _ in range(size)]
+        filters = [store.table(s["number"], "filters").collect() for s in store.segments()]
+        if size == 90:
+            store.write(spark.range(3), 2, "buckets")  # what a lost job left behind
+        assert exact.absorb(store, prints_of(spark, rows, rid)) == len(filters)
+        assert [store.table(k, "filters").collect() for k in range(len(filters))] == filters  # earlier segments stay as they are
+        seen, rid = seen + rows, rid + (1 << 40)
+        want = {}
+        for i, t in seen:
+            want.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+        got = {bytes(r.digest): (r.size, r.best.id) for r in exact.merged(store).collect()}
+        assert got == {hashlib.sha256(t.encode()).digest(): (len(v), min(v)[1]) for t, v in want.items()}
+    plain = [bytes(r.plain) for k in range(5) for r in store.table(k, "buckets").collect()]
+    assert len(plain) == len(set(plain)) == len(want)
+
+
+def test_two_texts_with_one_digest_are_an_error(spark):
+    rows = prints_of(spark, [(1, "a"), (2, "b")]).withColumn("digest", F.lit(b"x")).withColumn("key", F.lit(1).cast("long"))
+    with pytest.raises(Exception, match="SHA-256"):
+        exact.groups(rows).collect()
+
+
+@pytest.mark.parametrize("keep", [exact.keep_one, shingles.keep_one])
+def test_kept_rows_keep_columns_with_any_name(spark, keep):
+    """Columns named like those of the operator come back as they were, also for ids that occur more than once."""
+    names = ["_n", "_sha", "_picked", "_kept", "picked", "picked_", "id", "again", "key", "digest", "row", "points", "wanted", "a.b"]
+    rows = [(i, t, *range(10 * k, 10 * k + len(names))) for k, (i, t) in enumerate([(1, "one two three"), (2, "one  two three four"), (2, "five six"), (3, "five six"), (None, None)])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = keep(df, Scratch(spark, "t"))
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() >= 3
+    assert keep(df.limit(0), Scratch(spark, "t")).count() == 0

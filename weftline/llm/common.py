@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time; bounds the memory of a Python worker.
@@ -22,9 +22,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none, as in tests."""
+    """The cluster's checkpoint folder. Only a local session that names none gets a temporary one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -44,13 +46,16 @@ class Scratch:
         df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    @staticmethod
+    def delete(spark: SparkSession, path: str) -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *names: str) -> None:
         """Delete these tables, or the whole folder."""
         try:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
             for x in names or [""]:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{x}".rstrip("/"))
-                p.getFileSystem(conf).delete(p, True)
+                self.delete(self.spark, f"{self.root}/{x}".rstrip("/"))
         except Exception:  # the session may have ended before the interpreter does
             if names:
                 raise
@@ -74,28 +79,53 @@ def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def sampled_ids(labels: DataFrame, per_label: int) -> list[tuple[object, object]]:
+    """At most ``per_label`` (id, label) of each label by the order of the ids' hashes, label by label; ids with two labels are left out.
+
+    Rows are thinned by a bound on the hash, which a count of each label gives, so no task and no window gathers a label;
+    the driver ranks what is left, about twice what is asked for.
+    """
+    keys = labels.where("id is not null and label is not null").select("id", "label", F.xxhash64("id").alias("h"))
+    many = {r.label: r["count"] for r in keys.groupBy("label").count().collect()}
+    out: list[tuple[object, object]] = []
+    wide = 1.0
+    while many:
+        share = {y: min(1.0, wide * (2 * per_label + 500) / n) for y, n in many.items()}
+        bound = F.coalesce(*[F.when(F.col("label") == F.lit(y), F.lit(int(-(2**63) + s * (2**64 - 1)) if s < 1 else 2**63 - 1)) for y, s in share.items()])
+        # all rows of an id share its hash, so an id is thinned with all its labels where the widest bound holds it
+        most = max(share.values())
+        widest = F.lit(2**63 - 1 if most >= 1 else int(-(2**63) + most * (2**64 - 1)))
+        thin = keys.where(F.col("h") <= widest).groupBy("id", "h").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        rows = thin.where(F.col("label") == F.col("other")).where(F.col("h") <= bound).select("id", "label", "h").collect()
+        per: dict = {y: sorted(((r.h, r.id) for r in rows if r.label == y), key=lambda x: (x[0], str(x[1])))[:per_label] for y in many}
+        out = [(k, y) for y in sorted(per) for _, k in per[y]]
+        if all(len(per[y]) >= per_label or share[y] >= 1 for y in many):
+            break
+        wide *= 4  # an id that is repeated often makes a label look larger than it is
+    return out
+
+
 def bounded_sample(docs: DataFrame, labels: DataFrame, per_label: int, total_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[object, str, bytes]]:
     """(label, id, text) of at most ``per_label`` documents of each label and ``total_bytes`` bytes, for the driver.
 
-    ``labels`` has the columns id and label. Ids come in the order of their hashes, so every run takes the same; they
-    are thinned by hash part first, so no task gathers a label. Only the texts that fit are fetched, and no text is shuffled.
+    ``labels`` has the columns id and label. Ids come in the order of their hashes, so every run takes the same. Every label
+    has an equal share of the bytes; a text longer than what is left of its label's share is passed over, shorter ones after it
+    may still be taken. An id labelled in two ways is not learned from; of an id with several texts the first one by order is.
+    Only the texts that fit are fetched.
     """
-    keys = labels.select(F.col("id"), F.col("label"), F.xxhash64("id").alias("h")).where("id is not null and label is not null").distinct()
-    for by in (["label", F.pmod("h", F.lit(64))], ["label"]):
-        first = Window.partitionBy(*by).orderBy("h", "id")
-        keys = keys.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label).drop("k")
     spark = docs.sparkSession
-    picked = [(r.id, r.label) for r in keys.orderBy("label", "h", "id").collect()]
+    picked = sampled_ids(labels, per_label)
     if not picked:
         return []
     left = dict.fromkeys((y for _, y in picked), total_bytes // len({y for _, y in picked}))
     rank = {k: i for i, (k, _) in enumerate(picked)}
 
     def having(wanted: list) -> DataFrame:
-        few_ids = spark.createDataFrame([(k,) for k in wanted], docs.select(F.col(id_col).alias("_id")).schema)
-        return docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(few_ids), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull())
+        few_ids = spark.createDataFrame([(k,) for k in wanted], docs.select(F.col(id_col).alias("wanted")).schema)
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+        return texts.join(F.broadcast(few_ids), F.col("id") == F.col("wanted")).select("id", "text")
 
-    size = {r[0]: r[1] for r in having([k for k, _ in picked]).groupBy(id_col).agg(F.min(F.octet_length(text_col))).collect()}
+    size = {r[0]: r[1] for r in having([k for k, _ in picked]).groupBy("id").agg(F.max(F.octet_length("text"))).collect()}
     taken = {}
     for k, y in picked:
         if 0 < size.get(k, 0) <= left[y]:
@@ -104,9 +134,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, per_label: int, total_byt
     if not taken:
         return []
     found: dict = {}
-    for r in having([*taken]).toLocalIterator():
-        if r[0] not in found or r[1] < found[r[0]]:  # of a repeated id the first text
-            found[r[0]] = r[1]
+    for r in having([*taken]).groupBy("id").agg(F.min("text")).toLocalIterator():
+        found[r[0]] = r[1]
     return [(taken[k], k, found[k].encode()) for k in sorted(found, key=rank.__getitem__)]
 
 
@@ -198,10 +227,19 @@ def few(df: DataFrame, limit: int = BROADCAST_IDS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pick(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is (left_semi) or isn't (left_anti) in the written table ``ids``; null equals null.
 
-    Ids are broadcast only when counted to be few; else both sides are shuffled.
+    Ids are broadcast only when counted to be few; else both sides are shuffled. No column of ``docs`` can clash with the join's own.
     """
-    ids = ids.select(F.col(id_col).alias("_picked"))
-    return docs.join(F.broadcast(ids) if few(ids) else ids, docs[id_col].eqNullSafe(F.col("_picked")), how)
+    own = free(docs, "picked")
+    ids = ids.select(F.col(id_col).alias(own))
+    return docs.join(F.broadcast(ids) if few(ids) else ids, F.col(id_col).eqNullSafe(F.col(own)), how)

@@ -1,14 +1,21 @@
 """Operator 10: exact dedup against immutable snapshots, screened by static binary-fuse filters.
 
-A snapshot is a written table of groups, one row per distinct digest of the normalised text, and a binary-fuse filter
-per shard of digests. A new batch is grouped among itself first; its groups meet the filter of their shard; only those
-that the filter lets through are joined with the snapshot's exact bucket, and there the normalised bytes of both
-representatives are compared. A group that passes is merged, all others are new. Every step keeps one row per distinct
-text: no group of copies is ever gathered.
+A store is a folder of segments, one for each batch that was absorbed; a segment never changes once it is written. It has
+
+- ``counts``: for every distinct text of the batch its digest, how often it occurs and which row of it stays,
+- ``buckets``: the normalised bytes of the texts that no earlier segment has, by digest,
+- ``filters``: a binary-fuse filter for each shard of the digests in ``buckets``,
+- ``about``: one row with the sizes, written last; a segment without it is one that was not finished and is written anew.
+
+``absorb`` groups a batch among itself, meets its digests with the filters of every earlier segment, and joins those that a
+filter lets through with that segment's exact buckets, where the normalised bytes are compared. ``merged`` adds up the
+segments. Filters are built once, when their segment is written. Every step keeps one row per distinct text: no group of
+copies is ever gathered, and a filter meets its digests in parts whose size doesn't depend on the batch's.
 
 Defined results: null text counts as empty, and all texts without content are one group. Of equal texts the row with
 the most code points stays, then the smallest id; a null id comes last. Of rows with the same text and id exactly one
-stays. An empty table gives an empty result; other columns are not read.
+stays. Two different texts with one SHA-256 digest are an error, not a group. An empty table gives an empty result; other
+columns are not read, and none of their names can clash with a column of the operator.
 """
 
 from __future__ import annotations
@@ -18,14 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, few, mix, pick, text_of
+from weftline.llm.common import Scratch, mix, pick, slices, text_of
 
 #: Characters that normalisation deletes.
 BLANK = b" \t\n\x0b\x0c\r"
+#: Digests of a filter, and of a batch that one task holds against a filter.
 SHARD_KEYS = 50_000
+#: How texts are kept.
+PRESSED = {"compression": "zstd"}
 
 
 class Fuse:
@@ -83,43 +94,53 @@ class Fuse:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_points, digest (SHA-256 of the normalised text) and key (its first 8 bytes) of each row."""
+    """id, n_points, digest (SHA-256 of the normalised text), key (its first 8 bytes) and plain (the normalised text) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = text_of(batch.column(1))
-            view = memoryview(raw)
-            digests = [hashlib.sha256(bytes(view[a:b]).translate(None, BLANK)).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            points = np.diff(np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[bounds])
-            keys = np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(keys)], names=[id_col, "n_points", "digest", "key"])
+            for i, j in slices(bounds):
+                part, at = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+                view = memoryview(part)
+                plain = [bytes(view[a:b]).translate(None, BLANK) for a, b in zip(at[:-1], at[1:], strict=True)]
+                digests = [hashlib.sha256(t).digest() for t in plain]
+                starts = np.flatnonzero((part & 0xC0) != 0x80)  # a code point's first byte
+                points = np.diff(np.searchsorted(starts, at))
+                keys = np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(points.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(keys), pa.array(plain, pa.binary())], names=["id", "n_points", "digest", "key", "plain"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_points long, digest binary, key long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_points long, digest binary, key long, plain binary")
 
 
-def groups(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per distinct digest: size and best, which orders its rows by who stays."""
-    best = F.struct((-F.col("n_points")).alias("less"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "rid")
-    return prints.groupBy("key", "digest").agg(F.count("*").alias("size"), F.min(best).alias("best"))
+def groups(prints: DataFrame) -> DataFrame:
+    """One row per distinct digest: size, best (which orders its rows by who stays) and plain. ``prints`` has a rid, unique in its row."""
+    best = F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "rid")
+    one = prints.groupBy("key", "digest").agg(F.count("*").alias("size"), F.min(best).alias("best"), F.min("plain").alias("plain"), F.max("plain").alias("other"))
+    checked = F.when(F.col("plain") == F.col("other"), F.col("plain")).otherwise(F.raise_error(F.lit("two texts have one SHA-256 digest")).cast("binary"))
+    return one.select("key", "digest", "size", "best", checked.alias("plain"))
 
 
-def shard(n: int) -> F.Column:
-    return F.pmod("key", F.lit(max(1, -(-n // SHARD_KEYS))))
+def shard(shards: int) -> F.Column:
+    return F.pmod("key", F.lit(shards)).cast("long")
 
 
-def build_filters(snapshot: DataFrame, n: int) -> DataFrame:
-    """A filter for each shard of the snapshot's n distinct digests, as a row."""
+def build_filters(buckets: DataFrame, shards: int) -> DataFrame:
+    """A filter for each shard of distinct digests, as a row."""
 
     def run(_: tuple, keys: pa.Table) -> pa.Table:
         f = Fuse.build(np.unique(keys["key"].to_numpy()).view(np.uint64))
         return pa.table({"shard": keys["shard"][:1].cast(pa.int64()), "seed": [f.seed], "segment": [f.segment], "count": [f.count], "prints": [f.prints.tobytes()]})
 
-    return snapshot.select(shard(n).cast("long").alias("shard"), "key").groupBy("shard").applyInArrow(run, "shard long, seed long, segment long, count long, prints binary")
+    return buckets.select(shard(shards).alias("shard"), "key").groupBy("shard").applyInArrow(run, "shard long, seed long, segment long, count long, prints binary")
+
 
+def screen(batch: DataFrame, n: int, filters: DataFrame, shards: int) -> DataFrame:
+    """key and digest of the n groups of a batch that the filter of their shard lets through.
 
-def screen(batch: DataFrame, filters: DataFrame, n: int) -> DataFrame:
-    """key and digest of the batch's groups that the filter of their shard lets through."""
+    Where a shard has more of the batch than ``SHARD_KEYS``, its digests are dealt to several parts that meet the filter each.
+    """
+    parts = max(1, -(-n // (shards * SHARD_KEYS)))
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
         rows = rows.select(["key", "digest"])
@@ -129,48 +150,90 @@ def screen(batch: DataFrame, filters: DataFrame, n: int) -> DataFrame:
         fuse = Fuse(f["seed"], f["segment"], f["count"], np.frombuffer(f["prints"], np.uint16))
         return rows.filter(pa.array(fuse.has(rows["key"].to_numpy().view(np.uint64))))
 
-    left = batch.select("key", "digest", shard(n).cast("long").alias("shard"))
-    return left.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, "key long, digest binary")
-
-
-def same_bytes(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """Digests of the pairs (key, digest, old, new: ids) whose normalised texts are equal byte for byte."""
-    sides = scratch.keep(pairs.select("key", "digest", F.explode(F.array("old", "new")).alias("id")), "sides")
-    plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANK.decode(), "")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col))
-    found = texts.join(F.broadcast(sides) if few(sides) else sides, F.col("doc").eqNullSafe(F.col("id")))
-    # an id can be repeated: only the texts with this digest take part
-    found = found.select("key", "digest", plain.alias("plain")).where(F.unhex(F.sha2("plain", 256)) == F.col("digest"))
-    return found.groupBy("key", "digest").agg(F.min("plain").alias("a"), F.max("plain").alias("b")).where("a = b").select("key", "digest")
-
-
-def absorb(old: DataFrame, new: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of a snapshot and of a batch together, after the filters, the exact buckets and the byte checks."""
-    n = old.count()
-    filters = scratch.keep(build_filters(old, n), "filters")
-    passed = screen(new, filters, n)
-    meet = old.select("key", "digest", F.col("best.id").alias("old")).join(passed, ["key", "digest"]).join(new.select("key", "digest", F.col("best.id").alias("new")), ["key", "digest"])
-    equal = scratch.keep(same_bytes(scratch.keep(meet, "meet"), docs, id_col, text_col, scratch), "equal")
-    marked = new.join(equal.withColumn("old", F.lit(True)), ["key", "digest"], "left")
-    both = old.withColumn("part", F.lit(0)).unionByName(marked.withColumn("part", F.when(F.col("old"), 0).otherwise(1)).drop("old"))
-    return both.groupBy("key", "digest", "part").agg(F.sum("size").alias("size"), F.min("best").alias("best"))
-
-
-def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, keep_id, group_size, kept and text_sha256, with half of the table as snapshot and half as new batch.
-
-    Which half a row belongs to is drawn by a hash of its id. The groups of both halves are written tables.
+    left = batch.select("key", "digest", shard(shards).alias("shard"), F.pmod(F.xxhash64("digest"), F.lit(parts)).alias("part"))
+    own = filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return left.groupBy("shard", "part").cogroup(own.groupBy("shard", "part")).applyInArrow(run, "key long, digest binary")
+
+
+class Store:
+    """A folder of segments below ``root``; ``segments`` are the finished ones, in order."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def path(self, number: int, name: str) -> str:
+        return f"{self.root}/{number:06d}/{name}"
+
+    def table(self, number: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(number, name))
+
+    def segments(self) -> list[dict]:
+        """Number, distinct texts (n), new texts (fresh) and shards of each finished segment."""
+        out: list[dict] = []
+        while True:
+            try:
+                out.append(self.table(len(out), "about").first().asDict())
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                return out
+
+    def write(self, df: DataFrame, number: int, name: str, **options: str) -> DataFrame:
+        df.write.mode("overwrite").options(**options).parquet(self.path(number, name))
+        return self.table(number, name)
+
+
+def absorb(store: Store, prints: DataFrame) -> int:
+    """Write the next segment from the fingerprints of a batch (with rid, unique in the store); returns its number."""
+    before = store.segments()
+    number = len(before)
+    new = store.write(groups(prints), number, "groups", **PRESSED)
+    n = new.count()
+    counts = store.write(new.select("key", "digest", "size", "best"), number, "counts")
+    known: DataFrame | None = None
+    for s in before:
+        if not s["fresh"] or not n:
+            continue
+        passed = screen(counts, n, store.table(s["number"], "filters"), s["shards"])
+        old = store.table(s["number"], "buckets").select("key", "digest", F.col("plain").alias("old"))
+        # in the exact buckets: what the filter let through by mistake has no partner, the others are compared byte by byte
+        met = passed.join(old, ["key", "digest"]).join(new.select("key", "digest", "plain"), ["key", "digest"])
+        same = met.select("key", "digest", F.when(F.col("old") == F.col("plain"), True).otherwise(F.raise_error(F.lit("two texts have one SHA-256 digest")).cast("boolean")).alias("same"))
+        known = same if known is None else known.unionByName(same)
+    fresh = new.select("key", "digest", "plain")
+    if known is not None:
+        known = store.write(known.where("same").select("key", "digest"), number, "known")
+        fresh = fresh.join(known, ["key", "digest"], "left_anti")
+    fresh = store.write(fresh, number, "buckets", **PRESSED)
+    m = fresh.count()
+    shards = max(1, -(-m // SHARD_KEYS))
+    store.write(build_filters(fresh, shards), number, "filters")
+    Scratch.delete(store.spark, store.path(number, "groups"))
+    about = store.spark.createDataFrame([(number, n, m, shards)], "number int, n long, fresh long, shards int")
+    store.write(about.coalesce(1), number, "about")
+    return number
+
+
+def merged(store: Store) -> DataFrame:
+    """key, digest, size and best of every distinct text of the store."""
+    tables = [store.table(s["number"], "counts") for s in store.segments()]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out if len(tables) == 1 else out.groupBy("key", "digest").agg(F.sum("size").alias("size"), F.min("best").alias("best"))
+
+
+def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+    """Each row's id, keep_id, group_size, kept and text_sha256, with the table as batches that a store absorbs one by one.
+
+    Which batch a row belongs to is drawn by a hash of its id, so copies are spread over all of them.
     """
-    rows = scratch.keep(fingerprints(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "rows")
-    half = F.pmod(F.xxhash64(id_col), F.lit(2))
-    old = scratch.keep(groups(rows.where(half == 0), id_col), "old")
-    new = scratch.keep(groups(rows.where(half == 1), id_col), "new")
-    merged = absorb(old, new, docs, scratch, id_col, text_col)
-    split = merged.groupBy("key", "digest").agg(F.collect_list(F.struct("part", "size", "best")).alias("parts"))  # one part, two if digests collide
-    out = rows.withColumn("part", half).join(split, ["key", "digest"])
-    own = F.coalesce(F.get(F.filter("parts", lambda p: p.part == F.col("part")), F.lit(0)), F.get("parts", F.lit(0)))
-    out = out.withColumn("own", own)
-    return out.select(id_col, F.col("own.best.id").alias("keep_id"), F.col("own.size").alias("group_size"), (F.col("rid") == F.col("own.best.rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = scratch.keep(fingerprints(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "rows", **PRESSED)
+    store = Store(docs.sparkSession, scratch.path("store"))
+    for k in range(batches):
+        absorb(store, rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k))
+    out = rows.select("id", "rid", "key", "digest").join(merged(store), ["key", "digest"])
+    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,16 +241,19 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
 
     Rows are told apart by id; rows of an id that occurs more than once also by their text, of which one row stays.
     """
-    found = scratch.keep(dedup(docs, scratch, id_col, text_col).select(id_col, "kept", "text_sha256"), "found")
-    repeated = scratch.keep(found.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "repeated")
-    dropped = scratch.keep(found.where("not kept").join(repeated, found[id_col].eqNullSafe(repeated[id_col]), "left_anti").select(id_col), "dropped")
+    found = scratch.keep(dedup(docs, scratch, id_col, text_col).select(F.col(id_col).alias("id"), "kept", "text_sha256"), "found")
+    scratch.drop("rows", "store")
+    repeated = scratch.keep(found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again")), "repeated")
+    dropped = scratch.keep(found.where("not kept").join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_anti").select(F.col("id").alias(id_col)), "dropped")
     out = pick(docs, dropped, "left_anti", id_col)
     if repeated.isEmpty():
         return out
+    # an id that occurs more than once: the whole row travels as one value, beside what tells it apart
+    again = repeated.withColumnRenamed("again", id_col)
     plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANK.decode(), "")
-    several = pick(docs, repeated, "left_semi", id_col).withColumn("_sha", F.sha2(plain, 256))
-    kept = found.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    several = several.join(kept, several[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    first = Window.partitionBy(id_col, "_sha").orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-    several = several.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
-    return pick(out, repeated, "left_anti", id_col).unionByName(several)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = pick(docs, again, "left_semi", id_col).select(F.col(id_col).alias("id"), F.sha2(plain, 256).alias("sha"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), row.alias("row"))
+    kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    several = several.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    first = several.groupBy("id", "sha").agg(F.max_by("row", "points").alias("row")).select("row.*")
+    return pick(out, again, "left_anti", id_col).unionByName(first)
