@@ -9,7 +9,8 @@ Training takes at most ``PER_LANG`` documents of each language and ``TRAIN_BYTES
 drawn by hash; that bound is a parameter. Prediction is a narrow stage over every whole text.
 
 Defined results: null text and text without a letter give ``und`` with score 0. With one known language it is
-predicted for every text with a letter, score 1; with none, ``und``. Rows with null lang or text are not learned from.
+predicted for every text with a letter, score 1; with none, ``und``. Rows with null lang or text, texts without a letter
+and ids with two languages are not learned from. Equal texts score alike, whatever stands beside them.
 Ties go to the language that sorts first. An empty table gives an empty result; other columns are not read.
 """
 
@@ -47,14 +48,25 @@ def codewords(n: int) -> np.ndarray:
     return best[1] if best[1] is not None else code
 
 
-def grams(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A number for the 4 bytes that start at each place, row by row; runs of other characters are one space."""
+def grams(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the 4 bytes that start at each place, but where all are spaces, and by row the bounds of its numbers.
+
+    Beyond a row's end there are spaces, so no gram runs into the next row.
+    """
     low = FOLD[raw]
     upper = np.flatnonzero((raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)) + 1
     low[upper] += 0x20
-    x = np.full(len(raw) + 3, 0x20, np.uint32)
-    x[: len(raw)] = low
-    return ((x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    x, n = low.astype(np.uint32), len(low)
+    for k in (1, 2, 3):
+        later = np.full(n, 0x20, np.uint32)
+        later[: max(0, n - k)] = low[k:]
+        for back in range(1, k + 1):
+            ends = bounds[1:] - back
+            later[ends[ends >= 0]] = 0x20
+        x |= later << np.uint32(8 * k)
+    some = x != 0x20202020
+    at = np.concatenate([[0], np.cumsum(some)])[bounds]
+    return (x[some] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), at
 
 
 @dataclass
@@ -71,7 +83,7 @@ class Model:
         for i, j in slices(bounds, 1 << 18):
             for a, b in pieces(raw, int(bounds[i]), int(bounds[j]), 1 << 18) if j == i + 1 else [(int(bounds[i]), int(bounds[j]))]:
                 at = np.clip(bounds[i : j + 1] - a, 0, b - a)
-                found = grams(raw[a:b], at)
+                found, at = grams(raw[a:b], at)
                 rows = np.flatnonzero(np.diff(at))
                 if not len(rows):
                     continue
@@ -92,6 +104,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Train on the rows with text and language, a sample of bounded rows and bytes, the same on every run."""
     known = labelled.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
     sample = [(y, t) for y, _, t in bounded_sample(labelled, known, per_lang, train_bytes, id_col, text_col)]
+    sample = [(y, t) for y, t in sample if len(grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])]
     langs = sorted({y for y, _ in sample})
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0))
@@ -106,9 +119,9 @@ def _train(sample: list[tuple[str, bytes]], langs: list[str], steps: int) -> Mod
     target = np.array([code[langs.index(l)] for l, _ in sample]).reshape(-1, bits)
     cols, vals, at = [], [], [0]
     for _, t in sample:
-        f, c = np.unique(grams(np.frombuffer(t, np.uint8), np.array([0, len(t)])), return_counts=True)
+        f, c = np.unique(grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], return_counts=True)
         cols.append(f.astype(np.int32))
-        vals.append((c / c.sum()).astype(np.float32))
+        vals.append((c / max(1, c.sum())).astype(np.float32))
         at.append(at[-1] + len(f))
     bias = np.zeros(bits)
     f, x, rows = np.concatenate(cols), np.concatenate(vals)[:, None], np.repeat(np.arange(len(sample)), np.diff(at))
@@ -133,8 +146,11 @@ def _train(sample: list[tuple[str, bytes]], langs: list[str], steps: int) -> Mod
 
 def has_letter(texts: pa.Array, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """By row, whether any character is a letter; rows without an ASCII letter are looked at one by one."""
-    ascii_letters = np.concatenate([[0], np.cumsum((FOLD[raw] != 0x20) & (raw < 0x80))])[bounds]
-    out = np.diff(ascii_letters) > 0
+    out = np.zeros(len(bounds) - 1, bool)
+    for i, j in slices(bounds):
+        part, own = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        letters = np.flatnonzero((FOLD[part] != 0x20) & (part < 0x80))
+        out[i:j] = np.diff(np.searchsorted(letters, own)) > 0
     for i in np.flatnonzero(~out & (np.diff(bounds) > 0)):
         out[i] = any(map(str.isalpha, texts[int(i)].as_py()))
     return out
