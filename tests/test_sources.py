@@ -111,6 +111,70 @@ def test_java_structure(spark):
     assert java.scan(df, "write_sites", "Target").count() == 8
 
 
+CORPUS = """package p;
+class Corpus {
+  private Target kept;
+  Target all(Source s, Map<String, Object> m) {
+    Target a = new Target(), other = null;
+    a.setPlain(s.x());
+    a.direct = s.y();
+    this.kept.setHeld(1);
+    var made = new p.Target();
+    made.withFluent(f(1, g(2))).withLater(3);
+    made.put("quoted", s.get("a,b"));
+    if (s.ok()) { a.setGuarded(1); }
+    for (Target t : s.targets()) { t.setLooped(t.getLooped()); }
+    s.names().forEach(a::setReferenced);
+    Other o = new Other();
+    o.setNot(1);
+    a.same == 2;
+    return Target.builder().built(1).last(h("(")).build().setAfter(3);
+  }
+  void one(Other a) { a.setOther(1); }
+  void two(List<Target> list, Target t) {
+    list.forEach((Target u) -> { u.setInLambda(1); });
+    Other t2 = null; t2.setNo(1);
+    { Other t3 = null; t3.setNo(2); }
+    t3 = new Target();
+    t3.setLate(1);
+  }
+}
+"""
+
+
+def test_write_sites_by_shape_and_scope():
+    sites = java.Source(CORPUS).write_sites("Target")
+    got = [(w["target_field"], w["via"], w["receiver"], w["in_method"]) for w in sites]
+    assert got == [
+        ("plain", "setter", "a", "all"), ("direct", "assignment", "a", "all"), ("held", "setter", "kept", "all"),
+        ("fluent", "setter", "made", "all"), ("quoted", "map-put", "made", "all"), ("guarded", "setter", "a", "all"),
+        ("looped", "setter", "t", "all"), ("referenced", "setter", "a", "all"), ("built", "builder", "Target.builder()", "all"),
+        ("last", "builder", "Target.builder()", "all"), ("inLambda", "setter", "u", "two"), ("late", "setter", "t3", "two"),
+    ]
+    assert [w["expression"] for w in sites if w["target_field"] in ("fluent", "quoted", "last", "referenced")] == ["f(1, g(2))", 's.get("a,b")', java.REFERENCE, 'h("(")']
+    assert sites[0]["statement"] == "a.setPlain(s.x());"
+
+
+def test_guards_of_many_blocks_are_found_in_one_pass():
+    text = "class A { void f() { for (int i = 0; i < 3; i++) { if (a(1)) { x(); } else if (b) { y(); } else { z(); } } " + "if (q) { r(); } " * 3000 + "do { w(); } while (t); } }"
+    s = java.Source(text)
+    assert s.guards(text.index("x()")) == ["for (int i = 0; i < 3; i++)", "if (a(1))"]
+    assert s.guards(text.index("y()")) == ["for (int i = 0; i < 3; i++)", "if (a(1))", "else if (b)"]
+    assert s.guards(text.index("z()")) == ["for (int i = 0; i < 3; i++)", "else if (b)", "else"]
+    assert s.guards(text.index("w()")) == ["do"] and s.guards(text.rindex("r()")) == ["if (q)"]
+
+
+def test_tags_and_attributes_of_odd_texts():
+    text = '<?xml v="1"?><!-- <c n="x"/> --><r a = "1" b=\'2\' a="3" "z" q="a>b"><x/> 1 < 2 <é/></r></r><s'
+    assert [t[:2] for t in schemas.tags(text)] == [("empty", "c"), ("open", "r"), ("empty", "x"), ("close", "r"), ("close", "r")]
+    assert schemas.attributes(' a = "1" b=\'2\' a="3" "z" = "y"') == [("a", "1"), ("a", "3")]
+    assert schemas.xml_tree("<a/><b><c></b>")["tag"] == "b" and schemas.xml_tree("<b><c></b>")["children"][0]["tag"] == "c"
+    xsd = '<xs:element name="a" type="xs:integer"><xs:element name="b" type="integer"/></xs:element><xs:element ref="q"/><xs:element>'
+    assert [(n["name"], n["type"]) for n in schemas.from_xsd(xsd)["children"]] == [("a", "integer"), ("b", "string"), ("element", "string")]
+    with pytest.raises(ValueError):
+        schemas.xml_tree("no tags")
+
+
 def test_scrub_keeps_lines():
     assert java.scrub("a // b\nc") == "a     \nc" and java.scrub("/* x\ny */z") == "    \n    z"
 

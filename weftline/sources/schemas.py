@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,24 +70,62 @@ def from_json_schema(text: str, root: str = "root") -> dict:
     return {"name": root, "type": "object", "children": [from_property(k, v) for k, v in props.items()]}
 
 
+#: What a tag's or an attribute's name is made of.
+NAME_CHARS = frozenset(string.ascii_letters + string.digits + "_:-")
+
+
+def tags(text: str) -> Iterator[tuple[str, str, str]]:
+    """(open, empty or close; name; what follows the name) of each tag of an XML or HTML text, in order.
+
+    A tag goes from a < that a name follows to the next >, wherever it stands; text, declarations and instructions are passed over.
+    """
+    at = text.find("<")
+    while at >= 0:
+        begin = at + 1 + text.startswith("/", at + 1)
+        end = begin
+        while end < len(text) and text[end] in NAME_CHARS:
+            end += 1
+        stop = text.find(">", end)
+        if end > begin and stop >= 0:
+            body = text[end:stop]
+            yield "close" if begin > at + 1 else "empty" if body.endswith("/") else "open", text[begin:end], body
+            at = stop
+        at = text.find("<", at + 1)
+
+
+def attributes(body: str) -> list[tuple[str, str]]:
+    """name="value" pairs in order; only values in double quotes count."""
+    out = []
+    quote = body.find('"')
+    while quote >= 0:
+        left = body[:quote].rstrip()
+        name = left[:-1].rstrip() if left.endswith("=") else ""
+        begin = len(name)
+        while begin and name[begin - 1] in NAME_CHARS:
+            begin -= 1
+        stop = body.find('"', quote + 1)
+        if begin < len(name) and stop >= 0:
+            out.append((name[begin:], body[quote + 1 : stop]))
+            body = body[stop + 1 :]
+            quote = -1
+        quote = body.find('"', quote + 1)
+    return out
+
+
 def xml_tree(text: str) -> dict:
-    """Elements with attributes and children from an XML text; text between tags is not kept."""
-    top, stack = None, []
-    for m in re.finditer(r"<(/?)([\w:-]+)([^>]*)>", text):
-        if m[1]:
-            if stack:
-                stack.pop()
+    """The last outermost element with its attributes and children; text between tags is not kept, unclosed elements end where the text does."""
+    root: dict = {"children": []}
+    path = [root]
+    for kind, name, body in tags(text):
+        if kind == "close":
+            del path[max(1, len(path) - 1) :]
             continue
-        el = {"tag": m[2], "attrs": re.findall(r'([\w:-]+)\s*=\s*"([^"]*)"', m[3]), "children": []}
-        if stack:
-            stack[-1]["children"].append(el)
-        else:
-            top = el
-        if not m[0].endswith("/>"):
-            stack.append(el)
-    if top is None:
+        path[-1]["children"].append(el := {"tag": name, "attrs": attributes(body), "children": []})
+        if kind == "open":
+            path.append(el)
+    if not root["children"]:
         raise ValueError("no XML element")
-    return top
+    return root["children"][-1]
 
 
 def from_element(el: dict) -> dict:
@@ -112,11 +152,10 @@ XSD_TYPES = {"integer": "integer", "decimal": "number", "double": "number", "boo
 
 
 def from_xsd(text: str, root: str = "root", most: int = 50) -> dict:
-    """The first elements of an XSD as a flat object."""
-    children = []
-    for attrs in re.findall(r"<xs:element\s+([^>]+)/?>", text)[:most]:
-        name, kind = re.search(r'name="([^"]+)"', attrs), re.search(r'type="xs:(\w+)"', attrs)
-        children.append({"name": name[1] if name else "element", "type": XSD_TYPES.get(kind[1] if kind else "", "string")})
+    """The first elements of an XSD with the usual prefix as a flat object, however they nest; those without a name are called element."""
+    named = (dict(attributes(body)) for kind, tag, body in tags(text) if tag == "xs:element" and kind != "close" and body.strip("/"))
+    types = {f"xs:{k}": v for k, v in XSD_TYPES.items()}
+    children = [{"name": a.get("name") or "element", "type": types.get(a.get("type", ""), "string")} for a in islice(named, most)]
     return {"name": root, "type": "object", "children": children}
 
 
