@@ -9,8 +9,8 @@ Training takes at most ``PER_CLASS`` documents of each label, in an order drawn
 bytes of their text, to the driver; that bound is a parameter. Scoring is a narrow stage over every whole text.
 
 Defined results: a text without a word (null, empty, punctuation) has no sentence and scores 0. Rows whose label or
-text is null are not learned from. Without documents of both labels every score is 0. Repeated rows score alike; an
-empty table gives an empty result; other columns are not read.
+text is null, and ids that are labelled 0 and 1, are not learned from. Without documents of both labels every score is 0.
+Repeated rows score alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -173,11 +173,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows, with all their columns, that score below the threshold."""
+    """The rows, with all their columns, that score below the threshold; only texts go to the workers and only a flag comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logs, _ = model.clean(*text_of(batch.column(batch.schema.get_field_index(text_col))))
-            yield batch.filter(pa.array(-np.expm1(logs) < threshold))
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        logs, _ = model.clean(*text_of(texts))
+        return pa.array(-np.expm1(logs) < threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(text_col)))
