@@ -5,7 +5,7 @@ bucket in one of L tables are compared by exact cosine in double precision. k gr
 distinct vectors, so that chance meetings stay rare, and L follows from the recall wanted for a pair just at the
 threshold; closer pairs are found more surely.
 
-Identical vectors are one class with a count, so copies are never paired. Within a bucket links are counted and reduced
+Identical vectors are one class with a count, told apart by their components and not by a hash, so copies are never paired. Within a bucket links are counted and reduced
 to a spanning forest where they are found, so no pair leaves the task. A pair that meets in several tables counts in the
 first one. A bucket of more than ``BLOCK`` classes is compared block by block: all its pairs, in no single task.
 
@@ -17,11 +17,11 @@ all ids of the component are null. An empty table gives an empty result; other c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, mix
@@ -56,13 +56,16 @@ def hashed(x: np.ndarray, k: int, tables: int, width: float = WIDTH, seed: int =
     return out
 
 
-def classes_of(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """Each row's id and key (null where it can't link); each distinct vector's key, copies, first_id and vec."""
+def classes_of(vectors: DataFrame, scratch: Scratch, id_col: str, vec_col: str, hash_of: Callable[..., Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """Each row's id, hash (null where it can't link) and vec; each distinct vector's key, hash, copies, first_id and vec.
+
+    Classes are grouped by the vectors themselves, the hash before them only keeps comparisons short; the key is a number of its own.
+    """
     v = F.col(vec_col)
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col), v.alias("vec"), F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(v)).alias("key"))
-    classes = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min(id_col).alias("first_id"), F.any_value("vec").alias("vec"))
-    return rows.select(id_col, "key"), classes
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(F.coalesce(sound, F.lit(False)), hash_of(v)).alias("hash"), v.alias("vec"))
+    classes = rows.where("hash is not null").groupBy("hash", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
+    return rows, scratch.keep(classes.select(F.monotonically_increasing_id().alias("key"), "hash", "copies", "first_id", "vec"), "classes")
 
 
 def links(classes: DataFrame, n: int, scratch: Scratch, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -152,16 +155,20 @@ def links(classes: DataFrame, n: int, scratch: Scratch, threshold: float = THRES
     return scratch.keep(grouped(units, "unit", compare, "a long, b long, found long"), "links")
 
 
-def dedup(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def dedup(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, hash_of: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """id, n_links, component_id and kept of every vector."""
-    rows, classes = classes_of(vectors, id_col, vec_col)
-    classes = scratch.keep(classes, "classes")
+    rows, classes = classes_of(vectors, scratch, id_col, vec_col, hash_of)
     found = links(classes, classes.count(), scratch, threshold, recall, block)
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("found").alias("others"))
     roots = components(found.where("b is not null"), scratch, "star").withColumnRenamed("node", "key")
-    named = classes.select("key", "copies", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = classes.select("key", "hash", "copies", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = named.join(least, "root").join(counts, "key", "left").select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
-    out = rows.join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col(id_col)).otherwise(F.col("component"))
-    return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    named = named.join(least, "root").join(counts, "key", "left").select("key", "hash", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    on = ["hash"]
+    if classes.groupBy("hash").count().where("count > 1").isEmpty():  # a hash names one vector, so vectors needn't meet again
+        rows = rows.drop("vec")
+    else:
+        on, named = ["hash", "vec"], named.join(classes.select("key", "vec"), "key")
+    out = rows.join(named.drop("key"), on, "left")
+    component = F.when(F.col("hash").isNull(), F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
