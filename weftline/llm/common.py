@@ -144,18 +144,32 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Words are hashed as polynomials over two prime fields of this order, with bases and byte values drawn once.
+PRIME = (1 << 31) - 1
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
-_POWERS: list[np.ndarray] = []
+_LANES = [(_rng.integers(1, PRIME, 256, dtype=np.uint64), int(_rng.integers(2**20, PRIME))) for _ in range(2)]
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number below 2**32 that is equal modulo the prime, of one below 2**63."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By lane the powers of its base and of the base's inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        n, made = max(n, SLICE_BYTES + 1), []
+        for _, base in _LANES:
+            pair = []
+            for b in (base, pow(base, -1, PRIME)):
+                p = np.ones(1, np.uint64)
+                while len(p) < n:
+                    p = np.concatenate([p, p * np.uint64(pow(b, len(p), PRIME)) % np.uint64(PRIME)])
+                pair.append(p[:n])
+            made.append(tuple(pair))
+        _POWERS[:] = made
+    return _POWERS
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -168,16 +182,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def sums_of(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
+def sums_of(raw: np.ndarray) -> list[np.ndarray]:
+    """By lane the prefix sums from which ``span_hash`` takes the hash of any span."""
+    out = []
+    for (byte, _), (up, _) in zip(_LANES, _powers(len(raw) + 1), strict=True):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_fold(byte[raw] * up[: len(raw)]), out=sums[1:])
+        out.append(sums)
     return out
 
 
-def span_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def span_hash(sums: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [a, b): equal for equal bytes, wherever they stand."""
-    return mix((sums[b] - sums[a]) * _powers(len(sums))[1][a] + (b - a).astype(np.uint64))
+    x, y = (((s[b] - s[a]) % np.uint64(PRIME)) * down[a] % np.uint64(PRIME) for s, (_, down) in zip(sums, _powers(len(sums[0])), strict=True))
+    return mix(x << np.uint64(31) | y)
 
 
 def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

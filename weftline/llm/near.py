@@ -90,6 +90,44 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def connect(rows: DataFrame, most: int, weight: int, run: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+    """Edges (a, b) that connect the keys of each group wherever any of its pairs does; and whether groups met whole, in one unit each.
+
+    ``rows`` has group, key, n and w (the group's rows and weight); ``run`` finds edges within units (unit, part, key, root), where
+    rows of two parts meet across only and rows of one root are connected already. A unit has about ``most`` rows and ``weight``.
+
+    A group within these bounds is one unit. A larger one is dealt into blocks, twice and at random, which connects what
+    hangs together well at a cost in proportion to the group. What then is not in the group's largest component meets all of
+    the group, block by block. So every pair is either connected or compared, as in a small group, and only stragglers cost more.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / most, F.col("w") / weight)).cast("int")
+    dealt = rows.select("group", "key", blocks.alias("blocks"))
+    large = dealt.where("blocks > 1")
+    units = dealt.where("blocks <= 1").select(F.col("group").alias("unit"), F.lit(0).alias("part"), "key", F.col("key").alias("root"))
+    if large.isEmpty():
+        return scratch.keep(run(units), name), True
+    for deal in (1, 2):
+        block = F.pmod(F.xxhash64("key", F.lit(deal)), F.ceil(F.col("blocks") * 1.1))
+        units = units.unionByName(large.select(F.xxhash64("group", F.lit(deal), block).alias("unit"), F.lit(0).alias("part"), "key", F.col("key").alias("root")))
+    first = scratch.keep(run(units), f"{name}-deals")
+    roots = components(first, scratch, f"{name}-star")
+    state = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    state = scratch.keep(state, f"{name}-state")
+    by_root = state.groupBy("group", "root").agg(F.count("*").alias("c"))
+    main = by_root.groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("c"))
+    main = scratch.keep(main.where("c < n").select("group", "main", (F.col("n") - F.col("c")).alias("others"), "n"), f"{name}-main")
+    if main.isEmpty():
+        return first, False
+    state = state.join(main, "group")
+    # as many blocks of stragglers as their share of the group's, and twice the group's own, so that two fit in a unit
+    state = state.withColumn("theirs", F.ceil(2.2 * F.col("blocks") * F.col("others") / F.col("n")).cast("int")).withColumn("own", F.ceil(2.2 * F.col("blocks")).cast("int"))
+    unit = F.xxhash64("group", "i", "j").alias("unit")
+    away = state.where("root <> main").withColumn("i", F.pmod(F.xxhash64("key", F.lit(3)), F.col("theirs")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    every = state.withColumn("j", F.pmod(F.xxhash64("key", F.lit(4)), F.col("own")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+    units = away.select(unit, F.lit(0).alias("part"), "key", "root").unionByName(every.select(unit, F.lit(1).alias("part"), "key", "root"))
+    return first.unionByName(scratch.keep(run(units), f"{name}-rest")), False
+
+
 def block_pairs(rows: DataFrame, limit: int) -> DataFrame:
     """Units of at most about ``limit`` rows for rows (group, key, n: rows of the group): unit and part.
 
