@@ -1,8 +1,9 @@
 """Operator 7: SentencePiece encoding and decoding that keeps offsets.
 
 A text is normalised by the longest prefix found in the model's compiled character map, while the place
-in the original bytes is noted for every normalised byte. Pieces are then projected to original byte spans.
-The normalised text is encoded by the sentencepiece library, with the model's own normaliser switched off.
+in the original bytes is noted for every normalised byte; where no entry can begin the bytes stay as they are, and a model
+without a map is one without entries. Pieces are then projected to original byte spans. The normalised text is encoded by
+the sentencepiece library, with the model's own normaliser switched off. Every text goes this one way.
 
 Where no vocabulary entry has a space mark after another character, no merge crosses from one word to the
 next, so the ids of a text are those of its words one after another. Each worker then keeps the ids of the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import slices, text_of
 
 MARK = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 class CharMap:
@@ -38,6 +39,11 @@ class CharMap:
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
         self.texts = blob[4 + size :]
 
+    def first_bytes(self) -> set[int]:
+        """Bytes with which an entry can begin."""
+        root = self.units[0] >> 10 << ((self.units[0] & 0x200) >> 6)
+        return {c for c in range(1, 256) if root ^ c < len(self.units) and self.units[root ^ c] & 0x800000FF == c}
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest entry that ``data`` has at ``at``, and what replaces it."""
         units, found = self.units, None
@@ -72,94 +78,100 @@ class Codec:
         kind = proto.ModelProto.SentencePiece
         own = sorted((p.piece.encode() for p in model.pieces if p.type == kind.USER_DEFINED), key=len, reverse=True)
         self.own = re.compile(b"|".join(map(re.escape, own))) if own else None
+        first = (self.map.first_bytes() if self.map else set()) | {p[0] for p in own}
+        #: Where something other than a plain character can begin.
+        self.starts = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in sorted(first)) + b"]") if first else None
         model.normalizer_spec.CopyFrom(proto.NormalizerSpec(name="identity", add_dummy_prefix=False, remove_extra_whitespaces=False, escape_whitespaces=False))
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.begin, self.end, self.unk = self.outer.bos_id(), self.outer.eos_id(), self.outer.unk_id()
         pieces = [p.piece for p in model.pieces]
         # without the fast way below whole texts are encoded
         self.by_word = model.trainer_spec.model_type == proto.TrainerSpec.BPE and self.escape and not self.suffix and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.plain = self.by_word and self.map is None and self.own is None and self.dummy and not self.squeeze
-        self.bytes_of = [1 if p.type == kind.BYTE else len(p.piece.encode()) for p in model.pieces]
-        #: Original bytes of each piece where a mark stands for one space.
-        self.shown = np.array([n - 2 * (p.piece.count(MARK) if p.type != kind.BYTE else 0) for n, p in zip(self.bytes_of, model.pieces, strict=True)], np.uint32)
+        self.bytes_of = np.array([1 if p.type == kind.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.cache: dict[str, bytes] = {}
 
+    def mapped(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """The bytes after the map and, for each of them, its place in ``data``."""
+        if not self.starts:
+            return data, np.arange(len(data))
+        out, at, done = [], [], 0
+        for m in self.starts.finditer(data):
+            k = m.start()
+            if k < done:
+                continue
+            own = self.own and self.own.match(data, k)
+            found = (own.end() - k, own[0]) if own else self.map and self.map.longest(data, k)
+            if found:
+                out += data[done:k], found[1]
+                at += np.arange(done, k), np.full(len(found[1]), k)
+                done = k + found[0]
+        return b"".join([*out, data[done:]]), np.concatenate([*at, np.arange(done, len(data))])
+
     def normalised(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes and, for each of them and for the end, the place in the original bytes."""
-        data, out, at, k = text.encode(), bytearray(), [], 0
-        while k < len(data):
-            own = self.own and self.own.match(data, k)
-            if own:
-                n, new = own.end() - k, own[0]
-            else:
-                n = 1 if data[k] < 0x80 else 2 if data[k] < 0xE0 else 3 if data[k] < 0xF0 else 4
-                n, new = (self.map and self.map.longest(data, k)) or (n, data[k : k + n])
-            out += new
-            at += [k] * len(new)
-            k += n
-        if self.squeeze:
-            keep = [j for j, b in enumerate(out) if b != 32 or (j and out[j - 1] != 32)]
-            out, at = bytearray(out[j] for j in keep), [at[j] for j in keep]
+        data = text.encode()
+        end = len(data)
+        out, at = self.mapped(data)
+        if self.squeeze and out:
+            space = np.frombuffer(out, np.uint8) == 32
+            keep = ~space
+            keep[1:] |= ~space[:-1]
+            out, at = np.frombuffer(out, np.uint8)[keep].tobytes(), at[keep]
             if out[-1:] == b" ":
-                k = at.pop()
-                out.pop()
+                out, at, end = out[:-1], at[:-1], int(at[-1])
         if self.dummy and out:
-            out, at = (out + b" ", [*at, k]) if self.suffix else (bytearray(b" ") + out, [at[0], *at])
+            out, at = (out + b" ", np.append(at, end)) if self.suffix else (b" " + out, np.append(at[:1], at))
         if self.escape:
-            at = [p for p, b in zip(at, out, strict=True) for _ in range(3 if b == 32 else 1)]
+            at = np.repeat(at, np.where(np.frombuffer(out, np.uint8) == 32, 3, 1))
             out = out.replace(b" ", MARK.encode())
-        return bytes(out), np.array([*at, k], np.int64)
-
-    def _ids(self, text: str) -> bytes:
-        """Ids of a normalised text, four little-endian bytes each."""
-        if not self.by_word:
-            return np.array(self.inner.encode(text), "<u4").tobytes()
-        head, *words = text.split(MARK) if f"{MARK}{MARK}" not in text and not text.endswith(MARK) else ("", *re.findall(f"{MARK}({MARK}*[^{MARK}]*)", text)) if text[0] == MARK else re.findall(f"^[^{MARK}]+|(?<={MARK}){MARK}*[^{MARK}]*", text)
-        return (np.array(self.inner.encode(head), "<u4").tobytes() if head else b"") + self._words([words])[0]
+        return out, np.append(at, end)
 
     def _words(self, texts: list[list[str]]) -> list[bytes]:
         """Joined ids of the words of each text; a mark goes before each word."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for words in texts for w in words if w not in cache})
+        new = list(set().union(*texts).difference(cache))
         for w, ids in zip(new, self.inner.encode([MARK + w for w in new], num_threads=1), strict=True):
             cache[w] = array("I", ids).tobytes()
         return [b"".join(map(cache.__getitem__, words)) for words in texts]
 
+    def _bodies(self, texts: list[str]) -> list[bytes]:
+        """Ids of each normalised text, four little-endian bytes each."""
+        if not self.by_word:
+            return [np.array(self.inner.encode(t), "<u4").tobytes() if t else b"" for t in texts]
+        heads, words = [], []
+        for t in texts:
+            # a word has the marks before its last one
+            head, *rest = t.split(MARK) if f"{MARK}{MARK}" not in t and not t.endswith(MARK) else ("", *re.findall(f"{MARK}({MARK}*[^{MARK}]*)", t)) if t[0] == MARK else re.findall(f"^[^{MARK}]+|(?<={MARK}){MARK}*[^{MARK}]*", t)
+            heads.append(np.array(self.inner.encode(head), "<u4").tobytes() if head else b"")
+            words.append(rest)
+        return [h + w for h, w in zip(heads, self._words(words), strict=True)]
+
+    def aligned(self, texts: list[str]) -> list[tuple[np.ndarray, bytes, np.ndarray]]:
+        """For each text its ids with begin and end id, the normalised bytes and their places."""
+        norms = [self.normalised(x) for x in texts]
+        ends = [np.array([i] if i >= 0 else [], "<u4").tobytes() for i in (self.begin, self.end)]
+        bodies = self._bodies([n.decode() for n, _ in norms])
+        return [(np.frombuffer(ends[0] + b + ends[1], "<u4"), *n) for b, n in zip(bodies, norms, strict=True)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with begin and end id."""
-        if self.plain:
-            words = [x.split(" ") if x and MARK not in x else [] for x in texts]
-            easy = [bool(w) and "" not in w for w in words]
-            joined = iter(self._words([w for w, e in zip(words, easy, strict=True) if e]))
-            body = [next(joined) if e else self._ids(MARK + x.replace(" ", MARK)) if x else b"" for x, e in zip(texts, easy, strict=True)]
-        else:
-            body = [self._ids(n) if (n := self.normalised(x)[0].decode()) else b"" for x in texts]
-        ends = [np.array([i] if i >= 0 else [], "<u4").tobytes() for i in (self.begin, self.end)]
-        return [np.frombuffer(ends[0] + b + ends[1], "<u4") for b in body]
+        return [ids for ids, _, _ in self.aligned(texts)]
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, ids: np.ndarray, norm: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of every piece in the original bytes; begin and end id are empty spans."""
         head, tail = int(self.begin >= 0), int(self.end >= 0)
         body = ids[head : len(ids) - tail]
-        if self.plain and MARK not in text and self.unk not in body:
-            ends = np.cumsum(self.shown[body], dtype=np.int64) - 1
-            begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            begins[:1] = 0
-            last = int(ends[-1]) if len(ends) else 0
-        else:
-            norm, at = self.normalised(text)
-            if self.unk in body:
-                found = self.inner.encode(norm.decode(), out_type="immutable_proto").pieces
-                n = np.array([len(p.surface.encode()) or self.bytes_of[p.id] for p in found], np.int64)
-                if n.sum() != len(norm):  # bytes of one character are told as one surface and empty ones
-                    n = np.array([self.bytes_of[p.id] if p.id != self.unk else len(p.surface.encode()) for p in found], np.int64)
-            else:
-                n = np.array([self.bytes_of[i] for i in body], np.int64)
-            stop = np.cumsum(n)
-            begins, ends, last = at[stop - n], at[stop], int(at[-1])
-        return np.concatenate([np.zeros(head, np.int64), begins, np.full(tail, last)]), np.concatenate([np.zeros(head, np.int64), ends, np.full(tail, last)])
+        n = self.bytes_of[body]
+        if (body == self.unk).any():
+            found = self.inner.encode(norm.decode(), out_type="immutable_proto").pieces
+            n = np.array([len(p.surface.encode()) or self.bytes_of[p.id] for p in found], np.int64)
+            if n.sum() != len(norm):  # bytes of one character are told as one surface and empty ones
+                n = np.array([self.bytes_of[p.id] if p.id != self.unk else len(p.surface.encode()) for p in found], np.int64)
+        stop = np.cumsum(n)
+        last = at[-1:]
+        return np.concatenate([at[:1][:head] * 0, at[stop - n], last[:tail]]), np.concatenate([at[:1][:head] * 0, at[stop], last[:tail]])
 
 
 _CODECS: dict[str, Codec] = {}
@@ -181,14 +193,16 @@ COLUMNS = {
     "ids_sha256": "string",
     "decoded_sha256": "string",
     "covered_bytes": "long",
+    "spans_sha256": "string",
 }
 
 
 def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids", "begins", "ends"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id with the chosen ``COLUMNS`` of its encoded text.
 
-    begins and ends are the byte spans in the original text, decoded is the library's decode(ids), and covered_bytes
-    the end of the last span. A narrow stage: no shuffle, and memory for a slice of a batch only.
+    begins and ends are the byte spans in the original text, covered_bytes is the end of the last span, spans_sha256 the
+    digest of all begins and then all ends (little-endian, 64 bits), and decoded the library's decode(ids). A narrow stage:
+    no shuffle, and memory for a slice of a batch only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +214,9 @@ def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *rows(c, texts.slice(a, b - a).to_pylist())], names=[id_col, *columns])
 
     def rows(c: Codec, texts: list[str]) -> list[pa.Array]:
-        ids = c.encode(texts)
-        spans = [c.spans(x, i) for x, i in zip(texts, ids, strict=True)] if {"begins", "ends", "covered_bytes"} & {*columns} else []
+        found = c.aligned(texts)
+        ids = [f[0] for f in found]
+        spans = [c.spans(*f) for f in found] if {"begins", "ends", "covered_bytes", "spans_sha256"} & {*columns} else []
         decoded = [c.outer.decode(i.tolist()) for i in ids] if {"decoded", "decoded_sha256"} & {*columns} else []
         made = {
             "ids": lambda: pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())),
@@ -212,6 +227,7 @@ def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids",
             "ids_sha256": lambda: pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
             "decoded_sha256": lambda: pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
             "covered_bytes": lambda: pa.array([int(s[1].max(initial=0)) for s in spans], pa.int64()),
+            "spans_sha256": lambda: pa.array([hashlib.sha256(np.concatenate(s).astype("<i8").tobytes()).hexdigest() for s in spans], pa.string()),
         }
         return [made[k]() for k in columns]
 

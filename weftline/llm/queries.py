@@ -57,7 +57,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"))
+    return pieces.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,22 +136,31 @@ capped AS (
   FROM sources WINDOW o AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST)),
 level AS (SELECT arg_min((total - full_words) / w_left, k) AS level FROM capped WHERE (total - full_words) / w_left <= most / w),
 plan AS (
-  SELECT source, source_size, target, base, target / source_size - base AS p, target - base * source_size AS rest FROM (
+  SELECT source, source_size, target, base, target - base * source_size AS rest FROM (
     SELECT *, floor(target / source_size) AS base FROM (
       SELECT source, source_size, coalesce(least(most, w * level), most) AS target FROM capped, level))),
-q AS (
-  SELECT d.*, source_size, target, coalesce(base, 0) AS base, p, rest, CASE WHEN p > 0 THEN (u * (1 - p)) / ((1 - u) * p) END AS q
-  FROM docs d JOIN plan s ON d.source IS NOT DISTINCT FROM s.source),
-p0 AS (SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, name, size) <= rest AS in0 FROM q),
-r0 AS (SELECT *, rest - sum(CASE WHEN in0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest1 FROM p0),
-p1 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest1 AS in1 FROM (SELECT *, p > 0 AND NOT in0 AND size <= rest1 AS ok FROM r0)),
-r1 AS (SELECT * EXCLUDE (ok), rest1 - sum(CASE WHEN in1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest2 FROM p1),
-p2 AS (SELECT *, ok AND sum(CASE WHEN ok THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, name, size) <= rest2 AS in2 FROM (SELECT *, p > 0 AND NOT in0 AND NOT in1 AND size <= rest2 AS ok FROM r1)),
-r2 AS (SELECT *, rest2 - sum(CASE WHEN in2 THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest3, count(*) OVER (PARTITION BY source, q, name, size) AS alike FROM p2),
-ends AS (SELECT *, p > 0 AND NOT in0 AND NOT in1 AND NOT in2 AND abs(alike * size - rest3) < rest3 AS may FROM r2),
-extra AS (SELECT source, arg_min({{'q': q, 'name': name, 'size': size}}, {{'off': abs(alike * size - rest3), 'q': q, 'name': name, 'size': size}}) AS x FROM ends WHERE may GROUP BY source)
-SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN in0 OR in1 OR in2 OR may AND x.q = q AND x.name = name AND x.size = size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM ends e LEFT JOIN extra ON e.source IS NOT DISTINCT FROM extra.source""",
+kinds AS (SELECT source, sqrt(sqrt(sqrt(size::DOUBLE))) AS prior, sum(size) AS words FROM docs WHERE size > 0 GROUP BY source, prior),
+tried AS (
+  SELECT k.source, prior, (rest - coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY prior DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(words * prior) OVER (PARTITION BY k.source ORDER BY prior ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level
+  FROM kinds k JOIN plan s ON k.source IS NOT DISTINCT FROM s.source),
+levels AS (SELECT source, arg_max(level, prior) AS level FROM tried WHERE level * prior <= 1 GROUP BY source),
+chances AS (
+  SELECT d.*, source_size, target, coalesce(base, 0) AS base, rest,
+    CASE WHEN rest > 0 AND size > 0 THEN CASE WHEN level IS NULL THEN 1 ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, level * sqrt(sqrt(sqrt(size::DOUBLE))))) END ELSE 0 END AS p
+  FROM docs d JOIN plan s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN levels l ON d.source IS NOT DISTINCT FROM l.source),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u * (1 - p)) / ((1 - u) * p) END AS q FROM chances),
+cut AS (
+  SELECT *, p >= 1 OR p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY p > 0 DESC, q, name, size) <= rest AS taken FROM q),
+gaps AS (SELECT *, rest - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM cut),
+near AS (
+  SELECT source, arg_min({{'q': q, 'name': name, 'size': size}}, {{'off': abs(size - gap), 'q': q, 'name': name, 'size': size}}) AS x
+  FROM gaps WHERE p > 0 AND NOT taken AND abs(size - gap) < gap GROUP BY source),
+extra AS (
+  SELECT g.source, x FROM gaps g JOIN near n ON g.source IS NOT DISTINCT FROM n.source AND name = x.name AND size = x.size
+  GROUP BY g.source, x HAVING abs(count(*) * any_value(size) - any_value(gap)) < any_value(gap))
+SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN taken OR p > 0 AND x.q = q AND x.name = name AND x.size = size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM gaps e LEFT JOIN extra ON e.source IS NOT DISTINCT FROM extra.source""",
     "op5_shingles": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
