@@ -4,10 +4,14 @@ Every archive starts with a skippable Zstandard frame that holds a dictionary tr
 then every record is a frame of its own, compressed with the dictionary. Of records with equal payloads that with the
 largest page id is the response, the others are revisits that refer to it and carry no payload.
 
-A task holds one archive's records (``ROLL_BYTES`` of payload, or one larger record) and writes it under a name of its
+A task holds one archive's records (``ROLL_BYTES`` of records, or one larger record) and writes it under a name of its
 own in the shared folder; the manifest lists the archives of the tasks that succeeded, so files that a lost task left
-are never read. Payloads cross the network once, to meet their group's response; the hot group of equal payloads is
-split by the engine's skew join.
+are never read. Digests are taken by the engine, and only ids and digests are shuffled to find each group's response, dealt
+to ``SALTS`` parts of a digest so that a hot group is not one task's. What comes back is a row per revisit; where these are
+counted to be few, payloads stay where they are, else they cross the network once.
+
+The dictionary is trained on at most ``TRAIN_BYTES`` of an archive's records, the first 128 kB of each; it shapes compression
+only. Where there are fewer than 16 records to train on, their bytes themselves are the dictionary.
 
 Defined results: null html is the empty payload; null url gives no target header. Rows that share the winning page id
 are all responses; a null id never wins over another, and a group of null ids only is all responses. An empty table
@@ -23,12 +27,12 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, few
 
-ROLL_BYTES, TRAIN_BYTES, DICT_BYTES, LEVEL = 16 << 20, 2 << 20, 64 << 10, 3
+ROLL_BYTES, TRAIN_BYTES, DICT_BYTES, LEVEL, SALTS = 16 << 20, 2 << 20, 64 << 10, 3, 16
 DATE = "1970-01-01T00:00:00Z"
 SKIPPABLE = 0x184D2A5D.to_bytes(4, "little")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -45,7 +49,11 @@ def open_store(uri: str):
 
 
 def digest_of(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+    return shown(hashlib.sha1(payload, usedforsecurity=False).digest())
+
+
+def shown(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
 
 
 def record(page: int | None, url: str | None, payload: bytes, length: int, digest: str, refers: int | None, revisit: bool) -> bytes:
@@ -121,22 +129,34 @@ def unpack(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         left = left[need:]
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, length, digest, revisit, refers_to; payload is null for revisits."""
+def decisions(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
+    """page_id, digest and winner of every page that revisits another, each once."""
+    each = scratch.keep(pages.select("page_id", _digest().alias("digest"), _length().alias("length")), "digests")
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))
+    part = each.groupBy("digest", salt.alias("salt")).agg(F.max("page_id").alias("winner"), F.count("*").alias("n"))
+    winner = part.groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    winner = winner.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # of a group only the rows that aren't the winner are told: a table of the revisits, not of the pages
+    again = each.where(F.col("length") >= least_bytes).select("page_id", "digest", salt.alias("salt")).distinct()
+    met = again.join(winner, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("winner")))
+    return scratch.keep(met.select("page_id", "digest", "winner"), "revisits")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = [(x or "").encode() for x in batch.column("html").to_pylist()]
-            made = [batch.column("page_id"), batch.column("url"), pa.array(payloads, pa.binary()), pa.array(map(len, payloads), pa.int64()), pa.array(map(digest_of, payloads), pa.string())]
-            yield pa.RecordBatch.from_arrays(made, names=["page_id", "url", "payload", "length", "digest"])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, payload binary, length long, digest string")
-    winners = rows.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("winner"))
-    joined = rows.join(winners, F.col("digest") == F.col("d"))
-    revisit = (F.col("length") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    joined = joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("winner")))
-    return joined.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))).select("page_id", "url", "payload", "length", "digest", "revisit", "refers_to")
+def _digest() -> Column:
+    return F.unhex(F.sha1(F.coalesce("html", F.lit(""))))
+
+
+def _length() -> Column:
+    return F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
+
+
+def plan_records(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, payload, length, digest, revisit, refers_to; payload is null for revisits."""
+    again = decisions(pages, scratch, least_bytes).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "winner", F.lit(True).alias("revisit"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", _digest()).withColumn("length", _length())
+    out = rows.join(F.broadcast(again) if few(again) else again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    out = out.withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+    return out.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("payload"), "length", "digest", "revisit", F.col("winner").alias("refers_to"))
 
 
 def write(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -147,27 +167,29 @@ def write(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, roll_bytes:
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
         held: list[bytes] = []
-        size = 0
+        size = payloads = 0
 
         def flush() -> pa.RecordBatch:
             data, name = pack(held), f"{uuid.uuid4().hex}.warc.zst"
             with store.open_output_stream(f"{path}/{name}.part", compression=None) as out:
                 out.write(data)
             store.move(f"{path}/{name}.part", f"{path}/{name}")
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [len(held)], "payload_bytes": [size], "archive_bytes": [len(data)]})
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [len(held)], "payload_bytes": [payloads], "archive_bytes": [len(data)]})
 
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                held.append(record(r["page_id"], r["url"], r["payload"] or b"", r["length"], r["digest"], r["refers_to"], r["revisit"]))
-                size += len(r["payload"] or b"")
+                payload = (r["payload"] or "").encode()
+                held.append(record(r["page_id"], r["url"], payload, r["length"], shown(r["digest"]), r["refers_to"], r["revisit"]))
+                size += len(held[-1])  # a revisit without payload takes room too
+                payloads += len(payload)
                 if size >= roll_bytes:
                     yield flush()
-                    held, size = [], 0
+                    held, size, payloads = [], 0, 0
         if held:
             yield flush()
 
-    return scratch.keep(plan_records(pages, least_bytes).mapInArrow(run, "path string, records long, payload_bytes long, archive_bytes long"), "manifest")
+    return scratch.keep(plan_records(pages, scratch, least_bytes).mapInArrow(run, "path string, records long, payload_bytes long, archive_bytes long"), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
