@@ -69,6 +69,9 @@ def test_vectors(spark, scratch):
     alone = [(i, 0, i, True) for i in (7, 8, 10, 11, 12, 13, 14, 16)]
     assert got == sorted(linked + alone, key=str)
     assert vectors.dedup(df.limit(0), scratch).count() == 0
+    # different vectors with one hash are different classes
+    same = vectors.dedup(df, Scratch(spark, "t"), hash_of=lambda v: F.lit(1).cast("long"))
+    assert sorted(map(str, same.collect())) == sorted(map(str, vectors.dedup(df, Scratch(spark, "t")).collect()))
 
 
 def brute_vectors(x, threshold):
@@ -126,6 +129,11 @@ def test_long_conversation_is_merged_across_chunks(spark):
     df = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     r = chat.digests(chat.read_back(chat.format_chat(df))).first()
     want = "".join(f"user\n{i}\n" for i in range(3000))
+    long = "a very [INST] long </s> turn " * 100_000
+    df2 = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r2 = chat.digests(chat.read_back(chat.format_chat(df2))).first()
+    assert (r2.loss_chars, r2.loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
+    assert r2.turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n".encode()).hexdigest()
     assert (r.n_turns, r.n_blocks, r.loss_chars) == (3000, 1, 0) and r.turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
@@ -160,6 +168,23 @@ def test_mix_prior_changes_the_odds(spark):
     assert a > 0.85 and b < 0.15
 
 
+def test_mix_includes_documents_as_often_as_their_probability_says(spark):
+    """Over many seeds, by tenth of the sizes: the share that is sampled is the mean inclusion probability, which grows with the size."""
+    rng = np.random.default_rng(2)
+    size = np.maximum(1, rng.lognormal(4, 1.3, 1500).astype(int))
+    docs = spark.createDataFrame([(i, "w " * int(n), f"s{i % 2}") for i, n in enumerate(size)], "doc_id long, text string, source string").cache()
+    hits, p = np.zeros(len(size)), np.zeros(len(size))
+    for seed in range(4):
+        rows = mix.sized(docs, f"seed {seed}")
+        plan = mix.allocate(rows, Scratch(spark, "t"), weights=(1, 1), share=0.5)
+        for r in mix.ranked(mix.with_plan(rows, plan)).select("doc_id", "p", mix.sampled().alias("in")).collect():
+            hits[r.doc_id] += r["in"] / 4
+            p[r.doc_id] = r.p
+    tenths = np.array_split(np.argsort(size, kind="stable"), 10)
+    got, want = (np.array([x[t].mean() for t in tenths]) for x in (hits, p))
+    assert (np.diff(want) > 0).all() and want[-1] > 1.5 * want[0] and abs(got - want).max() < 0.06
+
+
 # --- 4 and 7
 
 
@@ -169,16 +194,64 @@ def test_permutation(n):
     assert sorted(p) == list(range(n)) and (shards.permute(p, n, back=True) == np.arange(n)).all()
 
 
+def shard_rows(index):
+    return sorted((r.slot, r.shard, r.byte_offset, r.n_tokens, r.doc_ids, bytes(r.tokens)) for r in shards.read(index).collect())
+
+
 def test_shards(spark, docs, scratch):
     index = shards.write(docs, q.model_path(), scratch, length=64, shard_slots=100)
-    got = shards.read(index)
+    got = shard_rows(index)
     tokens = pieces.encode(docs, q.model_path(), ("n_tokens",)).agg(F.sum("n_tokens")).first()[0]
-    assert got.agg(F.sum("n_tokens")).first()[0] == tokens and got.select("slot").distinct().count() == index.count()
-    again = shards.write(docs, q.model_path(), Scratch(spark, "t"), folder=scratch.path("shards"), length=64, shard_slots=100, resume=True)
-    assert sorted(map(str, shards.read(again).collect())) == sorted(map(str, got.collect()))
+    assert sum(r[3] for r in got) == tokens and [r[0] for r in got] == list(range(-(-tokens // 64)))
+    assert {r[1] for r in got} == set(range(-(-len(got) // 100))) and all(r[2] == r[0] % 100 * 128 for r in got)
+    # neither partitions nor the order of rows matter
+    other = shards.write(docs.orderBy(F.rand(3)).repartition(7), q.model_path(), Scratch(spark, "t"), length=64, shard_slots=100)
+    assert shard_rows(other) == got
     assert shards.read(shards.write(docs.limit(0), q.model_path(), Scratch(spark, "t"))).count() == 0
 
 
+def test_shards_resume_only_the_same_job(spark, docs, scratch):
+    import os
+
+    def run(docs=docs, resume=True, **other):
+        return shards.write(docs, q.model_path(), scratch, folder=scratch.path("job"), **({"length": 64, "shard_slots": 100} | other), resume=resume)
+
+    files = lambda: {f: os.stat(f"{home}/{f}").st_mtime_ns for f in os.listdir(home) if f.endswith(".bin")}
+    got, home = shard_rows(run(resume=False)), scratch.path("job/shards").removeprefix("file://")
+    before = files()
+    assert shard_rows(run()) == got and files() == before
+    for bad in ({"key": 5}, {"length": 32}, {"shard_slots": 50}, {"docs": docs.where("doc_id <> 7")}, {"docs": docs.withColumn("text", F.upper("text"))}):
+        with pytest.raises(ValueError, match="other"):
+            run(**bad)
+    with pytest.raises(ValueError, match="already"):
+        run(resume=False)
+    lost = sorted(before)[2]
+    os.remove(f"{home}/{lost}")
+    assert shard_rows(run(docs.repartition(3))) == got
+    assert {f for f, t in files().items() if before[f] != t} == {lost}
+
+
+def test_ids_beyond_16_bits_are_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(pieces.Codec, "encode", lambda self, texts: [np.array([70_000], np.uint32) for _ in texts])
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"id": [1], "text": ["x"]})
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    seen = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, schema: seen.setdefault("fn", fn))
+    shards.encoded(docs, q.model_path())
+    with pytest.raises(ValueError, match="16 bits"):
+        list(seen["fn"]([batch]))
+
+
+def spans_hold_their_pieces(sp, text, ids, begins, ends):
+    """Each piece's own bytes, with spaces for marks, are those of its span; the first mark has none, and a byte piece is its byte."""
+    data = text.encode()
+    for k, (i, b, e) in enumerate(zip(ids[1:-1], begins[1:-1], ends[1:-1], strict=True)):
+        want = bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+        shown = data[b:e].replace("▁".encode(), b" ")
+        # a character of several byte pieces ends where its last one ends
+        assert shown == (want[1:] if k == 0 else want) or sp.is_byte(i) and want in (data[b : b + 4] if k else b" "), (i, b, e, want, shown)
+
+
 def test_pieces(spark, docs):
     import sentencepiece
 
@@ -188,6 +261,7 @@ def test_pieces(spark, docs):
     for r, t in zip(got, text, strict=True):
         assert r.ids == sp.encode(t, add_bos=True, add_eos=True) and r.decoded == sp.decode(r.ids)
         assert r.ends[-1] == len(t.encode()) and all(a <= b for a, b in zip(r.begins, r.ends, strict=True))
+        spans_hold_their_pieces(sp, t, r.ids, r.begins, r.ends)
     assert pieces.encode(docs.limit(0), q.model_path()).count() == 0
 
 
@@ -198,8 +272,10 @@ def test_pieces_of_odd_texts(text):
     sp, c = sentencepiece.SentencePieceProcessor(model_file=q.model_path()), pieces.codec(q.model_path())
     ids = c.encode([text])[0]
     assert ids.tolist() == sp.encode(text, add_bos=True, add_eos=True)
-    b, e = c.spans(text, ids)
+    b, e = c.spans(*c.aligned([text])[0])
     assert e.max() == len(text.encode()) and (b[1:] >= e[:-1]).all()
+    if "\x00" not in text and "<" not in text:
+        spans_hold_their_pieces(sp, text, ids.tolist(), b, e)
 
 
 def test_spans_through_a_character_map(tmp_path):
@@ -217,10 +293,11 @@ def test_spans_through_a_character_map(tmp_path):
     for text in ("ﬁne  ½ ＡＢＣ", " lead and trail ", "été ｶﾞ", "plain", "a　b\n\nc", ""):
         ids = c.encode([text])[0]
         assert ids.tolist() == sp.encode(text, add_bos=True, add_eos=True)
-        b, e = c.spans(text, ids)
+        b, e = c.spans(*c.aligned([text])[0])
         assert len(b) == len(ids) and (e >= b).all() and e.max(initial=0) <= len(text.encode())
-    ids = c.encode(["ﬁ"])[0]
-    assert c.spans("ﬁ", ids)[1].max() == 3
+    assert c.spans(*c.aligned(["ﬁ"])[0])[1].max() == 3
+    ids, norm, at = c.aligned(["a ﬁ  ½"])[0]
+    assert norm.decode() == "▁a▁fi▁1⁄2" and at.tolist() == [0, 0, 0, 0, 1, 1, 1, 2, 2, 5, 5, 5, 7, 7, 7, 7, 7, 9]
 
 
 # --- 5
@@ -264,24 +341,78 @@ def test_repeated_rows_beside_a_near_copy_stay_rows_of_their_own(spark):
 
     base = [f"w{i}" for i in range(80)]
     near_, said = " ".join(base), " ".join([*base, "x"])
-    sets = {t: next(shingles.shingle_sets(*text_of(pa.array([t])))) for t in (near_, said)}
     for order in set(itertools.permutations([near_, said, said])):
-        key = [shingles.key_of(sets[t]) for t in order]
-        sketch = [(shingles.signature(sets[t]) >> np.uint64(56)).astype(np.uint8).tobytes() for t in order]
-        star = [b.to_pydict() for b in shingles.check(pa.table({"unit": [1] * 3, "part": [0] * 3, "key": key, "sketch": sketch, "text": list(order)}))]
+        words = [t.encode().split() for t in order]
+        sets = [next(shingles.shingle_sets(*text_of(pa.array([t])))) for t in order]
+        sketch = [(shingles.signature(x) >> np.uint64(56)).astype(np.uint8).tobytes() for x in sets]
+        key = [len(t) for t in order]
+        star = [b.to_pydict() for b in shingles.check(pa.table({"unit": [1] * 3, "part": [0] * 3, "key": key, "root": key, "sketch": sketch, "digest": [shingles.digest_of(w) for w in words], "text": list(order)}))]
         assert [len(x["a"]) for x in star] == [1] and star[0]["a"] != star[0]["b"]
     for rows in ([(3, near_), (2, said), (2, said)], [(2, said), (2, said), (3, near_)], [(2, said), (3, near_), (2, said), (2, said)]):
         got = shingles.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), Scratch(spark, "t")).collect()
         assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((i, 2, i == 2) for i, _ in rows)
 
 
-def test_large_components_are_checked_by_leaf(spark, monkeypatch):
+def test_words_that_a_polynomial_modulo_a_power_of_two_confuses_stay_apart(spark):
+    """The Thue-Morse word of 1,024 letters and its complement, as documents of one word and within longer ones."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = "".join("ba"[bin(i).count("1") % 2] for i in range(1024))
+    tail = " ".join(f"w{i}" for i in range(8))
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"{tail} {a} {tail}"), (4, f"{tail} {b} {tail}")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.dedup(df, Scratch(spark, "t")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_exact_sets_count_as_sets_of_tuples_do():
+    rng = np.random.default_rng(5)
+    texts = [[b"%d" % x for x in rng.integers(0, 3, n)] for n in (0, 1, 4, 5, 6, 40, 40, 200, 4, 1)]
+    sets = shingles.exact_sets(texts)
+    plain = [{tuple(t)} if 0 < len(t) < 5 else {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    for i, x in enumerate(plain):
+        assert len(sets[i]) == len(x)
+        assert all(len(np.intersect1d(sets[i], sets[j])) == len(x & y) for j, y in enumerate(plain))
+
+
+def test_trees_follow_from_recall_and_depth():
+    few, many = shingles.roots_of(0), shingles.roots_of(shingles.LEVELS)
+    assert len(few) < len(many) and shingles.missed(len(many), shingles.LEVELS) <= 1 - shingles.RECALL < shingles.missed(len(many) - 2, shingles.LEVELS)
+    assert shingles.missed(len(many), 1) < 1e-4
+
+
+def test_recall_at_the_threshold_and_full_depth():
+    """Pairs of sets with a similarity of 0.75 that are branched down all levels: how many meet in no leaf."""
+    rng = np.random.default_rng(9)
+    lost, pairs, levels = 0, 1500, shingles.LEVELS
+    chosen = shingles.roots_of(levels)
+    for _ in range(pairs):
+        x = rng.integers(1, 2**63, 700, dtype=np.uint64)
+        tokens = [(shingles.signature(s) >> np.uint64(56)).astype(np.int64) for s in (x[:600], x[100:])]  # 500 of 700 are common: 0.714
+        same = shingles.signature(x[:600]) == shingles.signature(x[100:])
+        same |= rng.random(len(same)) < (0.75 - 500 / 700) / (1 - 500 / 700)  # as for 0.75
+        nodes = [(t << 8 | p) for t, p in chosen if same[p]]
+        nodes = [int(shingles.mix(np.array([hash((n, int(tokens[0][n & 255]))) & (1 << 63) - 1], np.uint64))[0]) for n in nodes]
+        for _ in range(levels):
+            below = []
+            for node in nodes:
+                draw = int(shingles.mix(np.array([node], np.uint64))[0])
+                first = draw % shingles.TOKENS
+                picks = [first, (first + 1 + (draw >> 32) % (shingles.TOKENS - 1)) % shingles.TOKENS] if (draw >> 20) % 3 < shingles.TWO else [first]
+                below += [int(shingles.mix(np.array([node ^ (p * 0x9E3779B97F4A7C15 & (1 << 64) - 1)], np.uint64))[0]) for p in picks if same[p]]
+            nodes = below
+        lost += not nodes
+    assert lost <= 0.01 * pairs
+
+
+@pytest.mark.parametrize("bound", [{"task_classes": 4}, {"task_bytes": 900}, {"leaf": 5, "levels": 1, "task_classes": 3}])
+def test_large_groups_are_connected_as_small_ones_are(spark, bound):
+    """A crowd that hangs together, a chain that only neighbours link, and strangers among them: in one unit or in many."""
     from tests.llm.test_contracts import brute_components, shingled
 
-    monkeypatch.setattr(shingles, "TASK_CLASSES", 3)
-    base = [f"w{i}" for i in range(80)]
+    base, chain = [f"w{i}" for i in range(80)], [f"v{i}" for i in range(160)]
     rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(20)]
-    got = {r.doc_id: r.component_id for r in shingles.dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    rows += [(20 + i, " ".join(chain[3 * i : 3 * i + 60])) for i in range(30)]
+    rows += [(60, " ".join([*base[:40], *chain[:40]]))]
+    got = {r.doc_id: r.component_id for r in shingles.dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), **bound).collect()}
     assert got == brute_components({k: shingled(t) for k, t in rows})
 
 
@@ -310,6 +441,15 @@ def test_warc(spark, scratch):
     assert warc.read(warc.write(df.limit(0), Scratch(spark, "t"))).count() == 0
 
 
+def test_archives_of_revisits_roll_too(spark, scratch):
+    """A hot payload: one response, all others revisits without payload, which fill archives as well."""
+    df = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit("<p>same</p>").alias("html")).coalesce(1)
+    manifest = warc.write(df, scratch, roll_bytes=100_000).collect()
+    assert sum(r.records for r in manifest) == 3000 and len(manifest) > 8 and max(r.records for r in manifest) < 400
+    got = warc.read(spark.createDataFrame(manifest)).groupBy("record_type", "refers_to").count().collect()
+    assert {tuple(r) for r in got} == {("response", None, 1), ("revisit", 2999, 2999)}
+
+
 def test_archive_starts_with_its_dictionary(tmp_path):
     import io
 
@@ -361,6 +501,21 @@ def test_toxicity_without_labels(spark, docs):
     assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
 
 
+def test_ids_with_two_labels_are_not_learned_from(spark):
+    from weftline.llm.common import bounded_sample, sampled_ids
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)] + [(7, 0), (8, 1), (9, 1), (None, 1), (11, None)], "id long, label int")
+    picked = sampled_ids(labels, 100)
+    assert len(picked) == 200 and not {k for k, _ in picked} & {7, 8} and all(k % 2 == y for k, y in picked)
+    assert picked == sampled_ids(labels.repartition(5), 100)
+    whole = {k for k, _ in sampled_ids(labels, 5000)}
+    assert whole == set(range(3000)) - {7, 8}
+    hot = spark.range(20_000).select(F.lit(5).cast("long").alias("id"), F.lit(1).alias("label")).unionByName(labels.where("label = 1"))
+    assert len([1 for _, y in sampled_ids(hot, 100) if y == 1]) == 100  # an id repeated often doesn't thin out the others
+    docs = spark.createDataFrame([(1, "b" * 10), (1, "a" * 30), (3, None), (5, "c" * 10), (2, "d" * 100)], "doc_id long, text string")
+    assert sorted(bounded_sample(docs, labels, 5000, 80)) == [(1, 1, b"a" * 30), (1, 5, b"c" * 10)]
+
+
 def test_noisy_or_is_the_chance_of_any_sentence(spark):
     t = toxic_table(spark)
     model = toxicity.fit(t.drop("toxic"), t.select("doc_id", "toxic"))
@@ -387,6 +542,19 @@ def test_langid(spark, docs):
     assert langid.predict(docs, model).count() == docs.count() and langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_a_prediction_does_not_depend_on_its_neighbours(spark):
+    import pyarrow as pa
+
+    rows = [(i, w, l) for i, (w, l) in enumerate([("the house of a man", "en"), ("das haus von dem", "de"), ("la maison du bois", "fr")] * 20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    said = ["a", "", "ha", "12 !", "das haus", "É", "x " * 200_000]
+    alone = [model.margins(*text_of(pa.array([t])))[0] for t in said]
+    beside = model.margins(*text_of(pa.array(["zz", *said, "du bois"])))[1:-1]
+    assert np.allclose(alone, beside, atol=1e-6)
+    # what stands between words counts as one space each, and four of them not at all
+    assert np.allclose(model.margins(*text_of(pa.array(["12 34 56 das haus"]))), model.margins(*text_of(pa.array(["     das haus"]))), atol=1e-6)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 12, 60])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)
