@@ -85,14 +85,14 @@ def test_citations_keep_an_apostrophe_within_a_quotation(spark):
     assert list(one(spark, *[text.verified_citation(F.lit(e), said) for e in evidence])) == [True, True, True, False, False]
 
 
-def test_citation_check_all_returns_every_document(spark, duck, tmp_path):
+def test_citation_check_returns_every_document(spark, duck, tmp_path):
     from weftline import plans
 
     said = ["abc", "", None, "and don't stop here now", "a `b` c \"d\" 'e' and more text", "say line 99 is here for you", "say it's so", "x\ny", 'the "long words" are quoted here']
     rows = [(3 * i + k, t) for i, t in enumerate(said) for k in range(3)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = plans.QUERIES["citation_check_all"](spark, str(tmp_path))
-    sql = plans.ORACLE["citation_check_all"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = plans.QUERIES["citation_check"](spark, str(tmp_path))
+    sql = plans.ORACLE["citation_check"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert duck(got, sql) == len(rows)
     cited = {r.doc_id: r.cited for r in got.collect()}
     assert [cited[i] for i in (0, 3, 6, 9, 15, 18)] == [False, False, False, True, True, True]

@@ -61,23 +61,25 @@ def infer_worktree(path: Column, relative: Column) -> Column:
     return F.when(F.endswith(clean, F.concat(F.lit("/"), relative)), F.substring(clean, F.lit(1), F.length(clean) - F.length(relative) - 1))
 
 
-#: Type names that have no fields of their own.
+#: Type names, in lower case, that have no fields of their own.
 SCALARS = [
-    "String", "CharSequence", "char", "Character", "boolean", "Boolean", "byte", "Byte", "short", "Short", "int", "Integer", "long", "Long", "float",
-    "Float", "double", "Double", "BigDecimal", "BigInteger", "Number", "Object", "UUID", "Date", "LocalDate", "LocalDateTime", "LocalTime", "Instant",
-    "OffsetDateTime", "ZonedDateTime",
+    "string", "int", "integer", "long", "double", "float", "boolean", "char", "byte", "short", "bigdecimal", "biginteger", "localdate",
+    "localdatetime", "date", "instant", "uuid", "object",
 ]
 
 
 def collection_element(type_name: Column) -> Column:
     """Element type of List, Set, Collection, ArrayList, LinkedList and arrays; null for other types."""
-    inner = F.regexp_extract(type_name, r"^(?:[\w.]*\.)?(?:List|Set|Collection|ArrayList|LinkedList)\s*<\s*([\w.$]+)\s*>$", 1)
-    array = F.regexp_extract(type_name, r"^([\w.$]+)\s*\[\]$", 1)
-    return F.coalesce(F.nullif(inner, F.lit("")), F.nullif(array, F.lit("")))
+    t = F.trim(type_name)
+    inner = F.regexp_extract(t, r"^(?:java\.util\.)?(?:List|Set|Collection|ArrayList|LinkedList)\s*<\s*([\w.$]+)\s*>$", 1)
+    array = F.when(F.endswith(t, F.lit("[]")), F.trim(F.regexp_replace(t, r"\[\]$", "")))
+    return F.coalesce(F.nullif(inner, F.lit("")), array)
 
 
 def is_scalar_type(type_name: Column) -> Column:
-    return F.coalesce(simple_type_name(F.trim(type_name)).isin(SCALARS), F.lit(True))
+    """Whether a type isn't to be expanded: none, one of the names in any case, alone or as an array, or any generic type."""
+    t = F.trim(type_name)
+    return F.coalesce(F.contains(t, F.lit("<")) | F.lower(F.regexp_replace(t, r"\[\]$", "")).isin(SCALARS), F.lit(True))
 
 
 def decap(name: Column) -> Column:

@@ -26,8 +26,8 @@ def injections(texts: DataFrame, key: str, text: str) -> DataFrame:
     return scan_patterns(texts, key, text, INJECTION)
 
 
-def injection_diagnostics(found: DataFrame, key: str) -> DataFrame:
-    return found.select(F.concat(F.lit("prompt-injection-risk "), F.col(key), F.lit(": "), "why", F.lit(" — "), "excerpt").alias("text"))
+def injection_diagnostics(found: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+    return found.select(*(by or []), F.concat(F.lit("prompt-injection-risk "), F.col(key), F.lit(": "), "why", F.lit(" — "), "excerpt").alias("text"))
 
 
 def quotes_real_code(evidence: Column, text: Column, least: int = 6) -> Column:
@@ -89,3 +89,30 @@ def qualified_calls(code: Column) -> Column:
 def identifiers(code: Column) -> Column:
     """Names that don't follow a dot."""
     return F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?:^|[^\w.])([A-Za-z_]\w*)"), F.lit(1)))
+
+
+#: Steps of an answer's pipeline.
+ANSWER_STEPS = "array<struct<kind: string, sourceField: string, condition: string, op: string, value: string, targetField: string, summary: string>>"
+
+
+def field_answer(raw: Column) -> Column:
+    """A model's answer about a field as (recognised, target_field, pipeline, reason); null where it is no JSON object.
+
+    Kinds and operations are lower-cased, summaries trimmed and blank ones left out. A pipeline that is no list is null, and so
+    are a target field and a reason that are no text. Recognised is what a script would take for true: a JSON false, 0, null,
+    an empty text or nothing is false.
+    """
+    body = json_answer(raw)
+    typed = F.from_json(body, "recognized string, pipeline string, targetField string, reason string")
+    quoted = lambda name: F.when(F.regexp(body, F.lit(rf'"{name}"\s*:\s*"')), F.get_json_object(body, f"$.{name}"))
+    steps = F.from_json(F.when(F.startswith(F.trim(typed["pipeline"]), F.lit("[")), typed["pipeline"]), ANSWER_STEPS)
+    clean = F.transform(steps, lambda s: s.withField("kind", F.lower(F.coalesce(s["kind"], F.lit("")))).withField("op", F.lower(s["op"])).withField("summary", F.nullif(F.trim(s["summary"]), F.lit(""))))
+    known = F.coalesce(~typed["recognized"].isin("false", "0", "", "null"), F.lit(False))
+    answer = F.struct(known.alias("recognised"), quoted("targetField").alias("target_field"), clean.alias("pipeline"), quoted("reason").alias("reason"))
+    return F.when(F.startswith(F.trim(body), F.lit("{")), answer)
+
+
+def statement_offset(source: Column, statement: Column) -> Column:
+    """Where a statement begins in its source, from 0: as it stands, or else its first line; null if neither occurs."""
+    place = lambda t: F.nullif(F.position(t, source), F.lit(0)) - 1
+    return F.coalesce(place(statement), place(F.substring_index(statement, "\n", 1)))

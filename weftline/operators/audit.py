@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from weftline.functions.names import capital, leaf, norm
 from weftline.functions.steps import kinds_of
 from weftline.functions.text import words_in
-from weftline.operators.keyed import fallback_join
 
 #: What a named operation looks like in code.
 OP_EVIDENCE = {
@@ -26,67 +25,111 @@ OP_EVIDENCE = {
 MISS_KINDS = ["possible-missed-write", "unmapped-but-mentioned", "multi-instance-unattributed", "prompt-injection-risk"]
 
 
-def opaque(calls: DataFrame, sites: DataFrame) -> DataFrame:
-    """Calls by a capital name that take a receiver, on lines without a known write. calls: (line, callee, args)."""
-    known = sites.agg(F.collect_set("receiver").alias("receivers"))
-    away = calls.where(F.col("callee").rlike("^[A-Z]")).join(sites.select("line").distinct(), "line", "left_anti")
-    hit = F.exists(F.split("args", r"\s*,\s*"), lambda a: F.array_contains("receivers", F.trim(a)))
-    return away.join(F.broadcast(known), how="cross").where(hit).drop("receivers")
+#: What tells one mapper's rows from another's; calls, lines and writes have the path of their file besides.
+BY = ["mapper_id"]
 
 
-def checklist(fields: DataFrame, sites: DataFrame, escapes: DataFrame | None = None) -> DataFrame:
-    """Every declared field with its writes, by full key or else by leaf, and its state.
+def opaque(calls: DataFrame, sites: DataFrame, by: list[str] = BY, file: str = "path") -> DataFrame:
+    """Calls by a capital name that mention a receiver of their mapper's writes, on lines of their file without a known write.
 
-    Without a write a field is unmapped, or unresolved when any opaque call could write it.
+    calls: (by, file, line, callee, args). Arguments are taken apart into words that are joined with the receivers, so no list
+    of receivers is held anywhere. A call within whose arguments another one stands counts by the inner one only.
     """
-    write = F.struct("line", "via", "in_method")
-    keys = [(norm(F.col("field")), norm(F.col("target_field"))), (norm(leaf(F.col("field"))), norm(leaf(F.col("target_field"))))]
-    out = fallback_join(fields, sites, keys, "field", write, "writes")
-    taint = escapes.agg((F.count("*") > 0).alias("tainted")) if escapes is not None else None
-    out = out.join(F.broadcast(taint), how="cross") if taint is not None else out.withColumn("tainted", F.lit(False))
-    state = F.when(F.col("writes").isNotNull(), "mapped").when(F.col("tainted"), "unresolved").otherwise("unmapped")
-    return out.withColumn("state", state).drop("tainted")
+    known = sites.select(*by, F.col("receiver").alias("_word")).where(~F.contains("_word", F.lit("("))).distinct()
+    away = calls.where(F.col("callee").rlike("^[A-Z]") & ~F.col("args").rlike("[()]")).join(sites.select(*by, file, "line").distinct(), [*by, file, "line"], "left_anti")
+    words = away.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all("args", F.lit(r"\w+"), F.lit(0)))))
+    return words.join(known, [*by, "_word"], "left_semi").drop("_word").distinct()
 
 
-def orphans(fields: DataFrame, sites: DataFrame) -> DataFrame:
-    """Writes whose full key and leaf key are both undeclared."""
-    full, short = fields.select(norm(F.col("field")).alias("_k")).distinct(), fields.select(norm(leaf(F.col("field"))).alias("_k")).distinct()
-    rest = sites.withColumn("_k", norm(F.col("target_field"))).join(full, "_k", "left_anti")
-    return rest.withColumn("_k", norm(leaf(F.col("target_field")))).join(short, "_k", "left_anti").drop("_k")
+def _keyed(fields: DataFrame) -> DataFrame:
+    return fields.withColumn("_full", norm(F.col("field"))).withColumn("_leaf", norm(leaf(F.col("field"), strip_array=False)))
 
 
-def gate(check: DataFrame, orphan_count: Column | int = 0) -> DataFrame:
-    """Counts by state, the mapped share in percent and whether the gate passes: nothing unresolved, no orphan."""
-    n = check.agg(F.count("*").alias("declared"), *[F.count_if(F.col("state") == s).alias(s) for s in ("mapped", "unmapped", "unresolved")])
+def checklist(fields: DataFrame, sites: DataFrame, escapes: DataFrame | None = None, by: list[str] = BY) -> DataFrame:
+    """Every declared field (by, field) with n_writes and its state: mapped, or without a write unmapped, or unresolved when an
+    opaque call of its mapper could write it.
+
+    Writes count under a field's whole key or else, where they are named so, under its leaf. They are counted by key before the
+    join, so a hot key is one number; ``writes`` has the rows.
+    """
+    n = sites.groupBy(*by, norm(F.col("target_field")).alias("_k")).agg(F.count("*").alias("_n"))
+    out = _keyed(fields)
+    for key in ("_full", "_leaf"):
+        out = out.join(n.withColumnRenamed("_k", key).withColumnRenamed("_n", f"_n{key}"), [*by, key], "left")
+    tainted = F.lit(False)
+    if escapes is not None:
+        out = out.join(escapes.select(*by).distinct().withColumn("_tainted", F.lit(True)), by, "left")
+        tainted = F.coalesce("_tainted", F.lit(False))
+    out = out.withColumn("n_writes", F.coalesce("_n_full", "_n_leaf", F.lit(0)).cast("long"))
+    state = F.when(F.col("n_writes") > 0, "mapped").when(tainted, "unresolved").otherwise("unmapped")
+    return out.withColumn("state", state).select(*fields.columns, "n_writes", "state")
+
+
+def writes(fields: DataFrame, sites: DataFrame, by: list[str] = BY) -> DataFrame:
+    """The writes of every declared field as rows (by, field and the site's other columns), by its whole key or else by its leaf."""
+    keyed = _keyed(fields.select(*by, "field"))
+    rows = sites.withColumn("_k", norm(F.col("target_field")))
+    known = rows.select(*by, "_k").distinct()
+    full = keyed.join(known.withColumnRenamed("_k", "_full"), [*by, "_full"], "left_semi").withColumn("_k", F.col("_full"))
+    short = keyed.join(known.withColumnRenamed("_k", "_full"), [*by, "_full"], "left_anti").withColumn("_k", F.col("_leaf"))
+    return full.unionByName(short).drop("_full", "_leaf").join(rows, [*by, "_k"]).drop("_k")
+
+
+def orphans(fields: DataFrame, sites: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Writes whose whole key and leaf are both undeclared in their mapper."""
+    keyed = _keyed(fields)
+    rest = sites.withColumn("_k", norm(F.col("target_field"))).join(keyed.select(*by, F.col("_full").alias("_k")).distinct(), [*by, "_k"], "left_anti")
+    rest = rest.withColumn("_k", norm(leaf(F.col("target_field"), strip_array=False)))
+    return rest.join(keyed.select(*by, F.col("_leaf").alias("_k")).distinct(), [*by, "_k"], "left_anti").drop("_k")
+
+
+def gate(check: DataFrame, orphan: DataFrame | None = None, by: list[str] = BY) -> DataFrame:
+    """By mapper (or, with no ``by``, in all): counts by state, the mapped share in percent and whether the gate passes: nothing
+    unresolved, no orphan write."""
+    n = check.groupBy(*by).agg(F.count("*").alias("declared"), *[F.count_if(F.col("state") == s).alias(s) for s in ("mapped", "unmapped", "unresolved")])
     pct = F.coalesce(F.round(F.try_divide(100.0 * F.col("mapped"), F.col("declared"))), F.lit(0.0)).cast("long")
-    orphan = F.lit(orphan_count) if isinstance(orphan_count, int) else orphan_count
-    return n.withColumn("mapped_pct", pct).withColumn("gate_passed", (F.col("unresolved") == 0) & (orphan == 0))
+    lost = F.lit(0)
+    if orphan is not None:
+        counts = orphan.groupBy(*by).agg(F.count("*").alias("_orphans"))
+        n = n.join(counts, by, "left") if by else n.join(F.broadcast(counts), how="cross")  # without by both sides are one row
+        lost = F.coalesce("_orphans", F.lit(0))
+    return n.withColumn("mapped_pct", pct).withColumn("gate_passed", (F.col("unresolved") == 0) & (lost == 0)).drop("_orphans")
 
 
-def missed_writes(loose: DataFrame, sites: DataFrame) -> DataFrame:
-    """Loose candidates (line, evidence, hint) on no known line that name no known field."""
-    rest = loose.join(sites.select("line").distinct(), "line", "left_anti")
+def missed_writes(loose: DataFrame, sites: DataFrame, by: list[str] = BY, file: str = "path") -> DataFrame:
+    """Loose candidates (by, file, line, evidence, hint) on no known line of their file that name no known field of their mapper."""
+    rest = loose.join(sites.select(*by, file, "line").distinct(), [*by, file, "line"], "left_anti")
     named = norm(F.nullif(F.regexp_extract("evidence", r"\.(?:set|with)([A-Z]\w*)", 1), F.lit("")))
-    known = sites.select(norm(F.col("target_field")).alias("_k")).distinct()
-    return rest.withColumn("_k", named).join(known, "_k", "left_anti").drop("_k")
+    known = sites.select(*by, norm(F.col("target_field")).alias("_k")).distinct()
+    return rest.withColumn("_k", named).join(known, [*by, "_k"], "left_anti").drop("_k")
+
+
+#: Words that may be sent with a plan as a list; counted before.
+FEW_WORDS = 2000
 
 
-def unmapped_mentions(fields: DataFrame, lines: DataFrame) -> DataFrame:
-    """Unmapped fields that the text still names: field, line, evidence by the first of set, get, is, with and bare name.
+def unmapped_mentions(fields: DataFrame, lines: DataFrame, by: list[str] = BY, file: str = "path") -> DataFrame:
+    """Unmapped fields (by, field) that their mapper's text still names: by, field, path, line, evidence by the first of set,
+    get, is, with and bare name.
 
-    The words of the lines are exploded once and joined by equality with the forms of the fields.
+    The words of the lines (by, file, line, text, and bare: the text to search, if it is another) are joined by equality with the
+    forms of the fields. Where the forms are counted to be few, all other words go before lines are taken apart.
     """
     short = leaf(F.col("field"), strip_array=False)
     forms = F.array(*[F.struct(F.lit(i).alias("rank"), (F.concat(F.lit(p), capital(short)) if p else short).alias("word")) for i, p in enumerate(["set", "get", "is", "with", ""])])
-    wanted = fields.select("field", F.explode(forms).alias("f")).select("field", "f.rank", "f.word")
-    words = lines.select("line", F.substring(F.trim("text"), 1, 120).alias("evidence"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    hit = wanted.join(words, "word").groupBy("field").agg(F.min(F.struct("rank", "line", "evidence")).alias("h"))
-    return hit.select("field", "h.line", "h.evidence")
+    wanted = fields.select(*by, "field", F.explode(forms).alias("f")).select(*by, "field", "f.rank", "f.word").where("word <> ''")
+    found = F.array_distinct(F.regexp_extract_all(F.col("bare" if "bare" in lines.columns else "text"), F.lit(r"\w+"), F.lit(0)))
+    few = [r[0] for r in wanted.select("word").distinct().limit(FEW_WORDS + 1).collect()]
+    if len(few) <= FEW_WORDS:
+        found = F.array_intersect(found, F.array(*map(F.lit, few)).cast("array<string>"))
+    words = lines.select(*by, file, "line", F.substring(F.trim("text"), 1, 120).alias("evidence"), F.explode(found).alias("word"))
+    hit = wanted.join(words, [*by, "word"]).groupBy(*by, "field").agg(F.min(F.struct("rank", file, "line", "evidence")).alias("h"))
+    return hit.select(*by, "field", f"h.{file}", "h.line", "h.evidence")
 
 
-def miss_diagnostics(missed: DataFrame, mentions: DataFrame) -> DataFrame:
-    a = missed.select(F.format_string("possible-missed-write line %d (%s): %s", "line", "hint", "evidence").alias("text"))
-    return a.unionByName(mentions.select(F.format_string("unmapped-but-mentioned %s line %d: %s", "field", "line", "evidence").alias("text")))
+def miss_diagnostics(missed: DataFrame, mentions: DataFrame, by: list[str] = BY) -> DataFrame:
+    a = missed.select(*by, F.format_string("possible-missed-write line %d (%s): %s", "line", "hint", "evidence").alias("text"))
+    return a.unionByName(mentions.select(*by, F.format_string("unmapped-but-mentioned %s line %d: %s", "field", "line", "evidence").alias("text")))
 
 
 def classify_misses(diagnostics: DataFrame, fields: DataFrame) -> DataFrame:
@@ -130,6 +173,13 @@ def scores(pipelines: DataFrame, declared: int | Column, bad: DataFrame, sliced:
     return n.select(F.round(F.least(F.lit(1.0), F.col("mapped") / F.greatest(d, F.lit(1))), 4).alias("coverage"), share("bad", "steps").alias("grounding"), share("raw", "steps").alias("specificity"), F.coalesce(F.round(F.try_divide(F.col("sliced").cast("double"), F.col("mapped")), 4), F.lit(1.0)).alias("provenance"))
 
 
+def provenance(mapped: DataFrame, sliced: DataFrame) -> DataFrame:
+    """How many mapped fields (field) there are, how many of them have a slice, and their share."""
+    each = mapped.join(sliced.select("field").distinct().withColumn("_sliced", F.lit(1)), "field", "left")
+    n = each.agg(F.count("*").alias("mapped"), F.count("_sliced").alias("with_slice"))
+    return n.withColumn("provenance", F.coalesce(F.round(F.try_divide(F.col("with_slice").cast("double"), F.col("mapped")), 4), F.lit(1.0)))
+
+
 def smells(closures: DataFrame, pipelines: DataFrame, depth: int = 4, few: int = 2) -> DataFrame:
     """Fields whose helpers (field, helper) are many though their pipeline has one or two steps."""
     deep = closures.groupBy("field").agg(F.countDistinct("helper").alias("closure_depth")).where(F.col("closure_depth") >= depth)
@@ -144,3 +194,8 @@ def cross_check(claims: DataFrame, check: DataFrame, text: Column) -> DataFrame:
     out = claims.withColumn("_k", F.lower("field")).join(state, "_k", "left").drop("_k")
     reason = F.when(F.col("state").isNull(), "unknown field").when(F.col("state") != "unmapped", "not unmapped").when(~verified_citation(F.col("evidence"), text), "no citation")
     return out.withColumn("dropped", reason)
+
+
+def smell_diagnostics(found: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Step smells (by, field, detail) as lines of text."""
+    return found.select(*by, F.concat(F.lit("step-smell "), "field", F.lit(": "), "detail").alias("text"))

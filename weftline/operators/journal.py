@@ -59,10 +59,30 @@ def miss_total(counters: list[str] = MISS_COUNTERS) -> Column:
 
 
 def p95(name: str) -> Column:
-    """Nearest-rank 95th percentile of a column; 0 over no rows."""
+    """Nearest-rank 95th percentile of a column, 0 over no rows, for groups of moderate size; ``p95_by`` for any."""
     return F.coalesce(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {name})"), F.lit(0))
 
 
+def p95_by(rows: DataFrame, by: list[str], name: str, bins: int = 4096) -> DataFrame:
+    """by and p95: the nearest-rank 95th percentile of each group, 0 where it has no value; exact, and no task holds a group's values.
+
+    Equal values are counted first. The counts are summed over bins of a group's range, and only the values of the bin in which
+    the rank falls are ordered.
+    """
+    values = rows.groupBy(*by, F.col(name).cast("double").alias("_v")).agg(F.count(name).alias("_c"))
+    span = values.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    rank = F.greatest(F.ceil(0.95 * F.col("_n")), F.lit(1))
+    at = F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    binned = values.where("_c > 0").join(span, by).withColumn("_bin", F.floor(at * bins).cast("int"))
+    sums = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin"))
+    hit = sums.withColumn("_upto", upto).where((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank))
+    inside = binned.drop("_n").join(hit.select(*by, "_bin", "_n", (F.col("_upto") - F.col("_c")).alias("_before")), [*by, "_bin"])
+    inside = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")))
+    found = inside.where(F.col("_upto") >= rank).groupBy(*by).agg(F.min("_v").alias("p95"))
+    return span.select(*by).join(found, by, "left").withColumn("p95", F.coalesce("p95", F.lit(0.0)))
+
+
 def recent(journal: DataFrame, k: int = 10, by: list[str] | None = None, order: str = "pos") -> DataFrame:
     """The last k rows, newest first. Without groups it is a top-k of the engine."""
     if not by:
@@ -93,3 +113,20 @@ def health(store: DataFrame, statuses: DataFrame) -> DataFrame:
     """Counts of the store's rows and of stale mappers, in one row."""
     one = store.agg(F.count("*").alias("entries"), F.count_if(F.col("status") == "corrected").alias("corrected"), F.count_if(F.col("status") == "pending-review").alias("pending"))
     return one.join(F.broadcast(statuses.agg(F.count_if(F.col("status") == "stale").alias("stale"))), how="cross")
+
+
+def counts(rows: DataFrame, by: str) -> DataFrame:
+    """How many rows there are of each kind."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def mappers_and_runs(journal: DataFrame, by: str = "mapper_id") -> DataFrame:
+    """How many mappers a journal has and how many runs, in one row."""
+    each = journal.groupBy(by).agg(F.count("*").alias("_n"))
+    return each.agg(F.count(by).alias("mappers"), F.coalesce(F.sum("_n"), F.lit(0)).alias("runs"))
+
+
+def provider_counters(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Per run: calls, retries, tokens, latency in all and its 95th percentile, from a table of calls (by, retries, prompt, completion, latency_ms)."""
+    sums = calls.groupBy(*by).agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("retries", "prompt", "completion", "latency_ms")])
+    return sums.join(p95_by(calls, by, "latency_ms").withColumnRenamed("p95", "p95_latency_ms"), by)

@@ -9,27 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fallback_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], id_col: str, value: Column, name: str) -> DataFrame:
-    """Left rows with all ``value``s of right by the first pair of keys that finds any, as the array ``name``.
+def innermost(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, value: str, id_cols: list[str], width: int = 64) -> DataFrame:
+    """Points with ``value`` of the smallest span that holds them; null where none does. Aggregated, so no window sorts a file's points.
 
-    Right is grouped by each key first, so a left row never multiplies.
+    Spans are listed under each stretch of ``width`` places that they touch, and a point looks under its own, so even a file with
+    very many points and spans is joined by equality and in parts. A span of more than 1,000 stretches widens its own: it is
+    listed under stretches of a size that keeps them below that, and points look under each size that occurs.
     """
-    out = left
-    for i, (lk, rk) in enumerate(keys):
-        side = right.groupBy(rk.alias(f"_k{i}")).agg(F.array_sort(F.collect_list(value)).alias(f"_v{i}"))
-        out = out.withColumn(f"_l{i}", lk).join(side, F.col(f"_l{i}") == F.col(f"_k{i}"), "left").drop(f"_l{i}", f"_k{i}")
-    found = [f"_v{i}" for i in range(len(keys))]
-    return out.withColumn(name, F.coalesce(*found)).drop(*found)
-
-
-def innermost(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, value: str, id_cols: list[str]) -> DataFrame:
-    """Points with ``value`` of the smallest span that holds them; null where none does. Aggregated, so no window sorts a file's points."""
-    p, s = points.alias("p"), spans.alias("s")
-    cond = F.col(f"p.{at}").between(F.col(f"s.{start}"), F.col(f"s.{end}"))
+    size = F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start) + 1) / F.lit(1000.0 * width)))).cast("int")
+    step = F.lit(width).cast("long") * F.pow(F.lit(2.0), F.col("_size")).cast("long")
+    s = spans.where(F.col(end) >= F.col(start)).withColumn("_size", size)
+    s = s.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value"), "_size", F.explode(F.sequence(F.floor(F.col(start) / step), F.floor(F.col(end) / step))).alias("_place"))
+    sizes = [r[0] for r in spans.select(size.alias("z")).distinct().collect()] or [0]  # at most 64 numbers
+    p = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("_place", F.floor(F.col(at) / step)).withColumnRenamed("_size", "_z").withColumnRenamed("_place", "_q")
+    cond = (F.col("_z") == F.col("_size")) & (F.col("_q") == F.col("_place")) & F.col(at).between(F.col("_start"), F.col("_end"))
     for c in on:
-        cond = (F.col(f"p.{c}") == F.col(f"s.{c}")) & cond
-    best = F.min(F.when(F.col(f"s.{start}").isNotNull(), F.struct((F.col(f"s.{end}") - F.col(f"s.{start}")).alias("width"), F.col(f"s.{start}").alias("start"), F.col(f"s.{value}").alias("value"))))
-    return p.join(s, cond, "left").groupBy(*[F.col(f"p.{c}").alias(c) for c in id_cols]).agg(best["value"].alias(value))
+        cond = (F.col(c) == F.col(f"_{c}")) & cond
+    best = F.min(F.when(F.col("_start").isNotNull(), F.struct((F.col("_end") - F.col("_start")).alias("width"), F.col("_start").alias("start"), F.col("_value").alias("value"))))
+    return p.join(s, cond, "left").groupBy(*id_cols).agg(best["value"].alias(value))
 
 
 def segments(events: DataFrame, by: list[str], order: list[str], opens: Column) -> DataFrame:
@@ -38,17 +35,47 @@ def segments(events: DataFrame, by: list[str], order: list[str], opens: Column)
     return events.withColumn("segment", F.sum(F.when(opens, 1).otherwise(0)).over(w))
 
 
-def attribute(writes: DataFrame, injections: DataFrame, by: list[str], parent: str) -> DataFrame:
-    """Writes with the parent of the one injection in their segment; with none or several the write is unattributed."""
-    one = injections.groupBy(*by, "segment").agg(F.count("*").alias("_n"), F.min(parent).alias("_p"))
-    out = writes.join(one, [*by, "segment"], "left")
-    return out.withColumn(parent, F.when(F.col("_n") == 1, F.col("_p"))).withColumn("attributed", F.coalesce(F.col("_n") == 1, F.lit(False))).drop("_n", "_p")
+def attribute(writes: DataFrame, injections: DataFrame, by: list[str], parent: str, parents: DataFrame | None = None) -> DataFrame:
+    """Writes with the parents that an injection in their segment names, a row each, and whether the write is attributed: to one.
+
+    A write whose segment names several parents taints each of them; one that no injection names taints all ``parents`` (by,
+    parent) of its key where they are given, else its parent is null.
+    """
+    named = injections.select(*by, "segment", parent).distinct()
+    n = named.groupBy(*by, "segment").agg(F.count("*").alias("_n"))
+    out = writes.join(n, [*by, "segment"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    hit = out.where("_n > 0").join(named, [*by, "segment"])
+    rest = out.where("_n = 0")
+    rest = rest.withColumn(parent, F.lit(None).cast(injections.schema[parent].dataType)) if parents is None else rest.join(parents.select(*by, parent).distinct(), by, "left")
+    return hit.unionByName(rest.select(*hit.columns)).withColumn("attributed", F.col("_n") == 1).drop("_n")
+
+
+def builder_sites(sites: DataFrame, chains: DataFrame, by: list[str], at: str = "line", start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """Sites with every builder chain (by, var, start, end) that is open at them; chains of one key are few, as they are in one file."""
+    c = chains.select(*by, "var", F.col(start).alias("_start"), F.col(end).alias("_end"))
+    return sites.join(c, by).where(F.col(at).between(F.col("_start"), F.col("_end"))).drop("_start", "_end")
 
 
 def touched(mappers: DataFrame, changed: DataFrame, source: str = "source_file", path: str = "path") -> DataFrame:
-    """Mappers whose source is among the changed paths: equal, or one ends with or holds the other."""
-    s, p = F.col(source), F.col(path)
-    return mappers.join(changed.select(path).distinct(), (p == s) | F.endswith(p, F.concat(F.lit("/"), s)) | F.endswith(s, p) | F.contains(p, s), "left_semi")
+    """Mappers whose source is among the changed paths: the path holds the source, or the source ends with the path.
+
+    Both are joins by equality over distinct names: the first k letters of a source, k being the shortest source's length, with
+    every k letters in a row of a path; and every ending of a source with a path.
+    """
+    names = mappers.select(F.col(source).alias("_s")).where("_s is not null").distinct()
+    paths = changed.select(F.col(path).alias("_p")).where("_p is not null").distinct()
+    k = max(1, names.where("_s <> ''").agg(F.min(F.length("_s"))).first()[0] or 1)
+    places = F.sequence(F.lit(1), F.greatest(F.length("_p") - (k - 1), F.lit(1)))
+    grams = paths.withColumn("_k", F.explode(F.array_union(F.array(F.lit("")), F.transform(places, lambda i: F.substr("_p", i, F.lit(k))))))
+    held = names.withColumn("_k", F.substring("_s", 1, k)).join(grams, "_k").where(F.contains("_p", F.col("_s"))).select("_s")
+    ends = names.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))), lambda i: F.expr("_s").substr(i, F.lit(2**31 - 1)))))
+    hit = held.unionByName(ends.join(paths, "_p", "left_semi").select("_s")).distinct()
+    return mappers.join(hit, F.col(source) == F.col("_s"), "left_semi")
+
+
+def changed(mappers: DataFrame, paths: DataFrame, source: str = "source_file", path: str = "path") -> DataFrame:
+    """Mappers whose source is one of the paths, exactly."""
+    return mappers.join(paths.select(F.col(path).alias(source)).distinct(), source, "left_semi")
 
 
 def uncovered(selectors: DataFrame, fields: DataFrame, key: Column, other: Column) -> DataFrame:

@@ -30,13 +30,21 @@ def export_selected(field: Column, selectors: Column) -> Column:
     return (F.size(selectors) == 0) | F.exists(selectors, lambda s: F.contains(F.lower(field), F.lower(F.substring_index(s, ".", -1))))
 
 
-def nested_upsert(slices: DataFrame, extra: DataFrame) -> DataFrame:
-    """Dotted sites (line, target_field) upgrade an undotted one of the same line and leaf; where there is a dotted one it stays."""
-    a = slices.select("line", "target_field", norm(leaf(F.col("target_field"))).alias("_k"))
-    b = extra.groupBy("line", norm(leaf(F.col("target_field"))).alias("_k")).agg(F.min("target_field").alias("_new"))
-    out = a.join(b, ["line", "_k"], "full_outer")
+def nested_upsert(slices: DataFrame, extra: DataFrame, by: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Dotted sites (by, line, target_field) upgrade an undotted one of the same line and leaf; where there is a dotted one it stays.
+
+    Of several new sites of one line and leaf the first by ``order``, or else by name, counts. Other columns of either side are kept.
+    """
+    keys = [*(by or []), "line", "_k"]
+    a = slices.withColumn("_k", norm(leaf(F.col("target_field"))))
+    more = [c for c in extra.columns if c not in (*keys, "target_field") and c in slices.columns]
+    first = F.min(F.struct(*[F.col(order or "target_field").alias("o")], F.col("target_field").alias("name"), *more)).alias("_new")
+    b = extra.withColumn("_k", norm(leaf(F.col("target_field")))).groupBy(*keys).agg(first)
+    out = a.join(b, keys, "full_outer")
     keep = F.col("target_field").isNotNull() & (F.col("_new").isNull() | F.contains("target_field", F.lit(".")))
-    return out.select("line", F.when(keep, F.col("target_field")).otherwise(F.col("_new")).alias("target_field"))
+    rest = [c for c in slices.columns if c not in (*keys, "target_field")]
+    filled = [F.when(F.col("target_field").isNotNull(), F.col(c)).otherwise(F.col(f"_new.{c}") if c in more else F.lit(None)).alias(c) for c in rest]
+    return out.select(*keys[:-1], F.when(keep, F.col("target_field")).otherwise(F.col("_new.name")).alias("target_field"), *filled)
 
 
 def route(fields: DataFrame, slices: DataFrame) -> DataFrame:
@@ -93,10 +101,11 @@ def discovered(claims: DataFrame, confidence: float = 0.6) -> DataFrame:
     return claims.withColumn("_n", n).where("_n = 1").drop("_n").withColumn("confidence", F.lit(confidence))
 
 
-def fallback_checklist(sites: DataFrame) -> DataFrame:
+def fallback_checklist(sites: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A checklist from the writes themselves, for targets without declared fields; it can't show unmapped ones."""
-    n = F.row_number().over(Window.partitionBy(norm(F.col("target_field"))).orderBy("line", "target_field"))
-    return sites.withColumn("_n", n).where("_n = 1").select(F.col("target_field").alias("field"), F.lit("mapped").alias("state"))
+    by = by or []
+    first = sites.groupBy(*by, norm(F.col("target_field")).alias("_k")).agg(F.min(F.struct("line", "target_field")).alias("_f"))
+    return first.select(*by, F.col("_f.target_field").alias("field"), F.lit("mapped").alias("state"))
 
 
 def diverging(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -110,3 +119,28 @@ def critic_findings(findings: DataFrame, slices: DataFrame) -> DataFrame:
     from weftline.functions.text import verified_citation
 
     return findings.join(slices, "field").where(verified_citation(F.col("evidence"), F.col("text"))).drop("text")
+
+
+def label_from_cache(fields: DataFrame, verified: DataFrame, cache: DataFrame, current: DataFrame, selectors: DataFrame | None = None) -> DataFrame:
+    """Fields (mapper_id, field) with a pipeline from what is stored, without a model, and where it is from.
+
+    Verified rows (mapper_id, fingerprint, field, pipeline) of the current fingerprint come first, then cached ones
+    (mapper_id, fingerprint, field, pipeline, updated_at) of it, then those of the newest other fingerprint that has the field. Of
+    selectors (mapper_id, selector) each has to be covered by a field that has a pipeline; else it is an error that names one.
+    """
+    keys = ["mapper_id", "field"]
+    here = current.select("mapper_id", "fingerprint")
+    a = verified.join(here, ["mapper_id", "fingerprint"]).groupBy(*keys).agg(F.first("pipeline").alias("_verified"))
+    b = cache.join(here, ["mapper_id", "fingerprint"]).groupBy(*keys).agg(F.max_by("pipeline", "updated_at").alias("_cache"))
+    rest = cache.join(here, ["mapper_id", "fingerprint"], "left_anti")
+    c = rest.groupBy(*keys).agg(F.max_by("pipeline", F.struct("updated_at", "fingerprint")).alias("_older"))
+    out = fields.join(a, keys, "left").join(b, keys, "left").join(c, keys, "left")
+    names = ["verified", "cache", "older"]
+    out = out.withColumn("pipeline", F.coalesce(*[F.col(f"_{n}") for n in names])).withColumn("source", F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), n) for n in names])).drop(*[f"_{n}" for n in names])
+    if selectors is not None:
+        covered = out.where("pipeline is not null").groupBy("mapper_id").agg(F.collect_set("field").alias("_fields"))  # a mapper's own fields
+        open_ = selectors.join(covered, "mapper_id", "left").where(~F.coalesce(F.exists("_fields", lambda f: matches_selectors(f, F.array("selector"))), F.lit(False)))
+        lost = open_.select("mapper_id", "selector").first()
+        if lost:
+            raise ValueError(f"{lost.mapper_id}: nothing stored covers {lost.selector}")
+    return out

@@ -89,3 +89,23 @@ def collect_fields(steps: DataFrame, by: str) -> DataFrame:
 
 def merge_field_lists(*lists: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
+
+
+def flatten_mapping(mappings: DataFrame, by: str = "pipeline") -> DataFrame:
+    """Steps of grouped mappings (by, target_field, ops: array of steps) as rows in order, each with its target; summaries trimmed, blank ones left out."""
+    rows = mappings.select(by, "target_field", F.posexplode("ops").alias("pos", "step"))
+    out = rows.select(by, F.coalesce("step.target_field" if "target_field" in mappings.schema["ops"].dataType.elementType.names else "target_field", "target_field").alias("target_field"), "pos", *[F.col(f"step.{c}").alias(c) for c in mappings.schema["ops"].dataType.elementType.names if c not in ("target_field", "pos")])
+    return out.withColumn("summary", F.nullif(F.trim("summary"), F.lit(""))) if "summary" in out.columns else out
+
+
+def numbered(rows: DataFrame, order: Column, name: str) -> DataFrame:
+    """Rows with their place, from 1, in a total order: ranges are sorted and numbered where they are, behind the counts of the ranges before."""
+    from weftline.sources.tables import Workspace
+
+    ranged = rows.withColumn("_o", order).repartitionByRange("_o").sortWithinPartitions("_o").drop("_o").withColumn("_id", F.monotonically_increasing_id())
+    kept = Workspace(rows.sparkSession).keep(ranged)
+    part = F.shiftright("_id", 33)
+    sums = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per range
+    out = kept.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.select(*rows.columns, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))

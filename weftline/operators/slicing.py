@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import called_names, identifiers, qualified_calls
@@ -68,42 +68,56 @@ def helpers(texts: DataFrame, methods: DataFrame, depth: int = 5) -> DataFrame:
     return found.select("site", "helper", "full_text", "depth")
 
 
-def guards(files: DataFrame, target: str, language: str = "java") -> DataFrame:
-    """path, line, target_field and control_flow (lines) of every write site."""
+def guards(files: DataFrame, target: str | None = None, language: str = "java") -> DataFrame:
+    """path, target, line, target_field and control_flow (lines) of every write site; files bring their target or share one."""
     from weftline.sources.java import ADAPTERS, control_flow
 
     adapter = ADAPTERS[language]
+    if target is not None:
+        files = files.withColumn("target", F.lit(target))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, text in zip(b["path"], b["text"], strict=True):
+            for path, name, text in zip(b["path"], b["target"], b["text"], strict=True):
                 s = adapter(text or "")
-                for w in s.write_sites(target):
+                for w in s.write_sites(name or ""):
                     start = s.starts[w["line"] - 1]
                     at = text.find(w["statement"].split("\n")[0], start)
-                    rows.append((path, w["line"], w["target_field"], w["statement"], control_flow(s.guards(at if at >= 0 else start))))
-            yield pd.DataFrame(rows, columns=["path", "line", "target_field", "statement", "control_flow"])
+                    rows.append((path, name, w["line"], w["target_field"], w["statement"], control_flow(s.guards(at if at >= 0 else start))))
+            yield pd.DataFrame(rows, columns=["path", "target", "line", "target_field", "statement", "control_flow"])
 
-    return files.select("path", "text").mapInPandas(run, "path string, line int, target_field string, statement string, control_flow array<string>")
+    return files.select("path", "target", "text").mapInPandas(run, "path string, target string, line int, target_field string, statement string, control_flow array<string>")
 
 
-def slices(files: DataFrame, target: str) -> DataFrame:
-    """path, target_field, line, via, helpers (array, nearest first) and slice_text of every write site."""
+def slices(files: DataFrame, target: str | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """path, target, target_field, line, via, in_method, receiver, statement, helpers (array, nearest first) and slice_text of every write site.
+
+    Files (path, text) share one target or bring their own in a column. Helpers are looked up in ``tree`` (path, text), by default
+    the files themselves.
+    """
     from weftline.sources.java import scan
 
     work = Workspace(files.sparkSession)
-    sites = work.keep(scan(files, "write_sites", target).withColumn("site", F.xxhash64("path", "line", "target_field", "statement", "expression")))
-    methods = work.keep(scan(files, "methods"))
-    flow = guards(files, target).select("path", "line", "target_field", "statement", "control_flow").dropDuplicates(["path", "line", "target_field", "statement"])
-    sites = sites.join(flow, ["path", "line", "target_field", "statement"], "left")
+    if target is not None:
+        files = files.withColumn("target", F.lit(target))
+    files = files.select("path", "text", "target").distinct()
+    keys = ["path", "target", "line", "target_field", "statement"]
+    sites = work.keep(scan(files, "write_sites").withColumn("site", F.xxhash64(*keys, "expression")))
+    methods = work.keep(scan(files.select("path", "text").distinct() if tree is None else tree, "methods"))
+    flow = guards(files).dropDuplicates(keys)
+    sites = sites.join(flow, keys, "left")
     defs = trace(sites, local_definitions(methods)).groupBy("site").agg(F.array_sort(F.collect_set("statement")).alias("defs"))
     sites = work.keep(sites.join(defs, "site", "left").withColumn("defs", F.coalesce("defs", F.array().cast("array<string>"))))
     text = F.concat_ws("\n", "expression", "defs", "control_flow")
     near = helpers(sites.select("site", "path", text.alias("text")), methods)
     near = near.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("depth", "helper", "full_text"))).alias("h"))
     out = sites.join(near, "site", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<depth: int, helper: string, full_text: string>>")))
-    head = F.format_string("// write site (line %d, in %s, via %s)", "line", "in_method", "via")
     flowed = F.when(F.size("defs") > 0, F.concat(F.array(F.lit("// local dataflow:")), F.col("defs")))
     told = F.transform("h", lambda h: F.concat(F.lit("\n// helper: "), h["helper"], F.lit("\n"), h["full_text"]))
-    return out.select("path", "target_field", "line", "via", F.transform("h", lambda h: h["helper"]).alias("helpers"), F.concat_ws("\n", head, "control_flow", flowed, "statement", told).alias("slice_text"))
+    return out.select("path", "target", "target_field", "line", "via", "in_method", "receiver", "statement", F.transform("h", lambda h: h["helper"]).alias("helpers"), F.concat_ws("\n", heading(), "control_flow", flowed, "statement", told).alias("slice_text"))
+
+
+def heading() -> Column:
+    """The line that a slice begins with."""
+    return F.format_string("// write site (line %d, in %s, via %s)", "line", "in_method", "via")

@@ -81,11 +81,16 @@ def prune(versions: DataFrame, current: DataFrame, keep: int) -> DataFrame:
 
 
 def drift(mappers: DataFrame, versions: DataFrame) -> DataFrame:
-    """Mappers (mapper_id, fingerprint: null if the source is gone) with their status against stored versions."""
-    grouped = versions.groupBy("mapper_id").agg(F.collect_set("fingerprint").alias("known"), F.sum(F.coalesce("corrections", F.lit(0))).alias("corrections")) if "corrections" in versions.columns else versions.groupBy("mapper_id").agg(F.collect_set("fingerprint").alias("known"))
-    out = mappers.join(grouped, "mapper_id", "left")
-    status = F.when(F.col("fingerprint").isNull(), "unresolvable").when(F.col("known").isNull(), "never-verified").when(F.array_contains("known", F.col("fingerprint")), "current").otherwise("stale")
-    return out.withColumn("status", status).drop("known")
+    """Mappers (mapper_id, fingerprint: null if the source is gone) with their status against stored versions.
+
+    Two joins by equality, with the versions and with the mappers that have any; no list of fingerprints is gathered.
+    """
+    more = [F.sum(F.coalesce("corrections", F.lit(0))).alias("corrections")] if "corrections" in versions.columns else []
+    known = versions.groupBy("mapper_id").agg(F.lit(True).alias("_any"), *more)
+    same = versions.select("mapper_id", "fingerprint").where("fingerprint is not null").distinct().withColumn("_same", F.lit(True))
+    out = mappers.join(known, "mapper_id", "left").join(same, ["mapper_id", "fingerprint"], "left")
+    status = F.when(F.col("fingerprint").isNull(), "unresolvable").when(F.col("_any").isNull(), "never-verified").when(F.col("_same"), "current").otherwise("stale")
+    return out.select(*[c for c in out.columns if c not in ("_any", "_same")], status.alias("status"))
 
 
 def checklist_view(fields: DataFrame, store: DataFrame, cache: DataFrame) -> DataFrame:

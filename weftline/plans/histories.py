@@ -39,7 +39,7 @@ def top_unresolved(spark, sf_dir):
 
 @query("distinct_mappers", "SELECT count(DISTINCT user_id) AS mappers, count(*) AS runs FROM events")
 def distinct_mappers(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("mappers"), F.count("*").alias("runs"))
+    return jr.mappers_and_runs(table(spark, sf_dir, "events"), "user_id")
 
 
 @query("agree_rate", "SELECT doc_id % 10 AS mapper_id, count(*) FILTER (WHERE quality = toxic) AS agrees, count(*) FILTER (WHERE quality <> toxic) AS rejects, round(count(*) FILTER (WHERE quality = toxic) / nullif(count(*), 0)::DOUBLE, 4) AS agree_rate FROM labels GROUP BY 1")
@@ -56,7 +56,7 @@ def miss_total(spark, sf_dir):
 
 @query("p95_latency", f"WITH {JOURNAL_SQL} SELECT mapper_id, coalesce(quantile_disc(latency, 0.95), 0) AS p95 FROM journal GROUP BY mapper_id")
 def p95_latency(spark, sf_dir):
-    return journal(spark, sf_dir).groupBy("mapper_id").agg(jr.p95("latency").alias("p95"))
+    return jr.p95_by(journal(spark, sf_dir), ["mapper_id"], "latency")
 
 
 @query("recent_runs", f"WITH {JOURNAL_SQL} SELECT user_id, pos, recency FROM (SELECT user_id, pos, row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) AS recency FROM journal) WHERE recency <= 10")
@@ -191,7 +191,8 @@ FROM runs r LEFT JOIN latest l ON r.mapper_id = l.mapper_id LEFT JOIN known n ON
 
 def card(spark, sf_dir):
     j = jr.runs(journal(spark, sf_dir), since="2024-01-02").withColumn("mapper", F.col("user_id"))
-    sums = j.groupBy(F.col("user_id").alias("mapper_id")).agg(F.count("*").alias("runs"), jr.total("k"), jr.p95("latency").alias("p95"), F.count_if(F.col("mapper_id") == "error").alias("unresolved"))
+    sums = j.groupBy(F.col("user_id").alias("mapper_id")).agg(F.count("*").alias("runs"), jr.total("k"), F.count_if(F.col("mapper_id") == "error").alias("unresolved"))
+    sums = sums.join(jr.p95_by(j.select(F.col("user_id").alias("mapper_id"), "latency"), ["mapper_id"], "latency"), "mapper_id")
     v = versions(spark, sf_dir)
     latest = so.latest_per(v, "mapper_id", "updated_at", "fingerprint").select("mapper_id", "fingerprint", F.col("status").alias("latest_status"))
     return so.drift(sums.join(latest, "mapper_id", "left"), v.where("status = 'verified'"))

@@ -6,100 +6,116 @@ from pyspark.sql import functions as F
 
 from weftline.operators import audit, keyed
 from weftline.plans.registry import query, table
+from weftline.plans.texts import CITED_SQL
 
-#: Declared: all parts as fields pN. Written: all lineitems, to the part of the next lower multiple of 3, and some to none.
-FIELDS_SQL = "fields AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a.p' ELSE 'p' END || CAST(p_partkey AS VARCHAR) AS field FROM part)"
-SITES_SQL = "sites AS (SELECT CASE WHEN l_partkey % 2 = 0 THEN 'a.P' ELSE 'p' END || CAST(l_partkey - l_partkey % 3 + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS VARCHAR) AS target_field, l_suppkey AS line, l_returnflag AS via, l_linestatus AS in_method FROM lineitem)"
+#: A mapper is a supplier. Declared: the parts it sells. Written: a write for each lineitem, in one of four files, to the part of
+#: the next lower multiple of 3, and some to none; lines repeat in every file.
+PART = "CASE WHEN l_partkey % 2 = 0 THEN 'a.{}' ELSE 'p' END"
+FIELDS_SQL = f"fields AS (SELECT DISTINCT l_suppkey AS mapper_id, {PART.format('p')} || CAST(l_partkey AS VARCHAR) AS field FROM lineitem)"
+SITES_SQL = f"sites AS (SELECT l_suppkey AS mapper_id, 'F' || CAST(l_orderkey % 4 AS VARCHAR) AS path, {PART.format('P')} || CAST(l_partkey - l_partkey % 3 + CASE WHEN l_linenumber = 7 THEN 100000000 ELSE 0 END AS VARCHAR) AS target_field, l_linenumber * 7 AS line, l_returnflag AS via, l_linestatus AS in_method, 'r' || CAST(l_linenumber % 2 AS VARCHAR) AS receiver FROM lineitem)"
 
 
 def fields(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "a.p").otherwise("p"), F.col("p_partkey").cast("string")).alias("field"))
+    l = table(spark, sf_dir, "lineitem")
+    return l.select(F.col("l_suppkey").alias("mapper_id"), F.concat(F.when(F.col("l_partkey") % 2 == 0, "a.p").otherwise("p"), F.col("l_partkey").cast("string")).alias("field")).distinct()
+
+
+def in_file(name: str, of: int = 4) -> F.Column:
+    return F.concat(F.lit("F"), (F.col(name) % of).cast("string"))
 
 
 def sites(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     key = F.col("l_partkey") - F.col("l_partkey") % 3 + F.when(F.col("l_linenumber") == 7, 100_000_000).otherwise(0)
-    return l.select(F.concat(F.when(F.col("l_partkey") % 2 == 0, "a.P").otherwise("p"), key.cast("string")).alias("target_field"), F.col("l_suppkey").alias("line"), F.col("l_returnflag").alias("via"), F.col("l_linestatus").alias("in_method"))
+    target = F.concat(F.when(F.col("l_partkey") % 2 == 0, "a.P").otherwise("p"), key.cast("string"))
+    return l.select(F.col("l_suppkey").alias("mapper_id"), in_file("l_orderkey").alias("path"), target.alias("target_field"), (F.col("l_linenumber") * 7).alias("line"), F.col("l_returnflag").alias("via"), F.col("l_linestatus").alias("in_method"), F.concat(F.lit("r"), (F.col("l_linenumber") % 2).cast("string")).alias("receiver"))
 
 
 KEYED_SQL = f"""WITH {FIELDS_SQL}, {SITES_SQL},
 ks AS (SELECT *, lower(regexp_replace(target_field, '[^a-zA-Z0-9]', '', 'g')) AS fk, lower(regexp_replace(list_last(string_split(target_field, '.')), '[^a-zA-Z0-9]', '', 'g')) AS lk FROM sites),
 kf AS (SELECT *, lower(regexp_replace(field, '[^a-zA-Z0-9]', '', 'g')) AS fk, lower(regexp_replace(list_last(string_split(field, '.')), '[^a-zA-Z0-9]', '', 'g')) AS lk FROM fields),
-f AS (SELECT fk, count(*) AS n FROM ks GROUP BY fk), l AS (SELECT lk, count(*) AS n FROM ks GROUP BY lk),
-checked AS (SELECT field, coalesce(f.n, l.n) AS n_writes FROM kf LEFT JOIN f ON kf.fk = f.fk LEFT JOIN l ON kf.lk = l.lk)"""
+n AS (SELECT mapper_id, fk, count(*) AS n FROM ks GROUP BY mapper_id, fk),
+checked AS (SELECT kf.mapper_id, field, kf.fk, kf.lk, a.n IS NOT NULL AS whole, coalesce(a.n, b.n) AS n_writes FROM kf LEFT JOIN n a ON kf.mapper_id = a.mapper_id AND kf.fk = a.fk LEFT JOIN n b ON kf.mapper_id = b.mapper_id AND kf.lk = b.fk)"""
 
 
-@query("audit_checklist", f"{KEYED_SQL} SELECT field, coalesce(n_writes, 0) AS n_writes, CASE WHEN n_writes IS NULL THEN 'unmapped' ELSE 'mapped' END AS state FROM checked")
+@query("audit_checklist", f"{KEYED_SQL} SELECT mapper_id, field, coalesce(n_writes, 0) AS n_writes, CASE WHEN n_writes IS NULL THEN 'unmapped' ELSE 'mapped' END AS state FROM checked")
 def audit_checklist(spark, sf_dir):
-    c = audit.checklist(fields(spark, sf_dir), sites(spark, sf_dir))
-    return c.select("field", F.coalesce(F.size("writes"), F.lit(0)).cast("long").alias("n_writes"), "state")
+    return audit.checklist(fields(spark, sf_dir), sites(spark, sf_dir))
+
 
+@query("audit_writes", f"{KEYED_SQL} SELECT c.mapper_id, c.field, s.path, s.line, s.via, count(*) AS n FROM checked c JOIN ks s ON c.mapper_id = s.mapper_id AND s.fk = CASE WHEN whole THEN c.fk ELSE c.lk END GROUP BY ALL")
+def audit_writes(spark, sf_dir):
+    """The writes of every field as rows, counted by place."""
+    return audit.writes(fields(spark, sf_dir), sites(spark, sf_dir)).groupBy("mapper_id", "field", "path", "line", "via").agg(F.count("*").alias("n"))
 
-ORPHANS_SQL = "orphan AS (SELECT target_field, line FROM ks WHERE fk NOT IN (SELECT fk FROM kf) AND lk NOT IN (SELECT lk FROM kf))"
 
+ORPHANS_SQL = "orphan AS (SELECT mapper_id, path, target_field, line FROM ks WHERE NOT EXISTS (SELECT 1 FROM kf WHERE kf.mapper_id = ks.mapper_id AND kf.fk = ks.fk) AND NOT EXISTS (SELECT 1 FROM kf WHERE kf.mapper_id = ks.mapper_id AND kf.lk = ks.lk))"
 
-@query("audit_gate", f"{KEYED_SQL}, {ORPHANS_SQL} SELECT count(*) AS declared, count(n_writes) AS mapped, count(*) - count(n_writes) AS unmapped, 0::BIGINT AS unresolved, CAST(round(100.0 * count(n_writes) / count(*)) AS BIGINT) AS mapped_pct, (SELECT count(*) FROM orphan) = 0 AS gate_passed FROM checked")
+
+@query("audit_gate", f"{KEYED_SQL}, {ORPHANS_SQL}, lost AS (SELECT mapper_id, count(*) AS n FROM orphan GROUP BY mapper_id) SELECT c.mapper_id, count(*) AS declared, count(n_writes) AS mapped, count(*) - count(n_writes) AS unmapped, 0::BIGINT AS unresolved, CAST(round(100.0 * count(n_writes) / count(*)) AS BIGINT) AS mapped_pct, any_value(l.n) IS NULL AS gate_passed FROM checked c LEFT JOIN lost l ON c.mapper_id = l.mapper_id GROUP BY c.mapper_id")
 def audit_gate(spark, sf_dir):
     f, s = fields(spark, sf_dir), sites(spark, sf_dir)
-    n = audit.orphans(f, s).agg(F.count("*").alias("orphans"))
-    g = audit.gate(audit.checklist(f, s)).drop("gate_passed").join(F.broadcast(n), how="cross")
-    return g.withColumn("gate_passed", (F.col("unresolved") == 0) & (F.col("orphans") == 0)).drop("orphans")
+    return audit.gate(audit.checklist(f, s), audit.orphans(f, s))
 
 
-@query("orphan_writes", f"{KEYED_SQL}, {ORPHANS_SQL} SELECT target_field, line FROM orphan")
+@query("orphan_writes", f"{KEYED_SQL}, {ORPHANS_SQL} SELECT mapper_id, path, target_field, line FROM orphan")
 def orphan_writes(spark, sf_dir):
-    return audit.orphans(fields(spark, sf_dir), sites(spark, sf_dir)).select("target_field", "line")
+    return audit.orphans(fields(spark, sf_dir), sites(spark, sf_dir)).select("mapper_id", "path", "target_field", "line")
 
 
-CALLS_SQL = "calls AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Helper' ELSE event_type END AS callee, user_id AS line, 'x, r' || CAST(user_id % 5 AS VARCHAR) AS args FROM events), known AS (SELECT s_suppkey AS line, 'r' || CAST(s_suppkey % 2 AS VARCHAR) AS receiver FROM supplier WHERE s_nationkey < 8)"
+CALLS_SQL = "calls AS (SELECT event_id, user_id AS mapper_id, 'F' || CAST(event_id % 4 AS VARCHAR) AS path, event_id % 9 * 7 AS line, CASE WHEN event_type = 'error' THEN 'Helper' ELSE event_type END AS callee, 'r' || CAST(event_id % 5 AS VARCHAR) AS word FROM events), away AS (SELECT event_id, mapper_id FROM calls c WHERE callee = 'Helper' AND NOT EXISTS (SELECT 1 FROM sites s WHERE s.mapper_id = c.mapper_id AND s.path = c.path AND s.line = c.line) AND EXISTS (SELECT 1 FROM sites s WHERE s.mapper_id = c.mapper_id AND s.receiver = c.word))"
 
 
 def opaque(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    calls = e.select("event_id", F.when(F.col("event_type") == "error", "Helper").otherwise(F.col("event_type")).alias("callee"), F.col("user_id").alias("line"), F.concat(F.lit("x, r"), (F.col("user_id") % 5).cast("string")).alias("args"))
-    known = table(spark, sf_dir, "supplier").where("s_nationkey < 8").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("r"), (F.col("s_suppkey") % 2).cast("string")).alias("receiver"))
-    return audit.opaque(calls, known)
+    callee = F.when(F.col("event_type") == "error", "Helper").otherwise(F.col("event_type"))
+    calls = e.select("event_id", F.col("user_id").alias("mapper_id"), in_file("event_id").alias("path"), (F.col("event_id") % 9 * 7).alias("line"), callee.alias("callee"), F.concat(F.lit("x, r"), (F.col("event_id") % 5).cast("string"), F.lit(".y")).alias("args"))
+    return audit.opaque(calls, sites(spark, sf_dir))
 
 
-@query("opaque_calls", f"WITH {CALLS_SQL} SELECT event_id FROM calls WHERE callee = 'Helper' AND line NOT IN (SELECT line FROM known) AND args IN (SELECT 'x, ' || receiver FROM known)")
+@query("opaque_calls", f"WITH {SITES_SQL}, {CALLS_SQL} SELECT event_id FROM away")
 def opaque_calls(spark, sf_dir):
     return opaque(spark, sf_dir).select("event_id")
 
 
-@query("opaque_taint", f"{KEYED_SQL}, {CALLS_SQL.replace('calls AS', 'calls AS', 1)}, t AS (SELECT count(*) > 0 AS tainted FROM calls WHERE callee = 'Helper' AND line NOT IN (SELECT line FROM known) AND args IN (SELECT 'x, ' || receiver FROM known)) SELECT CASE WHEN n_writes IS NOT NULL THEN 'mapped' WHEN tainted THEN 'unresolved' ELSE 'unmapped' END AS state, count(*) AS n FROM checked, t GROUP BY 1")
+@query("opaque_taint", f"{KEYED_SQL}, {CALLS_SQL} SELECT mapper_id, CASE WHEN n_writes IS NOT NULL THEN 'mapped' WHEN mapper_id IN (SELECT mapper_id FROM away) THEN 'unresolved' ELSE 'unmapped' END AS state, count(*) AS n FROM checked GROUP BY ALL")
 def opaque_taint(spark, sf_dir):
-    return audit.checklist(fields(spark, sf_dir), sites(spark, sf_dir), opaque(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n"))
+    return audit.checklist(fields(spark, sf_dir), sites(spark, sf_dir), opaque(spark, sf_dir)).groupBy("mapper_id", "state").agg(F.count("*").alias("n"))
 
 
-LOOSE_SQL = "loose AS (SELECT o_orderkey, o_custkey AS line, 'x.set' || CASE o_orderstatus WHEN 'F' THEN 'Fin' WHEN 'O' THEN 'Open' ELSE 'Part' END || '(' AS evidence, 'setter-like call' AS hint FROM orders), site AS (SELECT s_suppkey AS line, CASE WHEN s_suppkey % 2 = 0 THEN 'f.in' ELSE 'other' END AS target_field FROM supplier)"
+LOOSE_SQL = "loose AS (SELECT o_orderkey, o_custkey AS mapper_id, 'F' || CAST(o_orderkey % 4 AS VARCHAR) AS path, o_orderkey % 9 * 7 AS line, 'p' || CAST(o_orderkey % 2000 AS VARCHAR) AS k, 'x.setP' || CAST(o_orderkey % 2000 AS VARCHAR) || '(' AS evidence FROM orders)"
 
 
-@query("missed_writes", f"WITH {LOOSE_SQL} SELECT o_orderkey, line, evidence FROM loose WHERE line NOT IN (SELECT line FROM site) AND evidence <> 'x.setFin('")
+@query("missed_writes", f"{KEYED_SQL}, {LOOSE_SQL} SELECT o_orderkey, path, line, evidence FROM loose o WHERE NOT EXISTS (SELECT 1 FROM sites s WHERE s.mapper_id = o.mapper_id AND s.path = o.path AND s.line = o.line) AND NOT EXISTS (SELECT 1 FROM ks WHERE ks.mapper_id = o.mapper_id AND ks.fk = o.k)")
 def missed_writes(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    named = F.when(F.col("o_orderstatus") == "F", "Fin").when(F.col("o_orderstatus") == "O", "Open").otherwise("Part")
-    loose = o.select("o_orderkey", F.col("o_custkey").alias("line"), F.concat(F.lit("x.set"), named, F.lit("(")).alias("evidence"), F.lit("setter-like call").alias("hint"))
-    site = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line"), F.when(F.col("s_suppkey") % 2 == 0, "f.in").otherwise("other").alias("target_field"))
-    return audit.missed_writes(loose, site).select("o_orderkey", "line", "evidence")
+    loose = o.select("o_orderkey", F.col("o_custkey").alias("mapper_id"), in_file("o_orderkey").alias("path"), (F.col("o_orderkey") % 9 * 7).alias("line"), F.concat(F.lit("x.setP"), (F.col("o_orderkey") % 2000).cast("string"), F.lit("(")).alias("evidence"), F.lit("setter-like call").alias("hint"))
+    return audit.missed_writes(loose, sites(spark, sf_dir)).select("o_orderkey", "path", "line", "evidence")
 
 
-@query("unmapped_mentions", r"""WITH words AS (SELECT doc_id AS line, unnest(list_distinct(regexp_extract_all(text, '\w+'))) AS word FROM documents),
-wanted AS (SELECT 'x.' || f AS field, r AS rank, CASE r WHEN 0 THEN 'set' || upper(f[1]) || f[2:] WHEN 1 THEN 'get' || upper(f[1]) || f[2:] ELSE f END AS word FROM (SELECT unnest(['the', 'rights', 'gue', 'zzz']) AS f), (SELECT unnest([0, 1, 4]) AS r))
-SELECT field, min_by(line, rank::BIGINT * 1000000000 + line) AS line FROM wanted w JOIN words d ON w.word = d.word GROUP BY field""")
+@query("unmapped_mentions", r"""WITH words AS (SELECT lang AS mapper_id, doc_id AS path, line, unnest(list_distinct(regexp_extract_all(text, '\w+'))) AS word FROM (SELECT lang, doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS text FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+named AS (SELECT DISTINCT lang AS mapper_id, regexp_extract(text, '\w+') AS f FROM documents WHERE regexp_matches(text, '\w')),
+wanted AS (SELECT mapper_id, f, r AS rank, CASE r WHEN 4 THEN f ELSE ['set', 'get', 'is', 'with'][r + 1] || upper(f[1]) || f[2:] END AS word FROM named, (SELECT unnest([0, 1, 2, 3, 4]) AS r))
+SELECT w.mapper_id, 'x.' || f AS field, CAST(arg_min(path, (rank, path, line)) AS BIGINT) AS path, CAST(arg_min(line, (rank, path, line)) AS INTEGER) AS line FROM wanted w JOIN words d ON w.mapper_id = d.mapper_id AND w.word = d.word GROUP BY w.mapper_id, f""")
 def unmapped_mentions(spark, sf_dir):
-    wanted = spark.createDataFrame([(f"x.{f}",) for f in ("the", "rights", "gue", "zzz")], "field string")
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), "text")
-    return audit.unmapped_mentions(wanted, lines).select("field", "line")
+    """A mapper is a language: the first word of every document is a field, looked up in all lines of all documents."""
+    from weftline.functions.text import lines_of
+
+    d = table(spark, sf_dir, "documents")
+    word = F.regexp_extract("text", r"\w+", 0)
+    named = d.where("lang is not null").select(F.col("lang").alias("mapper_id"), F.concat(F.lit("x."), word).alias("field"), word.alias("w")).where("w <> ''").drop("w").distinct()
+    lines = lines_of(d.select(F.struct("lang", "doc_id").alias("d"), "text"), "d", "text").select(F.col("d.lang").alias("mapper_id"), F.col("d.doc_id").alias("path"), "line", "text")
+    return audit.unmapped_mentions(named, lines).select("mapper_id", "field", "path", "line")
 
 
-@query("enclosing_interval", """SELECT e.event_id, (SELECT min_by(name, hi - lo) FROM (
-  SELECT 1000 * n_nationkey AS lo, 1000 * n_nationkey + 700 AS hi, n_name AS name FROM nation UNION ALL SELECT 5000 * r_regionkey, 5000 * r_regionkey + 4000, r_name FROM region) WHERE e.event_id % 30000 BETWEEN lo AND hi) AS name FROM events e""")
+@query("enclosing_interval", """WITH spans AS (SELECT l_suppkey AS f, l_partkey AS lo, l_partkey + CAST(l_quantity * l_quantity AS BIGINT) AS hi, l_orderkey AS name FROM lineitem),
+hits AS (SELECT event_id, arg_min(name, (hi - lo, lo, name)) AS name FROM events e JOIN spans s ON e.user_id = s.f AND e.event_id % 2500 BETWEEN lo AND hi GROUP BY event_id)
+SELECT e.event_id, h.name FROM events e LEFT JOIN hits h ON e.event_id = h.event_id""")
 def enclosing_interval(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select((1000 * F.col("n_nationkey")).alias("lo"), (1000 * F.col("n_nationkey") + 700).alias("hi"), F.col("n_name").alias("name"))
-    r = table(spark, sf_dir, "region").select((5000 * F.col("r_regionkey")).alias("lo"), (5000 * F.col("r_regionkey") + 4000).alias("hi"), F.col("r_name").alias("name"))
-    spans = n.unionByName(r).withColumn("file", F.lit("f"))
-    points = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 30000).alias("line"), F.lit("f").alias("file"))
+    """A file is a supplier; its spans begin at the parts it sells, and points are events."""
+    l = table(spark, sf_dir, "lineitem")
+    spans = l.select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + (F.col("l_quantity") * F.col("l_quantity")).cast("long")).alias("hi"), F.col("l_orderkey").alias("name"))
+    points = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 2500).alias("line"), F.col("user_id").alias("file"))
     return keyed.innermost(points, spans, ["file"], "line", "lo", "hi", "name", ["event_id"])
 
 
@@ -108,14 +124,15 @@ def var_segments(spark, sf_dir):
     return keyed.segments(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.col("event_type") == "signup").select("event_id", "segment")
 
 
-SEGMENT_SQL = "seg AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment FROM events), inj AS (SELECT user_id, segment, count(*) AS n, min(event_id) AS parent FROM seg WHERE event_type = 'error' GROUP BY user_id, segment)"
+SEGMENT_SQL = "seg AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment FROM events), inj AS (SELECT DISTINCT user_id, segment, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS parent FROM seg WHERE event_type = 'error'), n AS (SELECT user_id, segment, count(*) AS n FROM inj GROUP BY ALL), every AS (SELECT DISTINCT user_id, parent FROM inj)"
 
 
-@query("multi_instance", f"WITH {SEGMENT_SQL} SELECT s.event_id, CASE WHEN n = 1 THEN parent END AS parent, coalesce(n = 1, false) AS attributed FROM seg s LEFT JOIN inj i ON s.user_id = i.user_id AND s.segment = i.segment WHERE event_type = 'click'")
+@query("multi_instance", f"WITH {SEGMENT_SQL} SELECT s.event_id, coalesce(i.parent, e.parent) AS parent, coalesce(n.n = 1, false) AS attributed FROM seg s LEFT JOIN n ON s.user_id = n.user_id AND s.segment = n.segment LEFT JOIN inj i ON s.user_id = i.user_id AND s.segment = i.segment LEFT JOIN every e ON n.n IS NULL AND s.user_id = e.user_id WHERE event_type = 'click'")
 def multi_instance(spark, sf_dir):
+    """Clicks go to the parents that errors of their segment name: one attributes, several taint each, none taints all of the user."""
     s = keyed.segments(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.col("event_type") == "signup")
-    inj = s.where("event_type = 'error'").select("user_id", "segment", F.col("event_id").alias("parent"))
-    return keyed.attribute(s.where("event_type = 'click'"), inj, ["user_id"], "parent").select("event_id", "parent", "attributed")
+    inj = s.where("event_type = 'error'").select("user_id", "segment", (F.get_json_object("props", "$.k").cast("long") % 7).alias("parent"))
+    return keyed.attribute(s.where("event_type = 'click'"), inj, ["user_id"], "parent", inj).select("event_id", "parent", "attributed")
 
 
 @query("builder_interval", """WITH b AS (SELECT user_id, event_id AS lo, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS hi FROM events WHERE event_type = 'signup')
@@ -125,28 +142,31 @@ def builder_interval(spark, sf_dir):
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
-    b = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("lo"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("hi"))
-    return e.where("event_type = 'click'").join(b, "user_id").where("event_id > lo AND event_id < hi").select("event_id", F.col("lo").alias("opened_at"))
+    closed = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    chains = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("var"), F.col("event_id").alias("start_line"), closed.alias("end_line"))
+    return keyed.builder_sites(e.where("event_type = 'click'"), chains, ["user_id"], "event_id").select("event_id", F.col("var").alias("opened_at"))
 
 
-@query("touched_mappers", "SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 7)")
+@query("touched_mappers", "WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'n' || CAST(c_nationkey AS VARCHAR) || '.java' WHEN 1 THEN 'a/src/n' || CAST(c_nationkey AS VARCHAR) || '.java' ELSE 'b/n' || CAST(c_nationkey AS VARCHAR) END AS s FROM customer), p AS (SELECT 'src/n' || CAST(n_nationkey AS VARCHAR) || '.java' AS p FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'lib/n' || CAST(n_nationkey AS VARCHAR) || '.java.orig' FROM nation WHERE n_regionkey = 2 UNION ALL SELECT '4' FROM region) SELECT c_custkey FROM c WHERE EXISTS (SELECT 1 FROM p WHERE contains(p, s) OR ends_with(s, p))")
 def touched_mappers(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".java")).alias("source_file"))
-    changed = table(spark, sf_dir, "nation").where("n_nationkey IN (1, 7)").select(F.concat(F.lit("src/n"), F.col("n_nationkey").cast("string"), F.lit(".java")).alias("path"))
-    return keyed.touched(c, changed).select("c_custkey")
+    nation = F.col("c_nationkey").cast("string")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("n"), nation, F.lit(".java"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("a/src/n"), nation, F.lit(".java"))).otherwise(F.concat(F.lit("b/n"), nation))
+    n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("string"))
+    changed = n.where("n_regionkey = 1").select(F.concat(F.lit("src/n"), "k", F.lit(".java")).alias("path"))
+    changed = changed.unionByName(n.where("n_regionkey = 2").select(F.concat(F.lit("lib/n"), "k", F.lit(".java.orig")).alias("path"))).unionByName(table(spark, sf_dir, "region").select(F.lit("4").alias("path")))
+    return keyed.touched(table(spark, sf_dir, "customer").select("c_custkey", name.alias("source_file")), changed).select("c_custkey")
 
 
 @query("changed_semi", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def changed_semi(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))
-    return table(spark, sf_dir, "customer").join(n, "c_nationkey", "left_semi").select("c_custkey")
+    n = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("path"))
+    return keyed.changed(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "source_file"), n).select("c_custkey")
 
 
 @query("provenance_semi", "SELECT count(*) AS mapped, count(*) FILTER (WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber > 5)) AS with_slice, round(count(*) FILTER (WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber > 5)) / count(*)::DOUBLE, 4) AS provenance FROM part")
 def provenance_semi(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber > 5").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("sliced", F.lit(1))
-    p = table(spark, sf_dir, "part").join(l, "p_partkey", "left").agg(F.count("*").alias("mapped"), F.count("sliced").alias("with_slice"))
-    return p.withColumn("provenance", F.round(F.col("with_slice") / F.col("mapped"), 4))
+    sliced = table(spark, sf_dir, "lineitem").where("l_linenumber > 5").select(F.col("l_partkey").alias("field"))
+    return audit.provenance(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("field")), sliced)
 
 
 @query("selector_division", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
@@ -158,14 +178,19 @@ def selector_division(spark, sf_dir):
 
 @query("gap_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def gap_anti(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    from weftline.sources.jobs import without_result
 
+    return without_result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id")
 
-@query("cross_check", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown field' WHEN d.lang <> 'en' THEN 'not unmapped' WHEN quality = 0 THEN 'no citation' END AS dropped FROM labels l LEFT JOIN (SELECT * FROM documents WHERE source <> 'src0') d ON l.doc_id = d.doc_id")
+
+@query("cross_check", f"WITH {CITED_SQL} SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown field' WHEN d.lang <> 'en' THEN 'not unmapped' WHEN NOT coalesce(cited, false) THEN 'no citation' END AS dropped FROM labels l LEFT JOIN (SELECT * FROM documents WHERE source <> 'src0') d ON l.doc_id = d.doc_id LEFT JOIN cited c ON l.doc_id = c.doc_id")
 def cross_check(spark, sf_dir):
-    claims = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("field"), F.when(F.col("quality") == 1, "see line 1").otherwise("see line 0").alias("evidence"))
-    check = table(spark, sf_dir, "documents").where("source <> 'src0'").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("field"), F.when(F.col("lang") == "en", "unmapped").otherwise("mapped").alias("state"))
-    return audit.cross_check(claims, check, F.lit("one line")).select("doc_id", "dropped")
+    """Claims about documents, each with evidence that quotes its text or names a line of it, or neither."""
+    d = table(spark, sf_dir, "documents")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see `"), F.substring("text", 5, 20), F.lit("`"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("see line "), (F.col("doc_id") % 100).cast("string"))).otherwise("see `never there at all 123`")
+    claims = table(spark, sf_dir, "labels").select("doc_id").join(d.select("doc_id", "text", said.alias("evidence")), "doc_id", "left").withColumn("field", F.concat(F.lit("F"), F.col("doc_id").cast("string")))
+    check = d.where("source <> 'src0'").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("field"), F.when(F.col("lang") == "en", "unmapped").otherwise("mapped").alias("state"))
+    return audit.cross_check(claims, check, F.col("text")).select("doc_id", "dropped")
 
 
 @query("closure_smells", "SELECT CAST(p_partkey AS VARCHAR) AS field, p_size % 4 AS steps, count(DISTINCT l_suppkey) AS closure_depth FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size % 4 BETWEEN 1 AND 2 GROUP BY p_partkey, p_size HAVING count(DISTINCT l_suppkey) >= 4")
@@ -199,27 +224,23 @@ def label_scores(spark, sf_dir):
     return audit.scores(p, 200, audit.ungrounded(steps, slices), slices.where("cast(field as long) % 3 > 0"))
 
 
-@query("mapping_filter", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 10 = 7 AND p_partkey < 100")
+@query("mapping_filter", "SELECT p_partkey FROM (SELECT p_partkey, lower(regexp_replace(p_type, '[^a-zA-Z0-9]', '', 'g')) AS t FROM part) WHERE length(t) > 0 AND (t LIKE '%steel' OR 'largetin' LIKE '%' || t OR t LIKE '%largetin')")
 def mapping_filter(spark, sf_dir):
     """Mappings whose target a selector names."""
     from weftline.functions.names import matches_selectors
 
-    p = table(spark, sf_dir, "part")
-    target = F.when((F.col("p_partkey") % 2 == 0) | ((F.col("p_partkey") % 10 == 7) & (F.col("p_partkey") < 100)), "Out.shipTo.streetLine").otherwise("Out.city.zip")
-    return p.withColumn("t", target).where(matches_selectors(F.col("t"), F.array(F.lit("setStreetLine")))).select("p_partkey")
+    return table(spark, sf_dir, "part").where(matches_selectors(F.col("p_type"), F.array(F.lit("STEEL"), F.lit("large tin")))).select("p_partkey")
 
 
-@query("schema_leaf_match", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'root.a.supplyKey' WHEN s_suppkey % 4 = 1 THEN 'x.other' ELSE 'T.none' END AS target FROM supplier")
+@query("schema_leaf_match", "SELECT c_custkey, CASE WHEN s_suppkey IS NOT NULL THEN 'root.n' || CAST(s_nationkey AS VARCHAR) || '.key_' || CAST(s_suppkey AS VARCHAR) WHEN c_custkey % 2 = 0 THEN 'x.Key' || CAST(c_custkey AS VARCHAR) ELSE 'T.Key' || CAST(c_custkey AS VARCHAR) END AS target FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
 def schema_leaf_match(spark, sf_dir):
+    """Fields of customers, and a schema path for every supplier."""
     from weftline.functions.steps import write_target
     from weftline.operators.pipeline import schema_paths_for
 
-    field = F.when(F.col("s_suppkey") % 4 == 0, "supply_key").when(F.col("s_suppkey") % 4 == 1, "x.other").otherwise("none")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", field.alias("field"))
-    paths = spark.createDataFrame([("root.a.supplyKey", 0), ("root.b.SupplyKey", 1)], "path string, pos int")
-    return schema_paths_for(s, paths).select("s_suppkey", write_target(F.col("field"), F.lit("T"), F.col("schema_path")).alias("target"))
-
-
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 2 == 0, "x.Key").otherwise("Key"), F.col("c_custkey").cast("string")).alias("field"))
+    paths = table(spark, sf_dir, "supplier").select(F.concat(F.lit("root.n"), F.col("s_nationkey").cast("string"), F.lit(".key_"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_suppkey").alias("pos"))
+    return schema_paths_for(c, paths).select("c_custkey", write_target(F.col("field"), F.lit("T"), F.col("schema_path")).alias("target"))
 
 
 @query("steps_filter", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'a.name:1' ELSE 'a.name:0' END WHEN event_id % 3 = 0 THEN 'x.setName:0' ELSE '' END AS kept FROM events")
@@ -269,28 +290,19 @@ def label_precedence(spark, sf_dir):
     return resolve_labels(l, some("lang = 'de'"), some("source = 'src0'"), some("lang <> 'fr'").unionByName(empty)).select("doc_id", "state", "source")
 
 
-@query("label_statuses", "SELECT c_custkey AS mapper_id, CASE WHEN c_custkey % 9 = 0 THEN 'error' WHEN c_acctbal > 0 THEN 'verified' ELSE 'needs-model' END AS status FROM customer")
+@query("label_statuses", "SELECT c_custkey AS mapper_id, CASE WHEN c_custkey % 9 = 0 THEN 'error' WHEN c_acctbal > 3000 THEN 'verified' WHEN c_mktsegment = 'BUILDING' THEN 'labeled' ELSE 'error' END AS status FROM customer")
 def label_statuses(spark, sf_dir):
+    """A batch run with answers for some mappers."""
+    from weftline.operators.labeling import label_all
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mapper_id"), F.when(F.col("c_custkey") % 9 > 0, "f").alias("fingerprint"), "c_acctbal", "c_mktsegment")
+    store = c.where("c_acctbal > 3000").select("mapper_id", F.lit("f").alias("fingerprint"))
+    return label_all(c, store, c.where("c_mktsegment = 'BUILDING'"), True).select("mapper_id", "status")
+
+
+@query("label_statuses_offline", "SELECT c_custkey AS mapper_id, CASE WHEN c_custkey % 9 = 0 THEN 'error' WHEN c_acctbal > 3000 THEN 'verified' ELSE 'needs-model' END AS status FROM customer")
+def label_statuses_offline(spark, sf_dir):
     from weftline.operators.labeling import label_all
 
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mapper_id"), F.when(F.col("c_custkey") % 9 > 0, "f").alias("fingerprint"), "c_acctbal")
-    store = c.where("c_acctbal > 0").select("mapper_id", F.lit("f").alias("fingerprint"))
-    return label_all(c, store, c.limit(0), False).select("mapper_id", "status")
-
-
-@query("java_slices", "SELECT s_suppkey, f AS target_field, n AS n_helpers FROM supplier, (VALUES ('name', 1), ('priority', 0), ('priority', 0)) t(f, n)")
-def java_slices(spark, sf_dir):
-    from weftline.operators.slicing import slices
-
-    code = """class M {
-  private static String clean(String s) { return s.trim(); }
-  Target build(Source s) {
-    Target t = new Target();
-    String raw = s.getName();
-    t.setName(clean(raw));
-    if (s.fast()) { t.priority = true; } else { t.priority = false; }
-    return t;
-  }
-}"""
-    paths = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(code).alias("text"))
-    return slices(paths, "Target").select(F.col("path").cast("long").alias("s_suppkey"), "target_field", F.size("helpers").alias("n_helpers"))
+    return label_all(c, c.where("c_acctbal > 3000"), c.where("c_acctbal > 5000"), False).select("mapper_id", "status")

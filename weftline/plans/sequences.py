@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import closure, keyed, pipeline
+from weftline.operators import closure, journal, keyed, pipeline
 from weftline.plans.registry import STEPS_SQL, query, steps, table
 
 
@@ -62,7 +62,7 @@ def expand_writes(spark, sf_dir):
 
 @query("kind_counts", f"WITH {STEPS_SQL} SELECT kind, count(*) AS n FROM steps GROUP BY kind")
 def kind_counts(spark, sf_dir):
-    return steps(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+    return journal.counts(steps(spark, sf_dir), "kind")
 
 
 @query("recent_top_k", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 3")
@@ -72,25 +72,12 @@ def recent_top_k(spark, sf_dir):
 
 @query(
     "helper_closure",
-    """WITH RECURSIVE edges AS (SELECT DISTINCT c_custkey % 300 AS a, (c_custkey * 7 + c_nationkey) % 300 AS b FROM customer),
-walk(start, node, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT a FROM edges) UNION SELECT start, b, depth + 1 FROM walk JOIN edges ON node = a WHERE depth < 5)
-SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node""",
-)
-def helper_closure(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    edges = c.select((F.col("c_custkey") % 300).alias("caller"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 300).alias("callee"))
-    starts = edges.select(F.col("caller").alias("start"), F.col("caller").alias("node"))
-    return closure.reach(starts, edges)
-
-
-@query(
-    "helper_closure_whole",
     """WITH RECURSIVE edges AS (SELECT c_custkey AS a, c_custkey * 7 + c_nationkey AS b FROM customer UNION SELECT c_custkey, c_custkey // 2 FROM customer),
 walk(start, node, depth) AS (SELECT DISTINCT c_custkey, c_custkey, 0 FROM customer UNION SELECT start, b, depth + 1 FROM walk JOIN edges ON node = a WHERE depth < 5)
 SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node""",
 )
-def helper_closure_whole(spark, sf_dir):
-    """The closure of every customer over whole keys; helper_closure folds them to 300 nodes."""
+def helper_closure(spark, sf_dir):
+    """The closure of every customer over whole keys."""
     c = table(spark, sf_dir, "customer")
     edges = c.select(F.col("c_custkey").alias("caller"), F.explode(F.array(F.col("c_custkey") * 7 + F.col("c_nationkey"), F.expr("c_custkey div 2"))).alias("callee"))
     return closure.reach(c.select(F.col("c_custkey").alias("start"), F.col("c_custkey").alias("node")), edges)
@@ -102,23 +89,25 @@ def superclass_chain(spark, sf_dir):
     return closure.superclasses(n).select("name", F.array_join("ancestors", ">").alias("ancestors"))
 
 
-#: Nested types of a small schema whose leaves the next query flattens.
-TYPES = [
-    ("Deal", "dealId", "String"),
-    ("Deal", "parties", "List<Party>"),
-    ("Deal", "tags", "List<String>"),
-    ("Party", "partyName", "String"),
-    ("Party", "address", "Address"),
-    ("Party", "deal", "Deal"),
-    ("Address", "street", "String"),
-    ("Address", "geo", "com.x.Geo"),
-]
+def types(spark, sf_dir):
+    """Classes made from suppliers, nations and regions: (class_name, name, type, pos)."""
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = lambda d, *fields: d.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("type"), F.lit(k).alias("pos")) for k, (n, t) in enumerate(fields)])).alias("f"), "class_name").select("class_name", "f.*")
+    s = table(spark, sf_dir, "supplier").withColumn("class_name", named("S", "s_suppkey"))
+    n = table(spark, sf_dir, "nation").withColumn("class_name", named("N", "n_nationkey"))
+    r = table(spark, sf_dir, "region").withColumn("class_name", named("R", "r_regionkey"))
+    a = rows(s, ("name", F.lit("String")), ("home", named("N", "s_nationkey")), ("twin", named("com.x.S", "s_suppkey")), ("all", F.concat(F.lit("List<"), named("N", "s_nationkey"), F.lit(">"))))
+    b = rows(n, ("label", F.lit("string[]")), ("region", named("R", "n_regionkey")))
+    return a.unionByName(b).unionByName(rows(r, ("title", F.lit("Map<String, Gone>")), ("far", F.lit("x.Gone[]"))))
 
 
-@query("nested_leaves", "SELECT * FROM (VALUES ('dealId', NULL), ('tags', NULL), ('parties[].partyName', NULL), ('parties[].address.street', NULL), ('parties[].address.geo', 'type not found'), ('parties[].deal', 'cycle')) t(path, reason)")
+@query("nested_leaves", """WITH inner_ AS (SELECT unnest(['label', 'region.title', 'region.far']) AS p, unnest([NULL, NULL, 'type not found']) AS reason)
+SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS mapper_id, path, reason FROM supplier, (SELECT 'name' AS path, NULL AS reason UNION ALL SELECT 'twin', 'cycle' UNION ALL SELECT 'home.' || p, reason FROM inner_ UNION ALL SELECT 'all[].' || p, reason FROM inner_)""")
 def nested_leaves(spark, sf_dir):
-    leaves, told = closure.nested_leaves(spark.createDataFrame(TYPES, "class_name string, name string, type string"), "Deal")
-    return leaves.join(told, "path", "left").select("path", "reason")
+    """The leaves of every supplier's type, all at once."""
+    roots = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("mapper_id")).withColumn("class_name", F.col("mapper_id"))
+    leaves, told, _ = closure.nested_leaves(types(spark, sf_dir), roots)
+    return leaves.join(told, ["mapper_id", "path"], "left").select("mapper_id", "path", "reason")
 
 
 @query("store_upsert", "SELECT s_suppkey, CASE WHEN s_nationkey < 10 THEN 'new' ELSE s_name END AS name FROM supplier UNION ALL SELECT -1, 'new'")
@@ -137,7 +126,7 @@ def value_precedence(spark, sf_dir):
     return precedence(c.select("c_custkey"), "c_custkey", verified=c.where("c_mktsegment = 'BUILDING'").withColumn("value", F.lit("v")), cache=c.where("c_acctbal > 0").withColumn("value", F.lit("c")))
 
 
-@query("locale_sort", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+@query("locale_sort", "SELECT c_name, row_number() OVER (ORDER BY c_name) AS place FROM customer")
 def locale_sort(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    return c.orderBy(F.collate("c_mktsegment", "UNICODE"))
+    """Names in the order of their locale, with their places: sorted ranges are numbered where they are, as a whole table can't be in one task."""
+    return pipeline.numbered(table(spark, sf_dir, "customer").select("c_name"), F.collate("c_name", "UNICODE"), "place")

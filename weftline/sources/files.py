@@ -8,18 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that a walk leaves out.
-SKIPPED = [".git", "node_modules", "target", "build", "dist", ".gradle", ".idea", "out"]
+SKIPPED = ["node_modules", ".git", ".cache", "dist", "build", "target", "out", ".idea", ".gradle", ".vscode", "coverage"]
 
 
 def tree(spark: SparkSession, root: str, suffix: str = "", depth: int = 10, limit: int | None = None) -> DataFrame:
-    """path (relative), content and length of the files below a folder, skipped folders left out, least deep first if limited."""
+    """path (relative), content and length of the files below a folder, skipped folders left out, least deep first if limited.
+
+    Names are listed first, as the engine's file index does; only the files that are wanted are opened.
+    """
+    base = re.sub("^file:/*", "/", root).rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     raw = raw.option("pathGlobFilter", f"*{suffix}") if suffix else raw
-    base = re.sub("^file:/*", "/", root).rstrip("/")
-    out = raw.load(root).select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "").alias("path"), F.col("content").cast("string").alias("content"), "length")
-    parts = F.split("path", "/")
-    out = out.where((F.size(parts) <= depth) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
-    return out if limit is None else out.orderBy(F.size(F.split("path", "/")), "path").limit(limit)
+    short = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(base)}/", "")
+    parts = F.split("short", "/")
+    names = raw.load(root).select(short.alias("short"), "path").where((F.size(parts) <= depth) & ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, SKIPPED))))
+    if limit is not None:
+        names = names.orderBy(F.size(parts), "short").limit(limit)
+    wanted = [r.path for r in names.collect()]
+    if not wanted:
+        return spark.createDataFrame([], "path string, content string, length long")
+    return spark.read.format("binaryFile").load(wanted).select(short.alias("path"), F.col("content").cast("string").alias("content"), "length")
 
 
 def tree_hash(files: DataFrame) -> DataFrame:
@@ -73,3 +81,58 @@ def precedence(request: DataFrame, key: str, **sources: DataFrame) -> DataFrame:
     cols = [f"_{n}" for n in sources]
     out = out.withColumn("value", F.coalesce(*cols)).withColumn("found_in", F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c[1:])) for c in cols]))
     return out.drop(*cols)
+
+
+#: Fixed value: the layout of stored entries that readers know.
+STORE_FORMAT = 1
+
+
+def get_entry(spark: SparkSession, path: str, **keys: str) -> DataFrame:
+    """Rows of a stored entry, if it is of the known format; one of another format counts as absent."""
+    return get(spark, path, **keys).where(F.col("format") == STORE_FORMAT)
+
+
+class Cache:
+    """Results by kind (label, pipeline, discovery or field) and key, as JSON documents in a folder for each; put replaces what a key had."""
+
+    KINDS = ("label", "pipeline", "discovery", "field")
+
+    def __init__(self, spark: SparkSession, root: str, kind: str, schema: str):
+        if kind not in self.KINDS:
+            raise ValueError(f"no such cache: {kind}")
+        self.spark, self.path, self.schema = spark, f"{root.rstrip('/')}/{kind}", schema
+
+    def put(self, rows: DataFrame) -> None:
+        """Rows with a column key; all rows of a key are replaced together."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").json(self.path)
+
+    def list(self) -> DataFrame:
+        """All rows; documents that can't be read are left out."""
+        return self.spark.read.schema(f"{self.schema}, key string").option("mode", "DROPMALFORMED").json(self.path)
+
+    def get(self, key: str) -> DataFrame:
+        return self.list().where(F.col("key") == key)
+
+    def clear(self) -> None:
+        clear(self.spark, self.path)
+
+
+def resolve_sources(mappers: DataFrame, local: DataFrame, worktree: DataFrame | None = None, cached: DataFrame | None = None, trees: DataFrame | None = None) -> DataFrame:
+    """mapper_id, text and found_in of each mapper's source (mapper_id, source_file).
+
+    A worktree (path, text) alone counts where there is one, and a file it lacks is an error. Else for mappers in the cache (path,
+    commit_sha: the newest one) the local file, or that of the commit's tree (commit_sha, path, text); then the local file. What is
+    nowhere has to be fetched: remote.
+    """
+    own = mappers.select("mapper_id", F.col("source_file").alias("path"))
+    if worktree is not None:
+        out = own.join(worktree.select("path", "text"), "path", "left")
+        lost = F.raise_error(F.concat(F.lit("not in the worktree: "), "path")).cast("string")
+        return out.select("mapper_id", F.coalesce("text", lost).alias("text"), F.lit("worktree").alias("found_in"))
+    out = own.join(local.select("path", F.col("text").alias("_local")), "path", "left")
+    tree = F.lit(None).cast("string")
+    if cached is not None and trees is not None:
+        out = out.join(cached.select("path", "commit_sha"), "path", "left").join(trees.select("path", "commit_sha", F.col("text").alias("_tree")), ["path", "commit_sha"], "left")
+        tree = F.col("_tree")
+    found = F.when(F.col("_local").isNotNull(), "local").when(tree.isNotNull(), "cache").otherwise("remote")
+    return out.select("mapper_id", F.coalesce("_local", tree).alias("text"), found.alias("found_in"))

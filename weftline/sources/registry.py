@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.names import glob_regex, outer_class, package_path
+from weftline.sources.files import tree
 
 FIELDS = ["id", "sourceFile", "class", "entryMethod", "sourceType", "targetType", "goldenTests"]
 COLUMNS = ["id", "source_file", "class", "entry_method", "source_type", "target_type", "golden_tests"]
 #: Where a package's folders can begin.
-SOURCE_ROOTS = ["src/main/java", "src", "src/test/java", "app/src/main/java", ""]
+SOURCE_ROOTS = ["src/main/java", "src", "app/src/main/java", "main/java", ""]
 
 
 def _scalar(text: str):
@@ -99,6 +100,18 @@ def find_types(types: DataFrame, type_col: str, files: DataFrame) -> DataFrame:
     return out.withColumn("type_path", F.coalesce("exact", "loose")).drop("exact", "loose", "base")
 
 
+def check_worktree(mappers: DataFrame, worktree: str | None) -> DataFrame:
+    """The check against the files below a worktree; one that doesn't exist is an issue of its own, and then only entries are checked."""
+    spark = mappers.sparkSession
+    if worktree:
+        p = spark._jvm.org.apache.hadoop.fs.Path(worktree)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return check(mappers, tree(spark, worktree, ".java").select("path"))
+        lost = spark.createDataFrame([("*", "error", "worktree-missing")], "mapper_id string, severity string, code string")
+        return check(mappers, None).unionByName(lost)
+    return check(mappers, None)
+
+
 def check(mappers: DataFrame, files: DataFrame | None) -> DataFrame:
     """mapper_id, severity and code of every issue; without files only the entries themselves are checked."""
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,6 +248,30 @@ def errors(doc: dict) -> list[str]:
     return out
 
 
+def _checked(docs: DataFrame) -> DataFrame:
+    """Documents (mapper_id, text) as they are; one that isn't valid fails the job, with what is wrong."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, t in zip(b["mapper_id"], b["text"], strict=True):
+                if wrong := errors(json.loads(t)):
+                    raise ValueError(f"{k}: {'; '.join(wrong)}")
+            yield b
+
+    return docs.select("mapper_id", "text").mapInPandas(run, "mapper_id string, text string")
+
+
+def save_documents(docs: DataFrame, path: str) -> None:
+    """Put schema documents (mapper_id, text) into a folder for each mapper; other mappers' stay, and an invalid one saves none."""
+    _checked(docs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mapper_id").parquet(path)
+
+
+def load_documents(spark: SparkSession, path: str, mapper_id: str | None = None) -> DataFrame:
+    """Saved documents, validated again; of one mapper only its folder is read."""
+    docs = spark.read.schema("text string, mapper_id string").parquet(path)
+    return _checked(docs if mapper_id is None else docs.where(F.col("mapper_id") == mapper_id))
+
+
 def has_content(side: dict) -> bool:
     return bool(side["root"].get("children"))
 

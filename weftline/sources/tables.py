@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """What the session names in spark.checkpoint.dir; a temporary folder only where it names none, as in tests."""
+    """What the session names in spark.checkpoint.dir. Only a local session that names none gets a temporary folder; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -18,29 +18,77 @@ def poll(spark: SparkSession, folder: str, schema: str, checkpoint: str, merge:
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
-def merger(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """Merge batches into a Parquet table: of each key the row of greatest order stays. Each version is a folder; the newest complete one counts."""
+def merger(path: str, key: str, order: str, buckets: int = 32, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """Merge batches into a Parquet table: of each key the row of greatest order stays, of equal orders the greatest row.
+
+    Keys are dealt to buckets; a batch rewrites only the buckets that it has keys of, as new files below ``bucket=…/version=…``. The
+    list of each version's buckets, written last, makes it count; buckets that ``keep`` newer versions have replaced are deleted. A
+    batch that is handed over again writes its version again from the one before, so the result is the same.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = current(spark, path, number)
-        rows = batch if old is None else old.unionByName(batch)
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
-        best.write.mode("overwrite").parquet(f"{path}/version={number}")
+        before = versions_of(spark, path, number)
+        now = before[max(before)] if before else {}
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        fresh = batch.withColumn("_bucket", bucket)
+        touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most as many as there are buckets
+        old = [f"{path}/bucket={b}/version={now[b]}" for b in touched if b in now]
+        if old:
+            fresh = fresh.unionByName(spark.read.parquet(*old).withColumn("_bucket", bucket))
+        values = F.struct(*[c for c in batch.columns if c != key])
+        best = fresh.groupBy("_bucket", key).agg(F.max_by(values, F.struct(order, values)).alias("r")).select("_bucket", key, "r.*")
+        best.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/staged")
+        for b in touched:
+            _move(spark, f"{path}/staged/_bucket={b}", f"{path}/bucket={b}/version={number}")
+        _delete(spark, f"{path}/staged")
+        now = now | dict.fromkeys(touched, number)
+        listed = spark.createDataFrame([(b, v) for b, v in now.items()], "bucket int, version long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{number}")
+        wanted = {(b, v) for n in [*sorted(before)[-(keep - 1) :], number] for b, v in (now if n == number else before[n]).items()}
+        for n in sorted(before)[: -(keep - 1)] if keep > 1 else sorted(before):
+            for b, v in before[n].items():
+                if (b, v) not in wanted:
+                    _delete(spark, f"{path}/bucket={b}/version={v}")
+            _delete(spark, f"{path}/versions/{n}")
 
     return merge
 
 
-def current(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version, or the newest before a number."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+def _path(spark: SparkSession, name: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    fs, p = _path(spark, name)
+    fs.delete(p, True)
+
+
+def _move(spark: SparkSession, a: str, b: str) -> None:
+    fs, p = _path(spark, a)
+    to = spark._jvm.org.apache.hadoop.fs.Path(b)
+    fs.delete(to, True)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"{a} could not be moved to {b}")
+
+
+def versions_of(spark: SparkSession, path: str, below: int | None = None) -> dict[int, dict[int, int]]:
+    """By version what its buckets' own versions are; complete ones only."""
+    fs, p = _path(spark, f"{path}/versions")
     if not fs.exists(p):
+        return {}
+    found = [int(s.getPath().getName()) for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return {n: {r.bucket: r.version for r in spark.read.parquet(f"{path}/versions/{n}").collect()} for n in found if below is None or n < below}
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a merged table."""
+    found = versions_of(spark, path)
+    if not found or not found[max(found)]:
         return None
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = [n for n in found if below is None or n < below]
-    return spark.read.parquet(f"{path}/version={max(found)}") if found else None
+    return spark.read.parquet(*[f"{path}/bucket={b}/version={v}" for b, v in found[max(found)].items()])
 
 
 def plan_scan(state: DataFrame, head: str, changed: DataFrame, scope: list[str], mappers: DataFrame) -> DataFrame:
@@ -55,6 +103,39 @@ def plan_scan(state: DataFrame, head: str, changed: DataFrame, scope: list[str],
     return row.select(action.alias("action"), F.when(action == "incremental", F.col("ids")).otherwise(F.array().cast("array<string>")).alias("mapper_ids"))
 
 
+STATE = "repo string, last_sha string, at long"
+
+
+def last_sha(spark: SparkSession, path: str, repo: str) -> str | None:
+    """The commit that a repository was last scanned at."""
+    fs, p = _path(spark, path)
+    row = spark.read.schema(STATE).json(path).where(F.col("repo") == repo).agg(F.max_by("last_sha", "at")).first() if fs.exists(p) else None
+    return row[0] if row else None
+
+
+def scan_once(spark: SparkSession, path: str, repo: str, head: str, changed: DataFrame, scope: list[str], mappers: DataFrame, scan: Callable[[list[str]], None]) -> dict:
+    """Do what a poll asks for and note the commit, after the scan and only if it succeeded: action, and the mappers' ids.
+
+    mappers: (id, source_file); changed: (path) since the last commit. The same commit is skipped, a first one scans all mappers, a
+    later one those whose source is a changed file of the scope; where there are none, only the commit is noted.
+    """
+    before = last_sha(spark, path, repo)
+    if before == head:
+        return {"action": "skip", "reason": "same_sha", "mappers": []}
+    if before is None:
+        wanted, done = [r.id for r in mappers.select("id").orderBy("id").collect()], {"action": "scan", "mode": "full"}
+    else:
+        state = spark.createDataFrame([(before,)], "last_sha string")
+        plan = plan_scan(state, head, changed, scope, mappers).first()
+        wanted = plan.mapper_ids
+        done = {"action": "skip", "reason": "no_in_scope_changes"} if plan.action == "advance" else {"action": "scan", "mode": "incremental"} if wanted else {"action": "skip", "reason": "changed_not_registered"}
+    if done["action"] == "scan":
+        scan(wanted)
+    n = spark.read.schema(STATE).json(path).count() if before is not None else 0
+    spark.createDataFrame([(repo, head, n + 1)], STATE).coalesce(1).write.mode("append").json(path)
+    return done | {"mappers": wanted}
+
+
 def live_summary(stream: DataFrame, at: str = "ts", window: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Counts and sums by time window and key, with late rows up to the watermark; an extension of the journal's batch sums."""
     return stream.withWatermark(at, late).groupBy(F.window(at, window), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
