@@ -310,3 +310,97 @@ def test_xml_flatten_pages_reads_each_page(spark, tmp_path):
     given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
     got = [(r.page_id, r.path) for r in run(spark, "/root/testdata/sf0.001").orderBy("page_id", "pos").collect()]
     assert got == [(r.page_id, p) for r in sorted(given, key=lambda r: r.page_id) for p in plain_paths(r.html)]
+
+
+def test_merges_are_the_same_when_repeated_and_keep_two_versions(spark, tmp_path):
+    import os
+
+    path = f"file://{tmp_path}/t"
+    merge = ingest.merger(path, "k", "v", buckets=4)
+    batches = [[(k, 1, f"a{k}") for k in range(20)], [(3, 2, "b"), (3, 2, "c"), (40, 1, "d")], [(5, 0, "old")], [(7, 9, "e")]]
+    want = {}
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k long, v int, name string")
+        merge(df, number)
+        once = sorted(map(tuple, ingest.current(spark, path).collect()))
+        merge(df.orderBy("name", ascending=False), number)  # handed over again, in another order
+        assert sorted(map(tuple, ingest.current(spark, path).collect())) == once
+        for k, v, name in rows:
+            want[k] = max(want.get(k, (v, name)), (v, name))
+        assert once == sorted((k, *x) for k, x in want.items())
+    files = [d for d, _, fs in os.walk(tmp_path / "t") if "_SUCCESS" in fs and "/versions/" in d]
+    assert len(files) == 2
+    assert ingest.current(spark, f"file://{tmp_path}/none") is None
+
+
+def test_a_scan_notes_its_commit_only_when_it_succeeded(spark, tmp_path):
+    path, seen = f"file://{tmp_path}/state", []
+    m = spark.createDataFrame([("a", "src/A.java"), ("b", "src/B.java")], "id string, source_file string")
+
+    def run(head, changed, scan=seen.append):
+        return ingest.scan_once(spark, path, "o/n", head, spark.createDataFrame([(c,) for c in changed], "path string"), ["src/**/*.java", "src/*.java"], m, scan)
+
+    def fails(ids):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        run("s1", [], fails)
+    assert ingest.last_sha(spark, path, "o/n") is None
+    assert run("s1", []) == {"action": "scan", "mode": "full", "mappers": ["a", "b"]}
+    assert run("s1", ["src/A.java"])["reason"] == "same_sha"
+    assert run("s2", ["src/A.java", "doc/x.md"]) == {"action": "scan", "mode": "incremental", "mappers": ["a"]}
+    assert run("s3", ["doc/x.md"])["reason"] == "no_in_scope_changes" and run("s4", ["src/New.java"])["reason"] == "changed_not_registered"
+    assert ingest.last_sha(spark, path, "o/n") == "s4" and seen == [["a", "b"], ["a"]]
+
+
+def test_schema_documents_are_validated(spark, tmp_path):
+    side = {"method": "manual", "root": {"id": "r", "name": "r", "type": "object", "children": []}}
+    good = json.dumps({"version": 1, "mapperId": "m", "savedAt": "x", "source": side, "target": side})
+    path, df = f"file://{tmp_path}/s", lambda rows: spark.createDataFrame(rows, "mapper_id string, text string")
+    schemas.save_documents(df([("m", good), ("n", good)]), path)
+    assert [r.mapper_id for r in schemas.load_documents(spark, path, "n").collect()] == ["n"]
+    with pytest.raises(Exception, match="version is not 1"):
+        schemas.save_documents(df([("m", good.replace("1,", "2,", 1))]), path)
+    assert schemas.load_documents(spark, path).count() == 2
+
+
+def test_caches_skip_what_they_cannot_read(spark, tmp_path):
+    c = files.Cache(spark, f"file://{tmp_path}", "field", "v int")
+    c.put(spark.createDataFrame([("k", 1), ("k", 2), ("j", 3)], "key string, v int"))
+    c.put(spark.createDataFrame([("k", 5)], "key string, v int"))
+    (tmp_path / "field" / "key=j" / "bad.json").write_text("{oops\n")
+    assert sorted((r.key, r.v) for r in c.list().collect()) == [("j", 3), ("k", 5)] and [r.v for r in c.get("k").collect()] == [5]
+    c.clear()
+    assert not (tmp_path / "field").exists()
+    with pytest.raises(ValueError, match="cache"):
+        files.Cache(spark, f"file://{tmp_path}", "other", "v int")
+    files.put(spark.createDataFrame([("m", 1, "a"), ("n", 2, "b")], "mapper_id string, format int, v string"), f"file://{tmp_path}/store", ["mapper_id"])
+    assert files.get_entry(spark, f"file://{tmp_path}/store", mapper_id="m").count() == 1 and files.get_entry(spark, f"file://{tmp_path}/store", mapper_id="n").count() == 0
+
+
+def test_sources_and_worktrees(spark, tmp_path):
+    m = spark.createDataFrame([("m", "src/A.java")], "mapper_id string, source_file string")
+    tree = spark.createDataFrame([("src/A.java", "text")], "path string, text string")
+    assert files.resolve_sources(m, tree.limit(0), worktree=tree).first()[:] == ("m", "text", "worktree")
+    with pytest.raises(Exception, match="not in the worktree"):
+        files.resolve_sources(m, tree, worktree=tree.limit(0)).collect()
+    entry = spark.createDataFrame([("m", "src/A.java", "a.M", "map", "a.S", "a.T", None)], ", ".join(f"`{c}` string" for c in registry.COLUMNS))
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "A.java").write_text("class A {}")
+    codes = lambda w: {r.code for r in registry.check_worktree(entry, w).collect()}
+    assert codes(f"file://{tmp_path}/gone") == {"worktree-missing", "no-worktree"} and "sourceFile-missing" not in codes(f"file://{tmp_path}")
+    assert files.tree(spark, f"file://{tmp_path}", ".java", limit=1).first()[:] == ("src/A.java", "class A {}", 10)
+
+
+def test_selectors_have_to_be_covered(spark):
+    from weftline.operators.labeling import label_from_cache
+
+    none = spark.createDataFrame([], "mapper_id string, fingerprint string, field string, pipeline array<string>, updated_at string")
+    f = spark.createDataFrame([("m", "a.name"), ("m", "b")], "mapper_id string, field string")
+    cache = spark.createDataFrame([("m", "x", "a.name", ["READ"], "1"), ("m", "y", "a.name", ["CONSTANT"], "2")], none.schema)
+    now = spark.createDataFrame([("m", "z")], "mapper_id string, fingerprint string")
+    s = lambda *names: spark.createDataFrame([("m", n) for n in names], "mapper_id string, selector string")
+    got = label_from_cache(f, none.drop("updated_at"), cache, now, s("Name"))
+    assert sorted((r.field, r.pipeline, r.source) for r in got.collect()) == [("a.name", ["CONSTANT"], "older"), ("b", None, None)]
+    with pytest.raises(ValueError, match="zip"):
+        label_from_cache(f, none.drop("updated_at"), cache, now, s("name", "zip"))

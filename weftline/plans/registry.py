@@ -3,8 +3,8 @@
 journal rows: events (at = ts, mapper = event_type or user_id, latency = value, counter = props.k)
 store entries: orders (mapper = o_custkey, fingerprint = o_orderkey, updated_at = o_orderdate, status = o_orderstatus)
 steps of a pipeline: events (pipeline = user_id, pos = event_id, kind by event_type)
-declared and written fields: one p_type of part, and lineitem
-field paths: p_name, p_type, c_name, url; source text: documents, conversations, pages
+declared and written fields: a mapper is a supplier, its fields the parts it sells, its writes lineitems in four files
+field paths: p_name, p_type, c_name, url; source text: documents, conversations, pages, and sources made from suppliers
 """
 
 from __future__ import annotations
