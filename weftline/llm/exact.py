@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, mix, pick, slices, text_of
+from weftline.llm.common import Scratch, few, mix, pick, slices, text_of
 
 #: Characters that normalisation deletes.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -194,21 +194,23 @@ def absorb(store: Store, prints: DataFrame) -> int:
     for s in before:
         if not s["fresh"] or not n:
             continue
-        passed = screen(counts, n, store.table(s["number"], "filters"), s["shards"])
-        old = store.table(s["number"], "buckets").select("key", "digest", F.col("plain").alias("old"))
+        passed = store.write(screen(counts, n, store.table(s["number"], "filters"), s["shards"]), number, f"passed-{s['number']}")
+        passed = F.broadcast(passed) if few(passed) else passed
+        old = store.table(s["number"], "buckets").select("key", "digest", F.col("plain").alias("old")).join(passed, ["key", "digest"])
         # in the exact buckets: what the filter let through by mistake has no partner, the others are compared byte by byte
-        met = passed.join(old, ["key", "digest"]).join(new.select("key", "digest", "plain"), ["key", "digest"])
+        met = old.join(new.select("key", "digest", "plain").join(passed, ["key", "digest"]), ["key", "digest"])
         same = met.select("key", "digest", F.when(F.col("old") == F.col("plain"), True).otherwise(F.raise_error(F.lit("two texts have one SHA-256 digest")).cast("boolean")).alias("same"))
         known = same if known is None else known.unionByName(same)
     fresh = new.select("key", "digest", "plain")
     if known is not None:
         known = store.write(known.where("same").select("key", "digest"), number, "known")
-        fresh = fresh.join(known, ["key", "digest"], "left_anti")
+        fresh = fresh.join(F.broadcast(known) if few(known) else known, ["key", "digest"], "left_anti")
     fresh = store.write(fresh, number, "buckets", **PRESSED)
     m = fresh.count()
     shards = max(1, -(-m // SHARD_KEYS))
     store.write(build_filters(fresh, shards), number, "filters")
-    Scratch.delete(store.spark, store.path(number, "groups"))
+    for x in ("groups", "known", *(f"passed-{s['number']}" for s in before)):
+        Scratch.delete(store.spark, store.path(number, x))
     about = store.spark.createDataFrame([(number, n, m, shards)], "number int, n long, fresh long, shards int")
     store.write(about.coalesce(1), number, "about")
     return number
