@@ -17,6 +17,9 @@ from weftline.sources.java import scan
 from weftline.sources.tables import Workspace
 
 BY = audit.BY
+#: Texts of diagnostics.
+UNATTRIBUTED = 'multi-instance-unattributed type "%s" line %d field %s — applied to all %d parent candidates'
+DERIVED = "checklist derived from write sites only — unmapped fields cannot be detected in this mode"
 
 
 def belongs(sites: DataFrame, methods: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def nested_sites(sources: DataFrame, nested: DataFrame) -> tuple[DataFrame, Data
     helped = several.join(taken.where("is_call").select("mapper_id", "target", "prefix", F.col("name").alias("in_method")), ["mapper_id", "target", "in_method"]).select("mapper_id", "target", "site", "prefix")
     injected = met.unionByName(helped).withColumn("segment", F.col("site"))
     routed = attribute(several.withColumn("segment", F.col("site")), injected, ["mapper_id", "target"], "prefix", places)
-    told = routed.where("not attributed").select("mapper_id", "site", F.format_string('multi-instance-unattributed type "%s" line %d field %s — applied to all %d parent candidates', "target", "line", "target_field", "places").alias("text")).distinct().drop("site")
+    told = routed.where("not attributed").select("mapper_id", "site", F.format_string(UNATTRIBUTED, "target", "line", "target_field", "places").alias("text")).distinct().drop("site")
     routed = routed.drop("segment", "attributed").join(places.select("mapper_id", "target", "prefix", "place"), ["mapper_id", "target", "prefix"])
     out = one.select(*routed.columns).unionByName(routed)
     return out.withColumn("target_field", F.concat_ws(".", "prefix", "target_field")).drop("prefix", "places", "site"), told
@@ -117,7 +120,7 @@ def build_tasks(mappers: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     lines = scan(sources.select("path", "text", "mapper_id"), "lines")
     told = audit.miss_diagnostics(audit.missed_writes(loose, sites), audit.unmapped_mentions(tasks.where("state = 'unmapped'").select("mapper_id", "field"), lines))
     told = told.unionByName(unsure).unionByName(reasons.select("mapper_id", F.concat_ws(": ", "path", "reason").alias("text")))
-    told = told.unionByName(derived.select("mapper_id", F.lit("checklist derived from write sites only — unmapped fields cannot be detected in this mode").alias("text")).distinct())
+    told = told.unionByName(derived.select("mapper_id", F.lit(DERIVED).alias("text")).distinct())
     risky = injections(tasks.where("slice_text is not null").select(F.struct("mapper_id", "field").alias("key"), "slice_text"), "key", "slice_text")
     risky = risky.select(F.col("key.mapper_id").alias("mapper_id"), F.col("key.field").alias("field"), "why", "excerpt")
     return tasks, told.unionByName(injection_diagnostics(risky, "field", ["mapper_id"]))
