@@ -641,3 +641,13 @@ def test_kept_rows_keep_columns_with_any_name(spark, keep):
     assert got.columns == df.columns
     assert {tuple(r) for r in got.collect()} <= set(rows) and got.count() >= 3
     assert keep(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_hot_keys_are_joined_as_others_are(spark, scratch):
+    from weftline.llm.common import join_sized
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 400).alias("k"))
+    side = scratch.keep(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.col("k") * 2), "side")
+    for how in ("inner", "left"):
+        got, want = (sorted(((r.id, r.x) for r in df.collect()), key=str) for df in (join_sized(rows, side, "k", "n", how), rows.join(side, "k", how)))
+        assert got == want

@@ -261,3 +261,17 @@ def pick(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> D
     own = free(docs, "picked")
     ids = ids.select(F.col(id_col).alias(own))
     return docs.join(F.broadcast(ids) if few(ids) else ids, F.col(id_col).eqNullSafe(F.col(own)), how)
+
+
+def join_sized(rows: DataFrame, side: DataFrame, on: str | list[str], size: str, how: str = "inner") -> DataFrame:
+    """Join rows with a written table that has one row per key and, in ``size``, how many rows have the key.
+
+    Keys with more rows than a ``BROADCAST_IDS``-th of all (and 1,000) are at most ``BROADCAST_IDS``: they are sent to the rows, so that a
+    hot key is not one task's. The others are joined as usual.
+    """
+    on = [on] if isinstance(on, str) else on
+    most = max(1000, (side.agg(F.sum(size)).first()[0] or 0) // BROADCAST_IDS)
+    hot = side.where(F.col(size) > most)
+    met = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(side.where(F.col(size) <= most), on, how)
+    return met.unionByName(rest)

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, few, mix, pick, slices, text_of
+from weftline.llm.common import Scratch, few, join_sized, mix, pick, slices, text_of
 
 #: Characters that normalisation deletes.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -234,7 +234,7 @@ def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     store = Store(docs.sparkSession, scratch.path("store"))
     for k in range(batches):
         absorb(store, rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k))
-    out = rows.select("id", "rid", "key", "digest").join(merged(store), ["key", "digest"])
+    out = join_sized(rows.select("id", "rid", "key", "digest"), scratch.keep(merged(store), "merged"), ["key", "digest"], "size")
     return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

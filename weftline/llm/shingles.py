@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, Scratch, mix, pick, slices, text_of, word_hashes
+from weftline.llm.common import LOWER, Scratch, join_sized, mix, pick, slices, text_of, word_hashes
 from weftline.llm.near import components, connect, grouped, labels, runs
 
 WORDS, PERCENT, TOKENS, RECALL, LEAF, LEVELS = 5, 75, 128, 0.999, 800, 5
@@ -287,8 +287,8 @@ def check(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, levels: int = LEVELS, task_classes: int = TASK_CLASSES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """id, n_shingles, component_id and kept of every document."""
     rows = scratch.keep(sketches(docs, id_col, text_col, levels), "rows")
-    one = rows.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n_shingles", "n_bytes", "sketch", "roots"), F.coalesce(F.col("id"), F.lit(2**63 - 1))).alias("x"))
-    classes = scratch.keep(one.select(F.monotonically_increasing_id().alias("key"), "digest", F.col("x.id").alias("first_id"), "x.n_shingles", "x.n_bytes", "x.sketch", "x.roots"), "classes")
+    one = rows.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n_shingles", "n_bytes", "sketch", "roots"), F.coalesce(F.col("id"), F.lit(2**63 - 1))).alias("x"), F.count("*").alias("size"))
+    classes = scratch.keep(one.select(F.monotonically_increasing_id().alias("key"), "digest", "size", F.col("x.id").alias("first_id"), "x.n_shingles", "x.n_bytes", "x.sketch", "x.roots"), "classes")
     met = leaves(classes, scratch, leaf, levels).withColumn("w", F.lit(0))
     slim = classes.select("key", "n_shingles", "sketch")
     near, _ = connect(met, leaf, 1, lambda units: grouped(units.join(slim, "key"), "unit", forest, "a long, b long"), scratch, "near")
@@ -305,9 +305,9 @@ def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 
     stars, whole = connect(nodes, task_classes, task_bytes, confirm, scratch, "stars")
     roots = stars.select(F.col("a").alias("node"), F.col("b").alias("root")) if whole else components(stars, scratch, "star")
-    named = classes.select("key", "digest", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("digest", "component")
-    out = rows.select("id", "n_shingles", "digest").join(named, "digest", "left")
+    named = classes.select("key", "digest", "size", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("digest", "size", "component")
+    out = join_sized(rows.select("id", "n_shingles", "digest"), scratch.keep(named, "named"), "digest", "size", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
