@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import LOWER, Scratch, join_sized, mix, pick, slices, text_of, word_hashes
 from weftline.llm.near import components, connect, grouped, labels, runs
 
-WORDS, PERCENT, TOKENS, RECALL, LEAF, LEVELS = 5, 75, 128, 0.999, 800, 5
+WORDS, PERCENT, TOKENS, RECALL, LEAF, LEVELS = 5, 75, 128, 0.999, 800, 3
 #: In how many of its numbers a node picks two positions, of every three.
-TWO = 2
+TWO = 1
 #: Classes and bytes of text that meet in one unit to be confirmed.
 TASK_CLASSES, TASK_BYTES = 4000, 12 << 20
 #: Signature agreement that is 3.7 standard deviations below the threshold.
