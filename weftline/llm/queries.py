@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, exact, langid, mix, pieces, shards, shingles, toxicity, vectors, warc
+from weftline.llm import chat, exact, langid, merkle, mix, phrases, pieces, shards, shingles, toxicity, vectors, warc, winnow
 from weftline.llm.common import Scratch
 
 
@@ -77,6 +77,23 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+def op11_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.neighbours(table(spark, sf_dir, "documents"))
+
+
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table is verified as it would be found with a third of its texts lower-cased."""
+    text = F.when(fold(3) == 0, F.translate("text", CAPITALS, SMALL)).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), Scratch(spark, "op12"), found={"text": text})
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES = {
     "op1_vectors": op1_vectors,
     "op2_chat": op2_chat,
@@ -88,10 +105,15 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
     "op10_exact": op10_exact,
+    "op11_winnow": op11_winnow,
+    "op12_manifest": op12_manifest,
+    "op13_phrases": op13_phrases,
 }
 
 #: The same control strings in the other engine's regular expressions.
 _ESC = r"""regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|NEXT\])', '\1\2\\\3', 'g')"""
+#: A value of a leaf in the other engine.
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
 
 ORACLE: dict[str, str] = {
     "op1_vectors": """
@@ -189,4 +211,56 @@ WITH plain AS (
 kept AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM plain)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM kept""",
+    "op12_manifest": f"""
+WITH RECURSIVE divided AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+crc AS (
+  SELECT doc_id, source, lang, n_chars, text, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1]))) AS crc
+  FROM documents, divided),
+texts AS (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, '{CAPITALS}', '{SMALL}') ELSE text END AS found,
+  {" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM crc),
+told AS (SELECT doc_id, lang, sha256(head || {_FIELD.format("text")}) AS leaf, sha256(head || {_FIELD.format("found")}) AS now FROM texts),
+leaves AS MATERIALIZED (SELECT doc_id, leaf, now, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM told),
+levels AS (
+  SELECT tree, 0 AS level, pos, count(*) OVER (PARTITION BY tree) AS n, leaf AS d FROM leaves
+  UNION ALL SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM levels WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+sub AS MATERIALIZED (SELECT tree, d AS subroot, level AS height FROM levels WHERE n = 1),
+over_ AS (
+  SELECT 0 AS level, tree AS pos, count(*) OVER () AS n, subroot AS d FROM sub
+  UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM over_ WHERE n > 1 GROUP BY level, pos // 8, n),
+nodes AS (SELECT * FROM levels UNION ALL SELECT -1, * FROM over_),
+beside AS MATERIALIZED (
+  SELECT tree, level, pos, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, pos // 8 ORDER BY pos)),
+steps AS MATERIALIZED (
+  SELECT e.tree, e.pos, b.level AS k, l, r FROM leaves e JOIN beside b ON b.tree = e.tree AND b.pos = e.pos >> (3 * b.level)
+  UNION ALL SELECT e.tree, e.pos, height + b.level, l, r FROM leaves e JOIN sub s ON s.tree = e.tree JOIN beside b ON b.tree = -1 AND b.pos = e.tree >> (3 * b.level)),
+proofs AS (SELECT tree, pos, sha256(string_agg(l || r, '' ORDER BY k)) AS p FROM steps GROUP BY tree, pos),
+fold AS (
+  SELECT tree, pos, 0 AS k, now AS d FROM leaves
+  UNION ALL SELECT f.tree, f.pos, f.k + 1, sha256(l || d || r) FROM fold f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.k = f.k),
+roots AS (SELECT tree, pos, arg_max(d, k) AS folded_root FROM fold GROUP BY tree, pos),
+whole AS (SELECT d AS root FROM over_ WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN sub USING (tree) JOIN roots USING (tree, pos) LEFT JOIN proofs USING (tree, pos), whole""",
+    "op13_phrases": f"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM texts),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+runs AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS t(k)),
+counts AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, cut, array_to_string(string_split(c.phrase, ' ')[1:cut], ' ') AS first, array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ') AS rest
+  FROM counts c, (VALUES (1), (2)) AS t(cut) WHERE cut < c.k),
+tried AS (
+  SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = first JOIN counts y ON y.lang = c.lang AND y.phrase = rest),
+best AS (SELECT lang, k, phrase, a, arg_min({{'l': l, 'r': r, 'score': score}}, {{'score': score, 'cut': cut}}) AS b FROM tried GROUP BY ALL),
+inner_ AS (SELECT lang, array_to_string(string_split(phrase, ' ')[cut:cut + 1], ' ') AS phrase, max(f) AS longer FROM counts, (VALUES (1), (2)) AS t(cut) WHERE k = 3 GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.b.score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inner_ i ON b.lang = i.lang AND b.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, b.l AS l, b.r AS r, n, CAST(b.score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
