@@ -96,3 +96,38 @@ def test_citation_check_returns_every_document(spark, duck, tmp_path):
     assert duck(got, sql) == len(rows)
     cited = {r.doc_id: r.cited for r in got.collect()}
     assert [cited[i] for i in (0, 3, 6, 9, 15, 18)] == [False, False, False, True, True, True]
+
+
+def test_calls_within_calls(spark):
+    """Against a walk over the characters of random code."""
+    import random
+    import re
+
+    from weftline.functions import text as tx
+
+    rng = random.Random(5)
+    parts = ["f", "g1", "this.", "A", ".", "(", "(", ")", " ", "B.c", "x_y", "\n", ",", "this", "Z9.q", "if "]
+    codes = ["f(g(h(x)))", "A.f(B.g(x))", "t.setName(tidy(this.clean(s)))", "this.a(b.c(d(", "new Foo(bar(1))", "", "f", "own (deep(\n(x)))", *("".join(rng.choices(parts, k=25)) for _ in range(300))]
+
+    def plain(code):
+        bare, deep, far = [], [], []
+        for m in re.finditer(r"[A-Za-z_]\w*(?=\s*\()", code):
+            before = code[: m.start()]
+            depth = 0
+            for c in before:
+                depth = max(0, depth + (c == "(") - (c == ")"))
+            if m.start() and re.match(r"\w", code[m.start() - 1]):
+                continue
+            alone = not before.endswith(".") or re.search(r"(?<![\w.])this\.$", before)
+            if alone and re.match("[a-z]", m[0]):
+                bare.append(m[0])
+                deep.append((m[0], depth))
+            if (q := re.search(r"(?<![\w.])([A-Z]\w*)\.$", before)) and m[0]:
+                far.append(f"{q[1]}.{m[0]}")
+        return list(dict.fromkeys(bare)), deep, list(dict.fromkeys(far))
+
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(codes)], "k int, code string")
+    got = df.select("k", tx.called_names(F.col("code")).alias("a"), tx.calls(F.col("code")).alias("b"), tx.qualified_calls(F.col("code")).alias("c")).orderBy("k").collect()
+    for row, code in zip(got, codes, strict=True):
+        assert (row.a, [tuple(x) for x in row.b], row.c) == plain(code), code
+    assert got[0].a == ["f", "g", "h"] and got[1].c == ["A.f", "B.g"] and got[2].a == ["tidy", "clean"]

@@ -234,6 +234,40 @@ def test_slices_have_guards_definitions_and_helpers(spark):
     assert got["code", 10].helpers == ["Util.fix"]
 
 
+def test_slices_have_helpers_of_superclasses_and_other_files(spark):
+    """A qualified call that holds a bare one: the body of the class elsewhere and that of the superclass, overridden and overloaded ones set apart."""
+    from weftline.operators.slicing import resolution, slices
+    from weftline.sources.java import scan
+
+    files = {
+        "m/XMapper.java": "package m;\nimport u.TextUtils;\npublic class XMapper extends n.BaseMapper {\n  public Out map(In in) {\n    Out out = new Out();\n    out.setCode(TextUtils.squeeze(pad(in.getRaw()))); out.setCode(TextUtils.squeeze(pad(in.getRaw())));\n    out.setName(own(over(deep(in.getRaw()))));\n    return out;\n  }\n  String own(String v) { return this.pad(v); }\n  String over(String v) { return \"mine\"; }\n}\nclass Out { private String code; private String name; }",
+        "u/TextUtils.java": 'package u;\npublic class TextUtils {\n  public static String squeeze(String v) { return v.replaceAll("\\\\s+", ""); }\n}',
+        "n/BaseMapper.java": 'package n;\npublic abstract class BaseMapper extends Far {\n  protected String pad(String v) { return v == null ? "" : v; }\n  String over(String v) { return "base"; }\n}',
+        "other/BaseMapper2.java": "class BaseMapper { String pad(String v) { return wrong; } }",
+        "n/Far.java": "class Far extends Farther { String deep(String v) { return v; }\n String deep(String v, int n) { return far(v); }\n String pad(String v) { return far; } }",
+        "n/Farther.java": "class Farther extends Last { String rest(String v) { return v; } }",
+        "n/Last.java": "class Last extends XMapper { String gone(String v) { return v; } }",
+    }
+    tree = spark.createDataFrame(list(files.items()), "path string, text string")
+    found = slices(tree.where("path like 'm/%'"), "Out", tree).collect()
+    code = [r for r in found if r.target_field == "code"]
+    assert len(code) == 2 and all(r.helpers == ["TextUtils.squeeze", "pad"] for r in code)  # two equal writes on a line are two
+    assert all("replaceAll" in r.slice_text and "v == null" in r.slice_text and "wrong" not in r.slice_text for r in code)
+    name = next(r for r in found if r.target_field == "name")
+    assert name.helpers == ["deep", "over", "own", "pad"]
+    assert '"mine"' in name.slice_text and '"base"' not in name.slice_text and "far(v)" not in name.slice_text
+    means = {(r.helper, r.hop) for r in resolution(scan(tree, "classes"), scan(tree, "methods")).where("class_name = 'XMapper'").collect()}
+    assert means == {("map", 0), ("own", 0), ("over", 0), ("pad", 1), ("deep", 2), ("rest", 3)}  # three superclasses, no further
+
+
+def test_definitions_belong_to_one_overload(spark):
+    from weftline.operators.slicing import slices
+
+    code = "class M {\n  T f(S s) {\n    T t = new T();\n    String a = s.one();\n    t.setA(a);\n    return t;\n  }\n  T f(S s, int n) {\n    T t = new T();\n    String a = s.two();\n    t.setA(a);\n    return t;\n  }\n}"
+    found = slices(spark.createDataFrame([("M.java", code)], "path string, text string"), "T").collect()
+    assert sorted((r.line, r.defs) for r in found) == [(5, ["String a = s.one();"]), (11, ["String a = s.two();"])]
+
+
 def test_discovery_keeps_the_first(spark):
     from weftline.operators.labeling import discovered, fallback_checklist
 

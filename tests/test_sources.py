@@ -404,3 +404,25 @@ def test_selectors_have_to_be_covered(spark):
     assert sorted((r.field, r.pipeline, r.source) for r in got.collect()) == [("a.name", ["CONSTANT"], "older"), ("b", None, None)]
     with pytest.raises(ValueError, match="zip"):
         label_from_cache(f, none.drop("updated_at"), cache, now, s("name", "zip"))
+
+
+def test_scanner_is_linear_in_a_file():
+    """A file of one megabyte with a write, a builder and a block on nearly every line; twice the file takes about twice as long."""
+    import time
+
+    from weftline.sources.java import Source
+
+    def took(n):
+        body = "\n".join(f"    if (s.a{i}()) {{ t.setF{i}(s.get(\"{i}\")); }}" for i in range(n))
+        methods = "\n".join(f"  T m{i}(S s) {{ T t = T.builder().a(s.b()).build(); return t; }}" for i in range(n // 4))
+        code = f"class M {{\n  T f(S s) {{\n    T t = new T();\n{body}\n    return t;\n  }}\n{methods}\n}}"
+        began = time.process_time()
+        source = Source(code)
+        sites = source.guarded_sites("T")
+        loose = source.loose_writes()
+        return time.process_time() - began, len(sites), len(loose), len(code)
+
+    took(500)
+    (one, n, k, _), (two, n2, k2, size) = took(8000), took(16000)
+    assert (n, n2) == (8000 + 2000, 16000 + 4000) and (k, k2) == (8000, 16000) and size > 1_000_000
+    assert two < 3.2 * one, (one, two)

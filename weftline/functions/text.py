@@ -76,14 +76,31 @@ def words_in(text: Column, needle: Column) -> Column:
     return F.coalesce((n == "") | F.contains(t, n) | (F.length(last) >= 2) & F.contains(t, last), F.lit(False))
 
 
+#: A call by a bare name, also through ``this``; what stands before it is looked at and not taken, so calls within calls are found.
+BARE_CALL = r"(?<![\w.])(?:this\.)?([a-z]\w*)\s*\("
+
+
 def called_names(code: Column) -> Column:
-    """Names that stand before an opening parenthesis and not after a dot."""
-    return F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?:^|[^\w.])([A-Za-z_]\w*)\s*\("), F.lit(1)))
+    """Bare names that are called, however deep."""
+    return F.array_distinct(F.regexp_extract_all(code, F.lit(BARE_CALL), F.lit(1)))
+
+
+def calls(code: Column) -> Column:
+    """Array of (name, depth) of the bare calls in order; the depth counts the parentheses around a call."""
+    tokens = F.regexp_extract_all(code, F.lit(BARE_CALL + r"|[()]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<name: string, depth: int>>").alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        name = F.regexp_extract(token, r"(\w+)\s*\($", 1)
+        found = F.when(name != "", F.concat(state["found"], F.array(F.struct(name.alias("name"), state["depth"].alias("depth"))))).otherwise(state["found"])
+        return F.struct(F.greatest(F.lit(0), state["depth"] + F.when(token == ")", -1).otherwise(1)).alias("depth"), found.alias("found"))
+
+    return F.aggregate(tokens, start, step, lambda state: state["found"])
 
 
 def qualified_calls(code: Column) -> Column:
-    """Class.method calls."""
-    return F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?:^|[^\w.])([A-Z]\w*\.[a-z]\w*)\s*\("), F.lit(1)))
+    """Class.method calls, however deep."""
+    return F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?<![\w.])([A-Z]\w*\.\w+)\s*\("), F.lit(1)))
 
 
 def identifiers(code: Column) -> Column:

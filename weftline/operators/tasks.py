@@ -12,8 +12,8 @@ from weftline.operators.closure import nested_leaves
 from weftline.operators.keyed import attribute, builder_sites
 from weftline.operators.labeling import fallback_checklist, nested_upsert
 from weftline.operators.pipeline import carry_forward, collect_fields, expand_write, fold_branches, schema_paths_for, view_steps, with_writes
-from weftline.operators.slicing import heading, slices
-from weftline.sources.java import scan
+from weftline.operators.slicing import heading, slices_of
+from weftline.sources.java import parse, rows_of, scan
 from weftline.sources.tables import Workspace
 
 BY = audit.BY
@@ -30,7 +30,7 @@ def belongs(sites: DataFrame, methods: DataFrame) -> DataFrame:
     m = methods.select("path", F.col("name").alias("in_method"), "start_line", "end_line", "body_text")
     holds = F.col("line").between(F.col("start_line"), F.col("end_line"))
     best = F.min_by("body_text", F.struct((~holds).alias("away"), "start_line")).alias("body")
-    each = sites.withColumn("_site", F.xxhash64(*sites.columns))
+    each = Workspace(sites.sparkSession).keep(sites.withColumn("_site", F.monotonically_increasing_id()))
     body = each.join(m, ["path", "in_method"]).groupBy("_site").agg(best)
     kind = F.concat(F.lit(r"(?:[\w.]+\.)?"), "target")
     name = F.regexp_replace("receiver", r"([^\w])", r"\\$1")
@@ -41,17 +41,24 @@ def belongs(sites: DataFrame, methods: DataFrame) -> DataFrame:
     return out.where(chain | F.coalesce(F.regexp("body", declared) | F.regexp("body", made), F.lit(False))).drop("_site", "body")
 
 
-def nested_sites(sources: DataFrame, nested: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Kinds of rows that attribution asks for.
+FOR_NESTED = ["methods", "injections", "assignments", "chains"]
+
+
+def nested_sites(sources: DataFrame, nested: DataFrame, parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Writes to the types within each mapper's target, with their dotted paths and a ``place`` for their order, and diagnostics.
 
     sources: (mapper_id, path, text); nested: (mapper_id, path: where in the target, type_name, order). A type at one place gets its
     writes there. Of a type at several places a write goes where a variable of its lifetime segment, or its method's result, is
-    handed to a setter, a with-call or a builder's link of that place; it taints all places that do, or all there are.
+    handed to a setter, a with-call or a builder's link of that place; it taints all places that do, or all there are. ``parsed`` is what
+    ``parse`` found of ``FOR_NESTED`` in the sources, if they were parsed already.
     """
     work = Workspace(sources.sparkSession)
+    parsed = work.keep(parse(sources.select("path", "text", "mapper_id"), FOR_NESTED)) if parsed is None else parsed
+    found = lambda kind: rows_of(parsed, kind).drop("target")
     nested = nested.select("mapper_id", F.col("path").alias("prefix"), "type_name", F.col("order").alias("place"))
     each = sources.join(nested.select("mapper_id", F.col("type_name").alias("target")).distinct(), "mapper_id")
-    sites = work.keep(belongs(scan(each, "write_sites"), scan(sources.select("path", "text").distinct(), "methods")).withColumn("site", F.monotonically_increasing_id()))
+    sites = work.keep(belongs(scan(each, "write_sites"), found("methods").drop("mapper_id").distinct()).withColumn("site", F.monotonically_increasing_id()))
     count = nested.groupBy("mapper_id", F.col("type_name").alias("target")).agg(F.count("*").alias("places"))
     counted = sites.join(count, ["mapper_id", "target"])
     places = nested.withColumnRenamed("type_name", "target")
@@ -61,9 +68,9 @@ def nested_sites(sources: DataFrame, nested: DataFrame) -> tuple[DataFrame, Data
     # where a place takes something in: set, with or the bare name, of a variable or of a helper's result
     short = leaf(F.col("prefix"))
     routes = places.withColumn("method", F.explode(F.array(F.concat(F.lit("set"), capital(short)), F.concat(F.lit("with"), capital(short)), short)))
-    taken = scan(sources.select("path", "text", "mapper_id"), "injections").join(routes, ["mapper_id", "method"]).select("mapper_id", "target", "prefix", "place", "name", "is_call", F.col("line").alias("at"))
+    taken = found("injections").join(routes, ["mapper_id", "method"]).select("mapper_id", "target", "prefix", "place", "name", "is_call", F.col("line").alias("at"))
     taken = work.keep(taken)
-    assigned = work.keep(scan(sources.select("path", "text", "mapper_id"), "assignments").select("mapper_id", "name", F.col("line").alias("set_at")))
+    assigned = work.keep(found("assignments").select("mapper_id", "name", F.col("line").alias("set_at")))
 
     def lifetime(rows: DataFrame, line: str, ids: list[str]) -> DataFrame:
         """Rows with the segment of their variable's lifetime: how often it was assigned up to the line."""
@@ -71,7 +78,7 @@ def nested_sites(sources: DataFrame, nested: DataFrame) -> tuple[DataFrame, Data
         return met.groupBy(*ids).agg(F.count_if(F.col("set_at") <= F.col(line)).alias("segment"))
 
     by_var = lifetime(taken.where("not is_call"), "at", ["mapper_id", "target", "prefix", "place", "name", "at"])
-    chains = scan(sources.select("path", "text", "mapper_id"), "chains").withColumnRenamed("type", "target")
+    chains = found("chains").withColumnRenamed("type", "target")
     bound = builder_sites(several.where(F.col("receiver") == F.concat("target", F.lit(".builder()"))), chains, ["mapper_id", "target"])
     vars_ = several.select("mapper_id", "target", "site", "line", F.col("receiver").alias("name")).unionByName(bound.select("mapper_id", "target", "site", "line", F.col("var").alias("name")))
     alive = lifetime(vars_, "line", ["mapper_id", "target", "site", "name", "line"])
@@ -88,22 +95,29 @@ def nested_sites(sources: DataFrame, nested: DataFrame) -> tuple[DataFrame, Data
 def build_tasks(mappers: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tasks (mapper_id, field, type, n_writes, state, slice_text) of every mapper, and diagnostics (mapper_id, text).
 
-    mappers: (mapper_id, source_file, target_type); files: (path, text) of the whole tree. Fields are those that the mapper's own
+    mappers: (mapper_id, source_file, target_type, and class_name, if bare calls are to be looked up from that class); files: (path, text) of the whole tree. Fields are those that the mapper's own
     file declares for the target; else the leaves of its type in the tree, where writes to the types within are scanned too and
     attributed; else the writes themselves. States follow the audit, slices are joined by the whole key or else by the leaf.
     """
     work = Workspace(files.sparkSession)
-    sources = work.keep(mappers.select("mapper_id", F.col("source_file").alias("path"), simple_type_name(F.col("target_type")).alias("target")).join(files.select("path", "text"), "path"))
-    classes = work.keep(scan(files, "class_fields"))
+    sources = work.keep(mappers.select("mapper_id", F.col("source_file").alias("path"), simple_type_name(F.col("target_type")).alias("target"), *[c for c in ("class_name",) if c in mappers.columns]).join(files.select("path", "text"), "path"))
+    tree_parsed = work.keep(parse(files.select("path", "text"), ["class_fields", "methods", "classes"]))
+    parsed = work.keep(parse(sources, ["guarded_sites", "target_fields", "calls", "loose_writes", "lines", *FOR_NESTED]))
+    found = lambda kind: rows_of(parsed, kind).drop("target")
+    classes = work.keep(rows_of(tree_parsed, "class_fields"))
     # of classes with one name that in a file of that name, else the first path
     home = classes.groupBy("class_name").agg(F.min_by("path", F.struct(~F.endswith("path", F.concat(F.lit("/"), "class_name", F.lit(".java"))), "path")).alias("path"))
     tree = work.keep(classes.join(home, ["class_name", "path"]))
-    declared = work.keep(scan(sources, "target_fields").select("mapper_id", F.col("name").alias("field"), "type"))
+    declared = work.keep(found("target_fields").select("mapper_id", F.col("name").alias("field"), "type"))
     away = sources.join(declared.select("mapper_id").distinct(), "mapper_id", "left_anti").select("mapper_id", F.col("target").alias("class_name"))
     leaves, reasons, nested = nested_leaves(tree, away)
-    extra, unsure = nested_sites(sources.select("mapper_id", "path", "text"), nested)
+    extra, unsure = nested_sites(sources.select("mapper_id", "path", "text"), nested, parsed)
     extra = work.keep(extra.withColumn("helpers", F.array().cast("array<string>")).withColumn("slice_text", F.concat_ws("\n", heading(), "statement")))
-    cut = slices(sources, tree=files)
+    # several mappers may have one file; two equal writes on a line stay two
+    sites = rows_of(parsed, "guarded_sites", True).drop("mapper_id").distinct().drop("nth")
+    if "class_name" in mappers.columns:  # bare calls are looked up from the mapper's class
+        sites = sites.join(sources.select("path", "target", "class_name").distinct(), ["path", "target"])
+    cut = slices_of(sites, tree_parsed)
     keep = ["path", "via", "in_method", "receiver", "helpers", "slice_text"]
     own = sources.select("mapper_id", "path", "target").join(cut, ["path", "target"]).select("mapper_id", "line", "target_field", *keep)
     sites = work.keep(nested_upsert(own, extra.select("mapper_id", "line", "target_field", "place", *keep), BY, "place"))
@@ -111,14 +125,11 @@ def build_tasks(mappers: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     bare = sites.join(fields.select("mapper_id").distinct(), "mapper_id", "left_anti")
     derived = fallback_checklist(bare, BY).select("mapper_id", "field", F.lit(None).cast("string").alias("type"))
     fields = work.keep(fields.unionByName(derived))
-    calls = scan(sources.select("path", "text", "mapper_id"), "calls")
-    check = work.keep(audit.checklist(fields, sites, audit.opaque(calls, sites)))
+    check = work.keep(audit.checklist(fields, sites, audit.opaque(found("calls"), sites)))
     shown = audit.writes(fields, sites).groupBy("mapper_id", "field").agg(F.array_sort(F.collect_list(F.struct("line", "slice_text"))).alias("s"))
     shown = shown.select("mapper_id", "field", F.array_join(F.transform("s", lambda x: x["slice_text"]), "\n\n").alias("slice_text"))
     tasks = work.keep(check.join(shown, ["mapper_id", "field"], "left"))
-    loose = scan(sources.select("path", "text", "mapper_id"), "loose_writes")
-    lines = scan(sources.select("path", "text", "mapper_id"), "lines")
-    told = audit.miss_diagnostics(audit.missed_writes(loose, sites), audit.unmapped_mentions(tasks.where("state = 'unmapped'").select("mapper_id", "field"), lines))
+    told = audit.miss_diagnostics(audit.missed_writes(found("loose_writes"), sites), audit.unmapped_mentions(tasks.where("state = 'unmapped'").select("mapper_id", "field"), found("lines")))
     told = told.unionByName(unsure).unionByName(reasons.select("mapper_id", F.concat_ws(": ", "path", "reason").alias("text")))
     told = told.unionByName(derived.select("mapper_id", F.lit(DERIVED).alias("text")).distinct())
     risky = injections(tasks.where("slice_text is not null").select(F.struct("mapper_id", "field").alias("key"), "slice_text"), "key", "slice_text")

@@ -78,9 +78,18 @@ def token_usage(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", usage(raw).alias("u")).select("event_id", "u.prompt", "u.completion")
 
 
-@query("called_names", r"SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?:^|[^\w.])([A-Za-z_]\w*)\s*\(', 1))) AS n_calls FROM pages")
+#: Text that calls within calls, by page; a blank after each parenthesis keeps what stands before a call apart for the other engine.
+_CALLS_SQL = """coded AS (SELECT page_id, html || ' f' || CAST(page_id % 7 AS VARCHAR) || '(g(this.h' || CAST(page_id % 5 AS VARCHAR) || ' (x.y(B.z(' || repeat('k(', CAST(page_id % 4 AS INT)) || 'this.m(A.f(B' || CAST(page_id % 3 AS VARCHAR) || '.g(' AS t FROM pages),
+told AS (SELECT page_id, replace(t, '(', '( ') AS t FROM coded)"""
+
+
+@query("called_names", rf"WITH {_CALLS_SQL} SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?:^|[^\w.])(?:this\.)?([a-z]\w*)\s*\(', 1))), ' ') AS names, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?:^|[^\w.])([A-Z]\w*\.\w+)\s*\(', 1))), ' ') AS qualified FROM told")
 def called_names(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.size(tx.called_names(F.col("html"))).cast("long").alias("n_calls"))
+    """Bare and Class.method calls of every page with calls within calls at its end."""
+    part = lambda n: (F.col("page_id") % n).cast("string")
+    more = F.concat(F.col("html"), F.lit(" f"), part(7), F.lit("(g(this.h"), part(5), F.lit(" (x.y(B.z("), F.repeat(F.lit("k("), (F.col("page_id") % 4).cast("int")), F.lit("this.m(A.f(B"), part(3), F.lit(".g("))
+    coded = table(spark, sf_dir, "pages").select("page_id", more.alias("t"))
+    return coded.select("page_id", F.array_join(F.sort_array(tx.called_names(F.col("t"))), " ").alias("names"), F.array_join(F.sort_array(tx.qualified_calls(F.col("t"))), " ").alias("qualified"))
 
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -223,6 +232,46 @@ def java_slices(spark, sf_dir):
     return slices(mappers(spark, sf_dir)).select("path", "target_field", F.array_join("helpers", ">").alias("helpers"))
 
 
+def inheriting(spark, sf_dir):
+    """Mappers' files (path, text) of suppliers, whose classes extend a nation's class, which extends a region's; and all files, with a region's helpers."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    text = lambda c: F.col(c).cast("string")
+    code = lines_if(
+        (None, F.concat(F.lit("package a;\npublic class M"), text("s_suppkey"), F.lit(" extends b.Base"), text("s_nationkey"), F.lit(" {"))),
+        (None, "  Target build(Source s) {\n    Target t = new Target();\n    String raw = s.getName();"),
+        (F.col("s_suppkey") % 2 == 0, "    t.setName(tidy(pad(this.deep(raw))));"),
+        (F.col("s_suppkey") % 2 == 1, "    t.setName(raw);"),
+        (F.col("s_acctbal") > 0, F.concat(F.lit("    if (s.rich()) {\n      t.code = Util"), text("n_regionkey"), F.lit(".fix(pad(s.c()));\n    }"))),
+        (None, "    return t;\n  }\n  String build(String raw) { String code = raw; return code; }\n  private String tidy(String v) { return deep(v); }\n}"),
+    )
+    own = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("a/M"), text("s_suppkey"), F.lit(".java")).alias("path"), code.alias("text"))
+    base = F.concat(F.lit("package b;\npublic abstract class Base"), text("n_nationkey"), F.lit(" extends Root"), text("n_regionkey"), F.lit(' {\n  protected String pad(String v) { return v == null ? "'), "n_name", F.lit('" : v; }\n}'))
+    root = F.concat(F.lit("package b;\npublic class Root"), text("r_regionkey"), F.lit(' {\n  String deep(String v) { return v; }\n  String pad(String v) { return "never"; }\n  String deep(String v, int n) { return null; }\n}'))
+    util = F.concat(F.lit("package b;\npublic class Util"), text("r_regionkey"), F.lit(' {\n  static String fix(String v) { return v + "'), "r_name", F.lit('"; }\n}'))
+    tree = own.unionByName(n.select(F.concat(F.lit("b/Base"), text("n_nationkey"), F.lit(".java")).alias("path"), base.alias("text")))
+    for kind, body in (("Root", root), ("Util", util)):
+        tree = tree.unionByName(r.select(F.concat(F.lit(f"b/{kind}"), text("r_regionkey"), F.lit(".java")).alias("path"), body.alias("text")))
+    return own, tree
+
+
+@query(
+    "inherited_helpers",
+    """WITH s AS (SELECT 'a/M' || CAST(s_suppkey AS VARCHAR) || '.java' AS path, s_suppkey % 2 = 0 AS even, s_acctbal > 0 AS rich, CAST(n_regionkey AS VARCHAR) AS r, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+h AS (SELECT *, chr(10) || chr(10) || '// helper: pad' || chr(10) || 'protected String pad(String v) { return v == null ? "' || n_name || '" : v; }' AS pad FROM s)
+SELECT path, 'name' AS target_field, CASE WHEN even THEN 'deep>pad>tidy' ELSE '' END AS helpers,
+  '// write site (line 6, in build, via setter)' || chr(10) || '// local dataflow:' || chr(10) || 'String raw = s.getName();' || chr(10) || CASE WHEN even THEN 't.setName(tidy(pad(this.deep(raw))));' || chr(10) || chr(10) || '// helper: deep' || chr(10) || 'String deep(String v) { return v; }'
+  || pad || chr(10) || chr(10) || '// helper: tidy' || chr(10) || 'private String tidy(String v) { return deep(v); }' ELSE 't.setName(raw);' END AS slice_text FROM h
+UNION ALL SELECT path, 'code', 'Util' || r || '.fix>pad',
+  '// write site (line 8, in build, via assignment)' || chr(10) || '// control flow:' || chr(10) || 'if (s.rich())' || chr(10) || 't.code = Util' || r || '.fix(pad(s.c()));' || chr(10) || chr(10) || '// helper: Util' || r || '.fix' || chr(10) || 'static String fix(String v) { return v + "' || r_name || '"; }' || pad FROM h WHERE rich""",
+)
+def inherited_helpers(spark, sf_dir):
+    """Slices whose calls lead, one within another, to superclasses and helpers in other files."""
+    from weftline.operators.slicing import slices
+
+    own, tree = inheriting(spark, sf_dir)
+    return slices(own, "Target", tree).select("path", "target_field", F.array_join("helpers", ">").alias("helpers"), "slice_text")
+
+
 #: Types of the next query's targets, in files of their own.
 NESTED = {
     "p/Record.java": "package p; public class Record { private Contact primary; private Contact secondary; private List<Item> items; private String name; private Record up; }",
