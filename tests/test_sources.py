@@ -213,7 +213,7 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
 def test_polling_takes_new_files_once(spark, tmp_path):
     src, out, cp = (f"file://{tmp_path}/{x}" for x in ("in", "out", "cp"))
     seen = []
-    base = ingest.merger(out, "k", "v")
+    base = ingest.merger(out, ingest.newest("k", "v"))
 
     def merge(batch, number):
         seen.append(batch.count())
@@ -223,7 +223,7 @@ def test_polling_takes_new_files_once(spark, tmp_path):
         spark.createDataFrame(rows, "k string, v int").write.mode("append").json(src)
         ingest.poll(spark, src, "k string, v int", cp, merge).awaitTermination()
     assert seen == [2, 1]
-    assert {(r.k, r.v) for r in ingest.current(spark, out).collect()} == {("a", 3), ("b", 5)}
+    assert {(r.k, r.v) for r in ingest.current(spark, out, ingest.newest("k", "v")).collect()} == {("a", 3), ("b", 5)}
 
 
 def test_poll_plan(spark):
@@ -316,21 +316,69 @@ def test_merges_are_the_same_when_repeated_and_keep_two_versions(spark, tmp_path
     import os
 
     path = f"file://{tmp_path}/t"
-    merge = ingest.merger(path, "k", "v", buckets=4)
+    keep = ingest.newest("k", "v")
+    merge = ingest.merger(path, keep)
     batches = [[(k, 1, f"a{k}") for k in range(20)], [(3, 2, "b"), (3, 2, "c"), (40, 1, "d")], [(5, 0, "old")], [(7, 9, "e")]]
     want = {}
     for number, rows in enumerate(batches):
         df = spark.createDataFrame(rows, "k long, v int, name string")
         merge(df, number)
-        once = sorted(map(tuple, ingest.current(spark, path).collect()))
+        once = sorted(map(tuple, ingest.current(spark, path, keep).collect()))
         merge(df.orderBy("name", ascending=False), number)  # handed over again, in another order
-        assert sorted(map(tuple, ingest.current(spark, path).collect())) == once
+        assert sorted(map(tuple, ingest.current(spark, path, keep).collect())) == once
         for k, v, name in rows:
             want[k] = max(want.get(k, (v, name)), (v, name))
         assert once == sorted((k, *x) for k, x in want.items())
     files = [d for d, _, fs in os.walk(tmp_path / "t") if "_SUCCESS" in fs and "/versions/" in d]
     assert len(files) == 2
-    assert ingest.current(spark, f"file://{tmp_path}/none") is None
+    assert ingest.current(spark, f"file://{tmp_path}/none", keep) is None
+
+
+def test_merges_write_in_proportion_to_the_batch(spark, tmp_path):
+    """A table of 20,000 keys and batches of ten: the large part stays as it is while the small ones grow."""
+    import os
+
+    path, keep = f"file://{tmp_path}/t", ingest.newest("k", "v")
+    merge = ingest.merger(path, keep)
+    merge(spark.range(20_000).select(F.col("id").alias("k"), F.lit(1).alias("v")), 0)
+
+    def written():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_size for d, _, fs in os.walk(tmp_path / "t") for f in fs if f.endswith(".parquet") and "/versions/" not in d}
+
+    first = written()
+    for number in range(1, 6):
+        before = written()
+        merge(spark.range(10).select((F.col("id") * 7).alias("k"), F.lit(number + 1).alias("v")), number)
+        after = written()
+        assert first.items() <= after.items()  # not rewritten
+        assert sum(after[f] for f in after.keys() - before.keys()) < 0.2 * sum(first.values())
+    got = {r.k: r.v for r in ingest.current(spark, path, keep).collect()}
+    assert len(got) == 20_000 and got[7] == 6 and got[8] == 1
+    merge(spark.range(40_000).select(F.col("id").alias("k"), F.lit(9).alias("v")), 6)  # as large as the table: all parts become one
+    assert len(ingest.versions_of(spark, path)[6]) == 1 and ingest.current(spark, path, keep).where("v = 9").count() == 40_000
+
+
+def test_report_reads_new_files_only(spark, tmp_path):
+    """Sums, means and rates after every call equal those of all rows; a file that was read may be gone."""
+    import os
+
+    from weftline.operators import journal
+
+    src, cp, path = (f"file://{tmp_path}/{x}" for x in ("in", "cp", "states"))
+    schema = "mapper_id string, at string, declared long, unmapped long, agree_rate double"
+    turns = [[("a", "2024-01-01", 3, 1, 0.5), ("b", "2024-01-02", 4, None, None)], [("a", "2024-01-03", 5, 2, None), ("a", None, 9, 9, 1.0)], [("c", "2024-01-02", 1, 0, 1.0), ("a", "2023-01-01", 7, 7, 0.0)], []]
+    all_ = []
+    for rows_ in turns:
+        all_ += rows_
+        if rows_:
+            spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").json(src)
+        out = ingest.report(spark, src, schema, cp, path, ["declared", "unmapped"], ["mapper_id"], since="2024-01-01")
+        df = journal.runs(spark.createDataFrame(all_, schema), since="2024-01-01")
+        want = df.groupBy("mapper_id").agg(F.count("*").alias("runs"), F.sum("declared"), F.coalesce(F.sum("unmapped"), F.lit(0)), F.round(F.sum("declared") / F.count("*"), 4), F.round(F.coalesce(F.sum("unmapped"), F.lit(0)) / F.count("*"), 4), F.coalesce(F.round(F.avg("agree_rate"), 4), F.lit(1.0)), F.max("at"))
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+        for f in os.listdir(tmp_path / "in"):
+            if f.endswith(".json"):
+                open(tmp_path / "in" / f, "w").close()  # what was read is not asked again
 
 
 def test_a_scan_notes_its_commit_only_when_it_succeeded(spark, tmp_path):

@@ -146,12 +146,16 @@ def classify_misses(diagnostics: DataFrame, fields: DataFrame) -> DataFrame:
     return told.unionByName(rows.select("m.kind", "field", F.lit(None).cast("int").alias("line"), "m.text"))
 
 
-def ungrounded(steps: DataFrame, slices: DataFrame, schema_paths: DataFrame | None = None) -> DataFrame:
-    """Steps (field, pos, kind, source_field, op, value) that the slice of their field (field, text) gives no evidence for."""
-    s = steps.join(slices, "field", "left").withColumn("text", F.coalesce("text", F.lit("")))
+def ungrounded(steps: DataFrame, slices: DataFrame, schema_paths: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Steps (by, field, pos, kind, source_field, op, value) that the slice of their field (by, field, text) gives no evidence for.
+
+    A read of a leaf of the schema's paths (by, path) is grounded.
+    """
+    by = by or []
+    s = steps.join(slices, [*by, "field"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     if schema_paths is not None:
-        known = schema_paths.select(F.lower(F.substring_index("path", ".", -1)).alias("_leaf")).distinct().withColumn("in_schema", F.lit(True))
-        s = s.withColumn("_leaf", F.lower(F.substring_index("source_field", ".", -1))).join(known, "_leaf", "left").drop("_leaf")
+        known = schema_paths.select(*by, F.lower(F.substring_index("path", ".", -1)).alias("_leaf")).distinct().withColumn("in_schema", F.lit(True))
+        s = s.withColumn("_leaf", F.lower(F.substring_index("source_field", ".", -1))).join(known, [*by, "_leaf"], "left").drop("_leaf")
     else:
         s = s.withColumn("in_schema", F.lit(False))
     evidence = F.create_map(*[x for k, v in OP_EVIDENCE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -162,37 +166,85 @@ def ungrounded(steps: DataFrame, slices: DataFrame, schema_paths: DataFrame | No
     return s.withColumn("detail", F.when(read, "READ not grounded").when(op, "TRANSFORM not grounded").when(constant, "CONSTANT not grounded")).where("detail is not null").drop("text", "in_schema")
 
 
-def scores(pipelines: DataFrame, declared: int | Column, bad: DataFrame, sliced: DataFrame) -> DataFrame:
-    """coverage, grounding, specificity and provenance of mapped fields (field, pipeline); an empty side counts as 1."""
-    each = pipelines.select("field", F.size("pipeline").alias("steps"), F.size(F.filter(kinds_of(F.col("pipeline")), lambda k: k == "RAW")).alias("raw"))
-    each = each.join(sliced.select("field").distinct().withColumn("sliced", F.lit(1)), "field", "left")
-    n = each.agg(F.count("*").alias("mapped"), F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("sliced"), F.lit(0)).alias("sliced"))
-    n = n.join(F.broadcast(bad.agg(F.count("*").alias("bad"))), how="cross")
+def scores(pipelines: DataFrame, declared: int | Column | DataFrame, bad: DataFrame, sliced: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """coverage, grounding, specificity and provenance of mapped fields (by, field, pipeline); an empty side counts as 1.
+
+    With ``by`` there is a row for each mapper of ``declared`` (by, declared); without, declared is a number and there is one row.
+    """
+    by = by or []
+    each = pipelines.select(*by, "field", F.size("pipeline").alias("steps"), F.size(F.filter(kinds_of(F.col("pipeline")), lambda k: k == "RAW")).alias("raw"))
+    each = each.join(sliced.select(*by, "field").distinct().withColumn("sliced", F.lit(1)), [*by, "field"], "left")
+    n = each.groupBy(*by).agg(F.count("*").alias("mapped"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("steps", "raw", "sliced")])
+    lost = bad.groupBy(*by).agg(F.count("*").alias("bad"))
+    if by:
+        n = declared.select(*by, F.col("declared").alias("_d")).join(n, by, "left").join(lost, by, "left").na.fill(0, ["mapped", "steps", "raw", "sliced", "bad"])
+        d = F.col("_d")
+    else:
+        n, d = n.join(F.broadcast(lost), how="cross"), F.lit(declared) if isinstance(declared, int) else declared
     share = lambda part, of: F.coalesce(F.round(1 - F.try_divide(F.col(part).cast("double"), F.col(of)), 4), F.lit(1.0))
-    d = F.lit(declared) if isinstance(declared, int) else declared
-    return n.select(F.round(F.least(F.lit(1.0), F.col("mapped") / F.greatest(d, F.lit(1))), 4).alias("coverage"), share("bad", "steps").alias("grounding"), share("raw", "steps").alias("specificity"), F.coalesce(F.round(F.try_divide(F.col("sliced").cast("double"), F.col("mapped")), 4), F.lit(1.0)).alias("provenance"))
+    return n.select(*by, F.round(F.least(F.lit(1.0), F.col("mapped") / F.greatest(d, F.lit(1))), 4).alias("coverage"), share("bad", "steps").alias("grounding"), share("raw", "steps").alias("specificity"), F.coalesce(F.round(F.try_divide(F.col("sliced").cast("double"), F.col("mapped")), 4), F.lit(1.0)).alias("provenance"))
 
 
-def provenance(mapped: DataFrame, sliced: DataFrame) -> DataFrame:
-    """How many mapped fields (field) there are, how many of them have a slice, and their share."""
-    each = mapped.join(sliced.select("field").distinct().withColumn("_sliced", F.lit(1)), "field", "left")
-    n = each.agg(F.count("*").alias("mapped"), F.count("_sliced").alias("with_slice"))
+def provenance(mapped: DataFrame, sliced: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many mapped fields (by, field) there are, how many of them have a slice, and their share."""
+    by = by or []
+    each = mapped.join(sliced.select(*by, "field").distinct().withColumn("_sliced", F.lit(1)), [*by, "field"], "left")
+    n = each.groupBy(*by).agg(F.count("*").alias("mapped"), F.count("_sliced").alias("with_slice"))
     return n.withColumn("provenance", F.coalesce(F.round(F.try_divide(F.col("with_slice").cast("double"), F.col("mapped")), 4), F.lit(1.0)))
 
 
-def smells(closures: DataFrame, pipelines: DataFrame, depth: int = 4, few: int = 2) -> DataFrame:
-    """Fields whose helpers (field, helper) are many though their pipeline has one or two steps."""
-    deep = closures.groupBy("field").agg(F.countDistinct("helper").alias("closure_depth")).where(F.col("closure_depth") >= depth)
-    return pipelines.select("field", F.size("pipeline").alias("steps")).where(F.col("steps").between(1, few)).join(deep, "field")
+def task_of(fields: DataFrame, tasks: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Fields (by, field, ...) with the value of the task they belong to; without one they are left out.
+
+    It is the task (by, field, pos, value) of the same name in any case, of several the last; else the first of those whose name ends the field's after a
+    dot, or end in a dot and the field's last part. Endings are looked up by equality, in tables with one row for each name, so
+    neither many tasks nor many fields of one last part meet in pairs.
+    """
+    by = by or []
+    low = F.lower("field")
+    exact = tasks.groupBy(*by, low.alias("_name")).agg(F.min("pos").alias("_at"), F.max_by(value, "pos").alias("_value"))
+    first = F.min(F.struct(F.col("_at").alias("at"), F.col("_value").alias("value")))
+    dotted = exact.where(F.contains("_name", F.lit("."))).groupBy(*by, F.substring_index("_name", ".", -1).alias("_tail")).agg(first.alias("_inner"))
+    own = fields.withColumn("_name", low).withColumn("_tail", F.substring_index("_name", ".", -1))
+    parts = F.split("_name", r"\.")
+    ends = own.select(*by, "_name").distinct().withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))))).where(F.size(parts) > 1)
+    ends = ends.select(*by, F.col("_name").alias("_of"), F.array_join(F.slice(parts, F.size(parts) - F.col("_n") + 1, F.col("_n")), ".").alias("_name"))
+    ended = ends.join(exact, [*by, "_name"]).groupBy(*by, F.col("_of").alias("_name")).agg(first.alias("_outer"))
+    out = own.join(exact.drop("_at"), [*by, "_name"], "left").join(ended, [*by, "_name"], "left").join(dotted, [*by, "_tail"], "left")
+    found = F.coalesce(F.when(F.col("_value").isNotNull(), F.col("_value")), F.least("_outer", "_inner")["value"])
+    return out.withColumn(value, found).where(F.col(value).isNotNull()).drop("_name", "_tail", "_value", "_outer", "_inner")
+
+
+def smells(closures: DataFrame, pipelines: DataFrame, depth: int = 4, few: int = 2, by: list[str] | None = None, tasks: DataFrame | None = None) -> DataFrame:
+    """Fields (by, field, pipeline) whose task's helpers (by, field, helper) are many though their pipeline has one or two steps.
+
+    ``tasks`` (by, field, pos) are all tasks in order, by default those that have helpers, by name; ``task_of`` tells which one is a field's.
+    """
+    by = by or []
+    deep = closures.groupBy(*by, "field").agg(F.countDistinct("helper").alias("closure_depth"))
+    if tasks is None:
+        all_ = deep.withColumn("pos", F.col("field"))
+    else:
+        all_ = tasks.join(deep, [*by, "field"], "left").withColumn("closure_depth", F.coalesce("closure_depth", F.lit(0)).cast("long"))
+    short = pipelines.select(*by, "field", F.size("pipeline").alias("steps")).where(F.col("steps").between(1, few))
+    return task_of(short, all_, "closure_depth", by).where(F.col("closure_depth") >= depth).select(*by, "field", "steps", "closure_depth")
 
 
-def cross_check(claims: DataFrame, check: DataFrame, text: Column) -> DataFrame:
-    """Claims (field, evidence) on unmapped fields with a verified citation, which turn the field unresolved; others with the reason they are dropped."""
+def cross_check(claims: DataFrame, check: DataFrame, text: Column, by: list[str] | None = None) -> DataFrame:
+    """Claims (by, field, evidence, and line if they name one) on unmapped fields with a verified citation, which turn the field unresolved; others with the reason they are dropped.
+
+    Where claims have lines, a claim's has to be a whole number and is cited with the evidence.
+    """
     from weftline.functions.text import verified_citation
 
-    state = check.select(F.lower("field").alias("_k"), F.col("state"))
-    out = claims.withColumn("_k", F.lower("field")).join(state, "_k", "left").drop("_k")
-    reason = F.when(F.col("state").isNull(), "unknown field").when(F.col("state") != "unmapped", "not unmapped").when(~verified_citation(F.col("evidence"), text), "no citation")
+    by = by or []
+    state = check.groupBy(*by, F.lower("field").alias("_k")).agg(F.min_by("state", F.struct(F.col("state") != "unmapped", "field")).alias("state"))
+    out = claims.withColumn("_k", F.lower("field")).join(state, [*by, "_k"], "left").drop("_k")
+    said, whole = F.col("evidence"), F.lit(True)
+    if "line" in claims.columns:
+        named = F.regexp_extract(F.col("line").cast("string"), r"^(-?\d+)(?:\.0*)?$", 1)
+        said, whole = F.concat(F.lit("line "), named, F.lit(": "), F.coalesce("evidence", F.lit(""))), F.coalesce(named != "", F.lit(False))
+    reason = F.when(F.col("state").isNull(), "unknown field").when(F.col("state") != "unmapped", "not unmapped").when(~whole | ~verified_citation(said, text), "no citation")
     return out.withColumn("dropped", reason)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.store import CORRECTED, PENDING
+
 #: Counters of a run that count as misses.
 MISS_COUNTERS = ["unmapped", "unresolved", "possible_missed_writes", "unmapped_but_mentioned", "multi_instance_unattributed", "prompt_injection_risks", "cross_check_flips", "grounding_warnings", "step_smells"]
 
@@ -63,12 +65,14 @@ def p95(name: str) -> Column:
     return F.coalesce(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {name})"), F.lit(0))
 
 
-def p95_by(rows: DataFrame, by: list[str], name: str, bins: int = 4096) -> DataFrame:
-    """by and p95: the nearest-rank 95th percentile of each group, 0 where it has no value; exact, and no task holds a group's values.
+def p95_by(rows: DataFrame, by: list[str], name: str, bins: int = 4096, most: int = 100_000) -> DataFrame:
+    """by and p95: the nearest-rank 95th percentile of each group, 0 where it has no value; exact, and no task holds more than ``most`` values of a group.
 
-    Equal values are counted first. The counts are summed over bins of a group's range, and only the values of the bin in which
-    the rank falls are ordered.
+    The engine's own percentile holds a group's distinct values; it is asked where a sketch counts no more than ``most``. Else equal values are
+    counted first, the counts are summed over bins of a group's range, and only the values of the bin in which the rank falls are ordered.
     """
+    if (rows.groupBy(*by).agg(F.approx_count_distinct(name).alias("_d")).agg(F.max("_d")).first()[0] or 0) <= 0.9 * most:
+        return rows.groupBy(*by).agg(p95(f"cast(`{name}` as double)").cast("double").alias("p95"))
     values = rows.groupBy(*by, F.col(name).cast("double").alias("_v")).agg(F.count(name).alias("_c"))
     span = values.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     rank = F.greatest(F.ceil(0.95 * F.col("_n")), F.lit(1))
@@ -111,7 +115,7 @@ def concerns(card: DataFrame) -> DataFrame:
 
 def health(store: DataFrame, statuses: DataFrame) -> DataFrame:
     """Counts of the store's rows and of stale mappers, in one row."""
-    one = store.agg(F.count("*").alias("entries"), F.count_if(F.col("status") == "corrected").alias("corrected"), F.count_if(F.col("status") == "pending-review").alias("pending"))
+    one = store.agg(F.count("*").alias("entries"), F.count_if(F.col("status") == CORRECTED).alias("corrected"), F.count_if(F.col("status") == PENDING).alias("pending"))
     return one.join(F.broadcast(statuses.agg(F.count_if(F.col("status") == "stale").alias("stale"))), how="cross")
 
 

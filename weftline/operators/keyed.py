@@ -9,24 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def innermost(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, value: str, id_cols: list[str], width: int = 64) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, value: str, id_cols: list[str]) -> DataFrame:
     """Points with ``value`` of the smallest span that holds them; null where none does. Aggregated, so no window sorts a file's points.
 
-    Spans are listed under each stretch of ``width`` places that they touch, and a point looks under its own, so even a file with
-    very many points and spans is joined by equality and in parts. A span of more than 1,000 stretches widens its own: it is
-    listed under stretches of a size that keeps them below that, and points look under each size that occurs.
+    A dyadic index of whole numbers: a span of up to 2**z places is listed under the cells of 2**z places that it touches, one or two, and a point looks
+    under its own cell of every z that occurs, of at most 64. So it is a join by equality of (file, z, cell), and its sides grow with the points and the spans.
     """
-    size = F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start) + 1) / F.lit(1000.0 * width)))).cast("int")
-    step = F.lit(width).cast("long") * F.pow(F.lit(2.0), F.col("_size")).cast("long")
-    s = spans.where(F.col(end) >= F.col(start)).withColumn("_size", size)
-    s = s.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value"), "_size", F.explode(F.sequence(F.floor(F.col(start) / step), F.floor(F.col(end) / step))).alias("_place"))
-    sizes = [r[0] for r in spans.select(size.alias("z")).distinct().collect()] or [0]  # at most 64 numbers
-    p = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("_place", F.floor(F.col(at) / step)).withColumnRenamed("_size", "_z").withColumnRenamed("_place", "_q")
-    cond = (F.col("_z") == F.col("_size")) & (F.col("_q") == F.col("_place")) & F.col(at).between(F.col("_start"), F.col("_end"))
+    s = spans.where(F.col(end) >= F.col(start)).withColumn("_z", F.length(F.bin((F.col(end) - F.col(start)).cast("long"))))
+    cells = F.array_distinct(F.array(*[F.expr(f"shiftright(cast(`{c}` as bigint), _z)") for c in (start, end)]))
+    s = s.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value"), "_z", F.explode(cells).alias("_cell"))
+    sizes = [r[0] for r in s.select("_z").distinct().collect()]
+    p = points.withColumn("_pz", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("_pc", F.expr(f"shiftright(cast(`{at}` as bigint), _pz)"))
+    cond = (F.col("_pz") == F.col("_z")) & (F.col("_pc") == F.col("_cell")) & F.col(at).between(F.col("_start"), F.col("_end"))
     for c in on:
         cond = (F.col(c) == F.col(f"_{c}")) & cond
-    best = F.min(F.when(F.col("_start").isNotNull(), F.struct((F.col("_end") - F.col("_start")).alias("width"), F.col("_start").alias("start"), F.col("_value").alias("value"))))
-    return p.join(s, cond, "left").groupBy(*id_cols).agg(best["value"].alias(value))
+    hit = F.struct((F.col("_end") - F.col("_start")).alias("width"), F.col("_start").alias("start"), F.col("_value").alias("value")).alias("_hit")
+    found = p.join(s, cond).select(*id_cols, hit)
+    none = points.select(*id_cols, F.lit(None).cast(found.schema["_hit"].dataType).alias("_hit"))
+    return found.unionByName(none).groupBy(*id_cols).agg(F.min("_hit").alias("_hit")).select(*id_cols, F.col("_hit.value").alias(value))
 
 
 def segments(events: DataFrame, by: list[str], order: list[str], opens: Column) -> DataFrame:
@@ -59,15 +59,18 @@ def builder_sites(sites: DataFrame, chains: DataFrame, by: list[str], at: str =
 def touched(mappers: DataFrame, changed: DataFrame, source: str = "source_file", path: str = "path") -> DataFrame:
     """Mappers whose source is among the changed paths: the path holds the source, or the source ends with the path.
 
-    Both are joins by equality over distinct names: the first k letters of a source, k being the shortest source's length, with
-    every k letters in a row of a path; and every ending of a source with a path.
+    Both are joins by equality over distinct names: every ending of a source with a path; and the last k letters of a source, k being the largest power of two
+    that its length holds, with every k letters in a row of a path. So a short source is looked up as such and makes no longer one meet more paths.
     """
     names = mappers.select(F.col(source).alias("_s")).where("_s is not null").distinct()
     paths = changed.select(F.col(path).alias("_p")).where("_p is not null").distinct()
-    k = max(1, names.where("_s <> ''").agg(F.min(F.length("_s"))).first()[0] or 1)
-    places = F.sequence(F.lit(1), F.greatest(F.length("_p") - (k - 1), F.lit(1)))
-    grams = paths.withColumn("_k", F.explode(F.array_union(F.array(F.lit("")), F.transform(places, lambda i: F.substr("_p", i, F.lit(k))))))
-    held = names.withColumn("_k", F.substring("_s", 1, k)).join(grams, "_k").where(F.contains("_p", F.col("_s"))).select("_s")
+    sized = names.withColumn("_c", F.when(F.col("_s") != "", F.length(F.bin(F.length("_s").cast("long"))) - 1).otherwise(-1))
+    sizes = [r[0] for r in sized.select("_c").distinct().collect()]  # at most 32 numbers
+    sized = sized.withColumn("_k", F.expr("case when _c < 0 then '' else right(_s, shiftleft(1, _c)) end"))
+    grams = paths.withColumn("_c", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("_w", F.expr("shiftleft(1, greatest(_c, 0))"))
+    every = F.expr("case when _c < 0 then array('') when length(_p) >= _w then array_distinct(transform(sequence(1, length(_p) - _w + 1), i -> substr(_p, i, _w))) end")
+    grams = grams.select("_p", "_c", F.explode(every).alias("_k"))
+    held = sized.join(grams, ["_c", "_k"]).where(F.contains("_p", F.col("_s"))).select("_s")
     ends = names.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))), lambda i: F.expr("_s").substr(i, F.lit(2**31 - 1)))))
     hit = held.unionByName(ends.join(paths, "_p", "left_semi").select("_s")).distinct()
     return mappers.join(hit, F.col(source) == F.col("_s"), "left_semi")

@@ -47,26 +47,25 @@ def nested_upsert(slices: DataFrame, extra: DataFrame, by: list[str] | None = No
     return out.select(*keys[:-1], F.when(keep, F.col("target_field")).otherwise(F.col("_new.name")).alias("target_field"), *filled)
 
 
-def route(fields: DataFrame, slices: DataFrame) -> DataFrame:
-    """Fields with the slice text of their own key, else of the lower-cased leaf (which only finds lower-case keys), else of a suffix."""
-    s = slices.select(F.col("field").alias("_key"), "text")
-    exact = s.withColumnRenamed("text", "_exact")
-    low = s.select(F.col("_key").alias("_low_key"), F.col("text").alias("_low"))
-    suffix = s.groupBy(F.lower(F.substring_index("_key", ".", -1)).alias("_tail")).agg(F.min_by("text", "_key").alias("_suffix"))
-    tail = F.lower(F.substring_index("field", ".", -1))
-    out = fields.join(exact, F.col("field") == F.col("_key"), "left").drop("_key").withColumn("_t", tail)
-    out = out.join(low, F.col("_t") == F.col("_low_key"), "left").join(suffix, F.col("_t") == F.col("_tail"), "left")
-    return out.withColumn("text", F.coalesce("_exact", "_low", "_suffix")).drop("_exact", "_low_key", "_low", "_tail", "_suffix", "_t")
+def route(fields: DataFrame, slices: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Fields (by, field) with the slice text of their own key, else of the lower-cased leaf (which only finds lower-case keys), else of a suffix."""
+    by = by or []
+    exact = slices.select(*by, F.col("field").alias("_key"), F.col("text").alias("_exact"))
+    low = exact.select(*by, F.col("_key").alias("_t"), F.col("_exact").alias("_low"))
+    suffix = exact.groupBy(*by, F.lower(F.substring_index("_key", ".", -1)).alias("_t")).agg(F.min_by("_exact", "_key").alias("_suffix"))
+    out = fields.withColumn("_key", F.col("field")).withColumn("_t", F.lower(F.substring_index("field", ".", -1)))
+    out = out.join(exact, [*by, "_key"], "left").join(low, [*by, "_t"], "left").join(suffix, [*by, "_t"], "left")
+    return out.select(*fields.columns, F.coalesce("_exact", "_low", "_suffix").alias("text"))
 
 
-def resolve_labels(fields: DataFrame, verified: DataFrame, cache: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each field (field, state) with its pipeline and where it is from: verified, cache, then an answer that isn't empty.
+def resolve_labels(fields: DataFrame, verified: DataFrame, cache: DataFrame, answers: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Each field (by, field, state) with its pipeline and where it is from: verified, cache, then an answer that isn't empty.
 
     Unmapped fields need no label; a mapped field without one turns unresolved.
     """
-    out = fields
+    out, keys = fields, [*(by or []), "field"]
     for name, side in (("verified", verified), ("cache", cache), ("model", answers.where(F.size("pipeline") > 0))):
-        out = out.join(side.select("field", F.col("pipeline").alias(f"_{name}")), "field", "left")
+        out = out.join(side.select(*keys, F.col("pipeline").alias(f"_{name}")), keys, "left")
     names = ["verified", "cache", "model"]
     found = F.coalesce(*[F.col(f"_{n}") for n in names])
     source = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), n) for n in names])
@@ -95,9 +94,9 @@ def count_diagnostics(diagnostics: Column, prefix: str) -> Column:
     return F.size(F.filter(diagnostics, lambda d: F.startswith(d, F.lit(prefix))))
 
 
-def discovered(claims: DataFrame, confidence: float = 0.6) -> DataFrame:
-    """Claims (field, pos) without repeats of a bean leaf, the first one kept, with a fixed confidence."""
-    n = F.row_number().over(Window.partitionBy(bean_leaf(F.col("field"))).orderBy("pos"))
+def discovered(claims: DataFrame, confidence: float = 0.6, by: list[str] | None = None) -> DataFrame:
+    """Claims (by, field, pos) without repeats of a bean leaf, the first one kept, with a fixed confidence."""
+    n = F.row_number().over(Window.partitionBy(*(by or []), bean_leaf(F.col("field"))).orderBy("pos"))
     return claims.withColumn("_n", n).where("_n = 1").drop("_n").withColumn("confidence", F.lit(confidence))
 
 
@@ -108,29 +107,30 @@ def fallback_checklist(sites: DataFrame, by: list[str] | None = None) -> DataFra
     return first.select(*by, F.col("_f.target_field").alias("field"), F.lit("mapped").alias("state"))
 
 
-def diverging(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Fields whose two pipelines (signatures in order) differ."""
-    a, b = first.select("field", F.col("signatures").alias("_a")), second.select("field", F.col("signatures").alias("_b"))
-    return a.join(b, "field").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("field")
+def diverging(first: DataFrame, second: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Fields (by, field) whose two pipelines (signatures in order) differ."""
+    keys = [*(by or []), "field"]
+    a, b = first.select(*keys, F.col("signatures").alias("_a")), second.select(*keys, F.col("signatures").alias("_b"))
+    return a.join(b, keys).where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys)
 
 
-def critic_findings(findings: DataFrame, slices: DataFrame) -> DataFrame:
-    """Missing steps (field, evidence) that a critic claims, where the slice has what is cited."""
+def critic_findings(findings: DataFrame, slices: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Missing steps (by, field, evidence) that a critic claims, where the slice has what is cited."""
     from weftline.functions.text import verified_citation
 
-    return findings.join(slices, "field").where(verified_citation(F.col("evidence"), F.col("text"))).drop("text")
+    return findings.join(slices, [*(by or []), "field"]).where(verified_citation(F.col("evidence"), F.col("text"))).drop("text")
 
 
 def label_from_cache(fields: DataFrame, verified: DataFrame, cache: DataFrame, current: DataFrame, selectors: DataFrame | None = None) -> DataFrame:
     """Fields (mapper_id, field) with a pipeline from what is stored, without a model, and where it is from.
 
     Verified rows (mapper_id, fingerprint, field, pipeline) of the current fingerprint come first, then cached ones
-    (mapper_id, fingerprint, field, pipeline, updated_at) of it, then those of the newest other fingerprint that has the field. Of
+    (mapper_id, fingerprint, field, pipeline, updated_at) of it, of several the newest, then those of the newest other fingerprint that has the field. Of
     selectors (mapper_id, selector) each has to be covered by a field that has a pipeline; else it is an error that names one.
     """
     keys = ["mapper_id", "field"]
     here = current.select("mapper_id", "fingerprint")
-    a = verified.join(here, ["mapper_id", "fingerprint"]).groupBy(*keys).agg(F.first("pipeline").alias("_verified"))
+    a = verified.join(here, ["mapper_id", "fingerprint"]).groupBy(*keys).agg(F.max_by("pipeline", F.struct(*[c for c in ("updated_at", "pipeline") if c in verified.columns])).alias("_verified"))
     b = cache.join(here, ["mapper_id", "fingerprint"]).groupBy(*keys).agg(F.max_by("pipeline", "updated_at").alias("_cache"))
     rest = cache.join(here, ["mapper_id", "fingerprint"], "left_anti")
     c = rest.groupBy(*keys).agg(F.max_by("pipeline", F.struct("updated_at", "fingerprint")).alias("_older"))

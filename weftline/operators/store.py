@@ -8,52 +8,90 @@ from pyspark.sql import functions as F
 from weftline.functions.names import leaf
 from weftline.operators.keyed import first_by, upsert
 
-STATUSES = ["verified", "corrected", "pending-review"]
+#: What a stored field's status may be.
+VERIFIED, CORRECTED, PENDING = "verified", "user-corrected", "pending-review"
+STATUSES = [VERIFIED, CORRECTED, PENDING]
+KEYS = ["mapper_id", "fingerprint", "target_field"]
 
 
 def leaf_key(name: str) -> Column:
     return F.lower(leaf(F.col(name)))
 
 
-def compare_golden(golden: DataFrame, current: DataFrame) -> DataFrame:
-    """Golden rows (target_field, kinds) with their outcome against current ones: matched, mismatched or missing. Of equal leaves the last one counts."""
-    now = current.groupBy(leaf_key("target_field").alias("_k")).agg(F.max_by("kinds", "pos").alias("found"))
-    out = golden.withColumn("_k", leaf_key("target_field")).join(now, "_k", "left").drop("_k")
-    return out.withColumn("outcome", F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.col("kinds"), "matched").otherwise("mismatched"))
+def upper_kinds(name: str) -> Column:
+    """Kinds in capitals; one that is missing is a question mark."""
+    return F.transform(name, lambda k: F.upper(F.coalesce(k, F.lit("?"))))
 
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Fields of two versions (target_field, kinds): added, removed, kinds-changed or unchanged."""
-    a = old.select(leaf_key("target_field").alias("k"), F.col("kinds").alias("old_kinds"))
-    b = new.select(leaf_key("target_field").alias("k"), F.col("kinds").alias("new_kinds"))
-    change = F.when(F.col("old_kinds").isNull(), "added").when(F.col("new_kinds").isNull(), "removed").when(F.col("old_kinds") != F.col("new_kinds"), "kinds-changed").otherwise("unchanged")
-    return a.join(b, "k", "full_outer").withColumn("change", change)
+def last_by_leaf(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """by, _k and a value: of the fields of one leaf the last one's, by pos, or by the field's name where there is none."""
+    order = [F.col(c) for c in ("pos", "target_field") if c in rows.columns]
+    return rows.groupBy(*by, leaf_key("target_field").alias("_k")).agg(F.max_by(value, F.struct(*order)).alias(name))
+
+
+def compare_golden(golden: DataFrame, current: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Golden rows (by, target_field, kinds) with their outcome against current ones: matched, mismatched or missing. Of equal leaves the last one counts."""
+    by = by or []
+    now = last_by_leaf(current, by, F.col("kinds"), "found")
+    out = golden.withColumn("_k", leaf_key("target_field")).join(now, [*by, "_k"], "left").drop("_k")
+    same = upper_kinds("found") == upper_kinds("kinds")
+    return out.withColumn("outcome", F.when(F.col("found").isNull(), "missing").when(same, "matched").otherwise("mismatched"))
+
+
+def diff(old: DataFrame, new: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, target_field, k (its leaf), change, old_kinds and new_kinds: a row for each field of the new version, and for each of the old one whose leaf is gone.
+
+    Versions are (by, target_field, kinds, and pos if there is an order). Of equal leaves in the old version the last one is compared.
+    """
+    by = by or []
+    keys = [*by, "_k"]
+    a, b = (v.withColumn("_k", leaf_key("target_field")) for v in (old, new))
+    before = last_by_leaf(old, by, upper_kinds("kinds"), "old_kinds").withColumn("_there", F.lit(True))
+    now = b.select(*keys, "target_field", upper_kinds("kinds").alias("new_kinds")).join(before, keys, "left")
+    change = F.when(F.col("_there").isNull(), "added").when(F.col("old_kinds").eqNullSafe(F.col("new_kinds")), "unchanged").otherwise("kinds-changed")
+    gone = a.join(b.select(*keys).distinct(), keys, "left_anti").select(*keys, "target_field", F.lit("removed").alias("change"), upper_kinds("kinds").alias("old_kinds"))
+    told = now.select(*keys, "target_field", change.alias("change"), "old_kinds", "new_kinds").unionByName(gone, allowMissingColumns=True)
+    return told.withColumnRenamed("_k", "k").select(*by, "target_field", "k", "change", "old_kinds", "new_kinds")
 
 
 def promote(store: DataFrame, labels: DataFrame, now: str) -> DataFrame:
     """Merge labels into the store: corrected rows stay, others are replaced, rows without a label are kept."""
-    keys = ["mapper_id", "fingerprint", "target_field"]
     s, n = store.alias("s"), labels.alias("n")
     on = F.lit(True)
-    for k in keys:
+    for k in KEYS:
         on = on & (F.col(f"s.{k}") == F.col(f"n.{k}"))
-    keep = F.col("n.target_field").isNull() | (F.coalesce(F.col("s.status"), F.lit("")) == "corrected")
-    cols = [F.coalesce(f"s.{k}", f"n.{k}").alias(k) for k in keys]
-    cols += [F.when(keep, F.col(f"s.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in store.columns if c not in (*keys, "updated_at")]
+    keep = F.col("n.target_field").isNull() | (F.coalesce(F.col("s.status"), F.lit("")) == CORRECTED)
+    fresh = lambda c: F.col(f"n.{c}") if c in labels.columns else F.lit(None)
+    cols = [F.coalesce(f"s.{k}", f"n.{k}").alias(k) for k in KEYS]
+    cols += [F.when(keep, F.col(f"s.{c}")).otherwise(fresh(c)).alias(c) for c in store.columns if c not in (*KEYS, "updated_at")]
     if "updated_at" in store.columns:
         cols.append(F.when(keep, F.col("s.updated_at")).otherwise(F.lit(now)).alias("updated_at"))
     return s.join(n, on, "full_outer").select(*cols)
 
 
-def correct(store: DataFrame, row: DataFrame) -> DataFrame:
-    """Put one corrected field in the place of its old row."""
-    return upsert(store, row.withColumn("status", F.lit("corrected")), ["mapper_id", "fingerprint", "target_field"])
+def correct(store: DataFrame, row: DataFrame, now: str | None = None) -> DataFrame:
+    """Put corrected fields in the place of their old rows.
+
+    A row's user_claim and judge_evidence become its correction, (user_claim, judge_evidence, corrected_at), and the judge its labeller at that time.
+    """
+    fixed = row.withColumn("status", F.lit(CORRECTED))
+    if {"user_claim", "judge_evidence"} <= {*row.columns}:
+        at = F.lit(now)
+        record = F.struct("user_claim", "judge_evidence", at.alias("corrected_at"))
+        fixed = fixed.withColumn("correction", record).withColumn("labeled_by", F.lit("judge")).withColumn("labeled_at", at).drop("user_claim", "judge_evidence")
+        if "updated_at" in store.columns:
+            fixed = fixed.withColumn("updated_at", at.cast(store.schema["updated_at"].dataType))
+    old = store
+    for c in fixed.columns:
+        if c not in old.columns:
+            old = old.withColumn(c, F.lit(None).cast(fixed.schema[c].dataType))
+    return upsert(old, fixed, KEYS)
 
 
 def approve(store: DataFrame, mapper_id: str | None = None) -> DataFrame:
     """Pending rows become verified, of one mapper or of all."""
     mine = F.lit(True) if mapper_id is None else F.col("mapper_id") == mapper_id
-    return store.withColumn("status", F.when(mine & (F.col("status") == "pending-review"), "verified").otherwise(F.col("status")))
+    return store.withColumn("status", F.when(mine & (F.col("status") == PENDING), VERIFIED).otherwise(F.col("status")))
 
 
 def status_counts(store: DataFrame) -> DataFrame:
@@ -93,12 +131,12 @@ def drift(mappers: DataFrame, versions: DataFrame) -> DataFrame:
     return out.select(*[c for c in out.columns if c not in ("_any", "_same")], status.alias("status"))
 
 
-def checklist_view(fields: DataFrame, store: DataFrame, cache: DataFrame) -> DataFrame:
-    """Fields with their stored and cached results, by lower-cased leaf; of equal leaves the last one counts."""
+def checklist_view(fields: DataFrame, store: DataFrame, cache: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Fields (by, field) with their stored and cached results, by lower-cased leaf; of equal leaves the last one counts."""
+    by = by or []
     out = fields.withColumn("_k", leaf_key("field"))
     for side, name in ((store, "stored"), (cache, "cached")):
-        last = side.groupBy(leaf_key("target_field").alias("_k")).agg(F.max_by("kinds", "pos").alias(name))
-        out = out.join(last, "_k", "left")
+        out = out.join(last_by_leaf(side, by, F.col("kinds"), name), [*by, "_k"], "left")
     available = F.when(F.col("stored").isNotNull(), "verified").when(F.col("cached").isNotNull(), "cache").otherwise("none")
     return out.withColumn("available", available).drop("_k")
 

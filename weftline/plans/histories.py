@@ -80,7 +80,7 @@ def defect_rows(spark, sf_dir):
     return jr.defects(j, "2024-01-15").select("pos")
 
 
-@query("status_counts", f"WITH {VERSIONS_SQL} SELECT mapper_id, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'corrected') AS corrected, count(*) FILTER (WHERE status = 'pending-review') AS pending_review FROM versions GROUP BY mapper_id")
+@query("status_counts", f"WITH {VERSIONS_SQL} SELECT mapper_id, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'user-corrected') AS user_corrected, count(*) FILTER (WHERE status = 'pending-review') AS pending_review FROM versions GROUP BY mapper_id")
 def status_counts(spark, sf_dir):
     return so.status_counts(versions(spark, sf_dir))
 
@@ -158,7 +158,7 @@ def store_diff(spark, sf_dir):
 @query(
     "store_merge",
     f"""WITH {VERSIONS_SQL}, fresh AS (SELECT mapper_id, fingerprint + CASE WHEN fingerprint % 4 = 0 THEN 10000000 ELSE 0 END AS fingerprint FROM versions WHERE status <> 'pending-review')
-SELECT coalesce(v.mapper_id, f.mapper_id) AS mapper_id, coalesce(v.fingerprint, f.fingerprint) AS fingerprint, CASE WHEN f.fingerprint IS NULL OR coalesce(v.status, '') = 'corrected' THEN v.status ELSE 'pending-review' END AS status
+SELECT coalesce(v.mapper_id, f.mapper_id) AS mapper_id, coalesce(v.fingerprint, f.fingerprint) AS fingerprint, CASE WHEN f.fingerprint IS NULL OR coalesce(v.status, '') = 'user-corrected' THEN v.status ELSE 'pending-review' END AS status
 FROM versions v FULL JOIN fresh f ON v.mapper_id = f.mapper_id AND v.fingerprint = f.fingerprint""",
 )
 def store_merge(spark, sf_dir):
@@ -167,13 +167,13 @@ def store_merge(spark, sf_dir):
     return so.promote(v, fresh, "now").select("mapper_id", "fingerprint", "status")
 
 
-@query("store_correct", "SELECT o_orderkey AS fingerprint, CASE WHEN o_orderpriority = '1-URGENT' THEN 'corrected' ELSE o_orderstatus END AS status FROM orders")
+@query("store_correct", "SELECT o_orderkey AS fingerprint, CASE WHEN o_orderpriority = '1-URGENT' THEN 'user-corrected' ELSE o_orderstatus END AS status FROM orders")
 def store_correct(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("mapper_id"), F.col("o_orderkey").alias("fingerprint"), F.lit("f").alias("target_field"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
     return so.correct(o.drop("o_orderpriority"), o.where("o_orderpriority = '1-URGENT'").drop("o_orderpriority")).select("fingerprint", "status")
 
 
-@query("health_counts", f"WITH {VERSIONS_SQL} SELECT count(*) AS entries, count(*) FILTER (WHERE status = 'corrected') AS corrected, count(*) FILTER (WHERE status = 'pending-review') AS pending, (SELECT count(*) FROM (SELECT mapper_id, max(fingerprint) f, max(CASE WHEN status = 'verified' THEN fingerprint END) g FROM versions GROUP BY mapper_id) WHERE g IS NOT NULL AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.status = 'verified' AND v.fingerprint = f)) AS stale FROM versions")
+@query("health_counts", f"WITH {VERSIONS_SQL} SELECT count(*) AS entries, count(*) FILTER (WHERE status = 'user-corrected') AS corrected, count(*) FILTER (WHERE status = 'pending-review') AS pending, (SELECT count(*) FROM (SELECT mapper_id, max(fingerprint) f, max(CASE WHEN status = 'verified' THEN fingerprint END) g FROM versions GROUP BY mapper_id) WHERE g IS NOT NULL AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.status = 'verified' AND v.fingerprint = f)) AS stale FROM versions")
 def health_counts(spark, sf_dir):
     v = versions(spark, sf_dir)
     latest = v.groupBy("mapper_id").agg(F.max("fingerprint").alias("fingerprint"))

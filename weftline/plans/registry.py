@@ -71,10 +71,10 @@ JOURNAL_SQL = """journal AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "at", e
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mapper_id, fingerprint, updated_at and status from orders."""
-    names = F.create_map(F.lit("F"), F.lit("verified"), F.lit("O"), F.lit("corrected"), F.lit("P"), F.lit("pending-review"))
+    names = F.create_map(F.lit("F"), F.lit("verified"), F.lit("O"), F.lit("user-corrected"), F.lit("P"), F.lit("pending-review"))
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("mapper_id"), F.col("o_orderkey").alias("fingerprint"), F.col("o_orderdate").alias("updated_at"), names[F.col("o_orderstatus")].alias("status"))
 
 
 VERSIONS_SQL = """versions AS (SELECT o_custkey AS mapper_id, o_orderkey AS fingerprint, o_orderdate AS updated_at,
-  CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'corrected' WHEN 'P' THEN 'pending-review' END AS status FROM orders)"""
+  CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'user-corrected' WHEN 'P' THEN 'pending-review' END AS status FROM orders)"""

@@ -354,5 +354,28 @@ def checkpoint_ingest(spark, sf_dir):
     work = f"{scratch_folder(spark)}/ingest-{uuid.uuid4().hex[:12]}"
     src = table(spark, sf_dir, "events")
     src.select("event_id", "value").write.parquet(f"{work}/in")
-    ingest.poll(spark, f"{work}/in", "event_id long, value double", f"{work}/cp", ingest.merger(f"{work}/out", "event_id", "value"), fmt="parquet").awaitTermination()
-    return ingest.current(spark, f"{work}/out").select("event_id", "value")
+    keep = ingest.newest("event_id", "value")
+    ingest.poll(spark, f"{work}/in", "event_id long, value double", f"{work}/cp", ingest.merger(f"{work}/out", keep), fmt="parquet").awaitTermination()
+    return ingest.current(spark, f"{work}/out", keep).select("event_id", "value")
+
+
+@query(
+    "incremental_report",
+    """WITH j AS (SELECT event_type AS mapper_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "at", user_id AS declared, CAST(json_extract_string(props, '$.k') AS BIGINT) AS unmapped, CASE WHEN event_id % 3 > 0 THEN event_id % 2 END AS agree FROM events)
+SELECT mapper_id, count(*) AS runs, CAST(sum(declared) AS BIGINT) AS declared, CAST(sum(unmapped) AS BIGINT) AS unmapped, round(sum(declared)::DOUBLE / count(*), 4) AS mean_declared, round(sum(unmapped)::DOUBLE / count(*), 4) AS mean_unmapped, round(avg(agree), 4) AS agree_rate, max("at") AS last_at FROM j GROUP BY mapper_id""",
+)
+def incremental_report(spark, sf_dir):
+    """The journal's report from states that a stream keeps: files that come later are added to what earlier ones gave."""
+    import uuid
+
+    from weftline.sources.tables import scratch_folder
+    from weftline.streaming import ingest
+
+    work = f"{scratch_folder(spark)}/report-{uuid.uuid4().hex[:12]}"
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    rate = F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 2).cast("double"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("mapper_id"), at.alias("at"), F.col("user_id").alias("declared"), F.get_json_object("props", "$.k").cast("long").alias("unmapped"), rate.alias("agree_rate"), (F.col("event_id") % 3).alias("turn"))
+    for turn in range(3):
+        e.where(F.col("turn") == turn).drop("turn").write.mode("append").parquet(f"{work}/in")
+        out = ingest.report(spark, f"{work}/in", "mapper_id string, at string, declared long, unmapped long, agree_rate double", f"{work}/cp", f"{work}/states", ["declared", "unmapped"], ["mapper_id"], fmt="parquet")
+    return out

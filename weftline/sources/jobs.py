@@ -37,10 +37,10 @@ def export_job(fields: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 
 def import_results(jobs: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Recognised results of the job's fingerprint (slices are the job's, never the result's), and the fields without one."""
+    """Recognised results of the job's fingerprint (slices are the job's, never the result's), and the fields without one. Of several for a field the last in its list counts."""
     asked = jobs.select("mapper_id", "fingerprint", F.explode("fields").alias("f")).select("mapper_id", "fingerprint", "f.*").withColumn("_k", F.lower("field"))
-    got = results.select("mapper_id", "fingerprint", F.explode("results").alias("r")).where("r.recognised and size(r.pipeline) > 0")
-    got = got.select("mapper_id", "fingerprint", F.lower("r.field").alias("_k"), F.col("r.pipeline").alias("pipeline")).dropDuplicates(["mapper_id", "fingerprint", "_k"])
+    got = results.select("mapper_id", "fingerprint", F.posexplode("results").alias("pos", "r")).where("r.recognised and size(r.pipeline) > 0")
+    got = got.groupBy("mapper_id", "fingerprint", F.lower("r.field").alias("_k")).agg(F.max_by("r.pipeline", F.struct("pos", "r.pipeline")).alias("pipeline"))
     keys = ["mapper_id", "fingerprint", "_k"]
     return asked.join(got, keys).drop("_k"), asked.join(got, keys, "left_anti").drop("_k")
 
