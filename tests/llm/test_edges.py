@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, exact, langid, mix, near, pieces, shards, shingles, toxicity, vectors, warc
+from weftline.llm import chat, common, exact, langid, mix, near, pieces, shards, shingles, toxicity, vectors, warc
 from weftline.llm import queries as q
 from weftline.llm.common import Scratch, text_of, word_hashes
 from weftline.llm.common import pieces as cut
@@ -651,3 +651,49 @@ def test_hot_keys_are_joined_as_others_are(spark, scratch):
     for how in ("inner", "left"):
         got, want = (sorted(((r.id, r.x) for r in df.collect()), key=str) for df in (join_sized(rows, side, "k", "n", how), rows.join(side, "k", how)))
         assert got == want
+
+
+def test_samples_bring_few_rows_to_the_driver(spark, monkeypatch):
+    """A label of one repeated id, one of many ids and one whose ids nearly all have two labels: what is collected is bounded by what is asked for."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    seen = []
+    collect = Classic.collect
+
+    def counted(self):
+        out = collect(self)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(Classic, "collect", counted)
+    many = spark.range(120_000).select(F.col("id"), F.lit("many").alias("label"))
+    one = spark.range(5_000).select(F.lit(-1).cast("long").alias("id"), F.lit("one").alias("label"))
+    torn = spark.range(200_000, 260_000)
+    torn = torn.select("id", F.lit("torn").alias("label")).unionByName(torn.where("id % 100 > 0").select("id", F.lit("other").alias("label")))
+    got = common.sampled_ids(many.unionByName(one).unionByName(torn), 400)
+    per = {y: sum(1 for _, x in got if x == y) for y in ("many", "one", "torn", "other")}
+    assert per == {"many": 400, "one": 1, "torn": 400, "other": 0}
+    assert max(seen) <= 3 * (2 * 400 + 500) + 1 and len(seen) < 12
+    ranked = sorted((r.h, r.id) for r in many.select("id", F.xxhash64("id").alias("h")).toLocalIterator())[:400]
+    assert [k for k, y in got if y == "many"] == [k for _, k in ranked]
+
+
+def test_exact_keeps_the_same_of_rows_alike_in_id_and_text(spark, tmp_path):
+    """Rows that differ in another column only: the same one stays however the table is dealt."""
+    rows = [(1, "a b", f"s{k % 7}", k) for k in range(40)] + [(2, "c", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    kept = {tuple(sorted(map(tuple, exact.keep_one(df.repartition(n, *cols), Scratch(spark, f"same-{n}")).collect()))) for n, cols in ((1, []), (5, ["n_chars"]), (3, ["source"]))}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
+def test_pipeline_leaves_its_last_table_only(spark):
+    import os
+
+    import corpus_pipeline
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    new = sorted(set(os.listdir(root)) - before)
+    assert [x.rsplit("-", 1)[0] for x in new] == ["pipeline"] and os.listdir(f"{root}/{new[0]}") == ["mixing"]
+    assert out.count() > 0

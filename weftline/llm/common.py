@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that are written within are deleted at its end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for s in _SCOPES.pop():
+            s.drop()
+
+
 class Scratch:
     """Parquet tables in the shared folder. ``keep`` writes a table and reads it again, which cuts its lineage."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -82,27 +99,27 @@ def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 def sampled_ids(labels: DataFrame, per_label: int) -> list[tuple[object, object]]:
     """At most ``per_label`` (id, label) of each label by the order of the ids' hashes, label by label; ids with two labels are left out.
 
-    Rows are thinned by a bound on the hash, which a count of each label gives, so no task and no window gathers a label;
-    the driver ranks what is left, about twice what is asked for.
+    Each label's ids are thinned by a bound on the hash of its own, which a sketch of its distinct ids gives, so no task and no window gathers a
+    label. The driver ranks what is left, about twice what is asked for. Where ids with two labels make that too few, the bound of that label
+    alone is widened, by four at a time: what a label hands to the driver stays below about four times what is asked for, whatever the table.
     """
     keys = labels.where("id is not null and label is not null").select("id", "label", F.xxhash64("id").alias("h"))
-    many = {r.label: r["count"] for r in keys.groupBy("label").count().collect()}
-    out: list[tuple[object, object]] = []
-    wide = 1.0
-    while many:
-        share = {y: min(1.0, wide * (2 * per_label + 500) / n) for y, n in many.items()}
-        bound = F.coalesce(*[F.when(F.col("label") == F.lit(y), F.lit(int(-(2**63) + s * (2**64 - 1)) if s < 1 else 2**63 - 1)) for y, s in share.items()])
+    many = {r.label: r.n for r in keys.groupBy("label").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    taken: dict = {}
+    wide = dict.fromkeys(many, 1.0)
+    while open_ := [y for y in many if y not in taken]:
+        share = {y: min(1.0, wide[y] * (2 * per_label + 500) / max(1, many[y])) for y in open_}
+        bounds = {y: int(-(2**63) + s * (2**64 - 1)) if s < 1 else 2**63 - 1 for y, s in share.items()}
+        bound = F.coalesce(*[F.when(F.col("label") == F.lit(y), F.lit(b)) for y, b in bounds.items()])
         # all rows of an id share its hash, so an id is thinned with all its labels where the widest bound holds it
-        most = max(share.values())
-        widest = F.lit(2**63 - 1 if most >= 1 else int(-(2**63) + most * (2**64 - 1)))
-        thin = keys.where(F.col("h") <= widest).groupBy("id", "h").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        thin = keys.where(F.col("h") <= F.lit(max(bounds.values()))).groupBy("id", "h").agg(F.min("label").alias("label"), F.max("label").alias("other"))
         rows = thin.where(F.col("label") == F.col("other")).where(F.col("h") <= bound).select("id", "label", "h").collect()
-        per: dict = {y: sorted(((r.h, r.id) for r in rows if r.label == y), key=lambda x: (x[0], str(x[1])))[:per_label] for y in many}
-        out = [(k, y) for y in sorted(per) for _, k in per[y]]
-        if all(len(per[y]) >= per_label or share[y] >= 1 for y in many):
-            break
-        wide *= 4  # an id that is repeated often makes a label look larger than it is
-    return out
+        for y in open_:
+            own = sorted(((r.h, r.id) for r in rows if r.label == y), key=lambda x: (x[0], str(x[1])))[:per_label]
+            if len(own) >= per_label or share[y] >= 1:
+                taken[y] = own
+            wide[y] *= 4
+    return [(k, y) for y in sorted(taken) for _, k in taken[y]]
 
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, per_label: int, total_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[object, str, bytes]]:

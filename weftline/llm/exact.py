@@ -241,7 +241,7 @@ def dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are told apart by id; rows of an id that occurs more than once also by their text, of which one row stays.
+    Rows are told apart by id; rows of an id that occurs more than once also by their text, of which one row stays, whatever the run.
     """
     found = scratch.keep(dedup(docs, scratch, id_col, text_col).select(F.col(id_col).alias("id"), "kept", "text_sha256"), "found")
     scratch.drop("rows", "store")
@@ -257,5 +257,6 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     several = pick(docs, again, "left_semi", id_col).select(F.col(id_col).alias("id"), F.sha2(plain, 256).alias("sha"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), row.alias("row"))
     kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     several = several.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    first = several.groupBy("id", "sha").agg(F.max_by("row", "points").alias("row")).select("row.*")
+    # rows alike in id, text and length: the greatest by its values, so that every run keeps the same
+    first = several.groupBy("id", "sha").agg(F.max_by("row", F.struct("points", F.to_json("row"))).alias("row")).select("row.*")
     return pick(out, again, "left_anti", id_col).unionByName(first)
