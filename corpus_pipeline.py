@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import exact, mix, pieces, queries, shingles, toxicity
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, scope
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), queries.table(spark, sf_dir, "documents")
+    """The last stage over what the others kept; a stage's own tables go once its output is written, and that output with the next one's."""
+    scratch, docs, before = Scratch(spark, "pipeline"), queries.table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            scratch.drop(before)
+        before = name.replace(" ", "-")
     return STAGES[-1][1](spark, docs, sf_dir)
