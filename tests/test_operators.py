@@ -359,3 +359,88 @@ def test_helper_closure_grows_with_the_table(spark, tmp_path):
         want += [(k, *x) for x in seen.items()]
     got = plans.QUERIES["helper_closure"](spark, str(tmp_path)).collect()
     assert len({r.start for r in got}) == 900 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_diff_has_a_row_for_each_field_by_mapper(spark):
+    """Equal leaves: each current field is compared with the last of its leaf, and nothing multiplies."""
+    kind = "mapper_id string, target_field string, kinds array<string>, pos int"
+    old = spark.createDataFrame([("m", "a.name", ["READ"], 0), ("m", "b.Name", ["CONSTANT"], 1), ("m", "gone", ["READ"], 2), ("m", "x.gone", ["READ"], 3), ("n", "name", ["RAW"], 0)], kind)
+    new = spark.createDataFrame([("m", "c.name", ["constant"], 0), ("m", "d.NAME", ["READ"], 1), ("m", "fresh", ["READ"], 2), ("n", "name", ["RAW"], 0)], kind)
+    got = rows(store.diff(old, new, ["mapper_id"]).select("mapper_id", "target_field", "change"))
+    assert got == [("m", "c.name", "unchanged"), ("m", "d.NAME", "kinds-changed"), ("m", "fresh", "added"), ("m", "gone", "removed"), ("m", "x.gone", "removed"), ("n", "name", "unchanged")]
+    same = spark.createDataFrame([("a.name", ["READ"]), ("b.name", ["READ"])], "target_field string, kinds array<string>")
+    assert rows(store.diff(same, same).select("target_field", "change")) == [("a.name", "unchanged"), ("b.name", "unchanged")]
+
+
+def test_corrections_survive_promotion_and_have_a_record(spark):
+    kind = "mapper_id string, fingerprint string, target_field string, status string, kinds array<string>, updated_at string, labeled_by string"
+    old = spark.createDataFrame([("m", "f", "a", "verified", ["READ"], "1", "model"), ("m", "f", "b", "pending-review", ["READ"], "1", "model")], kind)
+    fix = spark.createDataFrame([("m", "f", "a", ["CONSTANT"], "it is 3", "line 4")], "mapper_id string, fingerprint string, target_field string, kinds array<string>, user_claim string, judge_evidence string")
+    fixed = store.correct(old, fix, "2")
+    new = spark.createDataFrame([("m", "f", "a", "pending-review", ["READ"], "model2"), ("m", "f", "b", "pending-review", ["RAW"], "model2")], "mapper_id string, fingerprint string, target_field string, status string, kinds array<string>, labeled_by string")
+    got = {r.target_field: r for r in store.promote(fixed, new, "3").collect()}
+    assert (got["a"].status, got["a"].kinds, got["a"].labeled_by, tuple(got["a"].correction), got["a"].updated_at) == ("user-corrected", ["CONSTANT"], "judge", ("it is 3", "line 4", "2"), "2")
+    assert (got["b"].status, got["b"].kinds, got["b"].labeled_by, got["b"].correction, got["b"].updated_at) == ("pending-review", ["RAW"], "model2", None, "3")
+    n = store.status_counts(store.promote(fixed, new, "3")).first()
+    assert (n.verified, n.user_corrected, n.pending_review) == (0, 1, 1)
+
+
+def test_tasks_of_fields_by_endings(spark):
+    """Against a walk over the tasks in order, for random dotted names in any case."""
+    import random
+
+    rng = random.Random(12)
+    name = lambda: ".".join(rng.choice(["a", "B", "cc", "A", "d"]) for _ in range(rng.randrange(1, 4)))
+    tasks = [(m, name(), k, k * 10) for k in range(60) for m in [rng.choice("mn")]]
+    fields = sorted({(m, name()) for m in "mno" for _ in range(60)})
+    got = audit.task_of(spark.createDataFrame(fields, "mapper_id string, field string"), spark.createDataFrame(tasks, "mapper_id string, field string, pos int, worth int"), "worth", ["mapper_id"])
+    want = []
+    for m, f in fields:
+        held = {}
+        for k, t, _, w in tasks:
+            if k == m:
+                held[t.lower()] = w  # the place of the first, the value of the last
+        low = f.lower()
+        hit = [low] if low in held else [t for t in held if low.endswith("." + t) or t.endswith("." + low.split(".")[-1])][:1]
+        want += [(m, f, held[t]) for t in hit]
+    assert rows(got) == sorted(want)
+
+
+def test_cross_checked_claims_name_a_whole_line(spark):
+    text = "a\nt.setX(1);\nb"
+    claims = spark.createDataFrame([(k, "F", line, said) for k, (line, said) in enumerate([("2", "here"), ("2.0", "here"), ("2.5", "`t.setX(1);`"), (None, "line 2"), ("9", "here"), ("9", "`t.setX(1);`"), ("2", "line 7 too"), ("-1", "here")])], "k int, field string, line string, evidence string")
+    check = spark.createDataFrame([("f", "unmapped")], "field string, state string")
+    got = rows(audit.cross_check(claims, check, F.lit(text)).select("k", F.coalesce("dropped", F.lit("kept"))))
+    assert [d for _, d in got] == ["kept", "kept", "no citation", "no citation", "no citation", "kept", "no citation", "no citation"]
+
+
+def test_label_rounds(spark):
+    from weftline.operators.labeling import label_rounds
+
+    tasks = spark.createDataFrame([("a", "mapped"), ("b", "mapped"), ("c", "unresolved"), ("d", "unresolved"), ("e", "unresolved"), ("f", "unmapped"), ("g", "mapped"), ("h", "unresolved"), ("i", "unresolved")], "field string, state string")
+    answers = [("a", 0, True, ["X"]), ("a", 1, True, ["never"]), ("b", 0, True, []), ("b", 1, True, ["Y"]), ("c", 0, False, []), ("c", 1, True, ["Z"]), ("d", 0, False, []), ("d", 1, False, []), ("d", 2, True, ["too late"]), ("e", 0, True, []), ("e", 1, True, []), ("f", 0, True, ["no"]), ("h", 0, False, [])]
+    tools = [("d", 0, "search", None, None), ("d", 1, None, True, ["T"]), ("d", 2, None, True, ["after"]), ("e", 0, None, True, ["unasked"]), *[("h", k, "read", None, None) for k in range(6)], ("h", 6, None, True, ["seventh"]), ("i", 0, None, True, [])]
+    df = lambda data, at: spark.createDataFrame(data, f"field string, {at}, recognised boolean, pipeline array<string>")
+    out = label_rounds(tasks, df(answers, "attempt int"), df(tools, "round int, tool string"))
+    got = {r.field: (r.state, r.source, r.attempts, r.tool_calls, r.tool_ok, r.pipeline) for r in out.collect()}
+    assert got == {
+        "a": ("mapped", "slice", 1, 0, False, ["X"]),
+        "b": ("mapped", "escalation", 2, 0, False, ["Y"]),  # an empty pipeline is never accepted
+        "c": ("mapped", "escalation", 2, 0, False, ["Z"]),
+        "d": ("mapped", "tools", 2, 1, True, ["T"]),
+        "e": ("unresolved", None, 2, 0, False, None),  # recognised without steps: tools aren't asked
+        "g": ("unresolved", None, 2, 0, False, None),
+        "h": ("unresolved", None, 2, 6, False, None),  # six rounds and no answer
+        "i": ("unresolved", None, 2, 0, True, None),
+    }
+    plain = label_rounds(tasks, df(answers, "attempt int")).where("field = 'd'").first()
+    assert (plain.state, plain.tool_calls) == ("unresolved", 0)
+
+
+def test_touched_by_a_short_source_among_long_ones(spark):
+    """One source of one letter: the long ones still meet only paths with the same 64 letters."""
+    base = "src/main/java/com/example/mapping/outbound/shipment/notice/"
+    m = spark.createDataFrame([(0, "q"), (1, ""), *[(k, f"{base}M{k}.java") for k in range(2, 400)]], "id int, source_file string")
+    d = spark.createDataFrame([(f"{base}M{k}.java",) for k in range(5, 400, 7)] + [("repo/" + base + "M6.java",), ("zzz",)], "path string")
+    got = [r.id for r in keyed.touched(m, d).orderBy("id").collect()]
+    assert got == sorted([1, 6, *range(5, 400, 7)])

@@ -474,3 +474,54 @@ def test_scanner_is_linear_in_a_file():
     (one, n, k, _), (two, n2, k2, size) = took(8000), took(16000)
     assert (n, n2) == (8000 + 2000, 16000 + 4000) and (k, k2) == (8000, 16000) and size > 1_000_000
     assert two < 3.2 * one, (one, two)
+
+
+def test_snapshots_tell_what_changed(spark, tmp_path):
+    """Against sets of paths, for random trees; partitions of equal folders are not read."""
+    import random
+
+    import re
+
+    from weftline.sources import snapshots
+
+    rng = random.Random(6)
+    path = lambda: "/".join(rng.choice("abc") for _ in range(rng.randrange(0, 4))) + "/f" + str(rng.randrange(6))
+    trees = [{path().lstrip("/"): str(rng.randrange(3)) for _ in range(60)}]
+    trees.append({p: c for k, (p, c) in enumerate(trees[0].items()) if k % 9} | {"a/b/new": "1", "top": "2"} | {p: c + "!" for p, c in [*trees[0].items()][4:6]})
+    trees += [{}, dict([*trees[0].items()])]
+    for k, t in enumerate(trees):
+        snapshots.write(spark.createDataFrame(list(t.items()), "path string, content string"), f"file://{tmp_path}/{k}")
+    for a, b in ((0, 1), (1, 0), (0, 2), (2, 0), (0, 3), (2, 2)):
+        want = {(p, "added" if p not in trees[a] else "removed" if p not in trees[b] else "changed") for p in {*trees[a]} | {*trees[b]} if trees[a].get(p) != trees[b].get(p)}
+        assert {tuple(r) for r in snapshots.changed(spark, f"file://{tmp_path}/{a}", f"file://{tmp_path}/{b}").collect()} == want, (a, b)
+    deep = {f"x{k}/y{j}/z": "1" for k in range(30) for j in range(3)}
+    for k, t in enumerate((deep, deep | {"x7/y1/z": "2"})):
+        snapshots.write(spark.createDataFrame(list(t.items()), "path string, content string"), f"file://{tmp_path}/deep{k}")
+    roots = [f"file://{tmp_path}/deep{k}" for k in range(2)]
+    assert sorted(r.folder for r in snapshots.unequal(spark, *roots).collect()) == ["", "x7", "x7/y1"]
+    plan = snapshots.changed(spark, *roots)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"PartitionFilters: \[bucket#\d+ IN \(([\d,]+)\)", plan)
+    assert len(read) == 2 and all(len(x.split(",")) == 3 for x in read)
+
+
+def test_newest_files_by_time(spark, tmp_path):
+    import os
+
+    from pyspark.errors import AnalysisException
+
+    for at, (name, text) in enumerate([("m/f1/a.json", '{"v": 1}'), ("m/f2/a.json", '{"v": 2}'), ("m/f2/b.txt", "no"), ("n/f1/x.json", '{"v": 3}\n{"v": 4}'), ("m/f1/b.json", "torn {"), ("o/f/note.txt", "x")]):
+        p = tmp_path / "r" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+        os.utime(p, (1000 + at, 1000 + at))
+    key = F.regexp_extract("path", r"^(\w+)/", 1)
+    root = f"file://{tmp_path}/r"
+    assert {(r.key, r.path) for r in files.newest(spark, root, key, ".json").collect()} == {("m", "m/f1/b.json"), ("n", "n/f1/x.json")}
+    assert {(r.key, r.path) for r in files.newest(spark, root, key).collect()} == {("m", "m/f1/b.json"), ("n", "n/f1/x.json"), ("o", "o/f/note.txt")}
+    os.utime(tmp_path / "r/m/f2/a.json", (3000, 3000))
+    got = files.newest_rows(spark, root, key, "v int")
+    for name in ("a", "b"):
+        (tmp_path / f"r/m/f1/{name}.json").unlink()  # the others aren't opened
+    assert {(r.key, r.v) for r in got.collect()} == {("m", 2), ("n", 3), ("n", 4)}
+    with pytest.raises(AnalysisException):
+        files.newest(spark, f"{root}/none", key).collect()

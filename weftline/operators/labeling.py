@@ -74,6 +74,48 @@ def resolve_labels(fields: DataFrame, verified: DataFrame, cache: DataFrame, ans
     return out.withColumn("state", F.when(mapped & found.isNull(), "unresolved").otherwise(F.col("state"))).drop(*[f"_{n}" for n in names])
 
 
+#: Fixed value: rounds of tools that an investigation may take.
+TOOL_ROUNDS = 6
+ANSWER = ("recognised", "pipeline")
+
+
+def label_rounds(tasks: DataFrame, answers: DataFrame, tools: DataFrame | None = None, escalations: int = 1, by: list[str] | None = None) -> DataFrame:
+    """by, field, state, source, attempts, tool_calls, tool_ok and pipeline: how every task is settled by the answers that are given.
+
+    tasks: (by, field, state); answers: (by, field, attempt from 0, recognised, pipeline); tools: (by, field, round from 0, tool, recognised, pipeline), a
+    null tool being the answer. A mapped task is asked with its slice and once more with the full source, an unresolved one with the full source, at first
+    and at each escalation. The first recognised answer that has steps ends it; else the last one counts. An unresolved task that is still
+    not recognised is given to the tools, for at most six rounds. What has no steps then is never accepted: it stays unresolved. Unmapped tasks aren't asked.
+    """
+    keys = [*(by or []), "field"]
+    asked = tasks.where(F.col("state").isin("mapped", "unresolved")).withColumn("_most", F.when(F.col("state") == "unresolved", escalations).otherwise(1))
+    given = F.struct("attempt", *ANSWER)
+    good = F.coalesce(F.col("recognised") & (F.size("pipeline") > 0), F.lit(False))
+    met = answers.join(asked.select(*keys, "_most"), keys).where(F.col("attempt") <= F.col("_most"))
+    said = met.groupBy(*keys).agg(F.min(F.when(good, F.struct("attempt", "pipeline"))).alias("_good"), F.max_by(given, "attempt").alias("_last"))
+    out = asked.join(said, keys, "left")
+    known = F.coalesce(F.col("_good").isNotNull() | F.col("_last")["recognised"], F.lit(False))
+    out = out.withColumn("_known", known).withColumn("_tools", F.lit(None).cast("struct<n: bigint, recognised: boolean, pipeline: array<string>>") if tools is None else F.lit(None))
+    if tools is not None:
+        within = tools.where(F.col("round") < TOOL_ROUNDS)
+        final = within.groupBy(*keys).agg(F.min(F.when(F.col("tool").isNull(), F.col("round"))).alias("_end"))
+        shown = within.join(final, keys).where(F.col("_end").isNull() | (F.col("round") <= F.col("_end")))
+        shown = shown.groupBy(*keys).agg(F.struct(F.count("tool").alias("n"), F.max_by(F.struct(*ANSWER), "round").alias("a"), F.max("_end").isNotNull().alias("ended")).alias("_tools"))
+        out = out.drop("_tools").join(shown, keys, "left")
+        tried = (F.col("state") == "unresolved") & ~F.col("_known")
+        ended = F.coalesce(tried & F.col("_tools.ended"), F.lit(False))
+        tool_ok, calls = F.coalesce(ended & F.col("_tools.a.recognised"), F.lit(False)), F.when(tried, F.coalesce("_tools.n", F.lit(0))).otherwise(0)
+        found = F.when(tool_ok, F.col("_tools.a.pipeline")).when(~ended, F.col("_good.pipeline"))
+    else:
+        tool_ok, calls, found = F.lit(False), F.lit(0), F.col("_good.pipeline")
+    out = out.withColumn("tool_ok", tool_ok).withColumn("tool_calls", calls.cast("long")).withColumn("pipeline", F.when(F.size(found) > 0, found))
+    at = F.col("_good.attempt")
+    source = F.when(F.col("pipeline").isNull(), None).when(F.col("tool_ok"), "tools").when((F.col("state") == "mapped") & (at == 0), "slice").when(at == 0, "full source").otherwise("escalation")
+    attempts = F.when(at.isNotNull(), at + 1).otherwise(F.col("_most") + 1).cast("int")
+    out = out.withColumn("source", source).withColumn("attempts", attempts).withColumn("state", F.when(F.col("pipeline").isNull(), "unresolved").otherwise("mapped"))
+    return out.select(*keys, "state", "source", "attempts", "tool_calls", "tool_ok", "pipeline")
+
+
 def result_source(resolved: DataFrame, by: str) -> DataFrame:
     """verified, cache, model or mixed for each mapper, and how many fields came from where."""
     n = resolved.groupBy(by).agg(*[F.count(F.when(F.col("source") == s, 1)).alias(s) for s in ("verified", "cache", "model")])

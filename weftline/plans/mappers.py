@@ -221,3 +221,28 @@ def mapper_findings(spark, sf_dir):
     cited = labeling.critic_findings(said, slices, BY)
     rest = differ.select("mapper_id", F.lit("diverging").alias("kind"), F.col("field").alias("num")).unionByName(cited.select("mapper_id", F.lit("missing step").alias("kind"), F.col("field").alias("num")))
     return found.unionByName(rest)
+
+
+@query(
+    "label_rounds",
+    f"""WITH {ROWS_SQL}, each AS (SELECT mapper_id, f, n, min(o) AS o FROM rows GROUP BY ALL),
+tasks AS (SELECT DISTINCT mapper_id, f, CASE f % 4 WHEN 0 THEN 'mapped' WHEN 3 THEN 'unmapped' ELSE 'unresolved' END AS state FROM rows WHERE f % 4 < 3),
+asked AS (SELECT t.*, n - 1 AS attempt, o % 2 = 0 AS known, o % 3 > 0 AS steps FROM tasks t JOIN each e ON t.mapper_id = e.mapper_id AND t.f = e.f WHERE n <= CASE WHEN state = 'unresolved' THEN 3 ELSE 2 END),
+said AS (SELECT mapper_id, f, min(attempt) FILTER (WHERE known AND steps) AS good, arg_max(known, attempt) AS last FROM asked GROUP BY ALL),
+ends AS (SELECT mapper_id, f, min(n) FILTER (WHERE o % 2 = 1) AS n FROM each WHERE n >= 4 GROUP BY ALL),
+tools AS (SELECT e.mapper_id, e.f, ends.n IS NOT NULL AS ended, count(*) FILTER (WHERE o % 2 = 0) AS calls, max(CASE WHEN e.n = ends.n THEN o END) AS o FROM each e JOIN ends ON e.mapper_id = ends.mapper_id AND e.f = ends.f WHERE e.n >= 4 AND (ends.n IS NULL OR e.n <= ends.n) GROUP BY ALL),
+met AS (SELECT t.*, good, state = 'unresolved' AND NOT coalesce(good IS NOT NULL OR last, false) AS tried, coalesce(calls, 0) AS calls, coalesce(ended, false) AS ended, x.o FROM tasks t LEFT JOIN said s ON t.mapper_id = s.mapper_id AND t.f = s.f LEFT JOIN tools x ON t.mapper_id = x.mapper_id AND t.f = x.f),
+told AS (SELECT *, tried AND ended AND o % 3 > 0 AS tool_ok FROM met)
+SELECT mapper_id, f AS field, CASE WHEN source IS NULL THEN 'unresolved' ELSE 'mapped' END AS state, source, attempts, tool_calls, tool_ok FROM (
+  SELECT *, CASE WHEN tool_ok AND o % 5 > 0 THEN 'tools' WHEN tool_ok OR good IS NULL THEN NULL WHEN state = 'mapped' AND good = 0 THEN 'slice' WHEN good = 0 THEN 'full source' ELSE 'escalation' END AS source,
+    CAST(coalesce(good, CASE WHEN state = 'unresolved' THEN 2 ELSE 1 END) + 1 AS INTEGER) AS attempts, CASE WHEN tried THEN calls ELSE 0 END AS tool_calls FROM told)""",
+)
+def label_rounds(spark, sf_dir):
+    """How the fields of all mappers are settled, with answers to the slice, to the full source, to two escalations and of tools."""
+    each = rows(spark, sf_dir).groupBy("mapper_id", F.col("f").alias("field"), "n").agg(F.min("o").alias("o"))
+    state = F.when(F.col("field") % 4 == 0, "mapped").when(F.col("field") % 4 == 3, "unmapped").otherwise("unresolved")
+    some = lambda yes: F.when(yes, F.array(F.lit("READ"))).otherwise(F.array().cast("array<string>")).alias("pipeline")
+    tasks = each.select("mapper_id", "field", state.alias("state")).distinct()
+    answers = each.where("n <= 3").select("mapper_id", "field", (F.col("n") - 1).alias("attempt"), (F.col("o") % 2 == 0).alias("recognised"), some(F.col("o") % 3 > 0))
+    tools = each.where("n >= 4").select("mapper_id", "field", (F.col("n") - 4).alias("round"), F.when(F.col("o") % 2 == 0, "search").alias("tool"), (F.col("o") % 3 > 0).alias("recognised"), some(F.col("o") % 5 > 0))
+    return labeling.label_rounds(tasks, answers, tools, 2, BY).drop("pipeline")

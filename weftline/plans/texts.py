@@ -379,3 +379,37 @@ def incremental_report(spark, sf_dir):
         e.where(F.col("turn") == turn).drop("turn").write.mode("append").parquet(f"{work}/in")
         out = ingest.report(spark, f"{work}/in", "mapper_id string, at string, declared long, unmapped long, agree_rate double", f"{work}/cp", f"{work}/states", ["declared", "unmapped"], ["mapper_id"], fmt="parquet")
     return out
+
+
+@query(
+    "snapshot_changes",
+    """WITH c AS (SELECT *, 'c' || CAST(c_nationkey AS VARCHAR) || '/' || CAST(c_custkey % 7 AS VARCHAR) || '/f' || CAST(c_custkey AS VARCHAR) || '.java' AS path FROM customer)
+SELECT path, 'removed' AS change FROM c WHERE c_nationkey = 1 AND c_custkey % 2 = 0 UNION ALL SELECT path, 'changed' FROM c WHERE c_nationkey = 2 AND c_custkey % 3 = 0 UNION ALL SELECT replace(path, '/f', '/g'), 'added' FROM c WHERE c_nationkey = 3""",
+)
+def snapshot_changes(spark, sf_dir):
+    """The files in which two trees differ, as two written snapshots tell."""
+    from weftline.sources import snapshots
+    from weftline.sources.tables import Workspace
+
+    root = Workspace(spark).root
+    part = lambda c: c.cast("string")
+    path = F.concat(F.lit("c"), part(F.col("c_nationkey")), F.lit("/"), part(F.col("c_custkey") % 7), F.lit("/f"), part(F.col("c_custkey")), F.lit(".java"))
+    c = table(spark, sf_dir, "customer").select("*", path.alias("path"), F.col("c_name").alias("content"))
+    new = F.when((F.col("c_nationkey") == 2) & (F.col("c_custkey") % 3 == 0), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    head = c.where("not (c_nationkey = 1 and c_custkey % 2 = 0)").select("path", new.alias("content"))
+    more = c.where("c_nationkey = 3").select(F.replace("path", F.lit("/f"), F.lit("/g")).alias("path"), "content")
+    snapshots.write(c.select("path", "content"), f"{root}/base")
+    snapshots.write(head.unionByName(more), f"{root}/head")
+    return snapshots.changed(spark, f"{root}/base", f"{root}/head")
+
+
+@query("newest_results", "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey = 2 THEN 'second ' ELSE 'first ' END || n_name AS field FROM nation")
+def newest_results(spark, sf_dir):
+    """Of each nation's result files the newest one's rows; names and times are listed, older files aren't opened."""
+    from weftline.sources.tables import Workspace
+
+    root = f"{Workspace(spark).root}/results"
+    n = table(spark, sf_dir, "nation").withColumn("key", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    for turn, some in (("first", n), ("second", n.where("n_regionkey = 2"))):
+        some.select("key", F.concat(F.lit(f"{turn} "), "n_name").alias("field")).repartition("key").write.mode("append").partitionBy("key").json(root)
+    return files.newest_rows(spark, root, F.regexp_extract("path", r"key=(\w+)/", 1), "field string").select("key", "field")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that a walk leaves out.
@@ -50,6 +50,29 @@ def search(lines: DataFrame, query: str, k: int, by: str | None = None) -> DataF
     return top_per(hits, [by], [F.col("line")], k) if by else hits.orderBy(*[c for c in hits.columns if c != "text"]).limit(k)
 
 
+def newest(spark: SparkSession, root: str, key: Column, suffix: str = "") -> DataFrame:
+    """key, path and modified of each key's newest file below a folder, of equal times the one of the greater name.
+
+    ``key`` is made of the column path (relative to the folder); files of a null key are left out. Names and times are what the engine lists; no file is opened.
+    """
+    base = re.sub("^file:/*", "/", root).rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    raw = raw.option("pathGlobFilter", f"*{suffix}") if suffix else raw
+    listed = raw.load(root).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    named = listed.withColumn("path", F.regexp_replace(F.regexp_replace("file", "^file:/*", "/"), f"^{re.escape(base)}/", "")).withColumn("key", key).where("key is not null")
+    return named.groupBy("key").agg(F.max(F.struct("modified", "path", "file")).alias("f")).select("key", "f.path", "f.modified", "f.file")
+
+
+def newest_rows(spark: SparkSession, root: str, key: Column, schema: str, suffix: str = ".json") -> DataFrame:
+    """Rows of the JSON documents that are their key's newest, with key and path; the others aren't opened."""
+    wanted = newest(spark, root, key, suffix)
+    files = [r.file for r in wanted.select("file").collect()]  # as the engine's own list of files
+    if not files:
+        return spark.createDataFrame([], f"{schema}, key string, path string")
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(files).withColumn("file", F.col("_metadata.file_path"))
+    return rows.join(F.broadcast(wanted.select("file", "key", "path")), "file").drop("file")
+
+
 def put(rows: DataFrame, path: str, by: list[str]) -> None:
     """Replace the partitions that the rows belong to and no others; each is put in place when it is complete."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
