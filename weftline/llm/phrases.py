@@ -34,6 +34,8 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 INSIDE = (50, 100)
 #: Buckets of a bitmap: 16,777,216 bits, 2 MB. A task counts them in a byte each, up to ``LEAST``.
 BITS = 24
+#: Parts that a language's phrases are ranked in before they are ranked as a whole.
+PARTS = 64
 #: Buckets that one row hands on, and words whose phrases a task counts at a time.
 BLOCK, WORDS = 1 << 16, 1_000_000
 #: What texts are cut at becomes a line feed, A-Z become small letters.
@@ -244,6 +246,9 @@ def collocations(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", text
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     phrases, totals = frequent(texts, scratch, longest, least, bits)
     best = outside(scored(phrases, scratch, longest), longest)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase")))
-    first = best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    # a language's phrases are ranked in parts first, so that no task orders them all
+    best = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
