@@ -65,12 +65,11 @@ def newest(spark: SparkSession, root: str, key: Column, suffix: str = "") -> Dat
 
 def newest_rows(spark: SparkSession, root: str, key: Column, schema: str, suffix: str = ".json") -> DataFrame:
     """Rows of the JSON documents that are their key's newest, with key and path; the others aren't opened."""
-    wanted = newest(spark, root, key, suffix)
-    files = [r.file for r in wanted.select("file").collect()]  # as the engine's own list of files
-    if not files:
+    wanted = newest(spark, root, key, suffix).select("file", "key", "path").collect()  # a row a key, as the engine's own list of files
+    if not wanted:
         return spark.createDataFrame([], f"{schema}, key string, path string")
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(files).withColumn("file", F.col("_metadata.file_path"))
-    return rows.join(F.broadcast(wanted.select("file", "key", "path")), "file").drop("file")
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json([r.file for r in wanted]).withColumn("file", F.col("_metadata.file_path"))
+    return rows.join(spark.createDataFrame(wanted, "file string, key string, path string"), "file").drop("file")
 
 
 def put(rows: DataFrame, path: str, by: list[str]) -> None:
