@@ -105,7 +105,8 @@ def test_java_structure(spark):
     at = CODE.index("t.priority = false")
     assert s.guards(at) == ['if (s.kind().equals("EXPRESS"))', "else"]
     assert java.control_flow(s.guards(at)) == ["// control flow:", 'if (s.kind().equals("EXPRESS")) { … } else']
-    assert [w["hint"] for w in s.loose_writes()] == ["setter-like call", "method-reference setter", "fluent with* call"]
+    loose = java.scan(spark.createDataFrame([("M.java", CODE)], "path string, text string"), "loose_writes")
+    assert [r.hint for r in loose.orderBy("line").collect()] == ["setter-like call", "method-reference setter", "fluent with* call"]
     assert ("Opaque", "t") in [(c["callee"], c["args"]) for c in s.calls()]
     df = spark.createDataFrame([("a", CODE), ("b", None)], "path string, text string")
     assert java.scan(df, "write_sites", "Target").count() == 8
@@ -467,12 +468,11 @@ def test_scanner_is_linear_in_a_file():
         began = time.process_time()
         source = Source(code)
         sites = source.guarded_sites("T")
-        loose = source.loose_writes()
-        return time.process_time() - began, len(sites), len(loose), len(code)
+        return time.process_time() - began, len(sites), len(code)
 
     took(500)
-    (one, n, k, _), (two, n2, k2, size) = took(8000), took(16000)
-    assert (n, n2) == (8000 + 2000, 16000 + 4000) and (k, k2) == (8000, 16000) and size > 1_000_000
+    (one, n, _), (two, n2, size) = took(8000), took(16000)
+    assert (n, n2) == (8000 + 2000, 16000 + 4000) and size > 1_000_000
     assert two < 3.2 * one, (one, two)
 
 
@@ -525,3 +525,34 @@ def test_newest_files_by_time(spark, tmp_path):
     assert {(r.key, r.v) for r in got.collect()} == {("m", 2), ("n", 3), ("n", 4)}
     with pytest.raises(AnalysisException):
         files.newest(spark, f"{root}/none", key).collect()
+
+
+def test_source_text_as_expressions(spark):
+    """Scrubbed text, lines, loose writes, handed names and assignments against plain Python on random code."""
+    import random
+    import re
+
+    from weftline.functions import code
+
+    rng = random.Random(13)
+    parts = ["//", "/*", "*/", '"', "'", "\\", "\n", "a", "é", "𝛿", " ", "t.setAb(", ". withX (", "::setC", "x = y", "==", "r.set(c)", "r.with\n(k(", "\x01", "\x02", "/", "b", ");", "\t"]
+    texts = ["", None, "\n", "s = \"// no\"; // yes \"\n/* a\nb */ t.setX(1);", "'\\''.setA(\"", "x.\nsetA(b).setB(c); y.setA(1)", "/* open", '"open \\', *("".join(rng.choices(parts, k=40)) for _ in range(300))]
+    hidden = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|\'(?:\\.|[^\'\\])*(?:\'|\Z)', re.S)
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    got = {kind: sorted(map(tuple, java.scan(df, kind).collect())) for kind in code.KINDS}
+    bare = {r.path: r.b for r in df.select("path", code.scrub(F.coalesce("text", F.lit(""))).alias("b")).collect()}
+    want = {k: [] for k in code.KINDS}
+    for k, text in enumerate(t or "" for t in texts):
+        plain = hidden.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+        if not re.search(r"[\"'][^\"']*\\\Z", text):  # a text that ends in a literal's backslash: both blank it or both don't
+            assert bare[str(k)] == plain, text
+        else:
+            plain = bare[str(k)]
+        line = lambda at, t=text: t.count("\n", 0, at) + 1
+        want["lines"] += [(str(k), n + 1, a, b) for n, (a, b) in enumerate(zip(text.split("\n"), plain.split("\n"), strict=True))]
+        want["loose_writes"] += sorted({(str(k), line(m.start()), hint, text.split("\n")[line(m.start()) - 1].strip()[:120]) for p, hint in code.LOOSE for m in re.finditer(p, plain.translate({1: " ", 2: " "}))})
+        clean = text.translate({1: " ", 2: " "})
+        want["injections"] += [(str(k), m[1], m[2], bool(m[3]), line(m.start())) for m in re.finditer(r"\.(\w+)\s*\(\s*(\w+)\s*(\()?", clean)]
+        want["assignments"] += sorted({(str(k), m[1], line(m.start())) for m in re.finditer(r"\b(\w+)\s*=(?!=)", clean)})
+    for kind in code.KINDS:
+        assert got[kind] == sorted(want[kind]), kind

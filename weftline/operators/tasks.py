@@ -42,7 +42,7 @@ def belongs(sites: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 #: Kinds of rows that attribution asks for.
-FOR_NESTED = ["methods", "injections", "assignments", "chains"]
+FOR_NESTED = ["methods", "chains"]
 
 
 def nested_sites(sources: DataFrame, nested: DataFrame, parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +54,8 @@ def nested_sites(sources: DataFrame, nested: DataFrame, parsed: DataFrame | None
     ``parse`` found of ``FOR_NESTED`` in the sources, if they were parsed already.
     """
     work = Workspace(sources.sparkSession)
-    parsed = work.keep(parse(sources.select("path", "text", "mapper_id"), FOR_NESTED)) if parsed is None else parsed
+    code = sources.select("path", "text", "mapper_id")
+    parsed = work.keep(parse(code, FOR_NESTED)) if parsed is None else parsed
     found = lambda kind: rows_of(parsed, kind).drop("target")
     nested = nested.select("mapper_id", F.col("path").alias("prefix"), "type_name", F.col("order").alias("place"))
     each = sources.join(nested.select("mapper_id", F.col("type_name").alias("target")).distinct(), "mapper_id")
@@ -68,9 +69,9 @@ def nested_sites(sources: DataFrame, nested: DataFrame, parsed: DataFrame | None
     # where a place takes something in: set, with or the bare name, of a variable or of a helper's result
     short = leaf(F.col("prefix"))
     routes = places.withColumn("method", F.explode(F.array(F.concat(F.lit("set"), capital(short)), F.concat(F.lit("with"), capital(short)), short)))
-    taken = found("injections").join(routes, ["mapper_id", "method"]).select("mapper_id", "target", "prefix", "place", "name", "is_call", F.col("line").alias("at"))
+    taken = scan(code, "injections").join(routes, ["mapper_id", "method"]).select("mapper_id", "target", "prefix", "place", "name", "is_call", F.col("line").alias("at"))
     taken = work.keep(taken)
-    assigned = work.keep(found("assignments").select("mapper_id", "name", F.col("line").alias("set_at")))
+    assigned = work.keep(scan(code, "assignments").select("mapper_id", "name", F.col("line").alias("set_at")))
 
     def lifetime(rows: DataFrame, line: str, ids: list[str]) -> DataFrame:
         """Rows with the segment of their variable's lifetime: how often it was assigned up to the line."""
@@ -102,7 +103,7 @@ def build_tasks(mappers: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     work = Workspace(files.sparkSession)
     sources = work.keep(mappers.select("mapper_id", F.col("source_file").alias("path"), simple_type_name(F.col("target_type")).alias("target"), *[c for c in ("class_name",) if c in mappers.columns]).join(files.select("path", "text"), "path"))
     tree_parsed = work.keep(parse(files.select("path", "text"), ["class_fields", "methods", "classes"]))
-    parsed = work.keep(parse(sources, ["guarded_sites", "target_fields", "calls", "loose_writes", "lines", *FOR_NESTED]))
+    parsed = work.keep(parse(sources, ["guarded_sites", "target_fields", "calls", *FOR_NESTED]))
     found = lambda kind: rows_of(parsed, kind).drop("target")
     classes = work.keep(rows_of(tree_parsed, "class_fields"))
     # of classes with one name that in a file of that name, else the first path
@@ -129,7 +130,8 @@ def build_tasks(mappers: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     shown = audit.writes(fields, sites).groupBy("mapper_id", "field").agg(F.array_sort(F.collect_list(F.struct("line", "slice_text"))).alias("s"))
     shown = shown.select("mapper_id", "field", F.array_join(F.transform("s", lambda x: x["slice_text"]), "\n\n").alias("slice_text"))
     tasks = work.keep(check.join(shown, ["mapper_id", "field"], "left"))
-    told = audit.miss_diagnostics(audit.missed_writes(found("loose_writes"), sites), audit.unmapped_mentions(tasks.where("state = 'unmapped'").select("mapper_id", "field"), found("lines")))
+    own_code = sources.select("path", "text", "mapper_id")
+    told = audit.miss_diagnostics(audit.missed_writes(scan(own_code, "loose_writes"), sites), audit.unmapped_mentions(tasks.where("state = 'unmapped'").select("mapper_id", "field"), scan(own_code, "lines")))
     told = told.unionByName(unsure).unionByName(reasons.select("mapper_id", F.concat_ws(": ", "path", "reason").alias("text")))
     told = told.unionByName(derived.select("mapper_id", F.lit(DERIVED).alias("text")).distinct())
     risky = injections(tasks.where("slice_text is not null").select(F.struct("mapper_id", "field").alias("key"), "slice_text"), "key", "slice_text")
