@@ -444,3 +444,20 @@ def test_touched_by_a_short_source_among_long_ones(spark):
     d = spark.createDataFrame([(f"{base}M{k}.java",) for k in range(5, 400, 7)] + [("repo/" + base + "M6.java",), ("zzz",)], "path string")
     got = [r.id for r in keyed.touched(m, d).orderBy("id").collect()]
     assert got == sorted([1, 6, *range(5, 400, 7)])
+
+
+def test_mutants_are_spliced_where_the_write_is(spark):
+    from weftline.operators import mutation
+    from weftline.sources.java import scan
+
+    code = 'class M { T f(S s) {\n  T t = new T();\n  t.setA(s.a() * 10); t.setA(s.a() * 10);\n  // t.setB(42);\n  t.setB(42);\n  t.setC("x" + s.c());\n  T u = T.builder().a( s.b() ).build();\n  return t; } }\nclass T { int a; int b; String c; }'
+    sources = spark.createDataFrame([(1, "M.java", "T", code)], "mapper_id int, path string, target string, text string")
+    sites = scan(sources, "write_sites")
+    found = {(r.field, r.kind): r.text for r in mutation.mutants(sources, sites.drop("mapper_id").withColumn("mapper_id", F.lit(1))).collect()}
+    assert set(found) == {("a", "drop-write"), ("a", "drop-operation"), ("b", "drop-write"), ("b", "change-number"), ("c", "drop-write"), ("c", "change-text")}
+    assert found["a", "drop-operation"] == code.replace("s.a() * 10", "s.a()", 1)
+    assert found["b", "change-number"] == code.replace("  t.setB(42);\n  t.setC", "  t.setB(987654321);\n  t.setC")  # not the comment before it
+    assert found["c", "change-text"] == code.replace('"x"', '"~"')
+    steps = spark.createDataFrame([(1, "b", 0, "CONSTANT", None, None, "42"), (1, "c", 0, "CONSTANT", None, None, "gone")], "mapper_id int, field string, pos int, kind string, source_field string, op string, value string")
+    got = {(r.field, r.kind): r.outcome for r in mutation.check(sources, steps).collect()}
+    assert got == {("a", "drop-write"): "survived", ("a", "drop-operation"): "survived", ("b", "drop-write"): "demoted", ("b", "change-number"): "ungrounded", ("c", "drop-write"): "demoted", ("c", "change-text"): "survived"}

@@ -413,3 +413,32 @@ def newest_results(spark, sf_dir):
     for turn, some in (("first", n), ("second", n.where("n_regionkey = 2"))):
         some.select("key", F.concat(F.lit(f"{turn} "), "n_name").alias("field")).repartition("key").write.mode("append").partitionBy("key").json(root)
     return files.newest_rows(spark, root, F.regexp_extract("path", r"key=(\w+)/", 1), "field string").select("key", "field")
+
+
+@query(
+    "mutation_checks",
+    """WITH s AS (SELECT s_suppkey AS k FROM supplier), told AS (
+SELECT k, 'drop-write' AS kind, 'name' AS field, 4 AS line, 'demoted' AS outcome FROM s UNION ALL SELECT k, 'drop-write', 'weight', 5, 'demoted' FROM s UNION ALL SELECT k, 'drop-operation', 'weight', 5, 'ungrounded' FROM s
+UNION ALL SELECT k, unnest(['drop-write', 'flip-flag']), 'flag', 6, CASE WHEN k % 2 = 0 THEN 'survived' ELSE unnest(['demoted', 'ungrounded']) END FROM s
+UNION ALL SELECT k, unnest(['drop-write', 'flip-flag']), 'flag', 7, 'survived' FROM s WHERE k % 2 = 0
+UNION ALL SELECT k, unnest(['drop-write', 'change-text']), 'label', 7 + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, unnest(['demoted', 'ungrounded']) FROM s WHERE k % 3 = 0)
+SELECT k AS mapper_id, kind, field, line, outcome FROM told""",
+)
+def mutation_checks(spark, sf_dir):
+    """Every write of every supplier's mapper is changed in turn; a flag that is written twice alike hides its mutants."""
+    from weftline.operators import mutation
+
+    s = table(spark, sf_dir, "supplier")
+    key, label = F.col("s_suppkey").cast("string"), F.concat(F.lit("x"), F.col("s_nationkey").cast("string"))
+    code = lines_if(
+        (None, F.concat(F.lit("class M"), key, F.lit(" {\n  Target build(Source s) {\n    Target t = new Target();\n    t.setName(s.getName());\n    t.setWeight(s.getKg() * 1000);\n    t.flag = true;"))),
+        (F.col("s_suppkey") % 2 == 0, "    t.flag = true;"),
+        (F.col("s_suppkey") % 3 == 0, F.concat(F.lit('    t.setLabel("'), label, F.lit('");'))),
+        (F.col("s_suppkey") % 5 == 0, "    Helper.fill(t);"),
+        (None, "    return t;\n  }\n}\nclass Target { private String name; private long weight; private boolean flag; private String label; }"),
+    )
+    sources = s.select(F.col("s_suppkey").alias("mapper_id"), F.concat(F.lit("M"), key, F.lit(".java")).alias("path"), F.lit("Target").alias("target"), code.alias("text"))
+    null = F.lit(None).cast("string")
+    step = lambda field, pos, kind, source=null, op=null, value=null: F.struct(F.lit(field).alias("field"), F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), source.alias("source_field"), op.alias("op"), value.alias("value"))
+    steps = F.array(step("name", 0, "READ", F.lit("src.name")), step("weight", 0, "READ", F.lit("src.kg")), step("weight", 1, "TRANSFORM", null, F.lit("multiply")), step("flag", 0, "CONSTANT", null, null, F.lit("true")), step("label", 0, "CONSTANT", null, null, label))
+    return mutation.check(sources, s.select(F.col("s_suppkey").alias("mapper_id"), F.inline(steps)))
