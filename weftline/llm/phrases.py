@@ -78,12 +78,23 @@ class Marks:
         return (marked[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def counted(lang: str, tokens: list, n: int, marks: Marks) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+class Numbered:
+    """The words of texts of one language, as numbers: a word is kept once, however often it occurs. 0 ends a piece."""
+
+    def __init__(self) -> None:
+        self.number: dict = defaultdict(itertools.count().__next__)
+        self.number[None]  # 0
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, tokens: list) -> None:
+        self.parts.append(np.fromiter(map(self.number.__getitem__, tokens), np.int32, len(tokens)))
+        self.size += len(tokens)
+
+
+def counted(lang: str, texts: Numbered, n: int, marks: Marks) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Phrases of n words that the bitmaps let through, how often each occurs, and the buckets of the next length's occurrences whose parts were let through."""
-    number: dict = defaultdict(itertools.count().__next__)
-    number[None]  # 0
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    words = [*number]
+    words, ids = [*texts.number], np.concatenate([np.zeros(0, np.int32), *texts.parts]).astype(np.int64)
     hashes = np.concatenate([np.zeros(1, np.uint64), word_hashes(lang, words[1:])])[ids]
     run, whole, parts = hashes, ids > 0, None  # of the runs of k words: hash, whether no piece ends inside, and the same of k - 1
     for k in range(1, n):
@@ -129,10 +140,10 @@ def count_pass(docs: DataFrame, n: int, marks: Marks, least: int, more: bool) ->
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                waiting.setdefault(lang, []).extend(words_of(text.as_py()))
-                if len(waiting[lang]) >= WORDS:
+                waiting.setdefault(lang, Numbered()).add(words_of(text.as_py()))
+                if waiting[lang].size >= WORDS:
                     yield from take(lang)
-            if sum(map(len, waiting.values())) >= 4 * WORDS:
+            if sum(x.size for x in waiting.values()) >= 4 * WORDS:
                 for lang in [*waiting]:
                     yield from take(lang)
         for lang in [*waiting]:
