@@ -246,3 +246,44 @@ def label_rounds(spark, sf_dir):
     answers = each.where("n <= 3").select("mapper_id", "field", (F.col("n") - 1).alias("attempt"), (F.col("o") % 2 == 0).alias("recognised"), some(F.col("o") % 3 > 0))
     tools = each.where("n >= 4").select("mapper_id", "field", (F.col("n") - 4).alias("round"), F.when(F.col("o") % 2 == 0, "search").alias("tool"), (F.col("o") % 3 > 0).alias("recognised"), some(F.col("o") % 5 > 0))
     return labeling.label_rounds(tasks, answers, tools, 2, BY).drop("pipeline")
+
+
+@query("golden_seeds", "SELECT doc_id AS mapper_id, 'x.F' || CAST(k AS VARCHAR) AS target_field, CASE WHEN k = 0 THEN 'READ>WRITE' ELSE 'CONSTANT' END AS kinds, 'verified' AS status, 'fp' AS fingerprint FROM labels, (VALUES (0), (1)) t(k) WHERE k = 0 OR quality = 1")
+def golden_seeds(spark, sf_dir):
+    """Store rows that stand for the golden documents of all labels."""
+    from weftline.sources import jobs
+
+    one = lambda k, *kinds: F.struct(F.lit(f"x.F{k}").alias("target_field"), F.array(*map(F.lit, kinds)).alias("pipeline_kinds"))
+    d = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("mapper_id"), F.when(F.col("quality") == 1, F.array(one(0, "READ", "WRITE"), one(1, "CONSTANT"))).otherwise(F.array(one(0, "READ", "WRITE"))).alias("fields"))
+    return jobs.seed_store(jobs.goldens(d), "fp", "2030").select("mapper_id", "target_field", F.array_join("kinds", ">").alias("kinds"), "status", "fingerprint")
+
+
+@query(
+    "derived_checklists",
+    f"WITH {ROWS_SQL}, named AS (SELECT mapper_id, CASE n % 3 WHEN 0 THEN 'a.F' WHEN 1 THEN 'aF' ELSE 'f' END || CAST(f AS VARCHAR) AS field, o AS line FROM rows) SELECT mapper_id, arg_min(field, {{'line': line, 'field': field}}) AS field, 'mapped' AS state FROM named GROUP BY mapper_id, lower(replace(field, '.', ''))",
+)
+def derived_checklists(spark, sf_dir):
+    """The checklists of all mappers from their writes alone: names that are alike without case and dots are one field, as its first write has it."""
+    name = F.when(F.col("n") % 3 == 0, "a.F").when(F.col("n") % 3 == 1, "aF").otherwise("f")
+    sites = rows(spark, sf_dir).select("mapper_id", F.concat(name, text("f")).alias("target_field"), F.col("o").alias("line"))
+    return labeling.fallback_checklist(sites, BY).select("mapper_id", "field", "state")
+
+
+@query(
+    "whole_gate",
+    "SELECT count(*) AS declared, count(*) FILTER (WHERE p_size % 3 = 0) AS mapped, count(*) FILTER (WHERE p_size % 3 = 1) AS unmapped, count(*) FILTER (WHERE p_size % 3 = 2) AS unresolved, CAST(round(100.0 * count(*) FILTER (WHERE p_size % 3 = 0) / count(*)) AS BIGINT) AS mapped_pct, count(*) FILTER (WHERE p_size % 3 = 2) = 0 AND (SELECT count(*) FROM supplier WHERE s_acctbal < 0) = 0 AS gate_passed FROM part",
+)
+def whole_gate(spark, sf_dir):
+    """One gate over all fields, with orphan writes."""
+    state = F.get(F.array(*map(F.lit, ["mapped", "unmapped", "unresolved"])), F.col("p_size") % 3)
+    check = table(spark, sf_dir, "part").select(F.col("p_name").alias("field"), state.alias("state"))
+    return audit.gate(check, table(spark, sf_dir, "supplier").where("s_acctbal < 0"), [])
+
+
+@query("result_sources", f"WITH {ROWS_SQL} SELECT mapper_id, CASE WHEN sum(n % 2) > 0 AND sum(1 - n % 2) > 0 THEN 'mixed' WHEN sum(1 - n % 2) > 0 THEN 'cache' ELSE 'model' END AS source FROM rows WHERE o % 30 = mapper_id % 30 GROUP BY mapper_id")
+def result_sources(spark, sf_dir):
+    """Where each mapper's results are from, of what was labelled and what was cached."""
+    from weftline.functions.steps import result_source
+
+    n = rows(spark, sf_dir).where("o % 30 = mapper_id % 30").groupBy("mapper_id").agg(F.sum(F.col("n") % 2).alias("a"), F.sum(1 - F.col("n") % 2).alias("b"))
+    return n.select("mapper_id", result_source(F.col("a"), F.col("b")).alias("source"))
