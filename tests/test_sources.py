@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.sources import files, java, logs, registry, schemas
+from weftline.sources import files, java, jobs, logs, registry, schemas
 from weftline.streaming import ingest
 
 YAML = """repo: "o/n"
@@ -556,3 +556,12 @@ def test_source_text_as_expressions(spark):
         want["assignments"] += sorted({(str(k), m[1], line(m.start())) for m in re.finditer(r"\b(\w+)\s*=(?!=)", clean)})
     for kind in code.KINDS:
         assert got[kind] == sorted(want[kind]), kind
+
+
+def test_judged_lines_are_the_source_s(spark):
+    text = "one\ntwo `quoted code`\nthree"
+    rows = [("a", "line 3", text), ("b", "line 4", text), ("c", "`sliced code`", text), ("d", "`sliced code\none`", text), ("e", "line 1", None), ("f", "`quoted code`", text), ("g", "`sliced code`", None)]
+    made = spark.createDataFrame([(k, "fp", "x", "sliced code", t, "wrong") for k, _, t in rows], "mapper_id string, fingerprint string, field string, slice_text string, source string, user_claim string")
+    said = spark.createDataFrame([(k, "fp", "x", ("true", e, "r", [])) for k, e, _ in rows], jobs.JUDGE_RESULT)
+    out, rest = jobs.import_judge(made, said)
+    assert {r.mapper_id: r.outcome for r in out.collect()} == dict.fromkeys("acfg", "invalid") | dict.fromkeys("bde", "unverifiable") and rest.count() == 0
