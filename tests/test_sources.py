@@ -565,3 +565,11 @@ def test_judged_lines_are_the_source_s(spark):
     said = spark.createDataFrame([(k, "fp", "x", ("true", e, "r", [])) for k, e, _ in rows], jobs.JUDGE_RESULT)
     out, rest = jobs.import_judge(made, said)
     assert {r.mapper_id: r.outcome for r in out.collect()} == dict.fromkeys("acfg", "invalid") | dict.fromkeys("bde", "unverifiable") and rest.count() == 0
+
+
+def test_files_of_one_task_are_parsed_by_several(spark):
+    one = spark.range(0, 900, 1, 1).select(F.col("id").alias("mapper_id"), F.concat(F.lit("M"), F.col("id").cast("string")).alias("path"), F.lit("class M { int a; void run() { Target t = new Target(); t.setA(1); } }").alias("text"), F.lit("Target").alias("target"))
+    parsed = java.parse(one, ["classes", "write_sites"])
+    assert parsed.select(F.spark_partition_id()).distinct().count() > 1
+    rows = parsed.collect()
+    assert sorted(r.mapper_id for r in rows) == list(range(900)) and all(r.path == f"M{r.mapper_id}" and [c.name for c in r.classes] == ["M"] and r.write_sites[0].target_field == "a" for r in rows)

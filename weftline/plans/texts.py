@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.plans.registry import query, table
 from weftline.sources import files, java, registry, schemas
+from weftline.sources.tables import Workspace
 
 LINES_SQL = "lines AS (SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"
 
@@ -197,10 +198,10 @@ def java_audit(spark, sf_dir):
     """The audit of every mapper's source: structure scan, write sites, opaque calls, states."""
     from weftline.operators import audit
 
-    code = mappers(spark, sf_dir)
-    sites = java.scan(code, "write_sites")
-    fields = java.scan(code, "target_fields").select("mapper_id", F.col("name").alias("field"))
-    return audit.checklist(fields, sites, audit.opaque(java.scan(code, "calls"), sites)).select("mapper_id", "field", "n_writes", "state")
+    parsed = Workspace(spark).keep(java.parse(mappers(spark, sf_dir), ["write_sites", "target_fields", "calls"]))
+    sites, calls = java.rows_of(parsed, "write_sites"), java.rows_of(parsed, "calls")
+    fields = java.rows_of(parsed, "target_fields").select("mapper_id", F.col("name").alias("field"))
+    return audit.checklist(fields, sites, audit.opaque(calls, sites)).select("mapper_id", "field", "n_writes", "state")
 
 
 @query("java_loose_writes", "SELECT s_suppkey AS mapper_id, h AS hint, CAST(CASE h WHEN 'setter-like call' THEN 1 + CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS n FROM supplier, (VALUES ('setter-like call')) t(h)")
@@ -389,7 +390,6 @@ SELECT path, 'removed' AS change FROM c WHERE c_nationkey = 1 AND c_custkey % 2
 def snapshot_changes(spark, sf_dir):
     """The files in which two trees differ, as two written snapshots tell."""
     from weftline.sources import snapshots
-    from weftline.sources.tables import Workspace
 
     root = Workspace(spark).root
     part = lambda c: c.cast("string")
@@ -406,8 +406,6 @@ def snapshot_changes(spark, sf_dir):
 @query("newest_results", "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey = 2 THEN 'second ' ELSE 'first ' END || n_name AS field FROM nation")
 def newest_results(spark, sf_dir):
     """Of each nation's result files the newest one's rows; names and times are listed, older files aren't opened."""
-    from weftline.sources.tables import Workspace
-
     root = f"{Workspace(spark).root}/results"
     n = table(spark, sf_dir, "nation").withColumn("key", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
     for turn, some in (("first", n), ("second", n.where("n_regionkey = 2"))):

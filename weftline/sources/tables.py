@@ -20,6 +20,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to as many tasks as a shuffle has. A small pressed table is one task's to read, however much work its rows make."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Workspace:
     """A folder of Parquet tables below the shared folder; it goes when the interpreter ends."""
 
