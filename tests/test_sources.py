@@ -573,3 +573,22 @@ def test_files_of_one_task_are_parsed_by_several(spark):
     assert parsed.select(F.spark_partition_id()).distinct().count() > 1
     rows = parsed.collect()
     assert sorted(r.mapper_id for r in rows) == list(range(900)) and all(r.path == f"M{r.mapper_id}" and [c.name for c in r.classes] == ["M"] and r.write_sites[0].target_field == "a" for r in rows)
+
+
+def test_saves_of_many_documents_are_few_files(spark, tmp_path):
+    side = {"method": "manual", "root": {"id": "r", "name": "r", "type": "object", "children": []}}
+    doc = lambda m, at: (m, json.dumps({"version": 1, "mapperId": m, "savedAt": at, "source": side, "target": side}))
+    path, df = f"file://{tmp_path}/s", lambda rows: spark.createDataFrame(rows, "mapper_id string, text string")
+    schemas.save_documents(df([doc(f"m{i}", "one") for i in range(300)]), path)
+    assert len(list((tmp_path / "s").rglob("*.parquet"))) <= schemas.PARTS
+    schemas.save_documents(df([doc("m7", "two"), doc("m7", "too"), doc("n", "two")]), path)
+    got = sorted((r.mapper_id, json.loads(r.text)["savedAt"]) for r in schemas.load_documents(spark, path).collect())
+    assert got == sorted([*((f"m{i}", "one") for i in range(300) if i != 7), ("m7", "two"), ("m7", "too"), ("n", "two")])
+    assert schemas.load_documents(spark, path, "m7").count() == 2 and schemas.load_documents(spark, path, "m8").count() == 1 and schemas.load_documents(spark, path, "x").count() == 0
+
+
+def test_flat_schemas_hand_on_few_rows_at_once(spark, monkeypatch):
+    monkeypatch.setattr(schemas, "ROWS_AT_ONCE", 10)
+    docs = spark.range(0, 50, 1, 1).select("id", F.when(F.col("id") % 5 == 0, "no tag").otherwise(F.concat(F.lit("<a><b/><c/><d"), F.col("id").cast("string"), F.lit("/></a>"))).alias("x"))
+    got = sorted((r.id, r.pos, r.path) for r in schemas.flat_schemas(docs, "id", "x", "payload-xml").collect())
+    assert got == [(i, k, p) for i in range(50) if i % 5 for k, p in enumerate(["a", "a.b", "a.c", f"a.d{i}"])]

@@ -79,7 +79,7 @@ def schema_documents(spark, sf_dir):
     side = f'{{"method": "manual", "root": {{"id": "r", "name": "root", "type": "object", "children": [{child("name", "string")}, {child("size", "integer")}]}}}}'
     doc = F.concat(F.lit('{"version": 1, "savedAt": "2024", "mapperId": "'), key, F.lit(f'", "source": {side}, "target": {side}}}'))
     path = f"{Workspace(spark).root}/schemas"
-    schemas.save_documents(table(spark, sf_dir, "supplier").select(key.alias("mapper_id"), doc.alias("text")).coalesce(1), path)
+    schemas.save_documents(table(spark, sf_dir, "supplier").select(key.alias("mapper_id"), doc.alias("text")), path)
     return schemas.flat_schemas(schemas.load_documents(spark, path), "mapper_id", "text", "document").select("mapper_id", "path", "type")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.plans.registry import query, table
 from weftline.sources import files, java, registry, schemas
-from weftline.sources.tables import Workspace
+from weftline.sources.tables import Workspace, spread
 
 LINES_SQL = "lines AS (SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"
 
@@ -127,7 +127,7 @@ def json_schema_flatten(spark, sf_dir):
     needs = F.when(F.col("p_size") % 2 == 0, '["size"]').otherwise('["other"]')
     items = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('{"type": "object", "properties": {"k'), size, F.lit('": {"type": "boolean"}}}'))).otherwise('{"type": "number"}')
     doc = F.concat(F.lit('{"type": "object", "required": ["brand"], "properties": {"size": {"type": "integer", "required": '), needs, F.lit('}, "brand": {"type": "date"}, "list": {"type": "array", "items": '), items, F.lit("}}}"))
-    p = table(spark, sf_dir, "part").select("p_partkey", doc.alias("doc"))
+    p = spread(table(spark, sf_dir, "part")).select("p_partkey", doc.alias("doc"))
     return schemas.flat_schemas(p, "p_partkey", "doc", "payload-json").select("p_partkey", "path", "type", "required")
 
 
@@ -141,7 +141,7 @@ def json_schema_flatten(spark, sf_dir):
 )
 def xml_flatten(spark, sf_dir):
     """The schema of an XML sample made from each supplier: attributes, names and repeated children differ by row."""
-    s = table(spark, sf_dir, "supplier")
+    s = spread(table(spark, sf_dir, "supplier"))
     nation = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
     day = F.when(F.col("s_acctbal") > 0, ' day = "2024-01-02"').otherwise("")
     x = F.concat(F.lit('<?xml version="1.0"?>\n<s id="'), "s_name", F.lit('"'), day, F.lit(">text <"), nation, F.lit(">Name</"), nation, F.lit(">"), F.repeat(F.lit('<i q="1"/>'), (F.col("s_suppkey") % 3).cast("int")), F.lit("</s>"))
@@ -153,7 +153,7 @@ def xsd_flatten(spark, sf_dir):
     """An XSD of as many elements as each part's size; the first 50 count."""
     kinds = F.array(*map(F.lit, ["xs:integer", "xs:decimal", "xs:date", "integer"]))
     element = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.lit('<xs:element name="e'), i.cast("string"), F.lit('" type="'), F.get(kinds, i % 4), F.lit('"/>')))
-    p = table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", F.concat(F.lit("<xs:schema>"), F.array_join(element, "\n"), F.lit("</xs:schema>")).alias("x"))
+    p = spread(table(spark, sf_dir, "part")).where("p_size > 0").select("p_partkey", F.concat(F.lit("<xs:schema>"), F.array_join(element, "\n"), F.lit("</xs:schema>")).alias("x"))
     return schemas.flat_schemas(p, "p_partkey", "x", "xsd").select("p_partkey", "path", "type")
 
 
