@@ -461,3 +461,21 @@ def test_mutants_are_spliced_where_the_write_is(spark):
     steps = spark.createDataFrame([(1, "b", 0, "CONSTANT", None, None, "42"), (1, "c", 0, "CONSTANT", None, None, "gone")], "mapper_id int, field string, pos int, kind string, source_field string, op string, value string")
     got = {(r.field, r.kind): r.outcome for r in mutation.check(sources, steps).collect()}
     assert got == {("a", "drop-write"): "survived", ("a", "drop-operation"): "survived", ("b", "drop-write"): "demoted", ("b", "change-number"): "ungrounded", ("c", "drop-write"): "demoted", ("c", "change-text"): "survived"}
+
+
+def test_unmapped_mentions_shuffle_words_once(spark):
+    from weftline.operators import audit
+
+    text = "x.setName(1);\nname name other\n  getName() name"
+    for kind, files in (("long", [7, -3, -(2**63), None]), ("string", ["b", "a", "", None])):
+        rows = [("m", f, i + 1, t) for f in files for i, t in enumerate(text.split("\n"))] + [("n", files[0], 2**31 - 1, "name here"), ("n", files[0], 2**31 - 1, "a name")]
+        lines = spark.createDataFrame(rows, f"mapper_id string, path {kind}, line int, text string")
+        fields = spark.createDataFrame([("m", "a.name"), ("m", "other"), ("n", "name"), ("n", "gone")], "mapper_id string, field string")
+        get = lambda some: sorted(map(tuple, audit.unmapped_mentions(fields, some).collect()))  # noqa: B023, E731
+        assert get(lines) == [("m", "a.name", None, 1, "x.setName(1);"), ("m", "other", None, 2, "name name other"), ("n", "name", files[0], 2**31 - 1, "a name")]
+        assert get(lines.where("path is not null"))[0] == ("m", "a.name", files[2], 1, "x.setName(1);")
+        plan = audit._first_places(lines, F.split("text", " "), ["mapper_id"], "path")._jdf.queryExecution().executedPlan().toString()
+        assert kind == "string" or "SortAggregate" not in plan
+    many = spark.range(20000).select(F.lit("m").alias("mapper_id"), F.col("id").alias("path"), F.lit(1).alias("line"), F.lit("alpha beta gamma").alias("text")).coalesce(2)
+    first = audit._first_places(many, F.split("text", " "), ["mapper_id"], "path")
+    assert sorted(map(tuple, first.collect())) == [("m", w, 0, 1) for w in ("alpha", "beta", "gamma")]

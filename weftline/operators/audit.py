@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.names import capital, leaf, norm
 from weftline.functions.steps import kinds_of
 from weftline.functions.text import words_in
+from weftline.sources.tables import Workspace
 
 #: What a named operation looks like in code.
 OP_EVIDENCE = {
@@ -113,7 +115,8 @@ def unmapped_mentions(fields: DataFrame, lines: DataFrame, by: list[str] = BY, f
     get, is, with and bare name.
 
     The words of the lines (by, file, line, text, and bare: the text to search, if it is another) are joined by equality with the
-    forms of the fields. Where the forms are counted to be few, all other words go before lines are taken apart.
+    forms of the fields. Where the forms are counted to be few, all other words go before lines are taken apart. A word's first place
+    is found where the lines are, so what is shuffled is the words that a task has, not those of every line; evidence is looked up at last.
     """
     short = leaf(F.col("field"), strip_array=False)
     forms = F.array(*[F.struct(F.lit(i).alias("rank"), (F.concat(F.lit(p), capital(short)) if p else short).alias("word")) for i, p in enumerate(["set", "get", "is", "with", ""])])
@@ -122,9 +125,33 @@ def unmapped_mentions(fields: DataFrame, lines: DataFrame, by: list[str] = BY, f
     few = [r[0] for r in wanted.select("word").distinct().limit(FEW_WORDS + 1).collect()]
     if len(few) <= FEW_WORDS:
         found = F.array_intersect(found, F.array(*map(F.lit, few)).cast("array<string>"))
-    words = lines.select(*by, file, "line", F.substring(F.trim("text"), 1, 120).alias("evidence"), F.explode(found).alias("word"))
-    hit = wanted.join(words, [*by, "word"]).groupBy(*by, "field").agg(F.min(F.struct("rank", file, "line", "evidence")).alias("h"))
-    return hit.select(*by, "field", f"h.{file}", "h.line", "h.evidence")
+    first = _first_places(lines, found, by, file)
+    hit = wanted.join(first, [*by, "word"]).groupBy(*by, "field").agg(F.min(F.struct("rank", file, "line", "word")).alias("h"))
+    hit = Workspace(fields.sparkSession).keep(hit.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("field").alias("_field"), F.col(f"h.{file}").alias("_file"), F.col("h.line").alias("_line"), "h.word"))
+    same = F.col("_file").eqNullSafe(F.col(file)) & (F.col("_line") == F.col("line"))
+    for c in by:
+        same = same & (F.col(f"_{c}") == F.col(c))
+    met = lines.join(hit, same).where(F.array_contains(found, F.col("word")))
+    evidence = F.min(F.substring(F.trim("text"), 1, 120)).alias("evidence")
+    return met.groupBy(*by, F.col("_field").alias("field"), file, "line").agg(evidence)
+
+
+def _first_places(lines: DataFrame, words: Column, by: list[str], file: str) -> DataFrame:
+    """by, word, file and line of the least (file, line) that has each word of a mapper; a null file comes first.
+
+    Both ways aggregate in hash tables, so no task sorts its words: a file that is a whole number makes one number with its line, of others
+    the first line in each file is found before.
+    """
+    kind = lines.schema[file].dataType
+    if not isinstance(kind, T.IntegralType):
+        each = lines.select(*by, file, "line", F.explode(words).alias("word")).groupBy(*by, "word", file).agg(F.min("line").alias("line"))
+        return each.groupBy(*by, "word").agg(F.min(F.struct(file, "line")).alias("_p")).select(*by, "word", f"_p.{file}", "_p.line")
+    room, none = F.lit(2**32).cast("decimal(10,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")
+    place = (F.coalesce(F.col(file).cast("decimal(20,0)"), none) * room + F.col("line").cast("decimal(10,0)")).cast("decimal(30,0)")
+    least = lines.select(*by, place.alias("_p"), F.explode(words).alias("word")).groupBy(*by, "word").agg(F.min("_p").alias("_p"))
+    line = F.pmod("_p", room)
+    number = ((F.col("_p") - line) / room).cast("decimal(20,0)")
+    return least.select(*by, "word", F.when(number > none, number).cast(kind).alias(file), line.cast(lines.schema["line"].dataType).alias("line"))
 
 
 def miss_diagnostics(missed: DataFrame, mentions: DataFrame, by: list[str] = BY) -> DataFrame:
