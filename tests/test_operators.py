@@ -1,5 +1,7 @@
 """Audits, stores, journals and pipelines on small inputs with known results."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from weftline.operators import audit, closure, journal, keyed, pipeline, store
@@ -479,3 +481,16 @@ def test_unmapped_mentions_shuffle_words_once(spark):
     many = spark.range(20000).select(F.lit("m").alias("mapper_id"), F.col("id").alias("path"), F.lit(1).alias("line"), F.lit("alpha beta gamma").alias("text")).coalesce(2)
     first = audit._first_places(many, F.split("text", " "), ["mapper_id"], "path")
     assert sorted(map(tuple, first.collect())) == [("m", w, 0, 1) for w in ("alpha", "beta", "gamma")]
+
+
+def test_points_look_under_few_cells(spark):
+    import random
+
+    rnd = random.Random(5)
+    spans = [(rnd.randrange(3), lo := rnd.randrange(-3000, 3000), lo + rnd.choice([0, 1, 7, 8, 9, 63, 64, 500, 511, 512, 2500]), k) for k in range(400)] + [(0, 5, 4, 999), (1, 0, 2**62, 1000)]
+    points = [(k, rnd.randrange(4), rnd.randrange(-3500, 6000)) for k in range(600)]
+    df = keyed.innermost(spark.createDataFrame(points, "id long, f int, at long"), spark.createDataFrame(spans, "f int, lo long, hi long, name long"), ["f"], "at", "lo", "hi", "name", ["id"])
+    want = {k: min(((hi - lo, lo, n) for f_, lo, hi, n in spans if f_ == f and lo <= at <= hi), default=(None,) * 3)[2] for k, f, at in points}
+    assert {r.id: r.name for r in df.collect()} == want and df.count() == 600
+    sizes = re.findall(r"explode\(\[([\d,]+)\]\)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert sizes and all(len(s.split(",")) <= 5 for s in sizes)

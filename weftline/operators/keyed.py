@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def innermost(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, value: str, id_cols: list[str]) -> DataFrame:
     """Points with ``value`` of the smallest span that holds them; null where none does. Aggregated, so no window sorts a file's points.
 
-    A dyadic index of whole numbers: a span of up to 2**z places is listed under the cells of 2**z places that it touches, one or two, and a point looks
-    under its own cell of every z that occurs, of at most 64. So it is a join by equality of (file, z, cell), and its sides grow with the points and the spans.
+    An index of whole numbers in powers of eight: a span of up to 2**z places, z being the next multiple of three, is listed under the cells of 2**z places
+    that it touches, one or two, and a point looks under its own cell of every z that occurs, of at most 21. So it is a join by equality of (file, z, cell), its
+    sides grow with the points and the spans, and a point is few rows; what meets in a cell and doesn't hold the point goes within the join.
     """
-    s = spans.where(F.col(end) >= F.col(start)).withColumn("_z", F.length(F.bin((F.col(end) - F.col(start)).cast("long"))))
+    bits = F.length(F.bin((F.col(end) - F.col(start)).cast("long")))
+    s = spans.where(F.col(end) >= F.col(start)).withColumn("_z", F.least(F.ceil(bits / 3) * 3, F.lit(63)).cast("int"))
     cells = F.array_distinct(F.array(*[F.expr(f"shiftright(cast(`{c}` as bigint), _z)") for c in (start, end)]))
     s = s.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value"), "_z", F.explode(cells).alias("_cell"))
     sizes = [r[0] for r in s.select("_z").distinct().collect()]
