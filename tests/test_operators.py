@@ -494,3 +494,22 @@ def test_points_look_under_few_cells(spark):
     assert {r.id: r.name for r in df.collect()} == want and df.count() == 600
     sizes = re.findall(r"explode\(\[([\d,]+)\]\)", df._jdf.queryExecution().optimizedPlan().toString())
     assert sizes and all(len(s.split(",")) <= 5 for s in sizes)
+
+
+def test_what_grows_with_the_mappers_is_not_broadcast(spark, monkeypatch):
+    """Pressed tables of a few KB may be planned as broadcasts, so at any size; those of types alone may be."""
+    from weftline.plans.texts import task_diagnostics
+    from weftline.sources.tables import Workspace
+
+    plans, keep = [], Workspace.keep
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Workspace, "keep", lambda self, df: plan(df) or keep(self, df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        plan(task_diagnostics(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = [k for p in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)]
+    assert not [k for k in keys if re.search(r"\b(_?mapper_id|path|_?site|parent|helper)#", k)]
+    assert len(plans) > 20 and any("SortMergeJoin" in p for p in plans)

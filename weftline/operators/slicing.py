@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import called_names, identifiers, qualified_calls
-from weftline.sources.tables import Workspace
+from weftline.sources.tables import Workspace, by_shuffle
 
 
 def local_definitions(methods: DataFrame) -> DataFrame:
@@ -31,14 +31,14 @@ def trace(sites: DataFrame, definitions: DataFrame, depth: int = 8) -> DataFrame
     """
     work = Workspace(sites.sparkSession)
     owner = sites.select("site", "path", "in_method", "in_line", "receiver")
-    front = work.keep(sites.select("site", F.explode(identifiers(F.col("expression"))).alias("name")).distinct())
+    front = work.keep_large(sites.select("site", F.explode(identifiers(F.col("expression"))).alias("name")).distinct())
     seen, found = front, None
     for _ in range(depth):
         step = front.join(owner, "site").join(definitions, ["path", "in_method", "in_line", "name"])
-        step = work.keep(step.where(~F.contains("statement", F.concat("receiver", F.lit("."))) & (F.col("name") != F.col("receiver"))).select("site", "statement").distinct())
+        step = work.keep_large(step.where(~F.contains("statement", F.concat("receiver", F.lit("."))) & (F.col("name") != F.col("receiver"))).select("site", "statement").distinct())
         found = step if found is None else found.unionByName(step).distinct()
         names = step.select("site", F.explode(identifiers(F.col("statement"))).alias("name")).distinct()
-        front = work.keep(names.join(seen, ["site", "name"], "left_anti"))
+        front = work.keep_large(names.join(seen, ["site", "name"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -59,13 +59,13 @@ def resolution(classes: DataFrame, methods: DataFrame, hops: int = 3) -> DataFra
     Classes (path, name, parent, start_line); methods (path, class_name, name, start_line, body_text, full_text).
     """
     work = Workspace(classes.sparkSession)
-    home = work.keep(homes(classes))
+    home = work.keep_large(homes(classes))
     own = classes.groupBy("path", "name").agg(F.min_by("parent", "start_line").alias("parent"))
     now = own.select("path", F.col("name").alias("class_name"), F.col("path").alias("at"), F.col("name").alias("of"), F.substring_index("parent", ".", -1).alias("parent"), F.lit(0).alias("hop"))
-    chain = now = work.keep(now)
+    chain = now = work.keep_large(now)
     above = home.select(F.col("name").alias("parent"), F.col("path").alias("up_at"), F.col("parent").alias("up"))
     for hop in range(1, hops + 1):
-        now = work.keep(now.join(above, "parent").select("path", "class_name", F.col("up_at").alias("at"), F.col("parent").alias("of"), F.col("up").alias("parent"), F.lit(hop).alias("hop")))
+        now = work.keep_large(now.join(above, "parent").select("path", "class_name", F.col("up_at").alias("at"), F.col("parent").alias("of"), F.col("up").alias("parent"), F.lit(hop).alias("hop")))
         if now.isEmpty():
             break
         chain = chain.unionByName(now)
@@ -82,7 +82,7 @@ def helpers(texts: DataFrame, methods: DataFrame, classes: DataFrame, depth: int
     class's file. A helper counts at its least depth.
     """
     work = Workspace(texts.sparkSession)
-    own = work.keep(resolution(classes, methods)).select("path", "class_name", "helper", "body_text", "full_text")
+    own = work.keep_large(resolution(classes, methods)).select("path", "class_name", "helper", "body_text", "full_text")
     any_ = methods.join(homes(classes).select(F.col("name").alias("class_name"), "path"), ["class_name", "path"])
     any_ = any_.groupBy(F.concat_ws(".", "class_name", "name").alias("helper")).agg(F.min_by(F.struct("body_text", "full_text"), "start_line").alias("m")).select("helper", "m.*")
     front, found = texts.select("site", "path", "class_name", "text"), None
@@ -91,8 +91,8 @@ def helpers(texts: DataFrame, methods: DataFrame, classes: DataFrame, depth: int
         far = front.select("site", "path", "class_name", F.explode(qualified_calls(F.col("text"))).alias("helper")).distinct().join(any_, "helper")
         new = bare.unionByName(far)
         if found is not None:
-            new = new.join(found.select("site", "helper"), ["site", "helper"], "left_anti")
-        new = work.keep(new.withColumn("depth", F.lit(level)))
+            new = new.join(by_shuffle(found.select("site", "helper")), ["site", "helper"], "left_anti")
+        new = work.keep_large(new.withColumn("depth", F.lit(level)))
         found = new if found is None else found.unionByName(new)
         if new.isEmpty():
             break
@@ -123,7 +123,7 @@ def slices(files: DataFrame, target: str | None = None, tree: DataFrame | None =
     if "class_name" in files.columns:
         sites = sites.join(files.select("path", "target", "class_name").distinct(), ["path", "target"])
     parsed = parse(files.select("path", "text").distinct() if tree is None else tree.select("path", "text"), ["methods", "classes"])
-    return slices_of(sites, Workspace(files.sparkSession).keep(parsed))
+    return slices_of(sites, Workspace(files.sparkSession).keep_large(parsed))
 
 
 def slices_of(sites: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -134,10 +134,10 @@ def slices_of(sites: DataFrame, parsed: DataFrame) -> DataFrame:
     if "class_name" not in sites.columns:
         sites = sites.withColumn("class_name", F.col("in_class"))
     # a written number, so two equal writes on a line stay two
-    sites = work.keep(sites.withColumn("site", F.monotonically_increasing_id()))
+    sites = work.keep_large(sites.withColumn("site", F.monotonically_increasing_id()))
     methods = rows_of(parsed, "methods")
     defs = trace(sites, local_definitions(methods)).groupBy("site").agg(F.array_sort(F.collect_set("statement")).alias("defs"))
-    sites = work.keep(sites.join(defs, "site", "left").withColumn("defs", F.coalesce("defs", F.array().cast("array<string>"))))
+    sites = work.keep_large(sites.join(defs, "site", "left").withColumn("defs", F.coalesce("defs", F.array().cast("array<string>"))))
     text = F.concat_ws("\n", "expression", "defs", "control_flow")
     near = helpers(sites.select("site", "path", "class_name", text.alias("text")), methods, rows_of(parsed, "classes"))
     near = near.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("depth", "helper", "full_text"))).alias("h"))

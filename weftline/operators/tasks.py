@@ -14,7 +14,7 @@ from weftline.operators.labeling import fallback_checklist, nested_upsert
 from weftline.operators.pipeline import carry_forward, collect_fields, expand_write, fold_branches, schema_paths_for, view_steps, with_writes
 from weftline.operators.slicing import heading, slices_of
 from weftline.sources.java import parse, rows_of, scan
-from weftline.sources.tables import Workspace
+from weftline.sources.tables import Workspace, by_shuffle
 
 BY = audit.BY
 #: Texts of diagnostics.
@@ -30,7 +30,7 @@ def belongs(sites: DataFrame, methods: DataFrame) -> DataFrame:
     m = methods.select("path", F.col("name").alias("in_method"), "start_line", "end_line", "body_text")
     holds = F.col("line").between(F.col("start_line"), F.col("end_line"))
     best = F.min_by("body_text", F.struct((~holds).alias("away"), "start_line")).alias("body")
-    each = Workspace(sites.sparkSession).keep(sites.withColumn("_site", F.monotonically_increasing_id()))
+    each = Workspace(sites.sparkSession).keep_large(sites.withColumn("_site", F.monotonically_increasing_id()))
     body = each.join(m, ["path", "in_method"]).groupBy("_site").agg(best)
     kind = F.concat(F.lit(r"(?:[\w.]+\.)?"), "target")
     name = F.regexp_replace("receiver", r"([^\w])", r"\\$1")
@@ -55,23 +55,23 @@ def nested_sites(sources: DataFrame, nested: DataFrame, parsed: DataFrame | None
     """
     work = Workspace(sources.sparkSession)
     code = sources.select("path", "text", "mapper_id")
-    parsed = work.keep(parse(code, FOR_NESTED)) if parsed is None else parsed
+    parsed = work.keep_large(parse(code, FOR_NESTED)) if parsed is None else parsed
     found = lambda kind: rows_of(parsed, kind).drop("target")
-    nested = nested.select("mapper_id", F.col("path").alias("prefix"), "type_name", F.col("order").alias("place"))
+    nested = by_shuffle(nested.select("mapper_id", F.col("path").alias("prefix"), "type_name", F.col("order").alias("place")))
     each = sources.join(nested.select("mapper_id", F.col("type_name").alias("target")).distinct(), "mapper_id")
-    sites = work.keep(belongs(scan(each, "write_sites"), found("methods").drop("mapper_id").distinct()).withColumn("site", F.monotonically_increasing_id()))
+    sites = work.keep_large(belongs(scan(each, "write_sites"), found("methods").drop("mapper_id").distinct()).withColumn("site", F.monotonically_increasing_id()))
     count = nested.groupBy("mapper_id", F.col("type_name").alias("target")).agg(F.count("*").alias("places"))
     counted = sites.join(count, ["mapper_id", "target"])
     places = nested.withColumnRenamed("type_name", "target")
     one = counted.where("places = 1").join(places, ["mapper_id", "target"])
-    several = work.keep(counted.where("places > 1"))
+    several = work.keep_large(counted.where("places > 1"))
 
     # where a place takes something in: set, with or the bare name, of a variable or of a helper's result
     short = leaf(F.col("prefix"))
     routes = places.withColumn("method", F.explode(F.array(F.concat(F.lit("set"), capital(short)), F.concat(F.lit("with"), capital(short)), short)))
     taken = scan(code, "injections").join(routes, ["mapper_id", "method"]).select("mapper_id", "target", "prefix", "place", "name", "is_call", F.col("line").alias("at"))
-    taken = work.keep(taken)
-    assigned = work.keep(scan(code, "assignments").select("mapper_id", "name", F.col("line").alias("set_at")))
+    taken = work.keep_large(taken)
+    assigned = work.keep_large(scan(code, "assignments").select("mapper_id", "name", F.col("line").alias("set_at")))
 
     def lifetime(rows: DataFrame, line: str, ids: list[str]) -> DataFrame:
         """Rows with the segment of their variable's lifetime: how often it was assigned up to the line."""
@@ -101,15 +101,15 @@ def build_tasks(mappers: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     attributed; else the writes themselves. States follow the audit, slices are joined by the whole key or else by the leaf.
     """
     work = Workspace(files.sparkSession)
-    sources = work.keep(mappers.select("mapper_id", F.col("source_file").alias("path"), simple_type_name(F.col("target_type")).alias("target"), *[c for c in ("class_name",) if c in mappers.columns]).join(files.select("path", "text"), "path"))
-    tree_parsed = work.keep(parse(files.select("path", "text"), ["class_fields", "methods", "classes"]))
-    parsed = work.keep(parse(sources, ["guarded_sites", "target_fields", "calls", *FOR_NESTED]))
+    sources = work.keep_large(by_shuffle(mappers).select("mapper_id", F.col("source_file").alias("path"), simple_type_name(F.col("target_type")).alias("target"), *[c for c in ("class_name",) if c in mappers.columns]).join(files.select("path", "text"), "path"))
+    tree_parsed = work.keep_large(parse(files.select("path", "text"), ["class_fields", "methods", "classes"]))
+    parsed = work.keep_large(parse(sources, ["guarded_sites", "target_fields", "calls", *FOR_NESTED]))
     found = lambda kind: rows_of(parsed, kind).drop("target")
-    classes = work.keep(rows_of(tree_parsed, "class_fields"))
+    classes = work.keep_large(rows_of(tree_parsed, "class_fields"))
     # of classes with one name that in a file of that name, else the first path
     home = classes.groupBy("class_name").agg(F.min_by("path", F.struct(~F.endswith("path", F.concat(F.lit("/"), "class_name", F.lit(".java"))), "path")).alias("path"))
     tree = work.keep(classes.join(home, ["class_name", "path"]))
-    declared = work.keep(found("target_fields").select("mapper_id", F.col("name").alias("field"), "type"))
+    declared = work.keep_large(found("target_fields").select("mapper_id", F.col("name").alias("field"), "type"))
     away = sources.join(declared.select("mapper_id").distinct(), "mapper_id", "left_anti").select("mapper_id", F.col("target").alias("class_name"))
     leaves, reasons, nested = nested_leaves(tree, away)
     extra, unsure = nested_sites(sources.select("mapper_id", "path", "text"), nested, parsed)
@@ -121,15 +121,15 @@ def build_tasks(mappers: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     cut = slices_of(sites, tree_parsed)
     keep = ["path", "via", "in_method", "receiver", "helpers", "slice_text"]
     own = sources.select("mapper_id", "path", "target").join(cut, ["path", "target"]).select("mapper_id", "line", "target_field", *keep)
-    sites = work.keep(nested_upsert(own, extra.select("mapper_id", "line", "target_field", "place", *keep), BY, "place"))
+    sites = work.keep_large(nested_upsert(own, extra.select("mapper_id", "line", "target_field", "place", *keep), BY, "place"))
     fields = declared.unionByName(leaves.select("mapper_id", F.col("path").alias("field"), "type"))
     bare = sites.join(fields.select("mapper_id").distinct(), "mapper_id", "left_anti")
     derived = fallback_checklist(bare, BY).select("mapper_id", "field", F.lit(None).cast("string").alias("type"))
-    fields = work.keep(fields.unionByName(derived))
-    check = work.keep(audit.checklist(fields, sites, audit.opaque(found("calls"), sites)))
+    fields = work.keep_large(fields.unionByName(derived))
+    check = work.keep_large(audit.checklist(fields, sites, by_shuffle(audit.opaque(found("calls"), sites))))
     shown = audit.writes(fields, sites).groupBy("mapper_id", "field").agg(F.array_sort(F.collect_list(F.struct("line", "slice_text"))).alias("s"))
     shown = shown.select("mapper_id", "field", F.array_join(F.transform("s", lambda x: x["slice_text"]), "\n\n").alias("slice_text"))
-    tasks = work.keep(check.join(shown, ["mapper_id", "field"], "left"))
+    tasks = work.keep_large(check.join(shown, ["mapper_id", "field"], "left"))
     own_code = sources.select("path", "text", "mapper_id")
     told = audit.miss_diagnostics(audit.missed_writes(scan(own_code, "loose_writes"), sites), audit.unmapped_mentions(tasks.where("state = 'unmapped'").select("mapper_id", "field"), scan(own_code, "lines")))
     told = told.unionByName(unsure).unionByName(reasons.select("mapper_id", F.concat_ws(": ", "path", "reason").alias("text")))

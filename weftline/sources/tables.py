@@ -25,6 +25,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Rows that a join shuffles. Spark plans by the size of files, where source text is a twentieth of its rows: what grows with the mappers would be sent whole through the driver.
+
+    It holds for the next join, also after other steps with one input. Joins without a key that spreads the rows should do without.
+    """
+    return df.hint("merge")
+
+
 class Workspace:
     """A folder of Parquet tables below the shared folder; it goes when the interpreter ends."""
 
@@ -39,6 +47,10 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_large(self, df: DataFrame) -> DataFrame:
+        """``keep`` for rows that grow with the mappers or files; see ``by_shuffle``."""
+        return by_shuffle(self.keep(df))
+
     def drop(self) -> None:
         try:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
